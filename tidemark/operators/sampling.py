@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import portable_hash
-from tidemark.operators.index import CHUNK, running_sums, renumber
-from tidemark.operators.intervals import interval_join, neighbourhood, over_bins, BIN, chunk_of
+from tidemark.operators.index import CHUNK, chunk_of, renumber
+from tidemark.operators.intervals import BIN, interval_join, neighbourhood, over_bins
 from tidemark.operators.runs import runs
 
 
@@ -27,7 +27,13 @@ def positive_starts(
     else:
         found = newest_at_or_before(catalogue, det, "centre", "start_idx", chunk).withColumnRenamed("start_idx", "_run")
         found = found.filter(F.col("_run").isNotNull())
-    return found.withColumn("start_idx", F.col("_run") - size).filter(F.col("start_idx") >= 0).drop("_run")
+    origin = stream.agg(F.min("idx").alias("_origin"))
+    return (
+        found.withColumn("start_idx", F.col("_run") - size)
+        .crossJoin(F.broadcast(origin))
+        .filter(F.col("start_idx") >= F.col("_origin"))
+        .drop("_run", "_origin")
+    )
 
 
 def newest_at_or_before(left: DataFrame, right: DataFrame, at: str, value: str, chunk: int = CHUNK) -> DataFrame:
@@ -35,8 +41,6 @@ def newest_at_or_before(left: DataFrame, right: DataFrame, at: str, value: str,
 
     Both sides are put on one line and filled forward chunk by chunk.
     """
-    from tidemark.operators.index import in_chunk  # noqa: PLC0415
-
     line = left.select(F.col(at).alias("_pos"), F.lit(None).cast("long").alias("_val"), F.struct("*").alias("_row"))
     marks = right.select(
         F.col(value).alias("_pos"), F.col(value).cast("long").alias("_val"), F.lit(None).cast(line.schema["_row"].dataType).alias("_row")
@@ -71,7 +75,7 @@ def forbidden_intervals(
 
 
 def free_starts(stream: DataFrame, zones: DataFrame, size: int = 60) -> DataFrame:
-    """Window starts that touch no zone. The zone side is merged to one row per bin first."""
+    """Window starts that touch no zone (left anti join on the bins a zone touches)."""
     last = stream.agg((F.max("idx") + 1 - size).alias("_last"))
     blocked = zones.select((F.col("lo") - (size - 1)).alias("lo"), "hi").withColumn(
         "lo", F.greatest("lo", F.lit(0).cast("long"))

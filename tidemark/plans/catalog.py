@@ -6,7 +6,7 @@ import importlib
 
 from tidemark.plans.base import ORACLES, QUERIES
 
-MODULES = ["positions", "features"]
+MODULES = ["positions", "features", "joins", "windowing"]
 
 
 def load():
