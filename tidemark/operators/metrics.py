@@ -109,6 +109,24 @@ def average_precision(curve: DataFrame) -> DataFrame:
     )
 
 
+def grid_cell(score: Column, ts: list[float]) -> Column:
+    """How many thresholds of an ascending grid the score reaches.
+
+    On an even grid the cell is computed and then set right by one comparison on each side, so
+    the outcome is that of ``score >= t`` itself; other grids are short and are counted.
+    """
+    n = len(ts)
+    step = (ts[-1] - ts[0]) / (n - 1) if n > 1 else 0.0
+    even = n > 8 and step > 0 and all(abs(b - a - step) < step * 1e-6 for a, b in zip(ts, ts[1:]))
+    if not even:
+        return sum((F.when(score >= t, 1).otherwise(0) for t in ts), F.lit(0))
+    grid = F.array(*[F.lit(t) for t in ts])
+    guess = F.greatest(F.lit(0), F.least(F.lit(n), F.floor((score - ts[0]) / step).cast("int") + 1))
+    down = F.when((guess > 0) & (score < F.element_at(grid, F.greatest(guess, F.lit(1)))), 1).otherwise(0)
+    up = F.when((guess < n) & (score >= F.element_at(grid, F.least(guess + 1, F.lit(n)))), 1).otherwise(0)
+    return guess - down + up
+
+
 def sweep(df: DataFrame, grid: list[float], score: str = "p", label: str = "y", by: list[str] | None = None) -> DataFrame:
     """Counts at every threshold of a grid (``score >= t``) in one pass over the scores.
 
@@ -117,7 +135,7 @@ def sweep(df: DataFrame, grid: list[float], score: str = "p", label: str = "y",
     """
     by = by or []
     ts = sorted(set(grid))
-    reached = F.size(F.filter(F.array(*[F.lit(t) for t in ts]), lambda t: t <= F.col(score)))
+    reached = grid_cell(F.col(score), ts)
     pos = (F.col(label) == 1).cast("long")
     cells = df.groupBy(*by, reached.alias("_cell")).agg(F.sum(pos).alias("_pos"), F.sum(1 - pos).alias("_neg"))
     per = cells.groupBy(*by).agg(

@@ -9,6 +9,7 @@ from tidemark.functions.scalars import portable_hash
 from tidemark.operators.index import CHUNK, chunk_of, renumber
 from tidemark.operators.intervals import BIN, interval_join, neighbourhood, over_bins
 from tidemark.operators.runs import runs
+from tidemark.session import materialise
 
 
 def positive_starts(
@@ -90,24 +91,22 @@ def free_starts(stream: DataFrame, zones: DataFrame, size: int = 60) -> DataFram
 def sample_by_hash(df: DataFrame, key: str, count: int | Column) -> DataFrame:
     """First ``count`` rows in portable-hash order: uniform, exact and repeatable.
 
-    With a literal count this is a top-k (each task keeps its own k); a count that comes from
-    the data travels with the rows and is compared to the running rank of coarse hash bands.
+    Hash bands below the wanted count are kept whole and only the band that holds the boundary
+    matters for ranks, so no task ever sorts or holds the sample as a whole.
     """
-    h = portable_hash(F.col(key))
-    if isinstance(count, int):
-        return df.orderBy(h, key).limit(count)
-    band = F.floor(h / (1 << 19))
-    rows = df.withColumn("_h", h).withColumn("_band", band).withColumn("_want", count)
+    rows = df.withColumn("_h", portable_hash(F.col(key))).withColumn("_band", F.floor(F.col("_h") / (1 << 15)))
+    rows = rows.withColumn("_want", count if isinstance(count, Column) else F.lit(count))
     sizes = rows.groupBy("_band").agg(F.count(F.lit(1)).alias("_c"))
-    before = Window.orderBy("_band").rowsBetween(Window.unboundedPreceding, -1)  # at most 4096 bands
+    before = Window.orderBy("_band").rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.select("_band", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_before"))
     rank = F.row_number().over(Window.partitionBy("_band").orderBy("_h", key))
+    # The hash has 31 bits, so there are at most 65,536 bands however long the table is.
     return (
         rows.join(F.broadcast(sizes), "_band")
         .filter(F.col("_before") < F.col("_want"))
         .withColumn("_rank", F.col("_before") + rank)
         .filter(F.col("_rank") <= F.col("_want"))
-        .drop("_h", "_band", "_want", "_before", "_rank")
+        .select(*df.columns)
     )
 
 
@@ -117,6 +116,20 @@ def negative_starts(starts: DataFrame, positives: DataFrame, ratio: float = 1.0)
     return sample_by_hash(starts.crossJoin(F.broadcast(want)), "start_idx", F.col("_k")).drop("_k")
 
 
+def training_windows(
+    stream: DataFrame, catalogue: DataFrame, size: int = 60, ratio: float = 1.0, buffer: int = 50, chunk: int = CHUNK
+) -> DataFrame:
+    """Balanced windows from the labelled stream in one call.
+
+    The positives (one row per event) and the sampled starts feed several later joins, so both
+    are written once.
+    """
+    positives = materialise(positive_starts(stream, catalogue, size, chunk=chunk))
+    zones = forbidden_intervals(stream, positives, size, buffer, chunk=chunk)
+    negatives = materialise(negative_starts(free_starts(stream, zones, size), positives, ratio))
+    return combine_windows(positives, negatives, chunk)
+
+
 def combine_windows(positives: DataFrame, negatives: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """Union of both classes, numbered by first position: ``window_id, start_idx, event_sclk, label``."""
     pos = positives.select("start_idx", F.col("sclk").alias("event_sclk"), F.lit(1).alias("label"))
@@ -124,7 +137,7 @@ def combine_windows(positives: DataFrame, negatives: DataFrame, chunk: int = CHU
     return renumber(pos.unionByName(neg), "window_id", "event_sclk", by="start_idx", chunk=chunk)
 
 
-def balance(df: DataFrame, key: str, label: str, per_class: int | None = None, bands: int = 256) -> DataFrame:
+def balance(df: DataFrame, key: str, label: str, per_class: int | None = None, bands: int = 4096) -> DataFrame:
     """Equal class sizes in portable-hash order: ``per_class`` each, or the smaller class's size.
 
     Ranks are taken inside hash bands and offset by the bands before, so a class that holds
@@ -152,7 +165,7 @@ def balance(df: DataFrame, key: str, label: str, per_class: int | None = None, b
     )
 
 
-def stratified_split(df: DataFrame, key: str, label: str, share: float = 0.8, bands: int = 256) -> DataFrame:
+def stratified_split(df: DataFrame, key: str, label: str, share: float = 0.8, bands: int = 4096) -> DataFrame:
     """Random split per class in portable-hash order. It mixes times; kept as an option only."""
     rows = df.withColumn("_h", portable_hash(F.col(key)))
     rows = rows.withColumn("_band", F.floor(F.col("_h") / F.lit(2147483648 // bands)))

@@ -15,10 +15,15 @@ def row_count(stream: DataFrame) -> DataFrame:
     return stream.agg((F.max("idx") + 1).alias("_n"))
 
 
-def position_split(stream: DataFrame, shares=SPLIT_70, keep_gaps: bool = False) -> DataFrame:
-    """Add ``split`` by position; gap rows are dropped (or kept with a null split)."""
+def position_split(
+    df: DataFrame, shares=SPLIT_70, keep_gaps: bool = False, by: str = "idx", rows: DataFrame | None = None
+) -> DataFrame:
+    """Add ``split`` by position; gap rows are dropped (or kept with a null split).
+
+    ``rows`` is the one-row length of the stream, for frames that are not the stream itself.
+    """
     train, gap, val = shares
-    n, i = F.col("_n"), F.col("idx")
+    n, i = F.col("_n"), F.col(by)
 
     def cut(share: float):
         return F.floor(n * F.lit(share)).cast("long")
@@ -28,7 +33,7 @@ def position_split(stream: DataFrame, shares=SPLIT_70, keep_gaps: bool = False)
         .when((i >= cut(train + gap)) & (i < cut(train + gap + val)), "val")
         .when(i >= cut(train + 2 * gap + val), "test")
     )
-    out = stream.crossJoin(F.broadcast(row_count(stream))).withColumn("split", split).drop("_n")
+    out = df.crossJoin(F.broadcast(row_count(df) if rows is None else rows)).withColumn("split", split).drop("_n")
     return out if keep_gaps else out.filter(F.col("split").isNotNull())
 
 

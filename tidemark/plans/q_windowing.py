@@ -218,7 +218,7 @@ def n1(spark, sf):
 
 def balanced(spark, sf):
     """Training windows of both classes: window_id, start_idx, event_sclk, label."""
-    return sampling.combine_windows(positives(spark, sf), negatives(spark, sf), chunk(spark, sf))
+    return sampling.training_windows(stream(spark, sf), catalogue(spark, sf), SIZE, chunk=chunk(spark, sf))
 
 
 @query(
