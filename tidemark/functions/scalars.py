@@ -48,3 +48,10 @@ def prior_corrected(p: Column, train_prior: float, deploy_prior: float) -> Colum
     c = F.least(F.greatest(p, F.lit(eps)), F.lit(1 - eps))
     odds = c / (1 - c) * ((deploy_prior / (1 - deploy_prior)) / (train_prior / (1 - train_prior)))
     return odds / (1 + odds)
+
+
+def safe_corr(a: Column, b: Column) -> Column:
+    """Pearson correlation over rows where both are present; null for a constant side."""
+    both = a.isNotNull() & b.isNotNull()
+    x, y = F.when(both, a.cast("double")), F.when(both, b.cast("double"))
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))

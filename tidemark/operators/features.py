@@ -79,7 +79,7 @@ def finish(base: DataFrame, variant: str, size: int) -> DataFrame:
         drop = span if variant == "C" else c("b_first") - c("b_min")
         rate = F.when(c("b_arg") > 0, drop / c("b_arg")).otherwise(0.0)
     position = c("b_arg") / F.lit(float(size if variant == "D" else size - 1))
-    global_z = (c("b_min") - c("g_mean")) / c("g_std")
+    global_z = F.try_divide(c("b_min") - c("g_mean"), c("g_std"))
     if variant in ("A", "C"):
         local_z = F.when(c("b_std") > 0, (c("b_min") - c("b_mean")) / c("b_std")).otherwise(0.0)
         zscore = F.when(c("g_std") > 0, global_z).otherwise(local_z)

@@ -193,7 +193,7 @@ def capacity(stream: DataFrame, positives: DataFrame, zones: DataFrame, size: in
     return n.crossJoin(f).crossJoin(p).select(
         "total_rows", "forbidden_rows", safe.alias("safe_rows"),
         F.floor(safe / size).cast("long").alias("window_capacity"), "positives",
-        (F.floor(safe / size) / F.col("positives")).alias("capacity_ratio"),
+        F.try_divide(F.floor(safe / size), F.col("positives")).alias("capacity_ratio"),
     )
 
 
@@ -229,10 +229,11 @@ def anchored_subwindows(
         F.max_by("_ls", "idx").alias("long_term_std"), F.first("_r0").alias("_r0"), F.first("_r1").alias("_r1"),
     ).filter(F.col("_n") == size)
     fall = F.col("_p0") - F.col("_p1")
+    fall_ratio = F.try_divide(fall, F.col("_p0"))
     zscore = F.when(F.col("_sd") > 0, fall / F.col("_sd")).otherwise(0.0)
     return subs.select(
         "vortex", "sub", "right_idx", F.col("right_idx").between(F.col("_r0"), F.col("_r1")).alias("ml_label"),
-        (-fall).alias("pressure_change"), (fall / F.col("_p0")).alias("drop_ratio"), zscore.alias("z_score"),
-        (fall / F.col("_p0") >= drop_ratio).alias("scheme1"), (zscore >= z).alias("scheme2"),
+        (-fall).alias("pressure_change"), fall_ratio.alias("drop_ratio"), zscore.alias("z_score"),
+        (fall_ratio >= drop_ratio).alias("scheme1"), (zscore >= z).alias("scheme2"),
         "long_term_mean", "long_term_std", (F.col("_m") - F.col("long_term_mean")).alias("trend"),
     )
