@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from itertools import combinations
+from math import isnan
 
 import pandas as pd
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.stat import Correlation
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.scalars import ratio, safe_corr
+from tidemark.functions.scalars import ratio
 from tidemark.operators.index import CHUNK, in_chunk, rolling
 from tidemark.operators.intervals import interval_join
 from tidemark.operators.runs import run_rows
@@ -151,11 +154,18 @@ def student_p(t: pd.Series, dof: pd.Series) -> pd.Series:
 
 
 def correlation_matrix(df: DataFrame, features: list[str]) -> DataFrame:
-    """Every pairwise Pearson correlation in one aggregation: ``f1, f2, r``."""
-    pairs = list(combinations(features, 2))
-    row = df.agg(*[safe_corr(F.col(a), F.col(b)).alias(f"c{i}") for i, (a, b) in enumerate(pairs)])
-    cells = [F.struct(F.lit(a).alias("f1"), F.lit(b).alias("f2"), F.col(f"c{i}").alias("r")) for i, (a, b) in enumerate(pairs)]
-    return row.select(F.inline(F.array(*cells)))
+    """Every pairwise Pearson correlation: ``f1, f2, r`` (null for a constant feature).
+
+    One pass that keeps a features × features Gram matrix per task; only that matrix comes back.
+    Rows with a null feature are left out.
+    """
+    vectors = VectorAssembler(inputCols=features, outputCol="_v", handleInvalid="skip").transform(df).select("_v")
+    r = Correlation.corr(vectors, "_v").head()[0].toArray()
+    rows = [
+        (a, b, None if isnan(r[i, j]) else float(r[i, j]))
+        for (i, a), (j, b) in combinations(enumerate(features), 2)
+    ]
+    return df.sparkSession.createDataFrame(rows, "f1 string, f2 string, r double")
 
 
 def agreement(df: DataFrame, a: Column, b: Column) -> DataFrame:

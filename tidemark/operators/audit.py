@@ -151,27 +151,39 @@ def missing_by_class(df: DataFrame, features: list[str], label: str = "y") -> Da
 
 
 def leakage_scan(df: DataFrame, features: list[str], label: str = "y", limit: float = 0.99) -> DataFrame:
-    """Findings: suspicious names, near-perfect label correlation, constants, equal columns."""
-    y = F.col(label).cast("double")
-    pairs = list(combinations(features, 2))
-    row = df.agg(
-        *[F.abs(safe_corr(F.col(f), y)).alias(f"_r_{i}") for i, f in enumerate(features)],
-        *[(F.min(f) == F.max(f)).alias(f"_k_{i}") for i, f in enumerate(features)],
-        # Equal within 1e-8 + 1e-10·|b| on every row.
-        *[
-            F.max(F.abs(F.col(a) - F.col(b)) - F.lit(1e-10) * F.abs(b)).alias(f"_d_{i}")
-            for i, (a, b) in enumerate(pairs)
-        ],
-    )
+    """Findings: suspicious names, near-perfect label correlation, constants, equal columns.
 
-    def find(cond: Column, kind: str, what: str, value: Column) -> Column:
-        return F.when(cond, F.struct(F.lit(kind).alias("kind"), F.lit(what).alias("subject"), value.cast("double").alias("value")))
-
-    names = [find(F.lit(True), "suspicious_name", f, F.lit(1.0)) for f in features if any(k in f.lower() for k in SUSPICIOUS)]
-    checks = names + [find(F.col(f"_r_{i}") > limit, "label_correlation", f, F.col(f"_r_{i}")) for i, f in enumerate(features)]
-    checks += [find(F.coalesce(F.col(f"_k_{i}"), F.lit(True)), "constant", f, F.lit(0.0)) for i, f in enumerate(features)]
-    checks += [find(F.col(f"_d_{i}") <= 1e-8, "equal_columns", f"{a}~{b}", F.lit(0.0)) for i, (a, b) in enumerate(pairs)]
-    return row.select(F.inline(F.array_compact(F.array(*checks))))
+    Two columns can only be equal on every row if their extremes agree, so the first pass (one
+    row per feature) leaves few pairs for the second.
+    """
+    v, y = F.col("value"), F.col(label).cast("double")
+    per = long_features(df, features, label).groupBy("feature").agg(
+        safe_corr(v, y).alias("r"), F.min(v).alias("lo"), F.max(v).alias("hi")
+    )
+    stats = {x["feature"]: x for x in per.collect()}
+    found = [("suspicious_name", f, 1.0) for f in features if any(k in f.lower() for k in SUSPICIOUS)]
+    for f in features:
+        s = stats[f]
+        if s["r"] is not None and abs(s["r"]) > limit:
+            found.append(("label_correlation", f, abs(s["r"])))
+        if s["lo"] is None or s["lo"] == s["hi"]:
+            found.append(("constant", f, 0.0))
+
+    def near(a, b) -> bool:
+        return a is not None and b is not None and abs(a - b) <= 1e-8 + 1e-10 * abs(b)
+
+    pairs = [
+        (a, b) for a, b in combinations(features, 2) if near(stats[a]["lo"], stats[b]["lo"]) and near(stats[a]["hi"], stats[b]["hi"])
+    ]
+    findings = df.sparkSession.createDataFrame(found, "kind string, subject string, value double")
+    if not pairs:
+        return findings
+    gaps = [F.max(F.abs(F.col(a) - F.col(b)) - F.lit(1e-10) * F.abs(b)).alias(f"_d_{i}") for i, (a, b) in enumerate(pairs)]
+    equal = [
+        F.when(F.col(f"_d_{i}") <= 1e-8, F.struct(F.lit("equal_columns").alias("kind"), F.lit(f"{a}~{b}").alias("subject"), F.lit(0.0).alias("value")))
+        for i, (a, b) in enumerate(pairs)
+    ]
+    return findings.unionByName(df.agg(*gaps).select(F.inline(F.array_compact(F.array(*equal)))))
 
 
 def training_quality(df: DataFrame, features: list[str], label: str = "y", small: int = 500) -> DataFrame:
