@@ -6,7 +6,7 @@ import importlib
 
 from tidemark.plans.base import ORACLES, QUERIES
 
-MODULES = ["positions", "features", "joins", "windowing", "metrics", "aggregates", "sources", "models"]
+MODULES = ["positions", "features", "joins", "windowing", "metrics", "aggregates", "sources", "models", "streaming"]
 
 
 def load():
