@@ -10,14 +10,24 @@ def array_sum(a: Column) -> Column:
     return F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
 
 
-def array_mean(a: Column) -> Column:
-    return array_sum(a) / F.size(a)
+def moments(a: Column) -> Column:
+    """Mean and population deviation in one fold, as a struct.
 
+    Sums are taken about the first element: exact for a flat window, and close to the data
+    whatever its level.
+    """
+    first, n = F.element_at(a, 1), F.size(a)
+    start = F.struct(F.lit(0.0).alias("s1"), F.lit(0.0).alias("s2"))
+
+    def add(s, x):
+        d = x - first
+        return F.struct((s["s1"] + d).alias("s1"), (s["s2"] + d * d).alias("s2"))
 
-def array_std(a: Column) -> Column:
-    """Population deviation, two passes so that a large mean costs no digits."""
-    m = array_mean(a)
-    return F.sqrt(F.aggregate(a, F.lit(0.0), lambda s, x: s + (x - m) * (x - m)) / F.size(a))
+    def finish(s):
+        m = s["s1"] / n
+        return F.struct((first + m).alias("mean"), F.sqrt(F.greatest(s["s2"] / n - m * m, F.lit(0.0))).alias("std"))
+
+    return F.aggregate(a, start, add, finish)
 
 
 def array_diff(a: Column) -> Column:
@@ -39,21 +49,22 @@ def array_gradient(a: Column) -> Column:
     return F.concat(F.array(first), inner, F.array(last))
 
 
-def peak_count(a: Column, height: Column) -> Column:
-    """Local maxima at or above ``height``; a flat top counts once, borders never count.
+def peak_count(a: Column, height: Column, valleys: bool = False) -> Column:
+    """Local maxima at or above ``height`` (or minima at or below it); borders never count.
 
-    The fold remembers the last value and whether the series was rising when it was reached.
+    A flat top counts once. The fold remembers the last value and whether the series was rising
+    (falling) when it was reached.
     """
-    start = F.struct(
-        F.element_at(a, 1).alias("v"), F.lit(False).alias("rising"), F.lit(0).cast("int").alias("n")
-    )
+    start = F.struct(F.element_at(a, 1).alias("v"), F.lit(False).alias("rising"), F.lit(0).cast("int").alias("n"))
 
     def fold(s, x):
-        top = (x < s["v"]) & s["rising"] & (s["v"] >= height)
+        up, down, beyond = (
+            (x < s["v"], x > s["v"], s["v"] <= height) if valleys else (x > s["v"], x < s["v"], s["v"] >= height)
+        )
         return F.struct(
             x.alias("v"),
-            F.when(x > s["v"], True).when(x < s["v"], False).otherwise(s["rising"]).alias("rising"),
-            (s["n"] + F.when(top, 1).otherwise(0)).cast("int").alias("n"),
+            (up | (s["rising"] & ~down)).alias("rising"),
+            (s["n"] + F.when(down & s["rising"] & beyond, 1).otherwise(0)).cast("int").alias("n"),
         )
 
     return F.aggregate(F.slice(a, 2, F.size(a) - 1), start, fold, lambda s: s["n"])

@@ -106,6 +106,62 @@ def rolling(
     return drop_halo(out.select("*", *[e.alias(n) for n, e in exprs.items()]))
 
 
+class Prefix:
+    """Wide trailing frames from running sums inside a chunk: constant work per row.
+
+    A bounded frame is re-read for every row, which for 500 samples means 500 updates each. Here
+    the sum of the last ``n`` values is the difference of two running sums. Values should be
+    centred (differences, or about a local value), since the variance is a difference too.
+    Call :meth:`prepare` on a frame with halo rows, then use the other methods on its result.
+    """
+
+    def __init__(self, column: str, squares: bool = False, by: str = "idx"):
+        self.column, self.squares, self.by = column, squares, by
+        self._s1, self._s2, self._n = f"_p1_{column}", f"_p2_{column}", f"_pn_{column}"
+
+    def prepare(self, df: DataFrame) -> DataFrame:
+        upto = in_chunk(self.by).rowsBetween(Window.unboundedPreceding, 0)
+        c = F.col(self.column)
+        out = [F.sum(c).over(upto).alias(self._s1), F.count(c).over(upto).alias(self._n)]
+        if self.squares:
+            out.append(F.sum(c * c).over(upto).alias(self._s2))
+        return df.select("*", *out)
+
+    def _last(self, name: str, n: int) -> Column:
+        return F.col(name) - F.coalesce(F.lag(name, n).over(in_chunk(self.by)), F.lit(0))
+
+    def mean(self, n: int) -> Column:
+        return F.try_divide(self._last(self._s1, n), self._last(self._n, n))
+
+    def std(self, n: int) -> Column:
+        """Population deviation of the last ``n`` values."""
+        k, m = self._last(self._n, n), self.mean(n)
+        return F.sqrt(F.greatest(F.try_divide(self._last(self._s2, n), k) - m * m, F.lit(0.0)))
+
+
+def extreme(fn, column: str, n: int, by: str = "idx", inner: int = 8) -> tuple[Column, Column]:
+    """Trailing minimum or maximum over ``n`` rows in two short steps.
+
+    Returns the expression for a helper column ``_x_<fn>_<column>`` (extreme of the last ``inner``
+    rows) and the expression that combines its lags; ``n`` must be at least ``inner``.
+    """
+    name = f"_x_{fn.__name__}_{column}"
+    pick = F.least if fn is F.min else F.greatest
+    lags = sorted({*range(0, n - inner, inner), n - inner})
+    w = in_chunk(by)
+    return fn(column).over(trailing(inner, by)).alias(name), pick(*[F.lag(name, k).over(w) if k else F.col(name) for k in lags])
+
+
+def rolling_mean(df: DataFrame, column: str, n: int, name: str, chunk: int = CHUNK, by: str = "idx") -> DataFrame:
+    """Mean of the last ``n`` rows (fewer at the start of the stream)."""
+    near = halo(df, n - 1, chunk=chunk, by=by)
+    first = F.first(column).over(in_chunk(by))
+    near = near.withColumn("_origin", first).withColumn("_d", F.col(column) - F.col("_origin"))
+    prefix = Prefix("_d", by=by)
+    out = prefix.prepare(near).select(*df.columns, "_own", "_chunk", (F.col("_origin") + prefix.mean(n)).alias(name))
+    return drop_halo(out)
+
+
 def running_sums(df: DataFrame, columns: dict[str, Column], chunk: int = CHUNK, by: str = "idx") -> DataFrame:
     """Inclusive running sums in ``by`` order over a frame keyed by dense position."""
     parts = df.select("*", chunk_of(by, chunk).alias("_chunk"), *[e.alias(f"_v_{n}") for n, e in columns.items()])

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import arrays
-from tidemark.operators.index import CHUNK, in_chunk, rolling, running_sums, trailing
+from tidemark.operators.index import CHUNK, Prefix, drop_halo, extreme, halo, in_chunk, rolling, running_sums
 from tidemark.operators.windows import savgol_weights, window_arrays
 
 DETRENDED = [
@@ -25,19 +25,27 @@ ARTEFACT = [
 
 
 def detrended_features(stream: DataFrame, size: int = 50, recent: int = 10, average: int = 500, chunk: int = CHUNK):
-    """Ten features of pressure minus its moving average, for every end row of a full window."""
-    from tidemark.operators.index import drop_halo, halo
+    """Ten features of pressure minus its moving average, for every end row of a full window.
 
-    d, dd = F.col("_d"), F.col("_dd")
-    # One halo serves the average and the frames on top of it, so the stream moves once.
+    One halo serves the average and the frames on top of it, so the stream moves once. Means and
+    deviations come from running sums and the mean step is the difference of the frame's ends.
+    """
     near = halo(stream.select("idx", "pressure"), average + size - 1, chunk=chunk)
-    near = near.withColumn("_d", F.col("pressure") - F.avg("pressure").over(trailing(average)))
-    near = near.withColumn("_dd", d - F.lag("_d", 1).over(in_chunk()))
-    w, wd, r, rd = trailing(size), trailing(size - 1), trailing(recent), trailing(recent - 1)
+    near = near.withColumn("_p", F.col("pressure") - F.first("pressure").over(in_chunk()))
+    level = Prefix("_p")
+    near = level.prepare(near).select("idx", "_own", "_chunk", (F.col("_p") - level.mean(average)).alias("_d"))
+    near = near.withColumn("_dd", F.col("_d") - F.lag("_d", 1).over(in_chunk()))
+    low, low_all = extreme(F.min, "_d", size)
+    high, high_all = extreme(F.max, "_d", size)
+    d, dd = Prefix("_d", squares=True), Prefix("_dd", squares=True)
+    near = dd.prepare(d.prepare(near)).select("*", low, high)
+
+    def step_mean(n: int):
+        return (F.col("_d") - F.lag("_d", n - 1).over(in_chunk())) / (n - 1)
+
     cols = [
-        F.avg(d).over(w), F.stddev_pop(d).over(w), F.min(d).over(w), F.max(d).over(w),
-        F.avg(dd).over(wd), F.stddev_pop(dd).over(wd),
-        F.avg(d).over(r), F.stddev_pop(d).over(r), F.avg(dd).over(rd), F.stddev_pop(dd).over(rd),
+        d.mean(size), d.std(size), low_all, high_all, step_mean(size), dd.std(size - 1),
+        d.mean(recent), d.std(recent), step_mean(recent), dd.std(recent - 1),
     ]
     out = near.select("idx", "_own", "_chunk", *[c.alias(n) for c, n in zip(cols, DETRENDED)])
     return drop_halo(out).filter(F.col("idx") >= size - 1)
@@ -45,18 +53,17 @@ def detrended_features(stream: DataFrame, size: int = 50, recent: int = 10, aver
 
 def shape_features(windows: DataFrame, samples: str = "samples") -> DataFrame:
     a = F.col(samples)
-    mean = arrays.array_mean(a)
-    g = arrays.array_gradient(a)
-    out = windows.withColumn("_m", mean).withColumn("_g", g)
-    neg = F.transform(a, lambda x: -x)
+    keep = [c for c in windows.columns if c != samples]
+    # Moments and gradient are columns of their own, so that each is evaluated once per window.
+    base = windows.select("*", arrays.moments(a).alias("_am"), arrays.array_gradient(a).alias("_g"))
+    base = base.select("*", arrays.moments(F.col("_g")).alias("_gm"))
+    mean = F.col("_am.mean")
     values = [
-        F.col("_m"), arrays.array_std(a), F.array_min(a), F.array_max(a), F.array_max(a) - F.array_min(a),
-        arrays.array_mean(F.col("_g")), arrays.array_std(F.col("_g")),
-        F.array_max(F.transform("_g", lambda x: F.abs(x))),
-        arrays.peak_count(a, F.col("_m")), arrays.peak_count(neg, -F.col("_m")),
+        mean, F.col("_am.std"), F.array_min(a), F.array_max(a), F.array_max(a) - F.array_min(a),
+        F.col("_gm.mean"), F.col("_gm.std"), F.greatest(F.array_max("_g"), -F.array_min("_g")),
+        arrays.peak_count(a, mean), arrays.peak_count(a, mean, valleys=True),
     ]
-    keep = [c for c in windows.columns if c != samples]
-    return out.select(*keep, *[v.alias(n) for v, n in zip(values, SHAPE)])
+    return base.select(*keep, *[v.alias(n) for v, n in zip(values, SHAPE)])
 
 
 def expanding_stats(stream: DataFrame, chunk: int = CHUNK) -> DataFrame:
@@ -81,12 +88,11 @@ def expanding_stats(stream: DataFrame, chunk: int = CHUNK) -> DataFrame:
 def artefact_windows(stream: DataFrame, size: int = 60, step: int = 50, chunk: int = CHUNK) -> DataFrame:
     """Trailing windows with exclusive ends ``size, size+step, …`` below the stream length."""
     n = stream.agg((F.max("idx") + 1).alias("_rows"))
-    due = ((F.col("idx") + 1 - size) % step == 0) & (F.col("idx") + 1 >= size)
-    arrs = window_arrays(stream.select("idx", "pressure"), size, due, chunk=chunk)
+    arrs = window_arrays(stream, size, step, chunk=chunk)
     return (
         arrs.crossJoin(F.broadcast(n))
-        .filter(F.col("idx") + 1 < F.col("_rows"))
-        .select((F.col("idx") + 1).alias("end_excl"), "samples")
+        .filter(F.col("end_idx") + 1 < F.col("_rows"))
+        .select((F.col("end_idx") + 1).alias("end_excl"), "samples")
     )
 
 
@@ -96,6 +102,7 @@ def artefact_features(windows: DataFrame, lookahead: int = 5) -> DataFrame:
     n = F.size(a)
     sharp, first = F.col("_sharp"), F.col("_first")
     w = windows.withColumn("_d", arrays.array_diff(a))
+    w = w.withColumn("_am", arrays.moments(a)).withColumn("_dm", arrays.moments(d))
     # 1-based positions of the steepest and of the first falling step.
     w = w.withColumn("_sharp", F.array_position(d, F.array_min(d)).cast("int")).withColumn(
         "_first", F.array_position(F.transform(d, lambda x: x < 0), F.lit(True)).cast("int")
@@ -112,9 +119,9 @@ def artefact_features(windows: DataFrame, lookahead: int = 5) -> DataFrame:
         last - at_sharp,
         F.when(rise > 0, rise - 1).otherwise(F.size(tail)),
         last - F.element_at(a, 1),
-        arrays.array_median(a) - arrays.array_mean(a),
-        arrays.array_std(a),
-        arrays.array_std(d) / (arrays.array_std(a) + 1e-8),
+        arrays.array_median(a) - F.col("_am.mean"),
+        F.col("_am.std"),
+        F.col("_dm.std") / (F.col("_am.std") + 1e-8),
     ]
     keep = [c for c in windows.columns if c != "samples"]
     return w.select(*keep, *[v.alias(name) for v, name in zip(values, ARTEFACT)])
@@ -172,21 +179,41 @@ def sequence_features(stream: DataFrame, chunk: int = CHUNK, size: int = 60, sho
     """Local detrend, second difference and rolling bias-corrected skew and kurtosis.
 
     The second difference is taken with the first value repeated twice in front of the stream.
+    Rolling moments are sums of powers about the current value, spelled out over ``short`` lags.
     """
-    p, w = F.col("pressure"), in_chunk()
-    back1 = F.coalesce(F.lag(p, 1).over(w), p)
-    back2 = F.coalesce(F.lag(p, 2).over(w), F.lag(p, 1).over(w), p)
-    n = F.count(p).over(trailing(short))
-    skew = F.nanvl(F.skewness(p).over(trailing(short)), F.lit(None))
-    kurt = F.nanvl(F.kurtosis(p).over(trailing(short)), F.lit(None))
-    return rolling(
-        stream,
-        {
-            "detrended": p - F.avg(p).over(trailing(size)),
-            "acceleration": p - 2 * back1 + back2,
-            "roll_skew": F.coalesce(corrected_skew(skew, n), F.lit(0.0)),
-            "roll_kurt": F.coalesce(corrected_kurtosis(kurt, n), F.lit(0.0)),
-        },
-        max(size, short) - 1,
-        chunk=chunk,
+    w = in_chunk()
+    near = halo(stream.select("idx", "pressure"), size - 1, chunk=chunk)
+    near = near.withColumn("_p", F.col("pressure") - F.first("pressure").over(w))
+    level = Prefix("_p")
+    lags = [F.lag("_p", k).over(w).alias(f"_l{k}") for k in range(1, short)]
+    near = level.prepare(near).select("*", *lags, level.mean(size).alias("_level"))
+    p = F.col("_p")
+    back1, back2 = F.coalesce("_l1", "_p"), F.coalesce("_l2", "_l1", "_p")
+    # The current value itself has distance 0 and adds nothing.
+    steps = F.array_compact(F.array(*[F.col(f"_l{k}") - p for k in range(1, short)]))
+    n = F.size("_steps") + 1
+    zero = F.struct(*[F.lit(0.0).alias(f"s{j}") for j in range(1, 5)])
+
+    def add(s, x):
+        x2 = x * x
+        return F.struct(
+            (s["s1"] + x).alias("s1"), (s["s2"] + x2).alias("s2"), (s["s3"] + x2 * x).alias("s3"), (s["s4"] + x2 * x2).alias("s4")
+        )
+
+    near = near.filter("_own").select(
+        "idx", (p - F.col("_level")).alias("detrended"), (p - 2 * back1 + back2).alias("acceleration"), steps.alias("_steps")
     )
+    near = near.select("*", n.alias("_n"), F.aggregate("_steps", zero, add).alias("_s"))
+    m = F.col("_s.s1") / F.col("_n")
+    r2, r3, r4 = (F.col(f"_s.s{j}") / F.col("_n") for j in (2, 3, 4))
+    m2 = r2 - m * m
+    m3 = r3 - 3 * m * r2 + 2 * m * m * m
+    m4 = r4 - 4 * m * r3 + 6 * m * m * r2 - 3 * m * m * m * m
+    # Variance this small is rounding of a flat frame.
+    flat = m2 <= 1e-14 * F.greatest(r2, F.lit(1e-300))
+    skew, kurt = F.when(~flat, m3 / F.pow(m2, 1.5)), F.when(~flat, m4 / (m2 * m2) - 3)
+    return near.select(
+        "idx", "detrended", "acceleration",
+        F.coalesce(corrected_skew(skew, F.col("_n")), F.lit(0.0)).alias("roll_skew"),
+        F.coalesce(corrected_kurtosis(kurt, F.col("_n")), F.lit(0.0)).alias("roll_kurt"),
+    )

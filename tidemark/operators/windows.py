@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from math import gcd
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators.index import CHUNK, centred, chunk_of, drop_halo, halo, in_chunk, renumber, rolling, trailing
+from tidemark.operators.index import CHUNK, centred, chunk_of, halo, in_chunk, renumber, rolling, trailing
 from tidemark.operators.intervals import interval_join
 
 TRUE, FALSE, OMIT = "True", "False", "Omit"
@@ -95,15 +97,27 @@ def tumbling(stream: DataFrame, size: int = 60) -> DataFrame:
     return stream.withColumn("window_id", chunk_of("idx", size)).withColumn("pos", F.col("idx") % size)
 
 
-def window_arrays(stream: DataFrame, size: int, ends: Column, value: str = "pressure", chunk: int = CHUNK) -> DataFrame:
-    """One row per selected end row, with the trailing window as ``ARRAY<DOUBLE>`` in order.
+def window_arrays(stream: DataFrame, size: int, step: int, value: str = "pressure", chunk: int = CHUNK) -> DataFrame:
+    """``end_idx`` and ``samples ARRAY`` of every full window ``[k*step, k*step+size-1]``.
 
-    Rows are gathered per window (never more than ``size`` values) inside chunks.
+    Samples are gathered once per pane of ``gcd(size, step)`` rows; a window is the concatenation
+    of its panes, so no sample is shuffled more than once and no array outgrows ``size``.
     """
-    samples = F.collect_list(value).over(trailing(size))
-    near = halo(stream, size - 1, chunk=chunk)
-    picked = near.select("*", F.when(ends & F.col("_own"), samples).alias("samples"))
-    return drop_halo(picked.filter(F.size("samples") == size))
+    width = gcd(size, step)
+    panes_in = size // width
+    panes = stream.groupBy(chunk_of("idx", width).alias("pane")).agg(
+        F.array_sort(F.collect_list(F.struct("idx", F.col(value).alias("v")))).alias("_rows")
+    )
+    panes = panes.select("pane", F.transform("_rows", lambda r: r["v"]).alias("_a"))
+    pane_chunk = max(panes_in, chunk // width)
+    near = halo(panes, 0, panes_in - 1, pane_chunk, by="pane")
+    w = in_chunk("pane")
+    # concat is null as soon as one pane is missing at the end of the stream.
+    joined = F.concat(*[F.lead("_a", k).over(w) if k else F.col("_a") for k in range(panes_in)])
+    out = near.select("pane", "_own", joined.alias("samples")).filter(
+        F.col("_own") & (F.col("pane") % (step // width) == 0) & (F.size("samples") == size)
+    )
+    return out.select((F.col("pane") * width + size - 1).alias("end_idx"), "samples")
 
 
 def pad_last(samples: Column, size: int) -> Column:

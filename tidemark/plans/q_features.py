@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import arrays
 from tidemark.operators import features as ft
 from tidemark.operators import legacy, splits, windows
-from tidemark.operators.index import in_chunk, rolling, trailing
+from tidemark.operators.index import rolling, rolling_mean
 from tidemark.operators.sampling import anchored_subwindows
 from tidemark.plans.base import (
     SIZE, STEP, big, catalogue, chunk, i8, q6, query, r6, raw_stream, sql, stream, wends,
@@ -166,9 +166,7 @@ dt AS (SELECT *, d - lag(d) OVER (ORDER BY idx) AS dd FROM (SELECT *, pressure -
 
 
 def ma500(spark, sf):
-    return rolling(
-        stream(spark, sf), {"ma500": F.avg("pressure").over(trailing(500))}, before=499, chunk=chunk(spark, sf)
-    )
+    return rolling_mean(stream(spark, sf).select("idx", "pressure"), "pressure", 500, "ma500", chunk(spark, sf))
 
 
 @query("f29_moving_average_500", sql(f"SELECT idx, {q6('ma500', 'ma500')} FROM ma", MA_SQL))
@@ -217,8 +215,8 @@ shp AS (SELECT window_id, avg(pressure) AS mean_pressure, stddev_pop(pressure) A
     ),
 )
 def f19(spark, sf):
-    near = windows.window_arrays(stream(spark, sf), SIZE, ends(SIZE, STEP), chunk=chunk(spark, sf))
-    out = legacy.shape_features(near.select(((F.col("idx") - (SIZE - 1)) / STEP).cast("long").alias("window_id"), "samples"))
+    near = windows.window_arrays(stream(spark, sf), SIZE, STEP, chunk=chunk(spark, sf))
+    out = legacy.shape_features(near.select(((F.col("end_idx") - (SIZE - 1)) / STEP).cast("long").alias("window_id"), "samples"))
     return out.select(
         "window_id",
         *[r6(c, c) for c in legacy.SHAPE if not c.endswith("_count")],
@@ -227,11 +225,6 @@ def f19(spark, sf):
     )
 
 
-def ends(size: int, step: int, first: int = 0):
-    e = F.col("idx") - (size - 1) - first
-    return (e >= 0) & (e % step == 0)
-
-
 SUB_SQL = """
 fx AS (SELECT vortex, centre, greatest(centre - 150, 0) AS lo FROM cat WHERE centre >= 2),
 fr AS (SELECT vortex, centre, lo, idx, idx - lo AS off, pressure, gt_detection_win FROM fx JOIN st ON idx BETWEEN lo AND centre - 1),

@@ -10,7 +10,6 @@ from tidemark.operators import metrics as m
 from tidemark.operators import ml, splits, windows
 from tidemark.plans.base import SIZE, STEP, big, chunk, i8, q6, query, r6, scored, sql, stream, stored, wends
 from tidemark.plans.q_aggregates import A, FEAT, PAIRS, labelled_windows, window_table
-from tidemark.plans.q_features import ends
 from tidemark.plans.q_metrics import rated
 from tidemark.session import materialise
 
@@ -102,8 +101,8 @@ def m8b(spark, sf):
 
 
 def gate_windows(spark, sf):
-    arrs = windows.window_arrays(stream(spark, sf).select("idx", "pressure"), SIZE, ends(SIZE, STEP), chunk=chunk(spark, sf))
-    w = arrs.select(((F.col("idx") - (SIZE - 1)) / STEP).cast("long").alias("window_id"), "samples")
+    arrs = windows.window_arrays(stream(spark, sf), SIZE, STEP, chunk=chunk(spark, sf))
+    w = arrs.select(((F.col("end_idx") - (SIZE - 1)) / STEP).cast("long").alias("window_id"), "samples")
     return w.join(window_table(spark, sf).select("window_id", "label", "y", "split"), "window_id")
 
 
