@@ -11,6 +11,7 @@ from pyspark.ml.stat import Correlation
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.attach import attach
 from tidemark.functions.scalars import ratio
 from tidemark.operators.index import CHUNK, in_chunk, rolling
 from tidemark.operators.intervals import interval_join
@@ -190,7 +191,7 @@ def by_sol(stream: DataFrame, flag: str, seconds: int = 86400) -> DataFrame:
     cover = stream.agg(
         (F.max("sol") - F.min("sol") + 1).alias("total_sols"), F.count(F.lit(1)).alias("_rows")
     ).withColumn("coverage", F.col("_rows") / (F.col("total_sols") * seconds))
-    return per.crossJoin(F.broadcast(cover.drop("_rows")))
+    return attach(per, cover.drop("_rows"))
 
 
 def run_lengths(runs: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.attach import attach
 from tidemark.functions.scalars import ratio, safe_corr
 from tidemark.operators.aggregates import correlation_matrix, long_features
 from tidemark.operators.index import CHUNK, in_chunk, rolling
@@ -34,13 +35,13 @@ def row_quality(stream: DataFrame, columns: list[str], chunk: int = CHUNK) -> Da
     """Nulls per column, pressure range, 3σ outliers, order violations and repeated clocks."""
     stats = stream.agg(F.avg("pressure").alias("_m"), F.stddev_samp("pressure").alias("_s"))
     far = F.abs(F.col("pressure") - F.col("_m")) > 3 * F.col("_s")
-    base = stream.crossJoin(F.broadcast(stats)).agg(
+    base = attach(stream, stats).agg(
         F.count(F.lit(1)).alias("total_rows"),
         *[F.sum(F.col(c).isNull().cast("long")).alias(f"{c}_nulls") for c in columns],
         F.min("pressure").alias("min_pressure"), F.max("pressure").alias("max_pressure"),
         F.sum(far.cast("long")).alias("outliers"),
     )
-    return base.crossJoin(order_violations(stream, ["sclk"], chunk=chunk)).crossJoin(repeated_clocks(stream, chunk))
+    return attach(base, order_violations(stream, ["sclk"], chunk=chunk), repeated_clocks(stream, chunk))
 
 
 def data_warnings(stream: DataFrame, columns: list[str], flag: str = "gt_detection_win", chunk: int = CHUNK) -> DataFrame:
@@ -52,7 +53,8 @@ def data_warnings(stream: DataFrame, columns: list[str], flag: str = "gt_detecti
         *inf,
         (F.max("pressure") - F.min("pressure")).alias("_range"),
         F.avg(F.col(flag).cast("double")).alias("_rate"),
-    ).crossJoin(repeated_clocks(stream, chunk))
+    )
+    row = attach(row, repeated_clocks(stream, chunk))
 
     def warn(cond: Column, kind: str, what: str, value: Column) -> Column:
         return F.when(cond, F.struct(F.lit(kind).alias("kind"), F.lit(what).alias("subject"), value.cast("double").alias("value")))
@@ -110,8 +112,7 @@ def window_integrity(windows: DataFrame, chunk: int = CHUNK) -> DataFrame:
     )
     falls = order_violations(windows, ["start_sclk", "end_sclk"], by="window_id", chunk=chunk)
     return (
-        out.crossJoin(ids.agg(F.sum(F.col("_c") - 1).alias("duplicate_ids")))
-        .crossJoin(falls)
+        attach(out, ids.agg(F.sum(F.col("_c") - 1).alias("duplicate_ids")), falls)
         .withColumn("chronology_violations", F.col("start_sclk_falls") + F.col("end_sclk_falls"))
         .drop("start_sclk_falls", "end_sclk_falls")
     )
@@ -196,7 +197,7 @@ def training_quality(df: DataFrame, features: list[str], label: str = "y", small
         *[F.abs(F.avg(F.when(y == 1, F.col(f))) - F.avg(F.when(y == 0, F.col(f)))).alias(f"_s_{f}") for f in features],
     )
     cells = F.array(*[F.struct(F.col(f"_s_{f}").alias("v"), F.lit(f).alias("f")) for f in features])
-    return row.crossJoin(F.broadcast(distinct)).select(
+    return attach(row, distinct).select(
         "n_rows", (F.col("n_rows") < small).alias("is_small"), (F.col("n_rows") - F.col("_distinct")).alias("duplicate_rows"),
         "flat_features", F.array_max(cells).getField("f").alias("widest_feature"),
         F.array_max(cells).getField("v").alias("widest_separation"),
@@ -228,7 +229,7 @@ def stats_consistency(split_rows: DataFrame, window_rows: DataFrame, window_feat
         aggs.append(wide.alias(f"{f}_differs"))
     z = F.col("m_min_zscore")
     feats = per.agg(*aggs, (F.max(z) - F.min(z)).alias("zscore_spread"))
-    row = spread(window_rows, "window").crossJoin(spread(split_rows, "split")).crossJoin(feats)
+    row = attach(spread(window_rows, "window"), spread(split_rows, "split"), feats)
     c = F.col
     reasons = F.array_compact(
         F.array(
@@ -245,7 +246,7 @@ def score_behaviour(train: DataFrame, train_auc: DataFrame, val_auc: DataFrame,
     pos = train.filter(F.col(label) == 1).agg(F.countDistinct(score).alias("distinct_positive_scores"))
     a = train_auc.select(F.col("roc_auc").alias("train_auc"))
     b = val_auc.select(F.col("roc_auc").alias("val_auc"))
-    out = pos.crossJoin(a).crossJoin(b)
+    out = attach(pos, a, b)
     return out.select(
         "*",
         (F.col("distinct_positive_scores") <= 3).alias("few_scores"),

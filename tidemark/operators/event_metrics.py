@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.attach import attach
 from tidemark.functions.scalars import ratio
 from tidemark.operators.index import CHUNK, exact_percentiles
 from tidemark.operators.intervals import interval_join, overlap_join
@@ -48,7 +49,7 @@ def latch_counts(stream: DataFrame, trigger: Column, outside_hit: Column, chunk:
         F.coalesce(F.sum(outside_hit.cast("long")), zero).alias("fp"),
         F.coalesce(F.sum((~outside_hit).cast("long")), zero).alias("tn"),
     )
-    return prf(inside.crossJoin(F.broadcast(outside)))
+    return prf(attach(inside, outside))
 
 
 def latch_on(stream: DataFrame, hit: Column, chunk: int = CHUNK) -> DataFrame:
@@ -70,7 +71,7 @@ def event_counts(stream: DataFrame, points: DataFrame, point: str = "idx", chunk
     hit = joined.filter(F.col("start_idx").isNotNull()).select("start_idx").distinct().agg(F.count(F.lit(1)).alias("tp"))
     false = joined.filter(F.col("start_idx").isNull()).agg(F.count(F.lit(1)).alias("fp"))
     total = events.agg(F.count(F.lit(1)).alias("events"))
-    out = hit.crossJoin(false).crossJoin(total)
+    out = attach(hit, false, total)
     return prf(out.withColumn("fn", F.col("events") - F.col("tp")))
 
 
@@ -87,7 +88,7 @@ def overlap_counts(
     used = pairs.select("p_id").distinct().agg(F.count(F.lit(1)).alias("_used"))
     n_true = true.agg(F.count(F.lit(1)).alias("events"))
     n_pred = pred.agg(F.count(F.lit(1)).alias("_pred"))
-    out = hit.crossJoin(used).crossJoin(n_true).crossJoin(n_pred)
+    out = attach(hit, used, n_true, n_pred)
     return prf(
         out.select("tp", (F.col("_pred") - F.col("_used")).alias("fp"), (F.col("events") - F.col("tp")).alias("fn"), "events")
     )
@@ -105,7 +106,7 @@ def lead_times(stream: DataFrame, hit: Column, chunk: int = CHUNK) -> DataFrame:
         F.coalesce(F.stddev_pop("lead"), F.lit(0.0)).alias("std_lead"),
     )
     median = exact_percentiles(t, "lead", [0.5]).agg(F.coalesce(F.max("lead"), F.lit(0.0)).alias("median_lead"))
-    return stats.crossJoin(F.broadcast(median))
+    return attach(stats, median)
 
 
 def group_validation(rows: DataFrame, group: str, label: Column, hit: Column) -> DataFrame:

@@ -16,6 +16,7 @@ from math import gcd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.attach import attach
 from tidemark.operators.index import CHUNK, chunk_of, halo, in_chunk, rolling
 
 FEATURES = [
@@ -37,8 +38,8 @@ def global_stats(rows: DataFrame, column: str = "pressure") -> DataFrame:
 
 
 def with_stats(df: DataFrame, stats: DataFrame) -> DataFrame:
-    """Attach a one-row aggregate; the broadcast side is a single row by construction."""
-    return df.crossJoin(F.broadcast(stats))
+    """Attach the one row of :func:`global_stats`."""
+    return attach(df, stats)
 
 
 def short_slope(value: Column, window) -> Column:

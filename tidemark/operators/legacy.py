@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.attach import attach
 from tidemark.functions import arrays
 from tidemark.operators.index import CHUNK, Prefix, drop_halo, extreme, halo, in_chunk, rolling, running_sums
 from tidemark.operators.windows import savgol_weights, window_arrays
@@ -74,7 +75,7 @@ def expanding_stats(stream: DataFrame, chunk: int = CHUNK) -> DataFrame:
     centre = stream.agg(F.avg("pressure").alias("_c"))
     d = F.col("pressure") - F.col("_c")
     s = running_sums(
-        stream.crossJoin(F.broadcast(centre)), {"_n": F.lit(1), "_s1": d, "_s2": d * d}, chunk=chunk
+        attach(stream, centre), {"_n": F.lit(1), "_s1": d, "_s2": d * d}, chunk=chunk
     )
     n = F.col("_n")
     var = (F.col("_s2") - F.col("_s1") * F.col("_s1") / n) / (n - 1)
@@ -90,7 +91,7 @@ def artefact_windows(stream: DataFrame, size: int = 60, step: int = 50, chunk: i
     n = stream.agg((F.max("idx") + 1).alias("_rows"))
     arrs = window_arrays(stream, size, step, chunk=chunk)
     return (
-        arrs.crossJoin(F.broadcast(n))
+        attach(arrs, n)
         .filter(F.col("end_idx") + 1 < F.col("_rows"))
         .select((F.col("end_idx") + 1).alias("end_excl"), "samples")
     )

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.attach import attach
 from tidemark.functions.scalars import ratio
 from tidemark.operators.index import CHUNK, rolling, running_sums_by, trailing
 
@@ -73,7 +74,7 @@ def score_curve(df: DataFrame, score: str = "p", label: str = "y") -> DataFrame:
     counts = df.groupBy((-F.col(score)).alias("_neg")).agg(F.sum(pos).alias("pos"), F.sum(1 - pos).alias("neg"))
     cum = running_sums_by(counts, ["_neg"], {"tp": F.col("pos"), "fp": F.col("neg")})
     totals = counts.agg(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
-    return cum.withColumn("threshold", -F.col("_neg")).drop("_neg").crossJoin(F.broadcast(totals))
+    return attach(cum.withColumn("threshold", -F.col("_neg")).drop("_neg"), totals)
 
 
 def roc_points(curve: DataFrame) -> DataFrame:
@@ -162,21 +163,17 @@ def sweep_table(df: DataFrame, thresholds: DataFrame, score: str = "p", label: s
     grid = thresholds.agg(F.array_sort(F.collect_set("threshold")).alias("_grid"))
     pos = (F.col(label) == 1).cast("long")
     reached = F.size(F.filter("_grid", lambda t: t <= F.col(score)))
-    cells = (
-        df.crossJoin(F.broadcast(grid))
-        .groupBy(reached.alias("_cell"))
-        .agg(F.sum(pos).alias("_pos"), F.sum(1 - pos).alias("_neg"))
-    )
-    grid_rows = grid.select(F.posexplode("_grid").alias("_i", "threshold"))
-    on = F.col("_cell") > F.col("_i")
-    # Two tables of grid size.
-    reachedby = grid_rows.join(F.broadcast(cells), on, "left").groupBy("threshold").agg(
-        F.coalesce(F.sum("_pos"), F.lit(0)).alias("tp"), F.coalesce(F.sum("_neg"), F.lit(0)).alias("fp")
-    )
-    totals = cells.agg(F.sum("_pos").alias("_np"), F.sum("_neg").alias("_nn"))
-    return reachedby.crossJoin(F.broadcast(totals)).select(
-        "threshold", "tp", "fp", (F.col("_nn") - F.col("fp")).alias("tn"), (F.col("_np") - F.col("tp")).alias("fn")
+    cells = attach(df, grid).groupBy(reached.alias("_cell")).agg(F.sum(pos).alias("_pos"), F.sum(1 - pos).alias("_neg"))
+    counts = cells.agg(
+        F.collect_list(F.struct("_cell", "_pos", "_neg")).alias("_cells"), F.sum("_pos").alias("_np"), F.sum("_neg").alias("_nn")
     )
+    out = attach(grid.select(F.posexplode("_grid").alias("i", "threshold")), counts)
+
+    def above(field: str) -> Column:
+        return F.aggregate("_cells", F.lit(0).cast("long"), lambda s, x: s + F.when(x["_cell"] > F.col("i"), x[field]).otherwise(0))
+
+    out = out.select("threshold", above("_pos").alias("tp"), above("_neg").alias("fp"), "_np", "_nn")
+    return out.select("threshold", "tp", "fp", (F.col("_nn") - F.col("fp")).alias("tn"), (F.col("_np") - F.col("tp")).alias("fn"))
 
 
 def best(df: DataFrame, metric: Column, tie: Column, n: int = 1) -> DataFrame:
@@ -199,7 +196,7 @@ def histogram(df: DataFrame, value: str, bins: int, by: list[str] | None = None)
     width = (F.col("_hi") - F.col("_lo")) / bins
     cell = F.when(width > 0, F.least(F.floor((v - F.col("_lo")) / width), F.lit(bins - 1))).otherwise(0).cast("long")
     counts = (
-        df.crossJoin(F.broadcast(span))
+        attach(df, span)
         .groupBy(*by, cell.alias("bin"))
         .agg(F.count(F.lit(1)).alias("n"), (F.first("_lo") + F.first(width) * F.first(cell)).alias("left_edge"))
     )

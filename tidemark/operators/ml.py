@@ -16,6 +16,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.attach import attach
 from tidemark.operators.index import CHUNK, exact_percentiles, renumber
 from tidemark.operators.metrics import confusion, with_rates
 from tidemark.session import materialise
@@ -71,7 +72,7 @@ def fit_boosted(train: DataFrame, val: DataFrame, features: list[str], **kw) ->
     counts = train.agg(F.sum(F.col("y")).alias("_p"), F.count(F.lit(1)).alias("_n"))
     both = train.withColumn("is_val", F.lit(False)).unionByName(val.withColumn("is_val", F.lit(True)))
     ratio = F.when(F.col("y") == 1, F.try_divide(F.col("_n") - F.col("_p"), F.col("_p"))).otherwise(1.0)
-    weighted = both.crossJoin(F.broadcast(counts)).withColumn("weight", F.coalesce(ratio, F.lit(1.0))).drop("_p", "_n")
+    weighted = attach(both, counts).withColumn("weight", F.coalesce(ratio, F.lit(1.0))).drop("_p", "_n")
     return boosted(features, **kw).fit(weighted)
 
 
@@ -93,7 +94,7 @@ def grid_search(train: DataFrame, val: DataFrame, features: list[str], grid: lis
 def time_folds(df: DataFrame, rows: DataFrame, folds: int = 5, by: str = "end_idx") -> DataFrame:
     """Cut time in ``folds + 1`` equal parts; ``fold`` k trains on parts < k and tests on part k."""
     part = F.floor(F.col(by) * (folds + 1) / F.col("_n")).cast("int")
-    return df.crossJoin(F.broadcast(rows)).withColumn("fold", part).drop("_n")
+    return attach(df, rows).withColumn("fold", part).drop("_n")
 
 
 def forward_chain(folded: DataFrame, features: list[str], folds: int = 5, threshold: float = 0.5, **kw) -> DataFrame:
@@ -214,10 +215,10 @@ def keep_top(df: DataFrame, score_col: str, label: str = "y", percent: float = 5
     q = (100 - percent) / 100
     overall = exact_percentiles(df, score_col, [q]).select(F.col(score_col).alias("_all"))
     if not per_class:
-        return df.crossJoin(F.broadcast(overall)).filter(F.col(score_col) >= F.col("_all")).drop("_all")
+        return attach(df, overall).filter(F.col(score_col) >= F.col("_all")).drop("_all")
     per = exact_percentiles(df, score_col, [q], by=label).select(label, F.col(score_col).alias("_t"))
     classes = per.agg(F.count(F.lit(1)).alias("_k"))
-    joined = df.join(F.broadcast(per), label, "left").crossJoin(F.broadcast(overall)).crossJoin(F.broadcast(classes))
+    joined = attach(df.join(F.broadcast(per), label, "left"), overall, classes)
     cut = F.when(F.col("_k") >= 2, F.col("_t")).otherwise(F.col("_all"))
     return joined.filter(F.col(score_col) >= cut).select(*df.columns)
 
@@ -235,7 +236,7 @@ def anomaly_threshold(normal: DataFrame, score_col: str, q: float = 0.95) -> Dat
 
 
 def flag_anomalies(df: DataFrame, threshold: DataFrame, score_col: str) -> DataFrame:
-    return df.crossJoin(F.broadcast(threshold)).withColumn("anomaly", F.col(score_col) > F.col("threshold")).drop("threshold")
+    return attach(df, threshold).withColumn("anomaly", F.col(score_col) > F.col("threshold")).drop("threshold")
 
 
 def two_stage(df: DataFrame, gate: Column, second: Column) -> DataFrame:
@@ -270,5 +271,5 @@ def standardise(train: DataFrame, df: DataFrame, columns: list[str]) -> DataFram
     scaled = {
         c: F.when(F.col(f"_s_{c}") > 0, (F.col(c) - F.col(f"_m_{c}")) / F.col(f"_s_{c}")).otherwise(F.lit(0.0)) for c in columns
     }
-    out = df.crossJoin(F.broadcast(stats)).withColumns(scaled)
+    out = attach(df, stats).withColumns(scaled)
     return out.select(*df.columns)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.attach import attach
 from tidemark.functions.scalars import portable_hash
 from tidemark.operators.index import CHUNK, chunk_of, renumber
 from tidemark.operators.intervals import BIN, interval_join, neighbourhood, over_bins
@@ -24,14 +25,13 @@ def positive_starts(
     det = runs(stream, F.col("gt_detection_win"), chunk).select("start_idx")
     if mode == "first_in_split":
         first = det.agg(F.min("start_idx").alias("_run"))
-        found = catalogue.crossJoin(F.broadcast(first)).filter(F.col("_run") <= F.col("centre"))
+        found = attach(catalogue, first).filter(F.col("_run") <= F.col("centre"))
     else:
         found = newest_at_or_before(catalogue, det, "centre", "start_idx", chunk).withColumnRenamed("start_idx", "_run")
         found = found.filter(F.col("_run").isNotNull())
     origin = stream.agg(F.min("idx").alias("_origin"))
     return (
-        found.withColumn("start_idx", F.col("_run") - size)
-        .crossJoin(F.broadcast(origin))
+        attach(found.withColumn("start_idx", F.col("_run") - size), origin)
         .filter(F.col("start_idx") >= F.col("_origin"))
         .drop("_run", "_origin")
     )
@@ -81,7 +81,7 @@ def free_starts(stream: DataFrame, zones: DataFrame, size: int = 60) -> DataFram
     blocked = zones.select((F.col("lo") - (size - 1)).alias("lo"), "hi").withColumn(
         "lo", F.greatest("lo", F.lit(0).cast("long"))
     )
-    starts = stream.select(F.col("idx").alias("start_idx")).crossJoin(F.broadcast(last)).filter("start_idx <= _last")
+    starts = attach(stream.select(F.col("idx").alias("start_idx")), last).filter("start_idx <= _last")
     spread = over_bins(blocked, "lo", "hi").withColumnRenamed("_bin", "_rbin")
     left = starts.withColumn("_bin", chunk_of("start_idx", BIN))
     on = (F.col("_bin") == F.col("_rbin")) & F.col("start_idx").between(F.col("lo"), F.col("hi"))
@@ -113,7 +113,7 @@ def sample_by_hash(df: DataFrame, key: str, count: int | Column) -> DataFrame:
 def negative_starts(starts: DataFrame, positives: DataFrame, ratio: float = 1.0) -> DataFrame:
     """``int(positives × ratio)`` window starts without replacement (fewer if there are fewer)."""
     want = positives.agg(F.floor(F.count(F.lit(1)) * ratio).alias("_k"))
-    return sample_by_hash(starts.crossJoin(F.broadcast(want)), "start_idx", F.col("_k")).drop("_k")
+    return sample_by_hash(attach(starts, want), "start_idx", F.col("_k")).drop("_k")
 
 
 def training_windows(
@@ -152,7 +152,7 @@ def balance(df: DataFrame, key: str, label: str, per_class: int | None = None, b
         label, "_band", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_before"), F.sum("_c").over(whole).alias("_size")
     )
     least = sizes.agg(F.min("_size").alias("_least"))
-    sizes = sizes.crossJoin(F.broadcast(least))
+    sizes = attach(sizes, least)
     want = F.col("_least") if per_class is None else F.least(F.col("_least"), F.lit(per_class))
     rank = F.row_number().over(Window.partitionBy(label, "_band").orderBy("_h", key))
     # classes × bands rows.
@@ -190,7 +190,7 @@ def capacity(stream: DataFrame, positives: DataFrame, zones: DataFrame, size: in
     f = hit.agg(F.count(F.lit(1)).alias("forbidden_rows"))
     p = positives.agg(F.count(F.lit(1)).alias("positives"))
     safe = F.col("total_rows") - F.col("forbidden_rows")
-    return n.crossJoin(f).crossJoin(p).select(
+    return attach(n, f, p).select(
         "total_rows", "forbidden_rows", safe.alias("safe_rows"),
         F.floor(safe / size).cast("long").alias("window_capacity"), "positives",
         F.try_divide(F.floor(safe / size), F.col("positives")).alias("capacity_ratio"),

@@ -7,6 +7,7 @@ from itertools import combinations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.attach import attach
 from tidemark.functions.scalars import ratio
 
 
@@ -53,10 +54,10 @@ def compare_datasets(a: DataFrame, b: DataFrame, flag: str = "gt_detection_win",
             F.stddev_samp("pressure").alias("std_pressure"),
         )
 
-    left = one(a).alias("l")
-    right = one(b).alias("r")
-    cells = [F.struct(F.lit(n).alias("metric"), F.col(f"l.{n}").alias("left_value"), F.col(f"r.{n}").alias("right_value")) for n in names]
-    base = left.crossJoin(F.broadcast(right)).select(F.inline(F.array(*cells)))
+    right = one(b)
+    right = right.select([F.col(n).alias(f"_r_{n}") for n in names])
+    cells = [F.struct(F.lit(n).alias("metric"), F.col(n).alias("left_value"), F.col(f"_r_{n}").alias("right_value")) for n in names]
+    base = attach(one(a), right).select(F.inline(F.array(*cells)))
     left_clocks = a.select(clock).distinct().withColumn("_l", F.lit(1))
     right_clocks = b.select(clock).distinct().withColumn("_r", F.lit(1))
     both = left_clocks.join(right_clocks, clock, "full").agg(

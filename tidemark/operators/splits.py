@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.attach import attach, few
+
 # train, gap, validation shares: the two configurations in use.
 SPLIT_70 = (0.70, 0.035, 0.15)
 SPLIT_60 = (0.60, 0.005, 0.15)
@@ -33,7 +35,7 @@ def position_split(
         .when((i >= cut(train + gap)) & (i < cut(train + gap + val)), "val")
         .when(i >= cut(train + 2 * gap + val), "test")
     )
-    out = df.crossJoin(F.broadcast(row_count(df) if rows is None else rows)).withColumn("split", split).drop("_n")
+    out = attach(df, row_count(df) if rows is None else rows).withColumn("split", split).drop("_n")
     return out if keep_gaps else out.filter(F.col("split").isNotNull())
 
 
@@ -66,7 +68,8 @@ def events_by_split(events: DataFrame, split_stream: DataFrame, open_ends: bool
             F.when(F.col("split") == "train", floor).otherwise(F.col("_lo")).alias("_lo"),
             F.when(F.col("split") == "test", ceiling).otherwise(F.col("_hi")).alias("_hi"),
         )
-    return events.join(F.broadcast(b), F.col("sclk").between(F.col("_lo"), F.col("_hi"))).drop("_lo", "_hi")
+    holds = F.filter("_few", lambda s: F.col("sclk").between(s["_lo"], s["_hi"]))
+    return attach(events, few(b)).withColumn("_few", holds).select(*events.columns, F.inline("_few")).drop("_lo", "_hi")
 
 
 def isolation_report(split_stream: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.attach import attach
 from tidemark.functions.scalars import ratio
 from tidemark.operators.metrics import best, confusion, linspace, sweep, with_rates
 
@@ -54,7 +55,7 @@ def high_precision(pr: DataFrame, target: float = 0.9, compat: bool = False) ->
         return f1_optimal(pr)
     top = pr.agg(F.max("precision").alias("_top"))
     need = F.when(F.col("_top") >= target, F.lit(target)).otherwise(F.col("_top") * 0.95)
-    ok = pr.crossJoin(F.broadcast(top)).filter(F.col("precision") >= need).drop("_top")
+    ok = attach(pr, top).filter(F.col("precision") >= need).drop("_top")
     return best(ok, F.col("recall"), F.col("threshold"))
 
 
@@ -64,7 +65,7 @@ def high_recall(pr: DataFrame, target: float = 0.9, compat: bool = False) -> Dat
         return f1_optimal(pr)
     top = pr.agg(F.max("recall").alias("_top"))
     need = F.when(F.col("_top") >= target, F.lit(target)).otherwise(F.col("_top") * 0.95)
-    ok = pr.crossJoin(F.broadcast(top)).filter(F.col("recall") >= need).drop("_top")
+    ok = attach(pr, top).filter(F.col("recall") >= need).drop("_top")
     return best(ok, F.col("precision"), F.col("threshold"))
 
 
@@ -135,9 +136,9 @@ def mission_rates(counts: DataFrame) -> DataFrame:
 def compare(baseline: DataFrame, new: DataFrame, metrics: list[str]) -> DataFrame:
     """Metric by metric: change, percent and verdict of two one-row results."""
     pairs = F.array(*[
-        F.struct(F.lit(m).alias("metric"), F.col(f"b.{m}").alias("baseline"), F.col(f"n.{m}").alias("new")) for m in metrics
+        F.struct(F.lit(m).alias("metric"), F.col(m).alias("baseline"), F.col(f"_new_{m}").alias("new")) for m in metrics
     ])
-    both = baseline.alias("b").crossJoin(F.broadcast(new).alias("n")).select(F.inline(pairs))
+    both = attach(baseline, new.select([F.col(m).alias(f"_new_{m}") for m in metrics])).select(F.inline(pairs))
     change = F.col("new") - F.col("baseline")
     return both.select(
         "*",
@@ -157,10 +158,10 @@ def winners(rows: DataFrame, metrics: list[str]) -> DataFrame:
 
 
 def nearest_threshold(left: DataFrame, right: DataFrame, tolerance: float = 0.01) -> DataFrame:
-    """First row of ``right`` within ``tolerance`` of the threshold of ``left``. Both are grid-sized."""
+    """First row of ``right`` within ``tolerance`` of the threshold of ``left``, which has one row."""
     r = right.select([F.col(c).alias(f"other_{c}") for c in right.columns])
-    on = F.abs(F.col("other_threshold") - F.col("threshold")) < tolerance
-    return left.join(F.broadcast(r), on).orderBy("other_threshold").limit(1)
+    near = F.abs(F.col("other_threshold") - F.col("threshold")) < tolerance
+    return attach(r, left).filter(near).orderBy("other_threshold").limit(1)
 
 
 def frozen_test(scores: DataFrame, tuned: DataFrame, by: str = "model") -> DataFrame:

@@ -7,6 +7,7 @@ from math import gcd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.attach import attach
 from tidemark.operators.index import CHUNK, centred, chunk_of, halo, in_chunk, renumber, rolling, trailing
 from tidemark.operators.intervals import interval_join
 
@@ -39,9 +40,7 @@ def explode_windows(stream: DataFrame, size: int, step: int, first: int = 0) ->
     ids = F.sequence(lowest, F.floor(i / step).cast("long"))
     last = stream.agg((F.floor((F.max("idx") - first + 1 - size) / step)).cast("long").alias("_last"))
     return (
-        stream.filter(i >= 0)
-        .select("*", F.explode(ids).alias("window_id"))
-        .crossJoin(F.broadcast(last))
+        attach(stream.filter(i >= 0).select("*", F.explode(ids).alias("window_id")), last)
         .filter(F.col("window_id") <= F.col("_last"))
         .drop("_last")
         .withColumn("pos", F.col("idx") - first - F.col("window_id") * step)
@@ -136,7 +135,7 @@ def context_windows(stream: DataFrame, anchors: DataFrame, before: int, after: i
     """Rows of ``[anchor-before, anchor+after)`` for anchors whose whole context exists."""
     last = stream.agg(F.max("idx").alias("_last"))
     whole = (
-        anchors.crossJoin(F.broadcast(last))
+        attach(anchors, last)
         .filter((F.col("anchor") >= before) & (F.col("anchor") + after - 1 <= F.col("_last")))
         .select("*", (F.col("anchor") - before).alias("_lo"), (F.col("anchor") + after - 1).alias("_hi"))
         .drop("_last")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.attach import attach, fan_out
 from tidemark.functions.scalars import prior_corrected
 from tidemark.operators import event_metrics as em
 from tidemark.operators import metrics as m
@@ -186,7 +187,7 @@ def t6c(spark, sf):
     """Scores strictly above their own percentiles."""
     s = scored(spark, sf)
     ts = exact_percentiles(s, "p", PCTS).select("q", F.col("p").alias("t"))
-    joined = s.crossJoin(F.broadcast(ts))  # one row per percentile
+    joined = fan_out(s, ts)  # one row per percentile
     out = m.confusion(joined, F.col("p") > F.col("t"), by=["q", "t"])
     return out.select("q", r6("t", "threshold"), *[big(c, c) for c in COUNTS])
 
@@ -321,7 +322,7 @@ def named_thresholds(spark, sf):
         th.cost_optimal(m.sweep(s, th.COST_GRID)).select(F.lit(2).alias("rank"), F.lit("cost_optimal").alias("name"), "threshold"),
     ]
     named = pick[0].unionByName(pick[1]).unionByName(pick[2])
-    joined = s.crossJoin(F.broadcast(named))  # three rows
+    joined = fan_out(s, named)  # three rows
     out = m.with_rates(m.confusion(joined, F.col("p") >= F.col("threshold"), by=["rank", "name", "threshold"]))
     n = F.col("tp") + F.col("fp") + F.col("tn") + F.col("fn")
     return out.withColumn("fp_per_hour", th.fp_per_hour(F.col("fp"), n))
@@ -358,10 +359,10 @@ def t15(spark, sf):
     s = stream(spark, sf).select("idx", "sclk")
     w = wends(spark, sf)
     first = w.agg(F.min("start_idx").alias("idx"))
-    start = s.join(F.broadcast(first), "idx").select(F.col("sclk").alias("t0"))
-    period = w.agg(F.max("sclk").alias("t1")).crossJoin(F.broadcast(start))
+    start = attach(s, first.withColumnRenamed("idx", "_first")).filter(F.col("idx") == F.col("_first")).agg(F.min("sclk").alias("t0"))
+    last = w.agg(F.max("sclk").alias("t1"))
     n = F.col("tp") + F.col("fp") + F.col("tn") + F.col("fn")
-    return c.crossJoin(F.broadcast(period)).select(
+    return attach(c, start, last).select(
         r6(th.fp_per_hour(F.col("fp"), n), "assumed"), r6(F.col("fp") / ((F.col("t1") - F.col("t0")) / 3600.0), "observed")
     )
 
@@ -697,7 +698,7 @@ def k5(spark, sf):
     )
     other = F.when(F.col("y") == 1, F.col("nn")).otherwise(F.col("np"))
     return (
-        both.crossJoin(F.broadcast(have))
+        attach(both, have)
         .filter((F.col("rn") <= n // 2) | (F.col("rn") <= n - other))
         .select("window_id", "y")
     )

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidemark.operators.attach import attach
 from tidemark.functions.scalars import as_flag, strict_label
 from tidemark.operators import splits
 from tidemark.operators.intervals import neighbourhood
@@ -122,11 +123,12 @@ def x11(spark, sf):
 def x12(spark, sf):
     s = stream(spark, sf)
     pairs = s.select("channel", "event_type").distinct().agg(F.count(F.lit(1)).alias("pairs"))
-    return s.agg(
+    counts = s.agg(
         F.countDistinct("channel").alias("channels"),
         F.countDistinct("sol").alias("sols"),
         F.countDistinct("sclk").alias("clocks"),
-    ).crossJoin(F.broadcast(pairs))
+    )
+    return attach(counts, pairs)
 
 
 @query("x13_ids", sql("SELECT window_id, 'test_fixed_' || lpad(CAST(window_id AS VARCHAR), 6, '0') AS fixed_id FROM wend"))
