@@ -16,7 +16,8 @@ from tidemark.operators.intervals import interval_join, overlap_join
 from tidemark.operators.metrics import confusion, sweep, with_rates
 from tidemark.operators.runs import run_rows, runs
 
-EVENT = F.col("gt_fwhm") | F.col("gt_detection_win")
+def in_event() -> Column:
+    return F.col("gt_fwhm") | F.col("gt_detection_win")
 
 
 def prf(df: DataFrame) -> DataFrame:
@@ -31,7 +32,7 @@ def prf(df: DataFrame) -> DataFrame:
 
 def event_triggers(stream: DataFrame, trigger: Column, chunk: int = CHUNK) -> DataFrame:
     """Events with bounds and the first row that satisfies ``trigger`` (null if none)."""
-    rows = run_rows(stream, EVENT, chunk)
+    rows = run_rows(stream, in_event(), chunk)
     return rows.groupBy(F.col("run_start").alias("start_idx")).agg(
         F.max("idx").alias("end_idx"), F.min(F.when(trigger, F.col("idx"))).alias("trigger_idx")
     )
@@ -45,7 +46,7 @@ def latch_counts(stream: DataFrame, trigger: Column, outside_hit: Column, chunk:
     inside = event_triggers(stream, trigger, chunk).agg(
         F.coalesce(F.sum(after), zero).alias("tp"), F.coalesce(F.sum(length - after), zero).alias("fn")
     )
-    outside = stream.filter(~EVENT).agg(
+    outside = stream.filter(~in_event()).agg(
         F.coalesce(F.sum(outside_hit.cast("long")), zero).alias("fp"),
         F.coalesce(F.sum((~outside_hit).cast("long")), zero).alias("tn"),
     )
@@ -66,7 +67,7 @@ def triggered_points(stream: DataFrame, predictions: DataFrame, size: int = 60,
 
 def event_counts(stream: DataFrame, points: DataFrame, point: str = "idx", chunk: int = CHUNK) -> DataFrame:
     """Events hit by any positive point; each positive point outside every event is one false alarm."""
-    events = runs(stream, EVENT, chunk)
+    events = runs(stream, in_event(), chunk)
     joined = interval_join(points.select(F.col(point).alias("_p")), events, "_p", "start_idx", "end_idx", "left")
     hit = joined.filter(F.col("start_idx").isNotNull()).select("start_idx").distinct().agg(F.count(F.lit(1)).alias("tp"))
     false = joined.filter(F.col("start_idx").isNull()).agg(F.count(F.lit(1)).alias("fp"))
@@ -79,7 +80,7 @@ def overlap_counts(
     stream: DataFrame, predicted: DataFrame, size: int = 60, chunk: int = CHUNK, lo: str = "start_idx", hi: str = "end_idx"
 ) -> DataFrame:
     """Runs of predictions, begun ``size`` earlier, against event runs."""
-    true = runs(stream, EVENT, chunk).select(F.col("start_idx").alias("t_lo"), F.col("end_idx").alias("t_hi"))
+    true = runs(stream, in_event(), chunk).select(F.col("start_idx").alias("t_lo"), F.col("end_idx").alias("t_hi"))
     pred = predicted.select(
         F.col(lo).alias("p_id"), F.greatest(F.col(lo) - size, F.lit(0)).alias("p_lo"), F.col(hi).alias("p_hi")
     )
@@ -117,7 +118,7 @@ def group_validation(rows: DataFrame, group: str, label: Column, hit: Column) ->
 
 def confidence_sweep(stream: DataFrame, points: DataFrame, grid: list[float], chunk: int = CHUNK) -> DataFrame:
     """How many hits inside and outside events reach each threshold, with their ratio."""
-    events = runs(stream, EVENT, chunk)
+    events = runs(stream, in_event(), chunk)
     joined = interval_join(points.select("idx", "p"), events, "idx", "start_idx", "end_idx", "left")
     kinds = joined.select("p", F.col("start_idx").isNotNull().cast("int").alias("y"))
     s = sweep(kinds, grid)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import aggregates as ag
 from tidemark.operators import audit, features as ft, metrics, runs, setops, splits, windows
+from tidemark.operators.event_metrics import in_event
 from tidemark.operators.index import exact_percentiles, in_chunk, rolling
 from tidemark.operators.intervals import neighbourhood
 from tidemark.plans.base import (
@@ -21,7 +22,6 @@ from tidemark.plans.q_windowing import (
 from tidemark.session import materialise
 
 A = ft.features_of("A")
-EVENT = F.col("gt_fwhm") | F.col("gt_detection_win")
 BAL = [DET_RUNS, POS_SQL, ZONE_SQL, FREE_SQL, NEG_SQL]
 
 
@@ -338,7 +338,7 @@ def a16(spark, sf):
 def a17(spark, sf):
     """Mean pattern ±60 samples around each positive point, hit against false alarm."""
     s = stream(spark, sf)
-    kind = F.when(EVENT, "hit").otherwise("false_alarm")
+    kind = F.when(in_event(), "hit").otherwise("false_alarm")
     anchors = s.filter(F.col("p") >= 0.8).select(F.col("idx").alias("anchor"), kind.alias("kind"))
     steps = rolling(
         s.select("idx", "pressure"), {"step": F.col("pressure") - F.lag("pressure").over(in_chunk())}, 1, chunk=chunk(spark, sf)

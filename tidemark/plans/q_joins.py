@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.operators import asof, intervals, runs
+from tidemark.operators.event_metrics import in_event
 from tidemark.operators.index import in_chunk, rolling
 from tidemark.operators.windows import explode_windows, right_edge_label, tumbling
 from tidemark.plans.base import (
@@ -12,7 +13,6 @@ from tidemark.plans.base import (
 )
 from tidemark.plans.q_features import LONG_SQL
 
-EVENT = F.col("gt_fwhm") | F.col("gt_detection_win")
 HIT = 0.8  # score threshold of the event queries
 
 
@@ -82,7 +82,7 @@ def j5(spark, sf):
 def j6(spark, sf):
     s = stream(spark, sf)
     hits = s.filter(F.col("p") >= HIT).select("idx")
-    events = runs.runs(s, EVENT, chunk(spark, sf))
+    events = runs.runs(s, in_event(), chunk(spark, sf))
     return intervals.interval_join(hits, events, "idx", "start_idx", "end_idx").select(
         "idx", F.col("start_idx").alias("event_start")
     )
@@ -103,7 +103,7 @@ def j7(spark, sf):
         F.greatest(F.col("start_idx") - SIZE, F.lit(0)).alias("p_lo"),
         F.col("end_idx").alias("p_hi"),
     )
-    true = runs.runs(s, EVENT, c).select(F.col("start_idx").alias("true_start"), F.col("end_idx").alias("t_hi"))
+    true = runs.runs(s, in_event(), c).select(F.col("start_idx").alias("true_start"), F.col("end_idx").alias("t_hi"))
     return intervals.overlap_join(pred, true, "p_lo", "p_hi", "true_start", "t_hi").select("pred_start", "true_start")
 
 
@@ -128,7 +128,7 @@ def j8(spark, sf):
     ),
 )
 def j9(spark, sf):
-    regions = runs.runs(stream(spark, sf), EVENT, chunk(spark, sf)).select(
+    regions = runs.runs(stream(spark, sf), in_event(), chunk(spark, sf)).select(
         F.col("start_idx").alias("region_start"), F.col("end_idx").alias("region_end")
     )
     ends = wends(spark, sf).select("window_id", F.col("end_idx").alias("at"), "p")
@@ -218,7 +218,7 @@ def g1(spark, sf):
     ),
 )
 def g1b(spark, sf):
-    out = runs.clock_runs(stream(spark, sf), EVENT, chunk(spark, sf))
+    out = runs.clock_runs(stream(spark, sf), in_event(), chunk(spark, sf))
     return out.select("start_idx", "start_sclk", "end_sclk")
 
 

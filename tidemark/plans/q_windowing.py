@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import features as ft
 from tidemark.operators import sampling, windows
+from tidemark.operators.event_metrics import in_event
 from tidemark.operators.index import renumber, rolling, trailing
 from tidemark.operators.intervals import interval_join
 from tidemark.plans.base import (
@@ -14,12 +15,10 @@ from tidemark.plans.base import (
 from tidemark.plans.q_features import BASE_SQL, SPLIT_SQL, STATS_SQL, feature_sql, rounded, train_stats
 from tidemark.plans.q_joins import runs_cte
 
-DET = F.col("gt_detection_win")
-EVENT = F.col("gt_fwhm") | DET
 
 
 def _label():
-    return windows.right_edge_label(DET, F.col("gt_fwhm"))
+    return windows.right_edge_label(F.col("gt_detection_win"), F.col("gt_fwhm"))
 
 
 @query(
@@ -60,8 +59,8 @@ def w3(spark, sf):
     out = rolling(
         stream(spark, sf).select("idx", "gt_detection_win", "gt_fwhm"),
         {
-            "any_detection": F.max(DET.cast("int")).over(trailing(SIZE)),
-            "any_event": F.max(EVENT.cast("int")).over(trailing(SIZE)),
+            "any_detection": F.max(F.col("gt_detection_win").cast("int")).over(trailing(SIZE)),
+            "any_event": F.max(in_event().cast("int")).over(trailing(SIZE)),
         },
         SIZE - 1,
         chunk=chunk(spark, sf),
@@ -74,7 +73,7 @@ def w3(spark, sf):
     sql("SELECT a.idx, CASE WHEN b.gt_detection_win THEN 1 ELSE 0 END AS window_label FROM st a JOIN st b ON b.idx = a.idx + 1 WHERE a.idx >= 59"),
 )
 def w4(spark, sf):
-    out = windows.next_sample_label(stream(spark, sf).select("idx", "gt_detection_win"), DET, SIZE, chunk(spark, sf))
+    out = windows.next_sample_label(stream(spark, sf).select("idx", "gt_detection_win"), F.col("gt_detection_win"), SIZE, chunk(spark, sf))
     return out.select("idx", "window_label")
 
 
@@ -88,19 +87,19 @@ def _ahead(lo: int, hi: int) -> str:
 
 @query("w5_any_in_next_10_from_start", _ahead(0, 9))
 def w5(spark, sf):
-    out = windows.lookahead_label(stream(spark, sf).select("idx", "gt_detection_win"), DET, SIZE, 10, "start", chunk(spark, sf))
+    out = windows.lookahead_label(stream(spark, sf).select("idx", "gt_detection_win"), F.col("gt_detection_win"), SIZE, 10, "start", chunk(spark, sf))
     return out.select("start_idx", "window_label")
 
 
 @query("w5_any_in_next_10_after_end", _ahead(60, 69))
 def w5b(spark, sf):
-    out = windows.lookahead_label(stream(spark, sf).select("idx", "gt_detection_win"), DET, SIZE, 10, "end", chunk(spark, sf))
+    out = windows.lookahead_label(stream(spark, sf).select("idx", "gt_detection_win"), F.col("gt_detection_win"), SIZE, 10, "end", chunk(spark, sf))
     return out.select("start_idx", "window_label")
 
 
 @query("w6_right_edge_step_1", sql("SELECT idx AS end_idx, CASE WHEN gt_detection_win THEN 1 ELSE 0 END AS window_label FROM st WHERE idx >= 59"))
 def w6(spark, sf):
-    return windows.window_ends(stream(spark, sf), SIZE, 1).select("end_idx", DET.cast("int").alias("window_label"))
+    return windows.window_ends(stream(spark, sf), SIZE, 1).select("end_idx", F.col("gt_detection_win").cast("int").alias("window_label"))
 
 
 DET_RUNS = runs_cte("dr", "gt_detection_win")
@@ -163,8 +162,8 @@ anyl AS (SELECT idx, CASE WHEN bool_or(gt_detection_win) OVER (ORDER BY idx ROWS
     ),
 )
 def w12(spark, sf):
-    s = windows.any_label(stream(spark, sf).select("idx", "gt_detection_win"), DET, SIZE, chunk(spark, sf))
-    pos = s.filter(DET).select(F.col("idx").alias("end_idx"))
+    s = windows.any_label(stream(spark, sf).select("idx", "gt_detection_win"), F.col("gt_detection_win"), SIZE, chunk(spark, sf))
+    pos = s.filter(F.col("gt_detection_win")).select(F.col("idx").alias("end_idx"))
     quiet = s.filter("window_label = 0").select(F.col("idx").alias("start_idx"))
     neg = sampling.negative_starts(quiet, pos).select(F.col("start_idx").alias("end_idx"))
     return pos.withColumn("label", F.lit(1)).unionByName(neg.withColumn("label", F.lit(0)))
