@@ -7,7 +7,7 @@ size estimate) or to sort-merge a large one. No cross joins.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.index import chunk_of
@@ -43,6 +43,35 @@ def over_bins(intervals: DataFrame, lo: str, hi: str, width: int = BIN) -> DataF
     )
 
 
+def merged_by_bin(intervals: DataFrame, lo: str, hi: str, width: int = BIN) -> DataFrame:
+    """Per bin, the disjoint intervals that touch it: ``_bin, spans ARRAY<STRUCT<lo, hi>>``.
+
+    Intervals that begin together are reduced to the longest before they meet, so a bin handles
+    at most one interval per position of its width however many events crowd into it, and the
+    merged array is shorter still.
+    """
+    binned = (
+        over_bins(intervals.select(F.col(lo).alias("lo"), F.col(hi).alias("hi")), "lo", "hi", width)
+        .groupBy("_bin", F.greatest("lo", F.col("_bin") * width).alias("lo"))
+        .agg(F.max("hi").alias("hi"))
+    )
+    w = Window.partitionBy("_bin").orderBy("lo")
+    reach = F.max("hi").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    opened = binned.withColumn("_new", F.when(F.col("lo") <= reach + 1, 0).otherwise(1))
+    spans = opened.withColumn("_g", F.sum("_new").over(w)).groupBy("_bin", "_g").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    return spans.groupBy("_bin").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+
+
+def flag_inside(points: DataFrame, merged: DataFrame, point: str, name: str, width: int = BIN) -> DataFrame:
+    """One output row per point, flagged if it lies in an interval of :func:`merged_by_bin`."""
+    inside = F.exists("spans", lambda s: F.col(point).between(s["lo"], s["hi"]))
+    return (
+        points.withColumn("_bin", chunk_of(point, width))
+        .join(merged, "_bin", "left")
+        .select(*points.columns, F.coalesce(inside, F.lit(False)).alias(name))
+    )
+
+
 def interval_join(
     points: DataFrame, intervals: DataFrame, point: str, lo: str, hi: str, how: str = "inner", width: int = BIN
 ) -> DataFrame:

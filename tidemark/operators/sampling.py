@@ -8,21 +8,32 @@ from pyspark.sql import functions as F
 from tidemark.operators.attach import attach
 from tidemark.functions.scalars import portable_hash
 from tidemark.operators.index import CHUNK, chunk_of, renumber
-from tidemark.operators.intervals import BIN, interval_join, neighbourhood, over_bins
+from tidemark.operators.intervals import flag_inside, merged_by_bin, neighbourhood
 from tidemark.operators.runs import runs
 from tidemark.session import materialise
 
 
+def precursor_runs(stream: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    return runs(stream, F.col("gt_detection_win"), chunk)
+
+
 def positive_starts(
-    stream: DataFrame, catalogue: DataFrame, size: int = 60, mode: str = "own_run", chunk: int = CHUNK
+    stream: DataFrame,
+    catalogue: DataFrame,
+    size: int = 60,
+    mode: str = "own_run",
+    chunk: int = CHUNK,
+    precursors: DataFrame | None = None,
 ) -> DataFrame:
     """Start of the window just before each event's precursor run: ``vortex, centre, start_idx``.
 
     ``own_run`` takes the newest precursor run that starts at or before the event;
     ``first_in_split`` takes the first precursor row of the whole stream for every event.
-    Events without a precursor, or with too little room before it, are left out.
+    Events without a precursor, or with too little room before it, are left out. ``precursors``
+    may hold the precursor runs if they are known already.
     """
-    det = runs(stream, F.col("gt_detection_win"), chunk).select("start_idx")
+    det = precursor_runs(stream, chunk) if precursors is None else precursors
+    det = det.select("start_idx")
     if mode == "first_in_split":
         first = det.agg(F.min("start_idx").alias("_run"))
         found = attach(catalogue, first).filter(F.col("_run") <= F.col("centre"))
@@ -58,7 +69,13 @@ def newest_at_or_before(left: DataFrame, right: DataFrame, at: str, value: str,
 
 
 def forbidden_intervals(
-    stream: DataFrame, positives: DataFrame, size: int = 60, buffer: int = 50, flags: bool = True, chunk: int = CHUNK
+    stream: DataFrame,
+    positives: DataFrame,
+    size: int = 60,
+    buffer: int = 50,
+    flags: bool = True,
+    chunk: int = CHUNK,
+    precursors: DataFrame | None = None,
 ) -> DataFrame:
     """Zones ``[lo, hi]`` where no negative may lie.
 
@@ -70,22 +87,18 @@ def forbidden_intervals(
         F.greatest(F.col("start_idx") - buffer, F.lit(0).cast("long")).alias("lo"), (F.col("start_idx") + reach).alias("hi")
     ).distinct()
     if flags:
-        det = runs(stream, F.col("gt_detection_win"), chunk).select(F.col("start_idx").alias("lo"), F.col("end_idx").alias("hi"))
-        zones = zones.unionByName(det)
+        det = precursor_runs(stream, chunk) if precursors is None else precursors
+        zones = zones.unionByName(det.select(F.col("start_idx").alias("lo"), F.col("end_idx").alias("hi")))
     return zones
 
 
 def free_starts(stream: DataFrame, zones: DataFrame, size: int = 60) -> DataFrame:
-    """Window starts that touch no zone (left anti join on the bins a zone touches)."""
+    """Window starts that touch no zone: a start is blocked from ``lo - (size-1)`` to ``hi``."""
     last = stream.agg((F.max("idx") + 1 - size).alias("_last"))
-    blocked = zones.select((F.col("lo") - (size - 1)).alias("lo"), "hi").withColumn(
-        "lo", F.greatest("lo", F.lit(0).cast("long"))
-    )
-    starts = attach(stream.select(F.col("idx").alias("start_idx")), last).filter("start_idx <= _last")
-    spread = over_bins(blocked, "lo", "hi").withColumnRenamed("_bin", "_rbin")
-    left = starts.withColumn("_bin", chunk_of("start_idx", BIN))
-    on = (F.col("_bin") == F.col("_rbin")) & F.col("start_idx").between(F.col("lo"), F.col("hi"))
-    return left.join(spread, on, "left_anti").select("start_idx")
+    low = F.greatest(F.col("lo") - (size - 1), F.lit(0).cast("long"))
+    blocked = merged_by_bin(zones.select(low.alias("lo"), "hi"), "lo", "hi")
+    starts = attach(stream.select(F.col("idx").alias("start_idx")), last).filter("start_idx <= _last").drop("_last")
+    return flag_inside(starts, blocked, "start_idx", "_blocked").filter("not _blocked").drop("_blocked")
 
 
 def sample_by_hash(df: DataFrame, key: str, count: int | Column) -> DataFrame:
@@ -116,18 +129,26 @@ def negative_starts(starts: DataFrame, positives: DataFrame, ratio: float = 1.0)
     return sample_by_hash(attach(starts, want), "start_idx", F.col("_k")).drop("_k")
 
 
-def training_windows(
+def training_sample(
     stream: DataFrame, catalogue: DataFrame, size: int = 60, ratio: float = 1.0, buffer: int = 50, chunk: int = CHUNK
-) -> DataFrame:
-    """Balanced windows from the labelled stream in one call.
+) -> tuple[DataFrame, DataFrame]:
+    """Positive windows and the negatives drawn for them.
 
-    The positives (one row per event) and the sampled starts feed several later joins, so both
-    are written once.
+    Precursor runs, positives and zones have a row or two per event and feed several later joins,
+    so each is written once; the free starts, of which there are nearly as many as samples, are not.
     """
-    positives = materialise(positive_starts(stream, catalogue, size, chunk=chunk))
-    zones = forbidden_intervals(stream, positives, size, buffer, chunk=chunk)
-    negatives = materialise(negative_starts(free_starts(stream, zones, size), positives, ratio))
-    return combine_windows(positives, negatives, chunk)
+    precursors = materialise(precursor_runs(stream, chunk))
+    positives = materialise(positive_starts(stream, catalogue, size, chunk=chunk, precursors=precursors))
+    zones = materialise(forbidden_intervals(stream, positives, size, buffer, chunk=chunk, precursors=precursors))
+    return positives, negative_starts(free_starts(stream, zones, size), positives, ratio)
+
+
+def training_windows(
+    stream: DataFrame, catalogue: DataFrame, size: int = 60, ratio: float = 1.0, buffer: int = 50, chunk: int = CHUNK
+) -> DataFrame:
+    """Balanced windows from the labelled stream in one call."""
+    positives, negatives = training_sample(stream, catalogue, size, ratio, buffer, chunk)
+    return combine_windows(positives, materialise(negatives), chunk)
 
 
 def combine_windows(positives: DataFrame, negatives: DataFrame, chunk: int = CHUNK) -> DataFrame:
@@ -185,12 +206,11 @@ def stratified_split(df: DataFrame, key: str, label: str, share: float = 0.8, ba
 
 def capacity(stream: DataFrame, positives: DataFrame, zones: DataFrame, size: int = 60) -> DataFrame:
     """Safe rows, how many disjoint windows fit in them, and the ratio to the positives."""
-    hit = interval_join(stream.select("idx"), zones, "idx", "lo", "hi").select("idx").distinct()
-    n = stream.agg((F.max("idx") + 1).alias("total_rows"))
-    f = hit.agg(F.count(F.lit(1)).alias("forbidden_rows"))
+    marked = flag_inside(stream.select("idx"), merged_by_bin(zones, "lo", "hi"), "idx", "_hit")
+    n = marked.agg(F.count(F.lit(1)).alias("total_rows"), F.coalesce(F.sum(F.col("_hit").cast("long")), F.lit(0)).alias("forbidden_rows"))
     p = positives.agg(F.count(F.lit(1)).alias("positives"))
     safe = F.col("total_rows") - F.col("forbidden_rows")
-    return attach(n, f, p).select(
+    return attach(n, p).select(
         "total_rows", "forbidden_rows", safe.alias("safe_rows"),
         F.floor(safe / size).cast("long").alias("window_capacity"), "positives",
         F.try_divide(F.floor(safe / size), F.col("positives")).alias("capacity_ratio"),

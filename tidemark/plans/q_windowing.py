@@ -8,7 +8,7 @@ from tidemark.operators import features as ft
 from tidemark.operators import sampling, windows
 from tidemark.operators.event_metrics import in_event
 from tidemark.operators.index import renumber, rolling, trailing
-from tidemark.operators.intervals import interval_join
+from tidemark.operators.intervals import flag_inside, merged_by_bin
 from tidemark.plans.base import (
     SIZE, STEP, big, catalogue, chunk, i8, q6, query, r6, scored, sql, stream, wends,
 )
@@ -191,8 +191,8 @@ def zones(spark, sf, flags=True):
     sql("SELECT count(DISTINCT idx) AS n, min(idx) AS first_idx, max(idx) AS last_idx FROM st JOIN zone ON idx BETWEEN lo AND hi", DET_RUNS, POS_SQL, ZONE_SQL),
 )
 def w14(spark, sf):
-    hit = interval_join(stream(spark, sf).select("idx"), zones(spark, sf), "idx", "lo", "hi").select("idx").distinct()
-    return hit.agg(F.count(F.lit(1)).alias("n"), F.min("idx").alias("first_idx"), F.max("idx").alias("last_idx"))
+    marked = flag_inside(stream(spark, sf).select("idx"), merged_by_bin(zones(spark, sf), "lo", "hi"), "idx", "hit")
+    return marked.filter("hit").agg(F.count(F.lit(1)).alias("n"), F.min("idx").alias("first_idx"), F.max("idx").alias("last_idx"))
 
 
 @query("w14b_forbidden_zones_gating", sql("SELECT lo, hi FROM zone", DET_RUNS, POS_SQL, ZONEB_SQL))
@@ -205,14 +205,10 @@ def j13(spark, sf):
     return sampling.free_starts(stream(spark, sf), zones(spark, sf), SIZE)
 
 
-def negatives(spark, sf):
-    free = sampling.free_starts(stream(spark, sf), zones(spark, sf), SIZE)
-    return sampling.negative_starts(free, positives(spark, sf), 1.0)
-
-
 @query("n1_negative_windows", sql("SELECT start_idx FROM neg", DET_RUNS, POS_SQL, ZONE_SQL, FREE_SQL, NEG_SQL))
 def n1(spark, sf):
-    return negatives(spark, sf).select("start_idx")
+    _, negatives = sampling.training_sample(stream(spark, sf), catalogue(spark, sf), SIZE, chunk=chunk(spark, sf))
+    return negatives.select("start_idx")
 
 
 def balanced(spark, sf):

@@ -35,6 +35,12 @@ def scratch_root(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/{spark.sparkContext.applicationId}"
 
 
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete what this application has stored; frames built on it can no longer be read."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(scratch_root(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared scratch area and return a scan of it.
 

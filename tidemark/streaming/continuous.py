@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators.index import chunk_of
+from tidemark.operators.intervals import flag_inside, merged_by_bin
 
 
 def unique_clocks(stream: DataFrame, delay: str = "10 minutes") -> DataFrame:
@@ -38,27 +38,11 @@ def gap_sessions(stream: DataFrame, gap: str = "30 minutes", delay: str = "10 mi
 
 
 def clock_intervals(centres: DataFrame, before: int, after: int, width: int = 3600) -> DataFrame:
-    """Static side of the interval join: per clock bin, the disjoint intervals that touch it.
-
-    Centres are made distinct and overlapping intervals merged, so a bin holds at most one
-    interval per second of its width however many events fall in it.
-    """
+    """Static side of the interval join: merged clock intervals ``[centre-before, centre+after]`` per bin."""
     c = F.col("sclk")
-    spans = centres.select(c).distinct().select((c - before).alias("lo"), (c + after).alias("hi"))
-    binned = spans.select("lo", "hi", F.explode(F.sequence(chunk_of("lo", width), chunk_of("hi", width))).alias("bin"))
-    w = Window.partitionBy("bin").orderBy("lo", "hi")
-    reach = F.max("hi").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    opened = binned.withColumn("_new", F.when(F.col("lo") <= reach + 1, 0).otherwise(1))
-    grouped = opened.withColumn("_g", F.sum("_new").over(w))
-    merged = grouped.groupBy("bin", "_g").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    return merged.groupBy("bin").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+    return merged_by_bin(centres.select((c - before).alias("lo"), (c + after).alias("hi")), "lo", "hi", width)
 
 
 def flag_intervals(stream: DataFrame, intervals: DataFrame, name: str = "in_event", width: int = 3600) -> DataFrame:
     """Stream–static join: one output row per reading, flagged if its clock lies in an interval."""
-    inside = F.exists("spans", lambda s: F.col("sclk").between(s["lo"], s["hi"]))
-    return (
-        stream.withColumn("bin", chunk_of("sclk", width))
-        .join(intervals, "bin", "left")
-        .select(*stream.columns, F.coalesce(inside, F.lit(False)).alias(name))
-    )
+    return flag_inside(stream, intervals, "sclk", name, width)

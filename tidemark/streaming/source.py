@@ -12,10 +12,13 @@ from tidemark.session import scratch_root
 from tidemark.sources.adapters import epoch_seconds
 
 
-def event_stream(spark: SparkSession, folder: str, name: str = "events.parquet") -> DataFrame:
-    """Event log as a live stream: channel, id, event time, clock in seconds, pressure, kind."""
+def event_stream(spark: SparkSession, folder: str, name: str = "events.parquet", batch_bytes: int = 1 << 30) -> DataFrame:
+    """Event log as a live stream: channel, id, event time, clock in seconds, pressure, kind.
+
+    ``batch_bytes`` bounds what one micro-batch reads, and so what one busy channel can bring at once.
+    """
     schema = spark.read.parquet(f"{folder}/{name}").schema
-    raw = spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(folder)
+    raw = spark.readStream.schema(schema).option("pathGlobFilter", name).option("maxBytesPerTrigger", batch_bytes).parquet(folder)
     seconds = epoch_seconds(raw, "ts")
     if isinstance(schema["ts"].dataType, T.TimestampNTZType):
         micros = F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', ts)")
