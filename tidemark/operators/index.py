@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.attach import attach, few
 from tidemark.session import materialise
 
 CHUNK = 1 << 18
@@ -60,7 +61,9 @@ def dense_index(df: DataFrame, *keys, name: str = "idx", partitions: int | None
 
 
 def chunk_of(position, chunk: int) -> Column:
-    return F.floor(_columns([position])[0] / F.lit(chunk)).cast("long")
+    """Number of the ``chunk``-long piece that holds a position (integer arithmetic, floor for negatives)."""
+    p = _columns([position])[0].cast("long")
+    return F.call_function("div", p - F.pmod(p, F.lit(chunk)), F.lit(chunk))
 
 
 def pick_chunk(rows: int, tasks: int) -> int:
@@ -233,10 +236,14 @@ def exact_percentiles(df: DataFrame, value: str, qs: list[float], by: str | None
     grid = F.explode(F.array(*[F.lit(float(q)) for q in qs]))
     ranks = sizes.select("*", grid.alias("q")).withColumn("_r", F.col("q") * (F.col("_n") - 1))
     picks = ranks.select("_g", "q", "_r", "_start", F.explode(F.array(F.floor("_r"), F.ceil("_r"))).alias("_k")).distinct()
-    # A bounded table: groups (class labels) times requested quantiles times two.
-    hit = ranked.join(F.broadcast(picks), "_g").filter(
-        (F.col("_cum") - F.col("_start") > F.col("_k")) & (F.col("_cum") - F.col("_start") - F.col("_c") <= F.col("_k"))
+    # Groups (class labels) times requested quantiles times two; each row keeps the ranks it holds.
+    holds = F.filter(
+        "_few",
+        lambda k: (k["_g"] == F.col("_g"))
+        & (F.col("_cum") - k["_start"] > k["_k"])
+        & (F.col("_cum") - k["_start"] - F.col("_c") <= k["_k"]),
     )
+    hit = attach(ranked, few(picks)).select("_x", F.inline(holds))
     out = hit.groupBy("_g", "q").agg(
         F.min_by("_x", "_k").alias("_lo"), F.max_by("_x", "_k").alias("_hi"), F.first("_r").alias("_r")
     )

@@ -48,6 +48,8 @@ def forest(features: list[str], trees: int = 100, depth: int = 15, leaf: int = 5
     rf = RandomForestClassifier(
         labelCol=label, featuresCol="features", weightCol="weight", numTrees=trees, maxDepth=depth,
         minInstancesPerNode=leaf, featureSubsetStrategy="sqrt", seed=SEED,
+        # Deep trees: keep each row's node with the row, and grow more nodes per pass.
+        cacheNodeIds=True, maxMemoryInMB=1024,
     )
     return Pipeline(stages=[assembler(features), rf])
 

@@ -78,11 +78,14 @@ def feature_sql(variant: str, source: str = "wf", extra: str = "") -> str:
         del e["range"]
     if variant == "D":
         e |= {"min_position": "arg / 60.0", "min_zscore": gz, "anomaly_strength": f"abs({gz})"}
+    # The shift takes exact decimal ties (a fall over 32 samples, say) off the rounding edge.
+    e["drop_rate"] = f"({e['drop_rate']}) + 1e-9"
     return f"SELECT {extra} {', '.join(q6(v, k) for k, v in e.items())} FROM {source}"
 
 
 def rounded(df, variant: str, *keep):
-    return df.select(*keep, *[r6(f, f) for f in ft.features_of(variant)])
+    shift = {"drop_rate": 1e-9}
+    return df.select(*keep, *[r6(F.col(f) + shift.get(f, 0.0), f) for f in ft.features_of(variant)])
 
 
 def train_stats(spark, sf):

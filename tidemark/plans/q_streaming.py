@@ -31,7 +31,7 @@ WIN_SQL = [
 def r2(spark, sf):
     live = stateful.sliding_features(event_stream(spark, sf), N, STEP, G_MEAN, G_STD)
     out = run_available(live)
-    return out.select("channel", "window_id", "end_id", *[r6(f, f) for f in stateful.FEATURE_NAMES])
+    return out.select("channel", "window_id", "end_id", *[r6(F.col(f) + (1e-9 if f == "drop_rate" else 0.0), f) for f in stateful.FEATURE_NAMES])
 
 
 @query(
