@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm.bpe_trie import encode_digests
+from tidemark.llm.html_paths import extract
 from tidemark.llm.packing import Limits, pack_texts
 from tidemark.llm.token_fst import token_counts
 
@@ -26,6 +27,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query("op1_tag_path_ratios")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages"))
+
+
 @query("op2_vector_packing")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_texts(table(spark, sf_dir, "documents"), Limits(tokens=2048, segments=64, loss=2048))
