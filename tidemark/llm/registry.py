@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tidemark.llm.bpe_trie import encode_digests
 from tidemark.llm.html_paths import extract
 from tidemark.llm.packing import Limits, pack_texts
+from tidemark.llm.secrets import scan_digests
 from tidemark.llm.token_fst import token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -45,3 +46,8 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_token_fst")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), limit=2048)
+
+
+@query("op8_secret_guess_cost")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_digests(table(spark, sf_dir, "documents"))
