@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm.bpe_trie import encode_digests
 from tidemark.llm.html_paths import extract
+from tidemark.llm.languages import predict_held_out
 from tidemark.llm.packing import Limits, pack_texts
 from tidemark.llm.secrets import scan_digests
 from tidemark.llm.token_fst import token_counts
@@ -51,3 +52,8 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_secret_guess_cost")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_digests(table(spark, sf_dir, "documents"))
+
+
+@query("op6_script_viterbi")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return predict_held_out(table(spark, sf_dir, "documents"))
