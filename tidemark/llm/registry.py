@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm.bpe_trie import encode_digests
+from tidemark.llm.gray_simhash import near_digests
 from tidemark.llm.html_paths import extract
 from tidemark.llm.languages import predict_held_out
 from tidemark.llm.packing import Limits, pack_texts
@@ -57,3 +58,8 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_script_viterbi")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict_held_out(table(spark, sf_dir, "documents"))
+
+
+@query("op10_gray_simhash")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_digests(table(spark, sf_dir, "documents"))
