@@ -11,6 +11,7 @@ from tidemark.llm.gray_simhash import near_digests
 from tidemark.llm.html_paths import extract
 from tidemark.llm.languages import predict_held_out
 from tidemark.llm.packing import Limits, pack_texts
+from tidemark.llm.relative_lz import digests as repeat_digests
 from tidemark.llm.secrets import scan_digests
 from tidemark.llm.token_fst import token_counts
 
@@ -63,3 +64,8 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_gray_simhash")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_digests(table(spark, sf_dir, "documents"))
+
+
+@query("op4_relative_lz")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeat_digests(table(spark, sf_dir, "documents"))
