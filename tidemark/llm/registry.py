@@ -12,6 +12,7 @@ from tidemark.llm.html_paths import extract
 from tidemark.llm.languages import predict_held_out
 from tidemark.llm.packing import Limits, pack_texts
 from tidemark.llm.relative_lz import digests as repeat_digests
+from tidemark.llm.rp_forest import near_vectors
 from tidemark.llm.secrets import scan_digests
 from tidemark.llm.token_fst import token_counts
 
@@ -69,3 +70,8 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_relative_lz")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeat_digests(table(spark, sf_dir, "documents"))
+
+
+@query("op3_rp_forest")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"), cosine=0.95)
