@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidemark.llm.bottom_k import edited_digests
 from tidemark.llm.bpe_trie import encode_digests
 from tidemark.llm.gray_simhash import near_digests
 from tidemark.llm.html_paths import extract
@@ -75,3 +76,8 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_rp_forest")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"), cosine=0.95)
+
+
+@query("op9_bottom_k")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edited_digests(table(spark, sf_dir, "documents"))
