@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.bpe_trie import slices
 from tidemark.llm.components import components
-from tidemark.llm.tables import Table
+from tidemark.llm.tables import Table, unused
 
 WORDS, SEED, DISTANCE = 4, 42, 4
 FAN = 8
@@ -221,6 +221,19 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return prints.df.join(rooted.join(lowest, "root").select("fp", "component_id"), "fp").select(id_col, "fp", "component_id")
 
 
+def first_of_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, distance: int = DISTANCE) -> DataFrame:
+    """``docs`` with one row of each component: that of the smallest id, the first stored among equals, a null id last.
+
+    ``docs`` must be a repeatable plan such as a table scan, as rows are numbered by their place in it.
+    """
+    row = unused("_row", docs)
+    numbered = docs.withColumn(row, F.monotonically_increasing_id())
+    key = F.struct(F.col(id_col).isNull().alias("a"), F.col(id_col).alias("b"), F.col(row).alias("c"))
+    groups = near_groups(numbered.select(key.alias("key"), F.col(text_col).alias("text")), "key", "text", words, distance)
+    kept = groups.filter("key.c = component_id.c").select(F.col("key.c").alias(row))
+    return numbered.join(kept, row, "left_semi").drop(row)
+
+
 def near_digests(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint as 16 hexadecimal digits, component_id."""
     return near_groups(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

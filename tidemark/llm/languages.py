@@ -9,7 +9,7 @@ letters; the score is its share of them.
 
 Null texts and texts without a letter are ``und`` with score 0. Ties go to the language first in
 alphabetical order. Rows are independent when predicting, so repeated rows need no rule; an empty
-table gives an empty result, and a table without labels raises an error, as nothing can be learned.
+table gives an empty result, and where no row is labelled, nothing is learned and all texts are ``und``.
 Very long texts take time in proportion to their words. Other columns are not read.
 
 The classifier is fitted on a bounded sample: ``per_lang`` labelled rows of each language in
@@ -94,7 +94,7 @@ def fit(docs: DataFrame, use: Column, id_col: str = "doc_id", text_col: str = "t
     rows = docs.filter(use & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     sizes = {r[0]: r[1] for r in rows.groupBy(lang_col).count().collect()}
     if not sizes:
-        raise ValueError("no labelled rows to learn languages from")
+        return Model([], {}, {})
     share = F.create_map(*[x for lang, n in sizes.items() for x in (F.lit(lang), F.lit(min(1.0, per_lang / n)))])
     place = F.pmod(F.xxhash64(F.lit("sample"), id_col, F.xxhash64(text_col)), F.lit(1 << 30)) / float(1 << 30)
     counted = _gram_counts(rows.filter(place < share[F.col(lang_col)]), text_col, lang_col)
@@ -156,6 +156,8 @@ class Labeller:
         """For each text, the language number of each of its pieces with letters, and their letters."""
         if len(self.known) > MEMO:
             self.known, self.rows, self.letters = {}, [], []
+        if not self.model.langs:
+            return [(np.zeros(0, np.int8), np.zeros(0, np.int64))] * len(texts)
         split = [t.lower().split() if t else [] for t in texts]
         new = set().union(*split) - self.known.keys() if split else set()
         for p in sorted(new):
