@@ -3,7 +3,8 @@
 1. ``language``: fits a classifier on the labelled documents and drops texts in which no language can be
    told: those without a letter, and those of which no language holds ``LEAST_SHARE`` of the letters.
    Where no document is labelled, nothing can be told apart and all stay.
-2. ``near_dedup``: of each group of documents linked by SimHash, the one with the smallest id stays.
+2. ``near_dedup``: SimHash finds documents whose five-word shingles are alike to 0.8 or more; of each
+   group that such links connect, the one with the smallest id stays.
 3. ``substring_dedup``: words inside windows of 35 words that stand elsewhere too are removed from every
    place; texts without any stay as they are, and a text may become empty.
 4. ``secrets``: secret values are masked; the documents stay.
@@ -18,12 +19,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.gray_simhash import first_of_groups
 from tidemark.llm.languages import UNKNOWN, fit, predict
 from tidemark.llm.packing import Limits, pack_texts
 from tidemark.llm.registry import table
 from tidemark.llm.relative_lz import remove_repeats
 from tidemark.llm.secrets import mask
+from tidemark.llm.simhash_copies import first_of_copies
 from tidemark.llm.tables import Table, unused
 
 LEAST_SHARE = 0.4
@@ -43,7 +44,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return first_of_groups(docs)
+    return first_of_copies(docs)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -7,8 +7,8 @@ choice of two blocks, to the group of classes that agree there. In a group, fing
 order, where neighbours share bits; runs of eight become a node that keeps the bits all of them share
 (mask and pattern), runs of eight nodes the next, up to one root. The self-join walks pairs of nodes
 from the root: the bits that differ among those shared by both nodes are a lower bound for every pair
-below, and a pair of nodes over the distance is dropped whole. Found links become one star per group,
-never all pairs; a group over ``group_limit`` classes is dealt out to pairs of parts.
+below, and a pair of nodes over the distance is dropped whole. Of the links found, those that span a
+group's clusters go out, never all pairs; a group over ``group_limit`` classes is dealt out to pairs of parts.
 
 Words are runs of other than ASCII white space, A-Z in lower case. A text with fewer words than a
 shingle counts as one shingle of all its words; null, empty and white-space texts have fingerprint 0,
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.bpe_trie import slices
 from tidemark.llm.components import components
-from tidemark.llm.tables import Table, unused
+from tidemark.llm.tables import Table
 
 WORDS, SEED, DISTANCE = 4, 42, 4
 FAN = 8
@@ -84,7 +84,7 @@ def gray_rank(x: np.ndarray) -> np.ndarray:
 def _levels(prints: np.ndarray, group: np.ndarray) -> list[tuple[np.ndarray, ...]]:
     """Nodes of each level, leaves first: (first child, end child, mask, pattern); a node never spans groups."""
     n = len(prints)
-    full = np.full(n, np.uint64(0xFFFFFFFFFFFFFFFF))
+    full = np.full_like(prints, np.uint64(0xFFFFFFFFFFFFFFFF))
     out = [(np.arange(n), np.arange(1, n + 1), full, prints)]
     own = group
     while True:
@@ -95,58 +95,55 @@ def _levels(prints: np.ndarray, group: np.ndarray) -> list[tuple[np.ndarray, ...
         first = np.flatnonzero(place % FAN == 0)
         end = np.concatenate([first[1:], [len(own)]])
         _, _, mask, pattern = out[-1]
-        base = np.repeat(pattern[first], end - first)
-        same = np.bitwise_and.reduceat(mask & ~(pattern ^ base), first)
+        base = np.repeat(pattern[first], end - first, axis=0)
+        same = np.bitwise_and.reduceat(mask & ~(pattern ^ base), first, axis=0)
         out.append((first, end, same, pattern[first] & same))
         own = own[first]
 
 
-def links_in_groups(prints: np.ndarray, group: np.ndarray, distance: int = DISTANCE) -> tuple[np.ndarray, np.ndarray]:
-    """Stars (print, hub) that join the fingerprints of each group within ``distance``.
+def links_in_groups(prints: np.ndarray, group: np.ndarray, distances: tuple[int, ...] = (DISTANCE,)) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows that span the clusters of each group, of all pairs within the last of ``distances``.
 
-    Rows stand in order of group and Gray rank. Returned are, for every row that is linked to an
-    earlier one, directly or over others, its fingerprint and that of the first row of its cluster.
+    ``prints`` has one row per fingerprint and a column per 64 bits; rows stand in order of group and
+    Gray rank. Pairs within a smaller distance are taken first, so the spanning pairs are close ones.
     """
     levels = _levels(prints, group)
     label = np.arange(len(prints))
-    top = np.arange(len(levels[-1][0]))
-    stack = [(len(levels) - 1, top[i : i + _FRONT], top[i : i + _FRONT]) for i in range(0, len(top), _FRONT)]
-    while stack:
-        level, a, b = stack.pop()
-        first, end, mask, pattern = levels[level]
-        near = np.bitwise_count((pattern[a] ^ pattern[b]) & mask[a] & mask[b]) <= distance
-        if level == 0:
-            near &= a != b
-        a, b = a[near], b[near]
-        if not len(a):
-            continue
-        if level == 0:
-            _unite(label, a, b)
-            continue
-        # All pairs of children; of a node with itself, only one order.
-        na, nb = end[a] - first[a], end[b] - first[b]
-        total = na * nb
-        for cut in range(0, len(a), max(1, _FRONT // (FAN * FAN))):
-            some = slice(cut, cut + max(1, _FRONT // (FAN * FAN)))
-            t = total[some]
-            which = np.repeat(np.arange(len(a))[some], t)
-            k = np.arange(int(t.sum())) - np.repeat(np.cumsum(t) - t, t)
-            ca, cb = first[a[which]] + k // nb[which], first[b[which]] + k % nb[which]
-            keep = (a[which] != b[which]) | (ca <= cb)
-            stack.append((level - 1, ca[keep], cb[keep]))
-    root = label
-    while True:
-        nxt = root[root]
-        if (nxt == root).all():
-            break
-        root = nxt
-    linked = root != np.arange(len(root))
-    return prints[linked], prints[root[linked]]
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    for distance in distances:
+        top = np.arange(len(levels[-1][0]))
+        stack = [(len(levels) - 1, top[i : i + _FRONT], top[i : i + _FRONT]) for i in range(0, len(top), _FRONT)]
+        while stack:
+            level, a, b = stack.pop()
+            first, end, mask, pattern = levels[level]
+            near = np.bitwise_count((pattern[a] ^ pattern[b]) & mask[a] & mask[b]).sum(axis=1) <= distance
+            if level == 0:
+                near &= a != b
+            a, b = a[near], b[near]
+            if not len(a):
+                continue
+            if level == 0:
+                _unite(label, a, b, found)
+                continue
+            # All pairs of children; of a node with itself, only one order.
+            na, nb = end[a] - first[a], end[b] - first[b]
+            total = na * nb
+            for cut in range(0, len(a), max(1, _FRONT // (FAN * FAN))):
+                some = slice(cut, cut + max(1, _FRONT // (FAN * FAN)))
+                t = total[some]
+                which = np.repeat(np.arange(len(a))[some], t)
+                k = np.arange(int(t.sum())) - np.repeat(np.cumsum(t) - t, t)
+                ca, cb = first[a[which]] + k // nb[which], first[b[which]] + k % nb[which]
+                keep = (a[which] != b[which]) | (ca <= cb)
+                stack.append((level - 1, ca[keep], cb[keep]))
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return np.concatenate([x for x, _ in found]), np.concatenate([y for _, y in found])
 
 
-def _unite(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
-    """Merge the clusters of each pair, in place; labels point to earlier rows."""
-    while len(a):
+def _unite(label: np.ndarray, a: np.ndarray, b: np.ndarray, found: list[tuple[np.ndarray, np.ndarray]]) -> None:
+    """Merge the clusters of each pair, in place, and note one pair for each merge; labels point to earlier rows."""
+    while True:
         while True:
             ra, rb = label[a], label[b]
             if (label[ra] == ra).all() and (label[rb] == rb).all():
@@ -154,7 +151,11 @@ def _unite(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
             label[a], label[b] = label[ra], label[rb]
         apart = ra != rb
         a, b, ra, rb = a[apart], b[apart], ra[apart], rb[apart]
-        np.minimum.at(label, np.maximum(ra, rb), np.minimum(ra, rb))
+        if not len(a):
+            return
+        later, one = np.unique(np.maximum(ra, rb), return_index=True)
+        label[later] = np.minimum(ra, rb)[one]
+        found.append((a[one], b[one]))
 
 
 def _block_keys(distance: int) -> list[int]:
@@ -169,45 +170,52 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def near_links(prints: DataFrame, distance: int = DISTANCE, group_limit: int = GROUP_LIMIT) -> DataFrame:
-    """Links (a, b) whose components are those of all pairs of ``prints.fp`` (distinct) within ``distance``."""
-    keys = F.array(*[F.struct(F.lit(i).alias("t"), F.col("fp").bitwiseAND(_signed(m)).alias("k")) for i, m in enumerate(_block_keys(distance))])
-    rows = prints.select("fp", F.inline(keys))
-    heavy = rows.groupBy("t", "k").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > group_limit)
+def _linked(rows: DataFrame, prints: list[str], distances: tuple[int, ...], group_limit: int) -> DataFrame:
+    """Links (a, b) that span each group's clusters. ``rows``: group key g, node, and fingerprint columns.
+
+    A group of over ``group_limit`` rows is dealt out to parts by the node's hash, and each pair of parts is a group.
+    """
+    heavy = rows.groupBy("g").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > group_limit)
     parts = F.ceil(F.coalesce("n", F.lit(1)) / F.lit(group_limit)).cast("int")
-    mine = F.pmod(F.xxhash64("fp"), F.col("p")).cast("int")
     dealt = (
-        rows.join(heavy, ["t", "k"], "left")
-        .select("fp", "t", "k", parts.alias("p"))
-        .select("fp", "t", "k", mine.alias("m"), F.explode(F.sequence(F.lit(0), F.col("p") - 1)).alias("o"))
-        .select("fp", F.xxhash64("t", "k", F.least("m", "o"), F.greatest("m", "o")).alias("g"))
+        rows.join(heavy, "g", "left")
+        .withColumn("p", parts)
+        .select("g", "node", *prints, F.pmod(F.xxhash64("node"), F.col("p")).cast("int").alias("m"), F.explode(F.sequence(F.lit(0), F.col("p") - 1)).alias("o"))
+        .select(F.when(F.greatest("m", "o") == 0, F.col("g")).otherwise(F.xxhash64("g", F.least("m", "o"), F.greatest("m", "o"))).alias("g"), "node", *prints)
     )
-    rank = F.col("fp")
+    rank = F.col(prints[0])
     for s in (1, 2, 4, 8, 16, 32):
         rank = rank.bitwiseXOR(F.shiftrightunsigned(rank, s))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        held: list[np.ndarray] = []
         for batch in batches:
-            g, fp = batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64)
-            held.append((g, fp))
-            cut = np.flatnonzero(g != g[-1])
-            if not len(cut) or sum(len(x) for x, _ in held) < (1 << 16):
+            cols = np.stack([c.to_numpy() for c in batch.columns])
+            held.append(cols)
+            cut = np.flatnonzero(cols[0] != cols[0, -1])
+            if not len(cut) or sum(x.shape[1] for x in held) < (1 << 16):
                 continue
             stop = int(cut[-1]) + 1  # the last group may go on
-            held[-1] = (g[:stop], fp[:stop])
+            held[-1] = cols[:, :stop]
             yield joined(held)
-            held = [(g[stop:], fp[stop:])]
+            held = [cols[:, stop:]]
         if held:
             yield joined(held)
 
-    def joined(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-        a, b = links_in_groups(np.concatenate([x for _, x in held]), np.concatenate([x for x, _ in held]), distance)
-        return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
+    def joined(held: list[np.ndarray]) -> pa.RecordBatch:
+        cols = np.concatenate(held, axis=1)
+        a, b = links_in_groups(np.ascontiguousarray(cols[2:].T).view(np.uint64), cols[0], distances)
+        return pa.RecordBatch.from_arrays([pa.array(cols[1, a]), pa.array(cols[1, b])], names=["a", "b"])
 
-    # Equal keys of a group and Gray rank (unsigned order) for the index.
+    # Gray rank as an unsigned number.
     ordered = dealt.repartition("g").sortWithinPartitions("g", rank.bitwiseXOR(F.lit(-(1 << 63))))
-    return ordered.select("g", "fp").mapInArrow(run, "a bigint, b bigint")
+    return ordered.select("g", "node", *prints).mapInArrow(run, "a bigint, b bigint")
+
+
+def near_links(prints: DataFrame, distance: int = DISTANCE, group_limit: int = GROUP_LIMIT) -> DataFrame:
+    """Links (a, b) whose components are those of all pairs of ``prints.fp`` (distinct) within ``distance``."""
+    keys = F.array(*[F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(_signed(m))) for i, m in enumerate(_block_keys(distance))])
+    return _linked(prints.select(F.explode(keys).alias("g"), F.col("fp").alias("node"), "fp"), ["fp"], (distance,), group_limit)
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, distance: int = DISTANCE, group_limit: int = GROUP_LIMIT) -> DataFrame:
@@ -221,19 +229,6 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return prints.df.join(rooted.join(lowest, "root").select("fp", "component_id"), "fp").select(id_col, "fp", "component_id")
 
 
-def first_of_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, distance: int = DISTANCE) -> DataFrame:
-    """``docs`` with one row of each component: that of the smallest id, the first stored among equals, a null id last.
-
-    ``docs`` must be a repeatable plan such as a table scan, as rows are numbered by their place in it.
-    """
-    row = unused("_row", docs)
-    numbered = docs.withColumn(row, F.monotonically_increasing_id())
-    key = F.struct(F.col(id_col).isNull().alias("a"), F.col(id_col).alias("b"), F.col(row).alias("c"))
-    groups = near_groups(numbered.select(key.alias("key"), F.col(text_col).alias("text")), "key", "text", words, distance)
-    kept = groups.filter("key.c = component_id.c").select(F.col("key.c").alias(row))
-    return numbered.join(kept, row, "left_semi").drop(row)
-
-
 def near_digests(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint as 16 hexadecimal digits, component_id."""
     return near_groups(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -127,20 +127,20 @@ def _places(bits: int) -> list[int]:
     return [(64 - bits) * i // (PLACES - 1) for i in range(PLACES)]
 
 
-def _bloom(anchors: DataFrame, bits: int) -> np.ndarray:
-    """Bit set of the anchors' places; at most 2**bits / 64 rows of it come to the driver."""
-    places = [F.shiftrightunsigned("anchor", s).bitwiseAND((1 << bits) - 1) for s in _places(bits)]
-    words = anchors.select(F.explode(F.array(*places)).alias("p")).select(F.shiftright("p", 6).alias("w"), _bit(F.col("p").bitwiseAND(63)).alias("b"))
+def bloom_bits(hashes: DataFrame, name: str, bits: int) -> np.ndarray:
+    """Bit set of a Bloom filter over a column of hashes; at most 2**bits / 64 rows of it come to the driver."""
+    places = [F.shiftrightunsigned(name, s).bitwiseAND((1 << bits) - 1) for s in _places(bits)]
+    words = hashes.select(F.explode(F.array(*places)).alias("p")).select(F.shiftright("p", 6).alias("w"), _bit(F.col("p").bitwiseAND(63)).alias("b"))
     got = words.groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
     out = np.zeros(1 << (bits - 6), _U)
     out[got["w"].to_numpy()] = got["b"].to_numpy().view(_U)
     return out
 
 
-def _in_bloom(bloom: np.ndarray, anchors: np.ndarray, bits: int) -> np.ndarray:
-    hit = np.ones(len(anchors), bool)
+def in_bloom(bloom: np.ndarray, hashes: np.ndarray, bits: int) -> np.ndarray:
+    hit = np.ones(len(hashes), bool)
     for s in _places(bits):
-        p = (anchors >> _U(s)) & _U((1 << bits) - 1)
+        p = (hashes >> _U(s)) & _U((1 << bits) - 1)
         hit &= (bloom[(p >> _U(6)).astype(np.int64)] >> (p & _U(63))) & _U(1) == 1
     return hit
 
@@ -172,7 +172,7 @@ def repeated_windows(texts: DataFrame, window: int = WINDOW, group: int = GROUP,
         raise ValueError("a window must be longer than a word group, by 62 at most")
     spark = texts.sparkSession
     index = Table(_index(texts.select("text"), window, group)).df
-    same, differ = (spark.sparkContext.broadcast(_bloom(index.filter(c), bits)) for c in ("NOT differ", "differ"))
+    same, differ = (spark.sparkContext.broadcast(bloom_bits(index.filter(c), "anchor", bits)) for c in ("NOT differ", "differ"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -182,8 +182,8 @@ def repeated_windows(texts: DataFrame, window: int = WINDOW, group: int = GROUP,
                     if len(words) < window:
                         continue
                     b = Blocks(words, window, group)
-                    open_ = _in_bloom(differ.value, b.anchor, bits)
-                    take = np.flatnonzero(open_ | _in_bloom(same.value, b.anchor, bits))
+                    open_ = in_bloom(differ.value, b.anchor, bits)
+                    take = np.flatnonzero(open_ | in_bloom(same.value, b.anchor, bits))
                     if not len(take):
                         continue
                     lists = [b.windows[f : f + c].view(np.int64) if o else None for f, c, o in zip(b.first[take], b.count[take], open_[take])]
