@@ -1,6 +1,6 @@
 """Language identification of mixed texts: script ranges, per-word scores, Viterbi spans.
 
-A model holds, for each learned language, how often letter groups (2 to 4 letters of words with their
+A model holds, for each learned language, how often letter groups (2 and 3 letters of words with their
 borders, and whole words) occur, and which scripts it is written in. A word's script narrows the
 candidates; each candidate's score is its log-likelihood against the candidates' mean. Over the words
 of a text, Viterbi with a penalty for each change of language labels every word, so single foreign
@@ -26,7 +26,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -36,7 +35,7 @@ from tidemark.llm.bpe_trie import slices
 
 UNKNOWN = "und"
 #: Sampled rows per language and letter groups in the model.
-PER_LANG, GRAMS = 4_000, 300_000
+PER_LANG, GRAMS = 1_500, 120_000
 #: What a change of language costs, the limit of one word's score, and the words that a task remembers.
 SWITCH, WORD_CAP, MEMO = 14.0, 6.0, 500_000
 
@@ -59,33 +58,38 @@ def script(word: str) -> str:
 
 
 def grams(word: str) -> list[str]:
-    """Letter groups of a lower-case word with borders; the word itself, marked, is one of them."""
+    """Pairs and triples of letters of a lower-case word with borders; the word itself, marked, is one more."""
     w = f"^{word}$"
-    return [w[i : i + n] for n in (2, 3, 4) for i in range(len(w) - n + 1)] + ["=" + word]
+    return [w[i : i + n] for n in (2, 3) for i in range(len(w) - n + 1)] + ["=" + word]
 
 
 @dataclass
 class Model:
     langs: list[str]
     scripts: dict[str, np.ndarray]  # script: which languages use it
-    scores: dict[str, np.ndarray]  # letter group: log-likelihoods
+    places: dict[str, int]  # letter group: its row in scores
+    scores: np.ndarray  # log-likelihoods by language
 
 
 def _gram_counts(labelled: DataFrame, text_col: str, lang_col: str) -> DataFrame:
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            for lang, texts in pdf.groupby(lang_col)[text_col]:
-                words: Counter = Counter()
-                for t in texts:
-                    words.update(_LETTERS.findall(t.lower()))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words: dict[str, Counter] = {}
+            langs = batch.column(1).to_pylist()
+            for start, texts in slices(batch.column(0)):
+                for k, t in enumerate(texts, start):
+                    words.setdefault(langs[k], Counter()).update(_LETTERS.findall(t.lower()))
+            for lang, counted in words.items():
                 found: Counter = Counter()
-                for w, n in words.items():
+                for w, n in counted.items():
                     for g in grams(w):
                         found[g] += n
                     found["#" + script(w)] += n
-                yield pd.DataFrame({"gram": list(found), "lang": lang, "n": list(found.values())})
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(found.keys(), pa.string()), pa.array([lang] * len(found), pa.string()), pa.array(found.values(), pa.int64())], names=["gram", "lang", "n"]
+                )
 
-    counted = labelled.select(text_col, lang_col).mapInPandas(run, "gram string, lang string, n bigint")
+    counted = labelled.select(text_col, lang_col).mapInArrow(run, "gram string, lang string, n bigint")
     return counted.groupBy("gram", "lang").agg(F.sum("n").alias("n"))
 
 
@@ -94,7 +98,7 @@ def fit(docs: DataFrame, use: Column, id_col: str = "doc_id", text_col: str = "t
     rows = docs.filter(use & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     sizes = {r[0]: r[1] for r in rows.groupBy(lang_col).count().collect()}
     if not sizes:
-        return Model([], {}, {})
+        return Model([], {}, {}, np.zeros((0, 0), np.float32))
     share = F.create_map(*[x for lang, n in sizes.items() for x in (F.lit(lang), F.lit(min(1.0, per_lang / n)))])
     place = F.pmod(F.xxhash64(F.lit("sample"), id_col, F.xxhash64(text_col)), F.lit(1 << 30)) / float(1 << 30)
     counted = _gram_counts(rows.filter(place < share[F.col(lang_col)]), text_col, lang_col)
@@ -103,27 +107,18 @@ def fit(docs: DataFrame, use: Column, id_col: str = "doc_id", text_col: str = "t
 
     langs = sorted(sizes)
     spot = {lang: i for i, lang in enumerate(langs)}
-    counts = {r["gram"]: [(spot[k], v) for k, v in r["by"].items()] for r in top}
-    table = {}
-    scripts = {}
-    totals = np.ones(len(langs))
-    for g, by in counts.items():
-        row = np.zeros(len(langs))
-        for i, n in by:
-            row[i] = n
-        if g[0] == "#":
-            scripts[g[1:]] = row
-        else:
-            table[g] = row
-            totals += row
-    written = sum(scripts.values(), np.zeros(len(langs)))
-    scripts = {s: row >= 0.01 * np.maximum(written, 1) for s, row in scripts.items()}
-    prior = 0.5
-    return Model(
-        langs,
-        {s: use for s, use in scripts.items() if use.any()},
-        {g: np.log((row + prior) / totals).astype("float32") for g, row in table.items()},
-    )
+    counts = np.zeros((len(top), len(langs)))
+    for row, r in zip(counts, top):
+        for lang, n in r["by"].items():
+            row[spot[lang]] = n
+    names = [r["gram"] for r in top]
+    marks = np.array([g[0] == "#" for g in names], bool)
+    written = counts[marks].sum(axis=0)
+    scripts = {g[1:]: row >= 0.01 * np.maximum(written, 1) for g, row, m in zip(names, counts, marks) if m}
+    groups = counts[~marks]
+    scores = np.log((groups + 0.5) / (groups.sum(axis=0) + 1)).astype(np.float32)
+    places = {g: i for i, g in enumerate(g for g, m in zip(names, marks) if not m)}
+    return Model(langs, {s: use for s, use in scripts.items() if use.any()}, places, scores)
 
 
 class Labeller:
@@ -131,47 +126,68 @@ class Labeller:
 
     def __init__(self, model: Model):
         self.model = model
+        names = sorted(model.scripts)
+        self.script_at = {s: i for i, s in enumerate(names)}
+        self.uses = np.array([model.scripts[s] for s in names], bool).reshape(len(names), len(model.langs))
+        self._clear()
+
+    def _clear(self) -> None:
         self.known: dict[str, int] = {}
-        self.rows: list[np.ndarray] = []
-        self.letters: list[int] = []
-
-    def score(self, piece: str) -> tuple[np.ndarray, int]:
-        """Scores of the languages for a piece of lower-case text, and its letters."""
-        m = self.model
-        out, letters = np.zeros(len(m.langs)), 0
-        for w in _LETTERS.findall(piece):
-            letters += len(w)
-            use = m.scripts.get(script(w))
-            if use is None:
-                continue
-            found = [m.scores[g] for g in grams(w) if g in m.scores]
-            if not found:
-                continue
-            s = np.sum(found, axis=0) / 3
-            mean = s[use].mean()
-            out += np.where(use, np.clip(s - mean, -WORD_CAP, WORD_CAP), -WORD_CAP)
-        return out, letters
+        self.rows = np.zeros((1024, len(self.model.langs)), np.float32)
+        self.letters = np.zeros(1024, np.int64)
+
+    def learn(self, pieces: list[str]) -> None:
+        """Score new pieces of lower-case text and count their letters."""
+        base, n = len(self.known), len(pieces)
+        if base + n > len(self.rows):
+            size = 2 * (base + n)
+            self.rows, old = np.zeros((size, self.rows.shape[1]), np.float32), self.rows
+            self.letters, old_letters = np.zeros(size, np.int64), self.letters
+            self.rows[:base], self.letters[:base] = old[:base], old_letters[:base]
+        places, script_at = self.model.places, self.script_at
+        flat: list[int] = []
+        sizes: list[int] = []
+        owner: list[int] = []
+        scripts: list[int] = []
+        for i, p in enumerate(pieces, base):
+            words = [p] if p.isalpha() else _LETTERS.findall(p)
+            for w in words:
+                self.letters[i] += len(w)
+                at = script_at.get("latin" if w[0] < "\u0370" else script(w))
+                if at is None:
+                    continue
+                found = [places[g] for g in grams(w) if g in places]
+                if found:
+                    flat += found
+                    sizes.append(len(found))
+                    owner.append(i)
+                    scripts.append(at)
+        self.known.update(zip(pieces, range(base, base + n)))
+        if not owner:
+            return
+        starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+        sums = np.add.reduceat(self.model.scores[flat], starts, axis=0) / 2
+        use = self.uses[scripts]
+        mean = (sums * use).sum(axis=1, keepdims=True) / use.sum(axis=1, keepdims=True)
+        np.add.at(self.rows, owner, np.where(use, np.clip(sums - mean, -WORD_CAP, WORD_CAP), -WORD_CAP))
 
     def label(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
         """For each text, the language number of each of its pieces with letters, and their letters."""
         if len(self.known) > MEMO:
-            self.known, self.rows, self.letters = {}, [], []
+            self._clear()
         if not self.model.langs:
             return [(np.zeros(0, np.int8), np.zeros(0, np.int64))] * len(texts)
         split = [t.lower().split() if t else [] for t in texts]
-        new = set().union(*split) - self.known.keys() if split else set()
-        for p in sorted(new):
-            self.known[p] = len(self.rows)
-            row, n = self.score(p)
-            self.rows.append(row)
-            self.letters.append(n)
-        get, letters = self.known.__getitem__, np.array(self.letters, dtype=np.int64)
-        rows = np.array(self.rows, dtype=np.float32).reshape(-1, len(self.model.langs))
-        docs = []
+        new: set[str] = set()
+        new.update(*split)
+        new -= self.known.keys()
+        if new:
+            self.learn(sorted(new))
+        get, letters, docs = self.known.__getitem__, self.letters, []
         for pieces in split:
             at = np.fromiter(map(get, pieces), np.int64, len(pieces))
-            docs.append(at[letters[at] > 0] if len(at) else at)
-        labels = viterbi([rows[at] for at in docs])
+            docs.append(at[letters[at] > 0])
+        labels = viterbi([self.rows[at] for at in docs])
         return [(lab, letters[at]) for lab, at in zip(labels, docs)]
 
 
@@ -254,7 +270,8 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", lang_name: st
 
     schema = T.StructType([*docs.schema.fields, T.StructField(lang_name, T.StringType()), T.StructField(score_name, T.DoubleType())])
     if spans_name:
-        schema = schema.add(spans_name, "array<struct<lang:string,pieces:bigint,letters:bigint>>")
+        span = T.StructType().add("lang", T.StringType()).add("pieces", T.LongType()).add("letters", T.LongType())
+        schema = schema.add(spans_name, T.ArrayType(span))
     schema_names = schema.names
     return docs.mapInArrow(run, schema)
 
