@@ -207,11 +207,9 @@ def repeated_windows(texts: DataFrame, window: int = WINDOW, group: int = GROUP,
     distinct = edges.groupBy("anchor", "content").agg(F.count(F.lit(1)).alias("n"), F.first("windows").alias("windows"))
     single = distinct.select("anchor", "content", "n", F.posexplode("windows").alias("i", "w"))
     twice = single.groupBy("anchor", "w").agg(F.sum("n").alias("n")).filter("n > 1").select("anchor", "w")
-    masks = (
-        single.join(twice, ["anchor", "w"], "left_semi")
-        .groupBy("anchor", "content")
-        .agg(F.bit_or(_bit(F.col("i"))).alias("mask"))
-    )
+    masks = single.join(twice, ["anchor", "w"], "left_semi").groupBy("anchor", "content").agg(F.bit_or(_bit(F.col("i"))).alias("mask"))
+    # Written, so that both sides of the next join are exchanges and a block that stands everywhere can be split.
+    masks = Table(masks).df
     parts = edges.select("row", "first", "anchor", "content").join(masks, ["anchor", "content"]).select("row", "first", "mask")
     return whole.unionByName(parts)
 
