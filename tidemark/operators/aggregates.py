@@ -3,11 +3,8 @@
 from __future__ import annotations
 
 from itertools import combinations
-from math import isnan
 
 import pandas as pd
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.stat import Correlation
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -155,18 +152,17 @@ def student_p(t: pd.Series, dof: pd.Series) -> pd.Series:
 
 
 def correlation_matrix(df: DataFrame, features: list[str]) -> DataFrame:
-    """Every pairwise Pearson correlation: ``f1, f2, r`` (null for a constant feature).
+    """Every pairwise Pearson correlation: ``f1, f2, r``.
 
-    One pass that keeps a features × features Gram matrix per task; only that matrix comes back.
-    Rows with a null feature are left out.
+    Each pair uses the rows in which both features are there (NaN counts as missing); ``r`` is null
+    for a constant or empty feature, or one with infinite values. One lazy aggregate of features ×
+    features moments, pre-aggregated in every task.
     """
-    vectors = VectorAssembler(inputCols=features, outputCol="_v", handleInvalid="skip").transform(df).select("_v")
-    r = Correlation.corr(vectors, "_v").head()[0].toArray()
-    rows = [
-        (a, b, None if isnan(r[i, j]) else float(r[i, j]))
-        for (i, a), (j, b) in combinations(enumerate(features), 2)
-    ]
-    return df.sparkSession.createDataFrame(rows, "f1 string, f2 string, r double")
+    clean = df.select(*[F.when(~F.isnan(F.col(f).cast("double")), F.col(f).cast("double")).alias(f) for f in features])
+    pairs = list(combinations(features, 2))
+    row = clean.agg(*[F.corr(a, b).alias(f"_r{i}") for i, (a, b) in enumerate(pairs)])
+    cells = [F.struct(F.lit(a).alias("f1"), F.lit(b).alias("f2"), F.when(~F.isnan(f"_r{i}"), F.col(f"_r{i}")).alias("r")) for i, (a, b) in enumerate(pairs)]
+    return row.select(F.inline(F.array(*cells)))
 
 
 def agreement(df: DataFrame, a: Column, b: Column) -> DataFrame:

@@ -130,7 +130,9 @@ def sliding_base(
 ) -> DataFrame:
     """Base columns of every full window ``[k*step, k*step+size-1]`` of a dense stream.
 
-    Also returns start and end position and clock, and the last value of each flag.
+    Also returns start and end position and clock, and the last value of each flag. A window counts
+    only if all of its readings are there; one with a null reading is dropped, here as in
+    :func:`window_base` and :func:`tidemark.operators.windows.window_arrays`.
     """
     width = pane_length(size, step, variant)
     panes_in = size // width
@@ -159,7 +161,7 @@ def sliding_base(
         with_stats(rows, stats)
         .groupBy(chunk_of("idx", width).alias("pane"))
         .agg(
-            F.count(F.lit(1)).alias("_n"),
+            F.count(v).alias("_n"),
             F.sum(d).alias("_s1"),
             F.sum(d * d).alias("_s2"),
             F.sum(off * d).alias("_sx"),

@@ -7,12 +7,21 @@ size estimate) or to sort-merge a large one. No cross joins.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.index import chunk_of
+from tidemark.operators.index import CHUNK, chunk_of, drop_halo, halo, in_chunk
 
-BIN = 4096
+#: Bin where the spans' length is not known; callers that know it pass ``bin_width``.
+BIN = 512
+
+
+def bin_width(span: int) -> int:
+    """Bin for spans of a known length: the next power of two from twice the length, 64 at least.
+
+    A span then touches two bins at most and meets at most four times as many points as it holds.
+    """
+    return max(64, 1 << (2 * span - 1).bit_length())
 
 
 def flag_around(
@@ -20,22 +29,41 @@ def flag_around(
 ) -> DataFrame:
     """Boolean columns that say whether a sample lies in ``[centre+lo, centre+hi]`` of any event.
 
-    Intervals are a few samples wide, so they are spelled out as positions and merged to one row
-    per position before a single left equi-join sets all flags.
+    Centres are gathered by the narrow bins that their flags can reach, distinct and so at most a
+    few hundred per bin, and one left equi-join on the bin sets all flags. The catalogue may be
+    another table of any size; where events are rows of the stream itself, :func:`flag_ordered`
+    needs no join and keeps the stream in order.
     """
     lo = min(a for a, _ in flags.values())
     hi = max(b for _, b in flags.values())
-    c = F.col(centre)
-    marks = (
-        centres.select(c, F.explode(F.sequence(c + lo, c + hi)).alias(by))
-        .groupBy(by)
-        .agg(*[F.bool_or((F.col(by) - c).between(a, b)).alias(n) for n, (a, b) in flags.items()])
-    )
-    return stream.join(marks, by, "left").select(
-        *stream.columns, *[F.coalesce(F.col(n), F.lit(False)).alias(n) for n in flags]
+    width = bin_width(hi - lo + 1)
+    reach = centres.select(F.col(centre).alias("_c")).distinct().select("_c", (F.col("_c") + lo).alias("_lo"), (F.col("_c") + hi).alias("_hi"))
+    marks = over_bins(reach, "_lo", "_hi", width).groupBy("_bin").agg(F.collect_set("_c").alias("_centres"))
+    near = lambda a, b: F.coalesce(F.exists("_centres", lambda c: (F.col(by) - c).between(a, b)), F.lit(False))
+    return (
+        stream.withColumn("_bin", chunk_of(by, width))
+        .join(marks, "_bin", "left")
+        .select(*stream.columns, *[near(a, b).alias(n) for n, (a, b) in flags.items()])
     )
 
 
+def flag_ordered(
+    stream: DataFrame, is_centre: Column, flags: dict[str, tuple[int, int]], chunk: int = CHUNK, by: str = "idx"
+) -> DataFrame:
+    """As :func:`flag_around`, for centres that are rows of the stream itself; the result is in ``by`` order.
+
+    Chunks with halo rows are dealt out by range, so each partition holds a contiguous run of the
+    stream, sorted, and frames answer the flags: one shuffle, no join. Written as it is, the files'
+    position ranges do not overlap and position filters skip row groups.
+    """
+    before, after = max(0, *(b for _, b in flags.values())), max(0, *(-a for a, _ in flags.values()))
+    marked = stream.withColumn("_centre", F.coalesce(is_centre, F.lit(False)))
+    near = halo(marked, before, after, chunk, by).repartitionByRange("_chunk")
+    w = in_chunk(by)
+    set_ = {n: F.coalesce(F.max("_centre").over(w.rowsBetween(-b, -a)), F.lit(False)) for n, (a, b) in flags.items()}
+    return drop_halo(near.select(*stream.columns, "_own", "_chunk", *[e.alias(n) for n, e in set_.items()]))
+
+
 def over_bins(intervals: DataFrame, lo: str, hi: str, width: int = BIN) -> DataFrame:
     """One row per bin that the interval touches."""
     return intervals.select(
@@ -112,12 +140,12 @@ def containment_join(
 
 
 def neighbourhood(
-    stream: DataFrame, anchors: DataFrame, anchor: str, before: int, after: int, by: str = "idx", width: int = BIN
+    stream: DataFrame, anchors: DataFrame, anchor: str, before: int, after: int, by: str = "idx"
 ) -> DataFrame:
     """Rows of ``[anchor-before, anchor+after]`` of every anchor, with ``rel_pos`` = distance to it."""
     a = F.col(anchor)
     spans = anchors.withColumn("_lo", F.greatest(a - before, F.lit(0).cast("long"))).withColumn("_hi", a + after)
-    out = interval_join(stream, spans, by, "_lo", "_hi", width=width)
+    out = interval_join(stream, spans, by, "_lo", "_hi", width=bin_width(before + after + 1))
     return out.withColumn("rel_pos", F.col(by) - a).drop("_lo", "_hi")
 
 

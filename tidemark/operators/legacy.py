@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -150,20 +153,43 @@ def post_filter_keeps(sharp_drop: float = -0.35, after_initial: float = 0.1, slo
 
 
 def savgol(stream: DataFrame, lengths=(5, 11, 21), chunk: int = CHUNK, value: str = "pressure") -> DataFrame:
-    """Quadratic smoothing by constant weights; null where the frame is cut by the stream's ends."""
-    exprs = {}
+    """Quadratic smoothing: each row is the least-squares parabola of its ``n`` neighbours, read at the row.
+
+    The first and last ``n // 2`` rows of the stream read the parabola of the nearest whole frame at
+    their own place. Null where a frame holds a null, or the stream is shorter than ``n``.
+    """
+    reach, w = max(lengths) // 2, in_chunk()
+    near = halo(stream, 2 * reach, 2 * reach, chunk)
+    fits = {}
     for n in lengths:
         h = n // 2
-        terms = [
-            F.lit(w) * (F.lag(value, -k) if k < 0 else F.lead(value, k)).over(in_chunk())
-            for k, w in zip(range(-h, h + 1), savgol_weights(n))
-        ]
-        total = terms[0]
-        for t in terms[1:]:
-            total = total + t
-        exprs[f"smooth_{n}"] = total
-    reach = max(lengths) // 2
-    return rolling(stream, exprs, reach, reach, chunk)
+        s0, s2, s4 = (float(sum(k**e for k in range(-h, h + 1))) for e in (0, 2, 4))
+        at = {k: (F.lag(value, -k) if k < 0 else F.lead(value, k)).over(w) for k in range(-h, h + 1)}
+        weighted = lambda f: reduce(add, [F.lit(f(k)) * at[k] for k in at])  # noqa: B023, E731
+        parts = {
+            "a0": weighted(dict(zip(at, savgol_weights(n))).get),
+            "a1": weighted(lambda k: k / s2),
+            "a2": weighted(lambda k: (s0 * k * k - s2) / (s0 * s4 - s2 * s2)),
+        }
+        fits[n] = F.when(parts["a0"].isNotNull(), F.struct(F.col("idx").alias("c"), *[e.alias(a) for a, e in parts.items()]))
+    near = near.select("*", *[e.alias(f"_fit_{n}") for n, e in fits.items()])
+    # Only rows at the stream's ends have neighbours missing, so only they look for another frame.
+    first, last = F.min("idx").over(w.rowsBetween(-reach, reach)), F.max("idx").over(w.rowsBetween(-reach, reach))
+    near = near.select("*", first.alias("_first"), last.alias("_last"))
+    out = {}
+    for n in lengths:
+        h, own = n // 2, F.col(f"_fit_{n}")
+        head = F.first(own, ignorenulls=True).over(w.rowsBetween(0, h))
+        tail = F.last(own, ignorenulls=True).over(w.rowsBetween(-h, 0))
+        cut_head, cut_tail = F.col("idx") - F.col("_first") < h, F.col("_last") - F.col("idx") < h
+        fit = F.when(cut_head, head).when(cut_tail, tail).otherwise(own)
+        x = (F.col("idx") - F.col("_use.c")).cast("double")
+        out[n] = (fit, F.col("_use.a0") + F.col("_use.a1") * x + F.col("_use.a2") * x * x)
+    keep = [c for c in near.columns if not c.startswith("_fit_") and c not in ("_first", "_last")]
+    for n, (fit, smooth) in out.items():
+        near = near.withColumn("_use", fit).withColumn(f"smooth_{n}", smooth)
+        keep.append(f"smooth_{n}")
+    return drop_halo(near.select(*keep))
 
 
 def corrected_skew(skew: Column, n: Column) -> Column:

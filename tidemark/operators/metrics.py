@@ -102,6 +102,15 @@ def pr_points(curve: DataFrame) -> DataFrame:
     )
 
 
+def with_end_point(points: DataFrame) -> DataFrame:
+    """Precision-recall points and the conventional end of the curve: precision 1, recall 0, no threshold."""
+    end = points.sparkSession.range(1).select(
+        F.lit(None).cast("double").alias("threshold"), F.lit(0).cast("long").alias("tp"), F.lit(0).cast("long").alias("fp"),
+        F.lit(1.0).alias("precision"), F.lit(0.0).alias("recall"),
+    )
+    return points.unionByName(end)
+
+
 def average_precision(curve: DataFrame) -> DataFrame:
     """Σ (Rₙ − Rₙ₋₁)·Pₙ over distinct scores."""
     c = F.col

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.attach import attach
 from tidemark.operators.index import CHUNK, centred, chunk_of, halo, in_chunk, renumber, rolling, trailing
-from tidemark.operators.intervals import interval_join
+from tidemark.operators.intervals import bin_width, interval_join
 
 TRUE, FALSE, OMIT = "True", "False", "Omit"
 
@@ -88,7 +88,7 @@ def lookahead_label(
 def windows_from(stream: DataFrame, starts: DataFrame, size: int, start: str = "start_idx") -> DataFrame:
     """Long form of the windows ``[start, start+size-1]`` listed in ``starts``, with ``pos``."""
     spans = starts.withColumn("_hi", F.col(start) + size - 1)
-    return interval_join(stream, spans, "idx", start, "_hi").withColumn("pos", F.col("idx") - F.col(start)).drop("_hi")
+    return interval_join(stream, spans, "idx", start, "_hi", width=bin_width(size)).withColumn("pos", F.col("idx") - F.col(start)).drop("_hi")
 
 
 def tumbling(stream: DataFrame, size: int = 60) -> DataFrame:
@@ -100,7 +100,8 @@ def window_arrays(stream: DataFrame, size: int, step: int, value: str = "pressur
     """``end_idx`` and ``samples ARRAY`` of every full window ``[k*step, k*step+size-1]``.
 
     Samples are gathered once per pane of ``gcd(size, step)`` rows; a window is the concatenation
-    of its panes, so no sample is shuffled more than once and no array outgrows ``size``.
+    of its panes, so no sample is shuffled more than once and no array outgrows ``size``. Windows
+    with a null reading are dropped.
     """
     width = gcd(size, step)
     panes_in = size // width
@@ -115,6 +116,7 @@ def window_arrays(stream: DataFrame, size: int, step: int, value: str = "pressur
     joined = F.concat(*[F.lead("_a", k).over(w) if k else F.col("_a") for k in range(panes_in)])
     out = near.select("pane", "_own", joined.alias("samples")).filter(
         F.col("_own") & (F.col("pane") % (step // width) == 0) & (F.size("samples") == size)
+        & ~F.exists("samples", lambda v: v.isNull())
     )
     return out.select((F.col("pane") * width + size - 1).alias("end_idx"), "samples")
 
@@ -141,7 +143,7 @@ def context_windows(stream: DataFrame, anchors: DataFrame, before: int, after: i
         .drop("_last")
     )
     return (
-        interval_join(stream, whole, "idx", "_lo", "_hi")
+        interval_join(stream, whole, "idx", "_lo", "_hi", width=bin_width(before + after))
         .withColumn("rel_pos", F.col("idx") - F.col("anchor"))
         .drop("_lo", "_hi")
     )

@@ -13,10 +13,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators.index import pick_chunk
-from tidemark.operators.intervals import flag_around
+from tidemark.operators.intervals import flag_ordered
 from tidemark.operators.windows import right_edge_label, window_ends
-from tidemark.session import materialise
-from tidemark.sources.adapters import catalogue_from_stream, events_as_stream
+from tidemark.session import kept, materialise, on_delete
+from tidemark.sources.adapters import catalogue_from_stream, events_as_stream, is_event
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -41,16 +41,35 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def stored(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
-    key = (spark.sparkContext.applicationId, str(sf_dir), name)
+def listing(spark: SparkSession, folder: str) -> tuple:
+    """Names, sizes and times of a table's files, so that a rewritten table is another one."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return tuple(sorted((f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in fs.listStatus(path)))
+
+
+def stored(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], object], keep: bool = False):
+    """``build()``, once per application and state of the event table; ``keep`` holds it beyond a scratch scope."""
+    key = (spark.sparkContext.applicationId, listing(spark, f"{sf_dir}/events.parquet"), name)
     if key not in _STORED:
-        _STORED[key] = build()
+        if keep:
+            with kept():
+                _STORED[key] = build()
+        else:
+            _STORED[key] = build()
     return _STORED[key]
 
 
+@on_delete
+def _forget(folder: str) -> None:
+    for key, value in list(_STORED.items()):
+        if isinstance(value, DataFrame) and any(folder.split(":")[-1] in f for f in value.inputFiles()[:1]):
+            del _STORED[key]
+
+
 def raw_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Indexed observation stream without event flags."""
-    return stored(spark, sf_dir, "raw", lambda: materialise(events_as_stream(table(spark, sf_dir, "events"))))
+    """Indexed observation stream without event flags: the sorted parts, numbered as they are read."""
+    return stored(spark, sf_dir, "raw", lambda: events_as_stream(table(spark, sf_dir, "events")), keep=True)
 
 
 def catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,17 +77,18 @@ def catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Indexed observation stream with the three interval flags."""
-    return stored(
-        spark,
-        sf_dir,
-        "flagged",
-        lambda: materialise(flag_around(raw_stream(spark, sf_dir), catalogue(spark, sf_dir), FLAGS)),
-    )
+    """Indexed observation stream with the three interval flags, stored in ``idx`` order."""
+
+    def build():
+        raw = raw_stream(spark, sf_dir)
+        cut = pick_chunk(raw.count(), spark.sparkContext.defaultParallelism)
+        return materialise(flag_ordered(raw, is_event(), FLAGS, cut))
+
+    return stored(spark, sf_dir, "flagged", build, keep=True)
 
 
 def chunk(spark: SparkSession, sf_dir: str) -> int:
-    rows = stored(spark, sf_dir, "rows", lambda: stream(spark, sf_dir).count())
+    rows = stored(spark, sf_dir, "rows", lambda: stream(spark, sf_dir).count(), keep=True)
     return pick_chunk(rows, spark.sparkContext.defaultParallelism)
 
 

@@ -172,16 +172,19 @@ def k3(spark, sf):
 @query(
     "a6_a7_two_sample",
     sql(
-        f"SELECT n1, n0, n1 + n0 - 2 AS dof, {q6('(m1 - m0) / sqrt(((n1 - 1) * v1 + (n0 - 1) * v0) / (n1 + n0 - 2) * (1 / n1 + 1 / n0))', 't')}, "
+        f"SELECT n1, n0, dof, t, cohens_d, round(1 - 2 * abs(t0) / 4000 / 3 * exp(lgamma((dof + 1) / 2.0) - lgamma(dof / 2.0)) / sqrt(dof * pi()) * list_sum(list_transform(range(0, 4001), "
+        "lambda i: (CASE WHEN i IN (0, 4000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * power(1 + (i * t0 / 4000) * (i * t0 / 4000) / dof, -(dof + 1) / 2.0))), 6) + 0.0 AS p_value "
+        f"FROM (SELECT n1, n0, n1 + n0 - 2 AS dof, (m1 - m0) / sqrt(((n1 - 1) * v1 + (n0 - 1) * v0) / (n1 + n0 - 2) * (1 / n1 + 1 / n0)) AS t0, {q6('(m1 - m0) / sqrt(((n1 - 1) * v1 + (n0 - 1) * v0) / (n1 + n0 - 2) * (1 / n1 + 1 / n0))', 't')}, "
         f"{q6('abs(m1 - m0) / sqrt((v1 + v0) / 2)', 'cohens_d')} FROM (SELECT count(*) FILTER (WHERE y = 1) AS n1, count(*) FILTER (WHERE y = 0) AS n0, "
         "avg(overall_slope) FILTER (WHERE y = 1) AS m1, avg(overall_slope) FILTER (WHERE y = 0) AS m0, var_samp(overall_slope) FILTER (WHERE y = 1) AS v1, "
-        "var_samp(overall_slope) FILTER (WHERE y = 0) AS v0 FROM fl)",
+        "var_samp(overall_slope) FILTER (WHERE y = 0) AS v0 FROM fl))",
         *FEAT,
     ),
 )
 def a6(spark, sf):
     out = ag.two_sample(labelled_windows(spark, sf), "overall_slope")
-    return out.select("n1", "n0", "dof", r6("t", "t"), r6("cohens_d", "cohens_d"))
+    p = F.pandas_udf(ag.student_p, "double")(F.col("t"), F.col("dof").cast("double"))  # one row
+    return out.select("n1", "n0", "dof", r6("t", "t"), r6("cohens_d", "cohens_d"), r6(p, "p_value"))
 
 
 PAIRS = list(combinations(A, 2))

@@ -88,6 +88,14 @@ def rounded(df, variant: str, *keep):
     return df.select(*keep, *[r6(F.col(f) + shift.get(f, 0.0), f) for f in ft.features_of(variant)])
 
 
+# The stream with every 97th reading missing; windows that miss one are dropped.
+HOLES_SQL = """
+sh AS (SELECT * REPLACE (CASE WHEN idx % 97 = 0 THEN NULL ELSE pressure END AS pressure) FROM st),
+gs AS (SELECT avg(sh.pressure) AS g_mean, stddev_samp(sh.pressure) AS g_std FROM sh JOIN sp ON sp.idx = sh.idx WHERE split = 'train'),
+wl AS (SELECT window_id, label, o AS pos, s.pressure, s.idx FROM wend, (SELECT unnest(range(60)) AS o) JOIN sh s ON s.idx = start_idx + o
+       WHERE window_id NOT IN (SELECT window_id FROM wend, (SELECT unnest(range(60)) AS o) JOIN sh s ON s.idx = start_idx + o WHERE s.pressure IS NULL))"""
+
+
 def train_stats(spark, sf):
     train = splits.position_split(stream(spark, sf)).filter(F.col("split") == "train")
     return ft.global_stats(train)
@@ -114,6 +122,18 @@ def flagship(spark, sf):
     return rounded(w.withColumn("label", label), "A", "window_id", "start_idx", "end_idx", "label")
 
 
+@query(
+    "f01_f15_null_readings",
+    sql(feature_sql("A", extra="window_id,"), SPLIT_SQL, HOLES_SQL, BASE_SQL),
+)
+def null_readings(spark, sf):
+    """Sliding features where every 97th reading is null: only whole windows have any."""
+    holed = stream(spark, sf).withColumn("pressure", F.when(F.col("idx") % 97 != 0, F.col("pressure")))
+    train = splits.position_split(holed).filter(F.col("split") == "train")
+    w = ft.sliding_features(holed, ft.global_stats(train), "A", SIZE, STEP, chunk=chunk(spark, sf))
+    return rounded(w, "A", "window_id")
+
+
 @query(
     "f01_f15_variant_b",
     sql(
@@ -339,14 +359,21 @@ def f24(spark, sf):
 
 
 def _savgol_sql(n: int) -> str:
-    ws = windows.savgol_weights(n)
-    terms = " + ".join(f"{w!r} * {'lag' if k < 0 else 'lead'}(pressure, {abs(k)}) OVER w" for k, w in zip(range(-(n // 2), n // 2 + 1), ws))
-    return q6(f"({terms})", f"smooth_{n}")
+    """Parabola of the n rows around the nearest row that has h on both sides, by the normal equations."""
+    h = n // 2
+    s0, s2, s4 = n, h * (h + 1) * n // 3, h * (h + 1) * n * (3 * h * h + 3 * h - 1) // 15
+    det = s0 * s4 - s2 * s2
+    fit = f"({s4} * s_y - {s2} * s_xxy) / {det}.0 + s_xy / {s2}.0 * (a.idx - c) + ({s0} * s_xxy - {s2} * s_y) / {det}.0 * (a.idx - c) * (a.idx - c)"
+    return (
+        f"sg{n} AS (SELECT a.idx AS idx, {q6(fit, f'smooth_{n}')} FROM (SELECT idx, greatest({h}, least(idx, (SELECT max(idx) FROM st) - {h})) AS c FROM st) a JOIN "
+        f"(SELECT m.idx AS m, sum(b.pressure) AS s_y, sum((b.idx - m.idx) * b.pressure) AS s_xy, sum((b.idx - m.idx) * (b.idx - m.idx) * b.pressure) AS s_xxy "
+        f"FROM st m, (SELECT unnest(range({-h}, {h + 1})) AS o) JOIN st b ON b.idx = m.idx + o GROUP BY m.idx) ON m = c)"
+    )
 
 
 @query(
     "f25_savitzky_golay",
-    sql(f"SELECT idx, {', '.join(_savgol_sql(n) for n in (5, 11, 21))} FROM st WINDOW w AS (ORDER BY idx)"),
+    sql("SELECT idx, smooth_5, smooth_11, smooth_21 FROM sg5 JOIN sg11 USING (idx) JOIN sg21 USING (idx)", *[_savgol_sql(n) for n in (5, 11, 21)]),
 )
 def f25(spark, sf):
     out = legacy.savgol(stream(spark, sf).select("idx", "pressure"), (5, 11, 21), chunk(spark, sf))

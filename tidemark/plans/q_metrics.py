@@ -113,9 +113,16 @@ def t4b(spark, sf):
     return m.roc_auc(curve(spark, sf)).select(r6("roc_auc", "roc_auc"))
 
 
-@query("t5_pr_curve", sql(f"SELECT {q6('threshold', 'threshold')}, tp, fp, {q6('precision', 'precision')}, {q6('recall', 'recall')} FROM pr", CURVE))
+@query(
+    "t5_pr_curve",
+    sql(
+        f"SELECT {q6('threshold', 'threshold')}, tp, fp, {q6('precision', 'precision')}, {q6('recall', 'recall')} FROM pr "
+        "UNION ALL SELECT NULL, 0, 0, 1.0, 0.0",
+        CURVE,
+    ),
+)
 def t5(spark, sf):
-    r = m.pr_points(curve(spark, sf))
+    r = m.with_end_point(m.pr_points(curve(spark, sf)))
     return r.select(r6("threshold", "threshold"), "tp", "fp", r6("precision", "precision"), r6("recall", "recall"))
 
 
@@ -172,14 +179,15 @@ def t6b(spark, sf):
     return m.sweep_table(s, grid).select(r6("threshold", "threshold"), *[big(c, c) for c in COUNTS])
 
 
-PCTS = [0.5, 0.75, 0.9, 0.95, 0.99]
+#: 50 to 95 by 5, and 97 and 99.
+PCTS = [0.5, 0.55, 0.6, 0.65, 0.7, 0.75, 0.8, 0.85, 0.9, 0.95, 0.97, 0.99]
 
 
 @query(
     "t6c_percentile_thresholds",
     sql(
         f"SELECT q, {q6('t', 'threshold')}, {COUNT_COLS} FROM c",
-        "g AS (SELECT unnest([0.5, 0.75, 0.9, 0.95, 0.99]::DOUBLE[]) AS q, unnest(quantile_cont(p, [0.5, 0.75, 0.9, 0.95, 0.99])) AS t FROM sc)",
+        f"g AS (SELECT unnest({PCTS}::DOUBLE[]) AS q, unnest(quantile_cont(p, {PCTS})) AS t FROM sc)",
         f"c AS (SELECT q, t, {counts_sql('p > t')} FROM sc, g GROUP BY q, t)",
     ),
 )
@@ -222,6 +230,19 @@ def t9(spark, sf):
     return b.select(r6("threshold", "threshold"), r6("cost", "cost"))
 
 
+@query(
+    "t9_cost_optimal_continuous",
+    sql(
+        f"SELECT {q6('threshold', 'threshold')}, {q6('cost', 'cost')} FROM (SELECT threshold, fp * 1.0 + (n_pos - tp) * 10.0 AS cost FROM pr) x ORDER BY x.cost, x.threshold LIMIT 1",
+        CURVE,
+    ),
+)
+def t9c(spark, sf):
+    """The cost changes at distinct scores only, so its least value over all thresholds is on the curve."""
+    c = curve(spark, sf).withColumn("fn", F.col("n_pos") - F.col("tp"))
+    return th.cost_optimal(c).select(r6("threshold", "threshold"), r6("cost", "cost"))
+
+
 @query(
     "t10_mission_cost",
     sql(
@@ -287,11 +308,11 @@ def t12(spark, sf):
         "(SELECT 'none' AS target, * FROM sw WHERE tp + fp > 0 ORDER BY precision DESC, t LIMIT 1) UNION ALL "
         "(SELECT '0.05', * FROM sw WHERE tp + fp > 0 ORDER BY CASE WHEN precision >= 0.05 THEN 1 ELSE 0 END DESC, "
         "CASE WHEN precision >= 0.05 THEN recall ELSE precision END DESC, t LIMIT 1))",
-        *sweep_cte([0.5 + i * 0.01 for i in range(40)]),
+        *sweep_cte(th.PRECISION_GRID),
     ),
 )
 def t13(spark, sf):
-    rates = m.with_rates(m.sweep(scored(spark, sf), [0.5 + i * 0.01 for i in range(40)]))
+    rates = m.with_rates(m.sweep(scored(spark, sf), th.PRECISION_GRID))
     free = th.precision_target(rates).withColumn("target", F.lit("none"))
     aimed = th.precision_target(rates, 0.05).withColumn("target", F.lit("0.05"))
     return free.unionByName(aimed).select("target", r6("threshold", "threshold"), *[big(c, c) for c in COUNTS])

@@ -36,7 +36,7 @@ def m1(spark, sf):
 def m2(spark, sf):
     cols = ["window_id", "y", *A]
     train, val = part(spark, sf, "train").select(cols), part(spark, sf, "val").select(cols)
-    model = ml.fit_boosted(train, val, A, rounds=20)
+    model = ml.fit_boosted(train, val, A)
     return rated(m.with_rates(m.confusion(ml.score(model, val), F.col("p") >= 0.5)))
 
 
@@ -61,7 +61,7 @@ def m4(spark, sf):
 def m4c(spark, sf):
     rows = labelled_windows(spark, sf).select("window_id", "end_idx", "y", *A)
     folded = materialise(ml.time_folds(rows, splits.row_count(stream(spark, sf))))
-    return rated(ml.forward_chain(folded, A, trees=20, depth=6), "fold")
+    return rated(ml.forward_chain(folded, A), "fold")
 
 
 @query("m5_score_table")
@@ -82,7 +82,7 @@ def m6b(spark, sf):
 
 @query("m7_permutation_importance")
 def m7(spark, sf):
-    out = ml.permutation_importance(fitted(spark, sf), part(spark, sf, "test"), A, repeats=2, chunk=chunk(spark, sf))
+    out = ml.permutation_importance(fitted(spark, sf), part(spark, sf, "test"), A, chunk=chunk(spark, sf))
     return out.select("feature", r6("mean_drop", "mean_drop"), r6("std_drop", "std_drop"))
 
 

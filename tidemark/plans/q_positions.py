@@ -105,11 +105,11 @@ def x10(spark, sf):
     "x11_neighbourhood",
     sql(
         "SELECT vortex, idx, idx - centre AS rel_pos, (idx - centre) / 3600.0 AS rel_hours, pressure FROM cat JOIN ev "
-        "ON idx BETWEEN centre - 100 AND centre + 99"
+        "ON idx BETWEEN centre - 7200 AND centre + 7200"
     ),
 )
 def x11(spark, sf):
-    near = neighbourhood(raw_stream(spark, sf), catalogue(spark, sf).select("vortex", "centre"), "centre", 100, 99)
+    near = neighbourhood(raw_stream(spark, sf), catalogue(spark, sf).select("vortex", "centre"), "centre", 7200, 7200)
     return near.select("vortex", "idx", "rel_pos", (F.col("rel_pos") / 3600.0).alias("rel_hours"), "pressure")
 
 

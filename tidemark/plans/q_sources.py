@@ -14,12 +14,12 @@ from tidemark.operators import thresholds as th
 from tidemark.plans.base import big, chunk, i8, q6, query, r6, scored, sql, stream, table
 from tidemark.plans.q_features import SPLIT_SQL, ma500
 from tidemark.plans.q_metrics import MODEL_SQL, RULE_GRID, TUNE, counts_sql, grid_cte, model_scores, rates_cte, sweep_cte
-from tidemark.session import scratch_root
+from tidemark.session import new_table
 from tidemark.sources import links, readers, sinks
 
 
 def scratch(spark) -> str:
-    return f"{scratch_root(spark)}/{uuid.uuid4().hex}"
+    return new_table(spark)
 
 
 def raw_rows(spark, sf):

@@ -35,8 +35,11 @@ def events_as_stream(events: DataFrame) -> DataFrame:
     )
 
 
+def is_event(kind: str = "error", floor: float = 200.0) -> Column:
+    """Whether a stream row stands for a labelled event."""
+    return (F.col("event_type") == kind) & (F.col("pressure") >= floor)
+
+
 def catalogue_from_stream(stream: DataFrame, kind: str = "error", floor: float = 200.0) -> DataFrame:
     """Rows that stand for labelled events: ``vortex, sclk, centre``."""
-    return stream.filter((F.col("event_type") == kind) & (F.col("pressure") >= floor)).select(
-        F.col("event_id").alias("vortex"), "sclk", F.col("idx").alias("centre")
-    )
+    return stream.filter(is_event(kind, floor)).select(F.col("event_id").alias("vortex"), "sclk", F.col("idx").alias("centre"))
