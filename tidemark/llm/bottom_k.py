@@ -99,15 +99,16 @@ def edited_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     before = order.select(((F.col("idx") + 1) % F.lit(max(1, total))).alias("idx"), F.col("row").alias("before"), (F.col("n") / 4).cast("long").alias("need"))
     place = Table(order.select("row", "idx").join(before, "idx").select("row", "before", "need")).df
 
-    own = rows.join(place, "row").withColumn("sketch", sketch(F.col("text"), k, words))
+    # Both uses take the same columns of the texts, so that they share one shuffle; the ids come last.
+    own = rows.select("row", "text").join(place, "row").withColumn("sketch", sketch(F.col("text"), k, words))
     starts = own.select(F.col("before").alias("row"), F.expr("left(text, cast(need AS int))").alias("start"), F.col("sketch").alias("next"))
     n = F.length("text")
-    both = own.select("row", "id", "text", "sketch").join(starts, "row")
+    both = own.select("row", "text", "sketch").join(starts, "row")
     edited = both.withColumn("edited", F.concat(F.expr("left(text, length(text) - cast(floor(length(text) / 4) AS int))"), "start"))
     done = edited.select(
-        "id", n.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "sketch", "next", sketch(F.col("edited"), k, words).alias("changed")
+        "row", n.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "sketch", "next", sketch(F.col("edited"), k, words).alias("changed")
     )
-    return done.select(
+    return done.join(order.select("row", "id"), "row").select(
         F.col("id").alias(id_col),
         "n_chars",
         "edited_sha256",
