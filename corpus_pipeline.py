@@ -27,7 +27,7 @@ from tidemark.llm.secrets import mask
 from tidemark.llm.simhash_copies import first_of_copies
 from tidemark.llm.tables import Table, unused
 
-LEAST_SHARE = 0.4
+LEAST_SHARE = 0.3
 
 
 def _measured(docs: DataFrame) -> DataFrame:
