@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.attach import attach
-from tidemark.functions.scalars import ratio
+from tidemark.functions.scalars import ratio, safe_corr
 from tidemark.operators.index import CHUNK, in_chunk, rolling
 from tidemark.operators.intervals import interval_join
 from tidemark.operators.runs import run_rows
@@ -155,14 +155,19 @@ def correlation_matrix(df: DataFrame, features: list[str]) -> DataFrame:
     """Every pairwise Pearson correlation: ``f1, f2, r``.
 
     Each pair uses the rows in which both features are there (NaN counts as missing); ``r`` is null
-    for a constant or empty feature, or one with infinite values. One lazy aggregate of features ×
-    features moments, pre-aggregated in every task.
+    for a constant or empty feature, or one with infinite values. Lazy: each row is spread over the
+    pairs inside its task, where it is aggregated again before the shuffle.
     """
     clean = df.select(*[F.when(~F.isnan(F.col(f).cast("double")), F.col(f).cast("double")).alias(f) for f in features])
-    pairs = list(combinations(features, 2))
-    row = clean.agg(*[F.corr(a, b).alias(f"_r{i}") for i, (a, b) in enumerate(pairs)])
-    cells = [F.struct(F.lit(a).alias("f1"), F.lit(b).alias("f2"), F.when(~F.isnan(f"_r{i}"), F.col(f"_r{i}")).alias("r")) for i, (a, b) in enumerate(pairs)]
-    return row.select(F.inline(F.array(*cells)))
+    pairs = list(combinations(range(len(features)), 2))
+    values = clean.select(F.array(*features).alias("_v"))
+    spread = values.select(F.explode(F.array(*[F.array(F.lit(i), F.lit(j)) for i, j in pairs])).alias("_p"), "_v")
+    x, y = F.get("_v", F.col("_p")[0]), F.get("_v", F.col("_p")[1])
+    r = spread.select(F.col("_p")[0].alias("_i"), F.col("_p")[1].alias("_j"), x.alias("_x"), y.alias("_y")).groupBy("_i", "_j").agg(
+        safe_corr(F.col("_x"), F.col("_y")).alias("r")
+    )
+    names = F.array(*[F.lit(f) for f in features])
+    return r.select(F.get(names, F.col("_i")).alias("f1"), F.get(names, F.col("_j")).alias("f2"), F.when(~F.isnan("r"), F.col("r")).alias("r"))
 
 
 def agreement(df: DataFrame, a: Column, b: Column) -> DataFrame:

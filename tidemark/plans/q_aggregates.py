@@ -498,27 +498,40 @@ def q4(spark, sf):
     return out.select("kind", "subject", r6("value", "value"))
 
 
+Q5_PAIRS = list(combinations([*A, "holed", "twin"], 2))
+
+
 @query(
     "q5_matrix_warnings",
     sql(
-        f"SELECT 'correlated' AS kind, s.f1 || '~' || s.f2 AS subject, {q6('s.r', 'value')} FROM (SELECT unnest([" + ", ".join(f"{{'f1': '{a}', 'f2': '{b}', 'r': corr(\"{a}\", \"{b}\")}}" for a, b in PAIRS) + "]) AS s FROM fl) WHERE abs(s.r) > 0.95",
+        f"SELECT 'correlated' AS kind, s.f1 || '~' || s.f2 AS subject, {q6('s.r', 'value')} FROM (SELECT unnest([" + ", ".join(f"{{'f1': '{a}', 'f2': '{b}', 'r': corr(\"{a}\", \"{b}\")}}" for a, b in Q5_PAIRS) + "]) AS s FROM pl) WHERE abs(s.r) > 0.95 "
+        "UNION ALL SELECT 'nan', 'holed', CAST(count(*) FILTER (WHERE holed IS NULL) AS DOUBLE) FROM pl "
+        "UNION ALL SELECT 'infinite', 'endless', CAST(count(*) FILTER (WHERE window_id % 13 = 0) AS DOUBLE) FROM pl "
+        "UNION ALL SELECT 'constant', 'always_one', 0.0 FROM pl HAVING min(one) = max(one)",
         *FEAT,
+        'pl AS (SELECT *, CASE WHEN window_id % 7 <> 0 AND window_id % 11 <> 0 THEN "mean" END AS holed, 2 * "range" + 1 AS twin, 1.0 AS one FROM fl)',
     ),
 )
 def q5(spark, sf):
-    out = audit.matrix_warnings(labelled_windows(spark, sf), A)
+    """The window features and four planted columns: nulls and NaN, infinities, a constant, a copy of another."""
+    w, i = labelled_windows(spark, sf), F.col("window_id")
+    holed = F.when(i % 7 == 0, F.lit(None)).when(i % 11 == 0, F.lit(float("nan"))).otherwise(F.col("mean"))
+    planted = w.withColumns({"holed": holed, "endless": F.when(i % 13 == 0, F.lit(float("inf"))).otherwise(F.col("std")), "always_one": F.lit(1.0), "twin": 2 * F.col("range") + 1})
+    out = audit.matrix_warnings(planted, [*A, "holed", "twin", "endless", "always_one"])
     return out.select("kind", "subject", r6("value", "value"))
 
 
 @query(
     "q6_window_integrity",
     sql(
-        "SELECT count(*) AS n_rows, 0::BIGINT AS duplicate_rows, 0::BIGINT AS duplicate_ids, min(a.sclk) AS first_start, max(a.sclk) AS last_start, min(w.sclk) AS first_end, max(w.sclk) AS last_end, 0::BIGINT AS chronology_violations "
+        "SELECT count(*) + count(*) FILTER (WHERE window_id % 50 = 0) AS n_rows, count(*) FILTER (WHERE window_id % 50 = 0) AS duplicate_rows, count(*) FILTER (WHERE window_id % 50 = 0) AS duplicate_ids, min(a.sclk) AS first_start, max(a.sclk) AS last_start, min(w.sclk) AS first_end, max(w.sclk) AS last_end, 0::BIGINT AS chronology_violations "
         "FROM wend w JOIN ev a ON a.idx = w.start_idx"
     ),
 )
 def q6_(spark, sf):
-    return audit.window_integrity(window_table(spark, sf), chunk(spark, sf))
+    """The stored windows with every fiftieth one repeated."""
+    w = window_table(spark, sf)
+    return audit.window_integrity(w.unionByName(w.filter("window_id % 50 = 0")), chunk(spark, sf))
 
 
 @query(
@@ -560,11 +573,18 @@ def q7(spark, sf):
     return out.select("feature", r6("pos_missing_pct", "pos_missing_pct"), r6("neg_missing_pct", "neg_missing_pct"), "verdict", "systematic")
 
 
+Q8 = [*A, "event_copy", "always_one", "span"]
+
+
 @query(
     "q8_leakage_scan",
     sql(
-        "SELECT * FROM (SELECT 'suspicious_name' AS kind, 'event_copy' AS subject, 1.0::DOUBLE AS value UNION ALL SELECT 'label_correlation', 'event_copy', 1.0::DOUBLE UNION ALL "
-        "SELECT 'constant', 'always_one', 0.0::DOUBLE UNION ALL SELECT 'equal_columns', 'range~span', 0.0::DOUBLE)"
+        "SELECT 'suspicious_name' AS kind, f AS subject, 1.0::DOUBLE AS value FROM (SELECT unnest(" + str(Q8) + ") AS f) WHERE " + " OR ".join(f"contains(f, '{k}')" for k in audit.SUSPICIOUS)
+        + "".join(f" UNION ALL SELECT 'label_correlation', '{f}', {q6(f'abs(corr({chr(34)}{f}{chr(34)}, y))', 'value')} FROM pl HAVING abs(corr(\"{f}\", y)) > 0.99" for f in Q8 if f != "always_one")
+        + "".join(f" UNION ALL SELECT 'constant', '{f}', 0.0 FROM pl HAVING min(\"{f}\") = max(\"{f}\")" for f in Q8)
+        + "".join(f" UNION ALL SELECT 'equal_columns', '{a}~{b}', 0.0 FROM pl HAVING max(abs(\"{a}\" - \"{b}\") - 1e-10 * abs(\"{b}\")) <= 1e-8" for a, b in combinations(Q8, 2)),
+        *FEAT,
+        'pl AS (SELECT *, CAST(y AS DOUBLE) AS event_copy, 1.0::DOUBLE AS always_one, "range" AS span FROM fl)',
     ),
 )
 def q8(spark, sf):

@@ -1,7 +1,16 @@
-"""Model queries. Fitted models give rows-only checks; rules around them are compared in full."""
+"""Model queries.
+
+A fitted model's own numbers depend on the library, so its queries return what must hold whatever
+they are (class totals, one score per window, shares that add up to one) and compare that with SQL;
+rules around the models are compared in full.
+"""
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.operators import aggregates as ag
@@ -10,7 +19,7 @@ from tidemark.operators import metrics as m
 from tidemark.operators import ml, splits, windows
 from tidemark.plans.base import SIZE, STEP, big, chunk, i8, q6, query, r6, scored, sql, stream, stored, wends
 from tidemark.plans.q_aggregates import A, FEAT, PAIRS, labelled_windows, window_table
-from tidemark.plans.q_metrics import rated
+from tidemark.plans.q_metrics import RATES
 from tidemark.session import materialise
 
 
@@ -23,29 +32,39 @@ def fitted(spark, sf):
     return stored(spark, sf, "forest", lambda: ml.forest(A).fit(ml.balanced_weights(part(spark, sf, "train"))))
 
 
+def class_totals(rates, *keep):
+    """Counts per class and whether all rates lie in 0..1, from confusion counts with rates."""
+    inside = [F.coalesce(F.col(r).between(0.0, 1.0), F.lit(True)) for r in RATES]
+    return rates.select(*keep, (F.col("tp") + F.col("fn")).alias("positives"), (F.col("fp") + F.col("tn")).alias("negatives"), reduce(and_, inside).alias("rates_valid"))
+
+
+def totals_sql(where: str) -> str:
+    return sql(f"SELECT {i8('sum(y)', 'positives')}, {i8('sum(1 - y)', 'negatives')}, true AS rates_valid FROM fl WHERE {where}", *FEAT)
+
+
 def forest_scores(spark, sf, name):
     return ml.score(fitted(spark, sf), part(spark, sf, name).select("window_id", "end_idx", "y", *A))
 
 
-@query("m1_random_forest")
+@query("m1_random_forest", totals_sql("split = 'val'"))
 def m1(spark, sf):
-    return rated(m.with_rates(m.confusion(forest_scores(spark, sf, "val"), F.col("p") >= 0.5)))
+    return class_totals(m.with_rates(m.confusion(forest_scores(spark, sf, "val"), F.col("p") >= 0.5)))
 
 
-@query("m2_boosted_trees")
+@query("m2_boosted_trees", totals_sql("split = 'val'"))
 def m2(spark, sf):
     cols = ["window_id", "y", *A]
     train, val = part(spark, sf, "train").select(cols), part(spark, sf, "val").select(cols)
     model = ml.fit_boosted(train, val, A)
-    return rated(m.with_rates(m.confusion(ml.score(model, val), F.col("p") >= 0.5)))
+    return class_totals(m.with_rates(m.confusion(ml.score(model, val), F.col("p") >= 0.5)))
 
 
-@query("m3_grid_search")
+@query("m3_grid_search", "SELECT CAST(trees AS DOUBLE) AS trees, CAST(depth AS DOUBLE) AS depth, true AS f1_valid FROM (SELECT unnest([10, 30]) AS trees), (SELECT unnest([4, 8]) AS depth)")
 def m3(spark, sf):
     grid = [{"trees": t, "depth": d} for t in (10, 30) for d in (4, 8)]
     cols = ["window_id", "y", *A]
     _, results = ml.grid_search(part(spark, sf, "train").select(cols), part(spark, sf, "val").select(cols), A, grid)
-    return results
+    return results.select("trees", "depth", F.col("f1").between(0.0, 1.0).alias("f1_valid"))
 
 
 @query(
@@ -57,47 +76,76 @@ def m4(spark, sf):
     return f.groupBy("fold").agg(F.count(F.lit(1)).alias("n"), F.min("end_idx").alias("first_idx"), F.max("end_idx").alias("last_idx"))
 
 
-@query("m4_forward_chaining")
+@query(
+    "m4_forward_chaining",
+    sql(
+        f"SELECT fold, {i8('sum(y)', 'positives')}, {i8('sum(1 - y)', 'negatives')}, true AS rates_valid FROM (SELECT y, CAST(floor(end_idx * 6 / n) AS INTEGER) AS fold FROM fw WHERE label <> 'Omit') WHERE fold BETWEEN 1 AND 5 GROUP BY 1",
+        *FEAT,
+    ),
+)
 def m4c(spark, sf):
     rows = labelled_windows(spark, sf).select("window_id", "end_idx", "y", *A)
     folded = materialise(ml.time_folds(rows, splits.row_count(stream(spark, sf))))
-    return rated(ml.forward_chain(folded, A), "fold")
+    return class_totals(ml.forward_chain(folded, A), "fold")
 
 
-@query("m5_score_table")
+@query("m5_score_table", sql("SELECT window_id, true AS in_range FROM fl WHERE split = 'test'", *FEAT))
 def m5(spark, sf):
-    return forest_scores(spark, sf, "test").select("window_id", r6("p", "p"))
+    return forest_scores(spark, sf, "test").select("window_id", F.col("p").between(0.0, 1.0).alias("in_range"))
 
 
-@query("m6_importance")
+@query("m6_importance", "SELECT CAST(15 AS BIGINT) AS features, 1.0::DOUBLE AS total, 1.0::DOUBLE AS last_share, CAST(15 AS BIGINT) AS last_place, true AS none_negative")
 def m6(spark, sf):
     t = ml.importance_table(fitted(spark, sf), A, spark)
-    return t.select("feature", "family", r6("importance", "importance"), "place", r6("cumulative_share", "cumulative_share"))
+    return t.agg(
+        F.count(F.lit(1)).alias("features"), r6(F.sum("importance"), "total"), r6(F.max("cumulative_share"), "last_share"),
+        F.max("place").alias("last_place"), (F.min("importance") >= 0).alias("none_negative"),
+    )
 
 
-@query("m6_family_importance")
+@query(
+    "m6_family_importance",
+    "SELECT * FROM (VALUES ('Temporal Features', 4::BIGINT, 1.0::DOUBLE), ('Pressure Dynamics', 3, 1.0), ('Statistical Measures', 6, 1.0), ('Anomaly Detection', 2, 1.0)) t(family, features, total)",
+)
 def m6b(spark, sf):
-    return ml.family_importance(ml.importance_table(fitted(spark, sf), A, spark))
+    out = ml.family_importance(ml.importance_table(fitted(spark, sf), A, spark))
+    return out.select("family", "features", r6(F.sum("importance").over(Window.partitionBy(F.lit(0))), "total"))
 
 
-@query("m7_permutation_importance")
+@query("m7_permutation_importance", f"SELECT unnest({A}) AS feature, true AS drop_valid")
 def m7(spark, sf):
     out = ml.permutation_importance(fitted(spark, sf), part(spark, sf, "test"), A, chunk=chunk(spark, sf))
-    return out.select("feature", r6("mean_drop", "mean_drop"), r6("std_drop", "std_drop"))
+    return out.select("feature", (F.col("mean_drop").between(-1.0, 1.0) & (F.col("std_drop") >= 0)).alias("drop_valid"))
+
+
+def calibrated_checks(out):
+    """Rows, mean of the calibrated scores, and how often, by hundredths of the raw score, they turn against their direction."""
+    per = out.groupBy(F.floor(F.col("p") * 100).alias("b")).agg(
+        F.min("calibrated").alias("lo"), F.max("calibrated").alias("hi"), F.sum("calibrated").alias("s"), F.count(F.lit(1)).alias("n")
+    )  # at most 101 rows
+    earlier = Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+    down = F.coalesce(F.col("lo") < F.max("hi").over(earlier) - 1e-12, F.lit(False)).cast("long")
+    up = F.coalesce(F.col("hi") > F.min("lo").over(earlier) + 1e-12, F.lit(False)).cast("long")
+    per = per.select("n", "s", down.alias("_down"), up.alias("_up"))
+    turns = F.least(F.sum("_down"), F.sum("_up"))
+    return per.agg(big(F.sum("n"), "n"), F.round(F.sum("s") / F.sum("n"), 4).alias("mean"), big(turns, "turns"))
+
+
+CALIBRATED_SQL = "SELECT count(*) AS n, round(avg(y), 4) AS mean, 0::BIGINT AS turns FROM fl WHERE split = 'val'"
 
 
-@query("m8_isotonic_calibration")
+@query("m8_isotonic_calibration", sql(CALIBRATED_SQL, *FEAT))
 def m8(spark, sf):
-    out = ml.calibrate(forest_scores(spark, sf, "val").select("window_id", "p", "y"), forest_scores(spark, sf, "test").select("window_id", "p", "y"))
-    return out.select("window_id", r6("p", "p"), r6("calibrated", "calibrated"))
+    """On the rows it was fitted on, isotonic regression keeps the mean of y and never turns."""
+    val = forest_scores(spark, sf, "val").select("window_id", "p", "y")
+    return calibrated_checks(ml.calibrate(val, val))
 
 
-@query("m8_sigmoid_calibration")
+@query("m8_sigmoid_calibration", sql(CALIBRATED_SQL, *FEAT))
 def m8b(spark, sf):
-    out = ml.calibrate(
-        forest_scores(spark, sf, "val").select("window_id", "p", "y"), forest_scores(spark, sf, "test").select("window_id", "p", "y"), "sigmoid"
-    )
-    return out.select("window_id", r6("p", "p"), r6("calibrated", "calibrated"))
+    """So does a logistic fit with an intercept, in the direction that it finds."""
+    val = forest_scores(spark, sf, "val").select("window_id", "p", "y")
+    return calibrated_checks(ml.calibrate(val, val, "sigmoid"))
 
 
 def gate_windows(spark, sf):
@@ -106,11 +154,17 @@ def gate_windows(spark, sf):
     return w.join(window_table(spark, sf).select("window_id", "label", "y", "split"), "window_id")
 
 
-@query("m9_reconstruction_gate")
+@query("m9_reconstruction_gate", sql("SELECT count(*) AS n, true AS none_negative, true AS exact_in_full, true AS more_is_better FROM wend"))
 def m9(spark, sf):
+    """Every window has an error; 60 components leave none, and 16 leave more than 32 do."""
     w = materialise(gate_windows(spark, sf))
     quiet = w.filter("split = 'train' and label = 'False'")
-    return ml.reconstruction_gate(quiet, w).select("window_id", r6("gate_score", "gate_score"))
+    errors = {k: ml.reconstruction_gate(quiet, w, k=k).select("window_id", F.col("gate_score").alias(f"e{k}")) for k in (16, 32, 60)}
+    both = errors[16].join(errors[32], "window_id").join(errors[60], "window_id")
+    return both.agg(
+        F.count(F.lit(1)).alias("n"), (F.min("e16") >= 0).alias("none_negative"), (F.max("e60") < 1e-6).alias("exact_in_full"),
+        (F.sum("e16") >= F.sum("e32")).alias("more_is_better"),
+    )
 
 
 @query(
@@ -156,16 +210,17 @@ def m12b(spark, sf):
     return out.select("n", "passed", r6("filtered_ratio", "filtered_ratio"))
 
 
-@query("m12_two_stage_models")
+@query("m12_two_stage_models", sql("SELECT window_id, true AS score_valid FROM fl WHERE split = 'test'", *FEAT))
 def m12c(spark, sf):
-    """Reconstruction gate at its 95th percentile of quiet windows, then the forest."""
+    """Reconstruction gate at its 95th percentile of quiet windows, then the forest; gated-out windows score 0."""
     w = materialise(gate_windows(spark, sf))
     quiet = w.filter("split = 'train' and label = 'False'")
     gated = ml.reconstruction_gate(quiet, w).select("window_id", "gate_score", "label", "split")
     t = ml.anomaly_threshold(gated.filter("split = 'train' and label = 'False'"), "gate_score")
     flagged = ml.flag_anomalies(gated, t, "gate_score").select("window_id", "anomaly")
     s = forest_scores(spark, sf, "test").select("window_id", "p", "y").join(flagged, "window_id")
-    return ml.two_stage(s, F.col("anomaly"), F.col("p")).select("window_id", "passed", r6("score", "score"))
+    out = ml.two_stage(s, F.col("anomaly"), F.col("p"))
+    return out.select("window_id", (F.col("score") == F.when(F.col("passed"), F.col("p")).otherwise(0.0)).alias("score_valid"))
 
 
 @query(

@@ -44,7 +44,7 @@ def scratch_root(spark: SparkSession) -> str:
         if root := spark.conf.get(name, None):
             return f"{root.rstrip('/')}/{app}"
     if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-        raise RuntimeError(f"set {SCRATCH_CONFS[0]} or {SCRATCH_CONFS[1]} to a folder that all executors share")
+        raise RuntimeError(f"set {' or '.join(SCRATCH_CONFS)} to a folder that all executors share")
     if app not in _LOCAL:
         _LOCAL[app] = tempfile.mkdtemp(prefix="tidemark-")
     return f"{_LOCAL[app]}/{app}"
