@@ -17,7 +17,8 @@ import re
 from tidemark.llm.vocab import byte_symbols
 
 #: Distinct cuts that a task remembers before it starts a new memo, keeping the old one until the next.
-MEMO = 400_000
+#: Both are dropped when the task ends, so that a worker does not carry them through later stages.
+MEMO = 150_000
 
 #: Fixed value: the pattern of byte-level pre-tokenizers.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -62,6 +63,9 @@ class ByteTokenizer:
         words, plain = self.words, self.plain
         return [b"".join([plain[i] for i in words(c)]) for c in cuts]
 
+    def forget(self) -> None:
+        self.ids, self.older = {}, {}
+
     def whole(self, texts: list[str]) -> list[bytes]:
         plain = self.plain
         return [b"".join([plain[i] for i in e.ids]) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
@@ -98,7 +102,7 @@ _TOKENIZERS: dict[str, ByteTokenizer] = {}
 
 
 def byte_tokenizer(path: str) -> ByteTokenizer:
-    """One per Python worker and file; its memo lasts from task to task."""
+    """One per Python worker and file; a task calls ``forget`` at its end."""
     if path not in _TOKENIZERS:
         _TOKENIZERS[path] = ByteTokenizer(path)
     return _TOKENIZERS[path]

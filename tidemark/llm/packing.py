@@ -183,6 +183,7 @@ def pack_texts(
                         out = []
                 if out:
                     yield rows(out)
+        tokenizer.forget()
         if id_type is not None and packer.items:
             yield rows(list(packer.fill_while(0)))
 
