@@ -122,6 +122,23 @@ def test_smoothing_reads_the_nearest_parabola_at_the_ends(spark, make_stream):
             assert got[f"smooth_{n}"][i] == pytest.approx(np.polyval(fit, i - c), abs=1e-8)
 
 
+def test_percentiles_of_ten_thousand_groups(spark):
+    from tidemark.operators.index import exact_percentiles
+
+    df = spark.range(60_000).select((F.col("id") % 10_000).alias("g"), F.when(F.col("id") % 9 != 4, F.hash("id") % 1000 / 7).alias("v"))
+    qs = [0.0, 0.5, 0.9, 1.0]
+    out = exact_percentiles(df, "v", qs, by="g")
+    # Only summaries of range partitions meet in one task, never groups or values.
+    text = out._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in text and "NestedLoop" not in text
+    got = {(r.g, r.q): r.v for r in out.collect()}
+    want = df.groupBy("g").agg(F.percentile("v", F.array(*map(F.lit, qs))).alias("p")).collect()
+    assert len(got) == sum(4 for r in want if r.p is not None)
+    for r in want:
+        if r.p is not None:
+            assert [got[r.g, q] for q in qs] == pytest.approx(list(r.p))
+
+
 @pytest.fixture(scope="module")
 def labelled(spark):
     rows = [(i, i, float(i % 10), float((i * 7) % 13), int(i % 10 > 6)) for i in range(400)]

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.attach import attach, few
+from tidemark.operators.attach import attach
 from tidemark.session import materialise
 
 CHUNK = 1 << 18
@@ -230,20 +230,23 @@ def exact_percentiles(df: DataFrame, value: str, qs: list[float], by: str | None
         F.count(F.lit(1)).alias("_c")
     )
     ranked = running_sums_by(counted, ["_g", "_x"], {"_cum": F.col("_c")})
-    sizes = counted.groupBy("_g").agg(F.sum("_c").alias("_n"))
-    start = Window.orderBy("_g").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.withColumn("_start", F.coalesce(F.sum("_n").over(start), F.lit(0)))
-    grid = F.explode(F.array(*[F.lit(float(q)) for q in qs]))
-    ranks = sizes.select("*", grid.alias("q")).withColumn("_r", F.col("q") * (F.col("_n") - 1))
-    picks = ranks.select("_g", "q", "_r", "_start", F.explode(F.array(F.floor("_r"), F.ceil("_r"))).alias("_k")).distinct()
-    # Groups (class labels) times requested quantiles times two; each row keeps the ranks it holds.
+    # A group's values are consecutive, so its own counts begin where its first value's do.
+    start = F.min(F.col("_cum") - F.col("_c"))
+    sizes = ranked.groupBy("_g").agg(start.alias("_start"), (F.max("_cum") - start).alias("_n"))
+    ranks = [F.lit(float(q)) * (F.col("_n") - 1) for q in qs]
+    cells = [
+        F.struct(F.lit(float(q)).alias("q"), r.alias("_r"), edge(r).alias("_k"), F.col("_start"))
+        for q, r in zip(qs, ranks)
+        for edge in (F.floor, F.ceil)
+    ]
+    picks = sizes.select("_g", F.array_distinct(F.array(*cells)).alias("_few"))
+    # Each row keeps the ranks it holds. Many groups meet their picks in an equi-join; without groups there is one row to attach.
+    both = ranked.join(picks, "_g") if by else attach(ranked, picks.select("_few"))
     holds = F.filter(
         "_few",
-        lambda k: (k["_g"] == F.col("_g"))
-        & (F.col("_cum") - k["_start"] > k["_k"])
-        & (F.col("_cum") - k["_start"] - F.col("_c") <= k["_k"]),
+        lambda k: (F.col("_cum") - k["_start"] > k["_k"]) & (F.col("_cum") - k["_start"] - F.col("_c") <= k["_k"]),
     )
-    hit = attach(ranked, few(picks)).select("_x", F.inline(holds))
+    hit = both.select("_g", "_x", F.inline(holds))
     out = hit.groupBy("_g", "q").agg(
         F.min_by("_x", "_k").alias("_lo"), F.max_by("_x", "_k").alias("_hi"), F.first("_r").alias("_r")
     )
