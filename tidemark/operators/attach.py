@@ -9,6 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Rows that may travel as one array.
+FEW = 10_000
+
 
 def attach(df: DataFrame, *rows: DataFrame) -> DataFrame:
     """Add the columns of frames that have exactly one row (aggregates without grouping)."""
@@ -20,8 +23,14 @@ def attach(df: DataFrame, *rows: DataFrame) -> DataFrame:
 
 
 def few(table: DataFrame) -> DataFrame:
-    """A small table (classes, splits, picked thresholds) as one row with an array column ``_few``."""
-    return table.agg(F.collect_list(F.struct("*")).alias("_few"))
+    """A small table (classes, splits, picked thresholds) as one row with an array column ``_few``.
+
+    A table of over ``FEW`` rows is not small: the query fails with a message and wants a join.
+    """
+    size = F.count(F.lit(1))
+    guard = F.when(size > FEW, F.raise_error(F.lit(f"more than {FEW} rows are no small table; join them"))).otherwise(F.lit(True))
+    rows = table.limit(FEW + 1).agg(F.collect_list(F.struct("*")).alias("_few"), guard.alias("_ok"))
+    return rows.select(F.when(F.col("_ok"), F.col("_few")).alias("_few"))
 
 
 def fan_out(df: DataFrame, table: DataFrame) -> DataFrame:

@@ -36,7 +36,7 @@ def balanced_weights(df: DataFrame, label: str = "y") -> DataFrame:
     sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("_c"))
     total = Window.partitionBy(F.lit(0))
     sizes = sizes.select(label, (F.sum("_c").over(total) / (2 * F.col("_c"))).alias("weight"))
-    return df.join(F.broadcast(sizes), label)
+    return df.join(sizes, label)
 
 
 def assembler(features: list[str]) -> VectorAssembler:
@@ -225,7 +225,7 @@ def keep_top(df: DataFrame, score_col: str, label: str = "y", percent: float = 5
         return attach(df, overall).filter(F.col(score_col) >= F.col("_all")).drop("_all")
     per = exact_percentiles(df, score_col, [q], by=label).select(label, F.col(score_col).alias("_t"))
     classes = per.agg(F.count(F.lit(1)).alias("_k"))
-    joined = attach(df.join(F.broadcast(per), label, "left"), overall, classes)
+    joined = attach(df.join(per, label, "left"), overall, classes)
     cut = F.when(F.col("_k") >= 2, F.col("_t")).otherwise(F.col("_all"))
     return joined.filter(F.col(score_col) >= cut).select(*df.columns)
 

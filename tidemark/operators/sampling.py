@@ -176,9 +176,9 @@ def balance(df: DataFrame, key: str, label: str, per_class: int | None = None, b
     sizes = attach(sizes, least)
     want = F.col("_least") if per_class is None else F.least(F.col("_least"), F.lit(per_class))
     rank = F.row_number().over(Window.partitionBy(label, "_band").orderBy("_h", key))
-    # classes × bands rows.
+    # classes × bands rows; the engine decides by their size how they meet.
     return (
-        rows.join(F.broadcast(sizes), [label, "_band"])
+        rows.join(sizes, [label, "_band"])
         .filter(F.col("_before") < want)
         .withColumn("rank_in_class", F.col("_before") + rank)
         .filter(F.col("rank_in_class") <= want)
@@ -199,7 +199,7 @@ def stratified_split(df: DataFrame, key: str, label: str, share: float = 0.8, ba
         F.sum("_c").over(Window.partitionBy(label)).alias("_size"),
     )
     rank = F.row_number().over(Window.partitionBy(label, "_band").orderBy("_h", key))
-    out = rows.join(F.broadcast(sizes), [label, "_band"]).withColumn("_rank", F.col("_before") + rank)
+    out = rows.join(sizes, [label, "_band"]).withColumn("_rank", F.col("_before") + rank)
     part = F.when(F.col("_rank") <= F.floor(F.col("_size") * share), "train").otherwise("test")
     return out.select(*df.columns, part.alias("part"))
 

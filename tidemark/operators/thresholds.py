@@ -166,7 +166,7 @@ def nearest_threshold(left: DataFrame, right: DataFrame, tolerance: float = 0.01
 
 def frozen_test(scores: DataFrame, tuned: DataFrame, by: str = "model") -> DataFrame:
     """Score each model's test rows once at the threshold its validation rows chose."""
-    joined = scores.join(F.broadcast(tuned.select(by, "threshold")), by)
+    joined = scores.join(tuned.select(by, "threshold"), by)
     return with_rates(confusion(joined, F.col("p") >= F.col("threshold"), by=[by, "threshold"]))
 
 

@@ -133,6 +133,12 @@ def nested_windows(long_rows: DataFrame, keys: list[str], fields: list[str]) ->
     return long_rows.groupBy(*keys).agg(F.array_sort(F.collect_list(record)).alias("window_data"))
 
 
+def opened_windows(nested: DataFrame, json_col: str, fields: str) -> DataFrame:
+    """The reverse of writing :func:`nested_windows` as JSON: one row per record, with the other columns."""
+    keys = [c for c in nested.columns if c != json_col]
+    return nested.select(*keys, F.inline(F.from_json(json_col, f"array<struct<{fields.replace(' ', ':')}>>".replace(",:", ","))))
+
+
 def context_windows(stream: DataFrame, anchors: DataFrame, before: int, after: int) -> DataFrame:
     """Rows of ``[anchor-before, anchor+after)`` for anchors whose whole context exists."""
     last = stream.agg(F.max("idx").alias("_last"))

@@ -14,6 +14,7 @@ from tidemark.plans.base import (
 )
 from tidemark.plans.q_features import BASE_SQL, SPLIT_SQL, STATS_SQL, feature_sql, rounded, train_stats
 from tidemark.plans.q_joins import runs_cte
+from tidemark.session import materialise
 
 
 
@@ -312,6 +313,16 @@ def s10(spark, sf):
     return nested.select("window_id", big(F.size("window_data"), "n"), F.to_json("window_data").alias("window_json"))
 
 
+@query("s10_nested_read_back", sql("SELECT idx // 60 AS window_id, idx % 60 AS pos, sclk, round(pressure, 6) + 0.0 AS pressure FROM ev"))
+def s10b(spark, sf):
+    """Nested windows written as JSON text, read back and opened again."""
+    rows = windows.tumbling(stream(spark, sf).select("idx", "sclk", "pressure"), SIZE)
+    nested = windows.nested_windows(rows, ["window_id"], ["sclk", "pressure"])
+    stored = materialise(nested.select("window_id", F.to_json("window_data").alias("window_json")))
+    back = windows.opened_windows(stored, "window_json", "pos bigint, sclk bigint, pressure double")
+    return back.select("window_id", "pos", "sclk", r6("pressure", "pressure"))
+
+
 @query(
     "m4b_stratified_split",
     sql(
