@@ -437,6 +437,23 @@ def t24(spark, sf):
     return legacy.artefact_features(near).select("end_excl", legacy.post_filter_keeps().alias("kept"))
 
 
+@query(
+    "t24_filtered_predictions",
+    sql(
+        "SELECT window_id, p >= 0.5 AS predicted, p >= 0.5 AND coalesce(min_slope >= -0.35 AND total_drop_after_initial < 0.1 AND avg_slope_after_sharpest > -0.3, true) AS kept "
+        "FROM wend LEFT JOIN af ON end_excl = end_idx + 1",
+        ART_SQL.replace("(SELECT count(*) FROM st), 50)", "(SELECT count(*) FROM st), 10)"),
+    ),
+)
+def t24b(spark, sf):
+    """Positive predictions that pass the shape tests of their own window; the rest stay negative."""
+    shapes = legacy.artefact_features(legacy.artefact_windows(stream(spark, sf), SIZE, STEP, chunk=chunk(spark, sf)))
+    keeps = shapes.select((F.col("end_excl") - 1).alias("end_idx"), legacy.post_filter_keeps().alias("_keeps"))
+    scored_ = wends(spark, sf).select("window_id", "end_idx", (F.col("p") >= 0.5).alias("predicted"))
+    kept = F.col("predicted") & F.coalesce("_keeps", F.lit(True))
+    return scored_.join(keeps, "end_idx", "left").select("window_id", "predicted", kept.alias("kept"))
+
+
 @query(
     "w13_padding",
     sql(
