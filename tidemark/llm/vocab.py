@@ -60,7 +60,7 @@ class WordVocab:
         """``text`` cut at special strings; these come as their id, the rest as normalised text."""
         out: list[str | int] = []
         at = 0
-        if "<" in text:
+        if any(s in text for s in self.specials):
             for m in self._special.finditer(text):
                 out += [self.normal(text[at : m.start()]), self.specials[m[0]]]
                 at = m.end()
