@@ -138,6 +138,8 @@ def slices(texts: pa.Array, chars: int = 6_000_000) -> Iterator[tuple[int, list[
             start, total = i + 1, 0
     if start < len(sizes):
         yield start, texts.slice(start).to_pylist()
+    # Workers live on through later stages; what the batch took goes back.
+    pa.default_memory_pool().release_unused()
 
 
 def encode_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:

@@ -37,7 +37,7 @@ UNKNOWN = "und"
 #: Sampled rows per language and letter groups in the model.
 PER_LANG, GRAMS = 1_500, 120_000
 #: What a change of language costs, the limit of one word's score, and the words that a task remembers.
-SWITCH, WORD_CAP, MEMO = 14.0, 6.0, 200_000
+SWITCH, WORD_CAP, MEMO = 14.0, 6.0, 120_000
 
 #: First code points of script ranges (others are "other").
 _SCRIPTS = [
