@@ -15,7 +15,7 @@ from tidemark.llm.components import components
 from tidemark.llm.gray_simhash import fingerprint, gray_rank, links_in_groups, near_digests, near_groups
 from tidemark.llm.relative_lz import digests, remove_repeats
 from tidemark.llm.rp_forest import near_vectors
-from tidemark.llm.simhash_copies import first_of_copies
+from tidemark.llm.simhash_copies import band_places, first_of_copies, shingles, short_links, wide_print
 from pyspark.sql import functions as F
 
 
@@ -202,3 +202,56 @@ def test_sketches_merge_and_estimate(spark):
     assert r.s == 128 and r.n == pytest.approx(len(union), rel=0.3)
     assert r.r == pytest.approx(len(shingle_set(a)) / len(union), abs=0.15) and r.c == 1.0
     assert 2 not in got and len(got[3]) == 1
+
+
+def kept_of_brute_force(rows, candidate=lambda i, j: True):
+    sets = [shingle_set(t) for _, t in rows]
+    pairs = []
+    for i, x in enumerate(sets):
+        for j in range(i):
+            shared = len(x & sets[j])
+            if shared >= 0.8 * (len(x) + len(sets[j]) - shared) and candidate(i, j):
+                pairs.append((i, j))
+    root = roots(len(rows), pairs)
+    return sorted(min(rows[i][0] for i in range(len(rows)) if root[i] == k) for k in set(root))
+
+
+def test_families_around_the_limit_equal_checking_all_candidates(spark):
+    r, count = random.Random(5), 300
+    rows = []
+    for f in range(3):
+        base = [f"w{r.randrange(10**6)}" for _ in range(400)]
+        for k in range(count // 3):
+            near = base[:]
+            for at in r.sample(range(400), r.randint(5, 7)):
+                near[at] = f"n{r.randrange(10**6)}"
+            rows.append((1000 * f + k, " ".join(near)))
+    prints = [wide_print(shingles(t)) for _, t in rows]
+    bits = np.unpackbits(np.array(prints).view(np.uint8), axis=1, bitorder="little")
+    bands = np.stack([bits[:, places] @ (1 << np.arange(len(places))) for places in band_places()], axis=1)
+    candidate = lambda i, j: (bits[i] != bits[j]).sum() <= 56 and (bands[i] == bands[j]).any()
+    got = first_of_copies(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    kept, want = sorted(x.doc_id for x in got.collect()), kept_of_brute_force(rows, candidate)
+    assert kept == want and len(want) < 250
+    assert len(want) - len(kept_of_brute_force(rows)) <= 2  # what bands of 12 bits miss
+
+
+def test_short_copies_equal_comparing_all_pairs(spark):
+    r = random.Random(6)
+    rows = []
+    for k in range(300):
+        base = [f"w{r.randrange(10**6)}" for _ in range(9 + k % 25)]
+        rows.append((2 * k, " ".join(base)))
+        rows.append((2 * k + 1, " ".join(base[: len(base) - max(1, (len(base) - 4) // 5)])))
+    for k in range(60):  # a line that many texts share
+        rows.append((1000 + k, "one line that stands in very many short texts " + " ".join(f"v{r.randrange(10**6)}" for _ in range(k % 7))))
+    want = kept_of_brute_force(rows)
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert sorted(x.doc_id for x in first_of_copies(df).collect()) == want and len(want) < 400
+    short = df.filter("doc_id >= 0").collect()
+    sets = [(x.doc_id, sorted(int(h) for h in shingles(x.text).view(np.int64))) for x in short]
+    links = short_links(spark.createDataFrame(sets, "node bigint, set array<bigint>"), 0.8, limit=4).collect()
+    at = {d: i for i, (d, _) in enumerate(rows)}
+    root = roots(len(rows), [(at[x.a], at[x.b]) for x in links])
+    copies = {x for x in range(len(rows)) if root[x] == x}
+    assert sorted(rows[x][0] for x in copies if len(set(sets[x][1])) > 1) == [w for w in want if len(sets[at[w]][1]) > 1]

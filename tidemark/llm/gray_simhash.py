@@ -19,7 +19,7 @@ read. A very long text is one task's work, linear in its length.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations, repeat
 
 import numpy as np
@@ -37,6 +37,8 @@ FAN = 8
 GROUP_LIMIT = 32_768
 #: Pairs of nodes that are expanded at a time.
 _FRONT = 1 << 17
+#: From g, node and the other columns of some whole groups to pairs of rows.
+Search = Callable[[np.ndarray], Iterator[tuple[np.ndarray, np.ndarray]]]
 
 
 def fingerprint(text: str | None, words: int = WORDS) -> int:
@@ -101,6 +103,41 @@ def _levels(prints: np.ndarray, group: np.ndarray) -> list[tuple[np.ndarray, ...
         own = own[first]
 
 
+def near_pairs(levels: list[tuple[np.ndarray, ...]], distance: int, own: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of rows of a group within ``distance``, some at a time; those of equal ``own`` are left out."""
+    spans = [] if own is None else [(own, own)]
+    for first, _, _, _ in levels[1:] if spans else ():
+        spans.append((np.minimum.reduceat(spans[-1][0], first), np.maximum.reduceat(spans[-1][1], first)))
+    top = np.arange(len(levels[-1][0]))
+    stack = [(len(levels) - 1, top[i : i + _FRONT], top[i : i + _FRONT]) for i in range(0, len(top), _FRONT)]
+    while stack:
+        level, a, b = stack.pop()
+        first, end, mask, pattern = levels[level]
+        near = np.bitwise_count((pattern[a] ^ pattern[b]) & mask[a] & mask[b]).sum(axis=1) <= distance
+        if level == 0:
+            near &= a != b
+        if spans:
+            low, high = spans[level]
+            near &= np.minimum(low[a], low[b]) != np.maximum(high[a], high[b])
+        a, b = a[near], b[near]
+        if not len(a):
+            continue
+        if level == 0:
+            yield a, b
+            continue
+        # All pairs of children; of a node with itself, only one order.
+        na, nb = end[a] - first[a], end[b] - first[b]
+        total = na * nb
+        for cut in range(0, len(a), max(1, _FRONT // (FAN * FAN))):
+            some = slice(cut, cut + max(1, _FRONT // (FAN * FAN)))
+            t = total[some]
+            which = np.repeat(np.arange(len(a))[some], t)
+            k = np.arange(int(t.sum())) - np.repeat(np.cumsum(t) - t, t)
+            ca, cb = first[a[which]] + k // nb[which], first[b[which]] + k % nb[which]
+            keep = (a[which] != b[which]) | (ca <= cb)
+            stack.append((level - 1, ca[keep], cb[keep]))
+
+
 def links_in_groups(prints: np.ndarray, group: np.ndarray, distances: tuple[int, ...] = (DISTANCE,)) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of rows that span the clusters of each group, of all pairs within the last of ``distances``.
 
@@ -111,31 +148,8 @@ def links_in_groups(prints: np.ndarray, group: np.ndarray, distances: tuple[int,
     label = np.arange(len(prints))
     found: list[tuple[np.ndarray, np.ndarray]] = []
     for distance in distances:
-        top = np.arange(len(levels[-1][0]))
-        stack = [(len(levels) - 1, top[i : i + _FRONT], top[i : i + _FRONT]) for i in range(0, len(top), _FRONT)]
-        while stack:
-            level, a, b = stack.pop()
-            first, end, mask, pattern = levels[level]
-            near = np.bitwise_count((pattern[a] ^ pattern[b]) & mask[a] & mask[b]).sum(axis=1) <= distance
-            if level == 0:
-                near &= a != b
-            a, b = a[near], b[near]
-            if not len(a):
-                continue
-            if level == 0:
-                _unite(label, a, b, found)
-                continue
-            # All pairs of children; of a node with itself, only one order.
-            na, nb = end[a] - first[a], end[b] - first[b]
-            total = na * nb
-            for cut in range(0, len(a), max(1, _FRONT // (FAN * FAN))):
-                some = slice(cut, cut + max(1, _FRONT // (FAN * FAN)))
-                t = total[some]
-                which = np.repeat(np.arange(len(a))[some], t)
-                k = np.arange(int(t.sum())) - np.repeat(np.cumsum(t) - t, t)
-                ca, cb = first[a[which]] + k // nb[which], first[b[which]] + k % nb[which]
-                keep = (a[which] != b[which]) | (ca <= cb)
-                stack.append((level - 1, ca[keep], cb[keep]))
+        for a, b in near_pairs(levels, distance):
+            _unite(label, a, b, found)
     if not found:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     return np.concatenate([x for x, _ in found]), np.concatenate([y for _, y in found])
@@ -170,19 +184,20 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def _linked(rows: DataFrame, prints: list[str], distances: tuple[int, ...], group_limit: int) -> DataFrame:
-    """Links (a, b) that span each group's clusters. ``rows``: group key g, node, and fingerprint columns.
-
-    A group of over ``group_limit`` rows is dealt out to parts by the node's hash, and each pair of parts is a group.
-    """
-    heavy = rows.groupBy("g").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > group_limit)
-    parts = F.ceil(F.coalesce("n", F.lit(1)) / F.lit(group_limit)).cast("int")
-    dealt = (
+def dealt(rows: DataFrame, cols: list[str], group_limit: int) -> DataFrame:
+    """g, node and ``cols``: a group of over ``group_limit`` rows is dealt out to parts by the node's hash, and each pair of parts is a group."""
+    heavy = rows.groupBy("g").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > group_limit).withColumnRenamed("n", "_n")
+    parts = F.ceil(F.coalesce("_n", F.lit(1)) / F.lit(group_limit)).cast("int")
+    return (
         rows.join(heavy, "g", "left")
         .withColumn("p", parts)
-        .select("g", "node", *prints, F.pmod(F.xxhash64("node"), F.col("p")).cast("int").alias("m"), F.explode(F.sequence(F.lit(0), F.col("p") - 1)).alias("o"))
-        .select(F.when(F.greatest("m", "o") == 0, F.col("g")).otherwise(F.xxhash64("g", F.least("m", "o"), F.greatest("m", "o"))).alias("g"), "node", *prints)
+        .select("g", "node", *cols, F.pmod(F.xxhash64("node"), F.col("p")).cast("int").alias("m"), F.explode(F.sequence(F.lit(0), F.col("p") - 1)).alias("o"))
+        .select(F.when(F.greatest("m", "o") == 0, F.col("g")).otherwise(F.xxhash64("g", F.least("m", "o"), F.greatest("m", "o"))).alias("g"), "node", *cols)
     )
+
+
+def _linked(rows: DataFrame, prints: list[str], distances: tuple[int, ...], group_limit: int, search: Search | None = None) -> DataFrame:
+    """Links (a, b) that span each group's clusters, or those that ``search`` finds. ``rows``: group key g, node, and columns of longs, fingerprints first."""
     rank = F.col(prints[0])
     for s in (1, 2, 4, 8, 16, 32):
         rank = rank.bitwiseXOR(F.shiftrightunsigned(rank, s))
@@ -197,18 +212,19 @@ def _linked(rows: DataFrame, prints: list[str], distances: tuple[int, ...], grou
                 continue
             stop = int(cut[-1]) + 1  # the last group may go on
             held[-1] = cols[:, :stop]
-            yield joined(held)
+            yield from joined(held)
             held = [cols[:, stop:]]
         if held:
-            yield joined(held)
+            yield from joined(held)
 
-    def joined(held: list[np.ndarray]) -> pa.RecordBatch:
+    def joined(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         cols = np.concatenate(held, axis=1)
-        a, b = links_in_groups(np.ascontiguousarray(cols[2:].T).view(np.uint64), cols[0], distances)
-        return pa.RecordBatch.from_arrays([pa.array(cols[1, a]), pa.array(cols[1, b])], names=["a", "b"])
+        found = search(cols) if search else [links_in_groups(np.ascontiguousarray(cols[2:].T).view(np.uint64), cols[0], distances)]
+        for a, b in found:
+            yield pa.RecordBatch.from_arrays([pa.array(cols[1, a]), pa.array(cols[1, b])], names=["a", "b"])
 
     # Gray rank as an unsigned number.
-    ordered = dealt.repartition("g").sortWithinPartitions("g", rank.bitwiseXOR(F.lit(-(1 << 63))))
+    ordered = dealt(rows, prints, group_limit).repartition("g").sortWithinPartitions("g", rank.bitwiseXOR(F.lit(-(1 << 63))))
     return ordered.select("g", "node", *prints).mapInArrow(run, "a bigint, b bigint")
 
 

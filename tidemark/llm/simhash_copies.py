@@ -4,11 +4,18 @@ Four bits in 64, as in ``gray_simhash``, admit only texts that are almost equal.
 five-word shingles share 0.8 of their union differ in about 0.15 of all fingerprint bits, so this form
 takes 256 bits per text and ``DISTANCES`` up to three standard deviations above that. Texts with equal
 sets are one class. A class goes to one group for each of ``BANDS`` samples of ``BAND_BITS`` bits; two
-classes at 0.8 meet in some group with probability 0.99 (more if they are closer). Groups are searched
-with the Gray-order index of ``gray_simhash``; each sends out the links that span its clusters, closest
-first, and a link stays if the exact similarity of its two sets is at least ``similarity``. Sets are
-made again in a second pass over the texts, for linked classes only (a Bloom filter of fixed size picks
-them), so no text is shuffled to be compared.
+classes at 0.8 meet in some group with probability 0.98 or so (more if they are closer). Groups are
+searched with the Gray-order index of ``gray_simhash``; each sends out the links that span its clusters,
+closest first, and a link stays if the exact similarity of its two sets is at least ``similarity``.
+Where a link was rejected, the clusters it held together are searched again for all pairs that lie in
+two verified clusters, in ``SLICES`` of the pairs, so that early slices merge what they can; every such
+pair is either checked or inside one verified cluster at the end. Sets are made again in a second pass
+over the texts, for linked classes only (a Bloom filter of fixed size picks them), so no text is
+shuffled to be compared.
+
+Bits of small sets vary more, so sets of up to ``SHORT`` shingles are also linked exactly: in an order
+of all shingles, rare ones first, two sets at ``similarity`` share one of their first
+``n - ceil(similarity * n) + 1``; sets that share one are a group, in which they are compared in full.
 
 Words and empty texts are as in ``gray_simhash``; texts without words are equal. Repeated rows are one
 class. ``docs`` must be a repeatable plan such as a table scan, as rows are numbered by their place.
@@ -16,6 +23,7 @@ class. ``docs`` must be a repeatable plan such as a table scan, as rows are numb
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import repeat
 
@@ -27,7 +35,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.bpe_trie import slices
 from tidemark.llm.components import components
-from tidemark.llm.gray_simhash import GROUP_LIMIT, SEED, _linked
+from tidemark.llm.gray_simhash import GROUP_LIMIT, SEED, _levels, _linked, dealt, near_pairs
 from tidemark.llm.relative_lz import bloom_bits, in_bloom
 from tidemark.llm.tables import Table, unused
 
@@ -37,7 +45,13 @@ DISTANCES = (28, 42, 56)
 BANDS, BAND_BITS = 32, 12
 #: log2 of the bits of the filter that picks linked classes (1 MB).
 BITS = 23
+#: Parts in 64 of all pairs that are searched again one after another.
+SLICES = ((0, 1), (1, 8), (8, 64))
+#: Shingles of a short set; log2 of the counters that order shingles; rows of a group of short sets.
+SHORT, COUNTERS, SHORT_LIMIT = 32, 18, 8_192
 PRINTS = [f"f{i}" for i in range(PARTS)]
+#: Equal in texts of equal sets, and in no others.
+CLASS = [*PRINTS, "s0", "s1", "size"]
 
 
 def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
@@ -76,40 +90,138 @@ def band_places(bands: int = BANDS, bits: int = BAND_BITS) -> np.ndarray:
     return np.stack([rng.choice(64 * PARTS, bits, replace=False) for _ in range(bands)])
 
 
-def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _prints(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
+    longest = int(SHORT / similarity)
     for batch in batches:
-        rows = []
+        rows, short = [], []
         for _, texts in slices(batch.column(1)):
             for t in texts:
                 h = shingles(t)
-                rows.append(np.concatenate([wide_print(h), [h.sum(dtype=np.uint64), np.bitwise_xor.reduce(h)]]))
-        cols = np.array(rows, np.uint64).reshape(-1, PARTS + 2).T.copy().view(np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c) for c in cols]], names=["key", *PRINTS, "s0", "s1"])
+                rows.append(np.concatenate([wide_print(h), [h.sum(dtype=np.uint64), np.bitwise_xor.reduce(h), np.uint64(len(h))]]))
+                short.append(h.view(np.int64) if 1 < len(h) <= longest else None)
+        cols = np.array(rows, np.uint64).reshape(-1, PARTS + 3).T.copy().view(np.int64)
+        yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c) for c in cols], pa.array(short, pa.list_(pa.int64()))], names=["key", *CLASS, "set"])
 
 
 def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     places = band_places()
     for batch in batches:
-        cols = np.stack([batch.column(c).to_numpy() for c in range(1, PARTS + 1)])
-        prints = cols.view(np.uint64)
+        prints = np.stack([batch.column(c).to_numpy() for c in range(1, PARTS + 1)]).view(np.uint64)
         for i, band in enumerate(places):
             g = np.full(batch.num_rows, i << BAND_BITS, np.int64)
             for k, place in enumerate(band):
                 g |= ((prints[place // 64] >> np.uint64(place % 64)) & np.uint64(1)).astype(np.int64) << k
-            yield pa.RecordBatch.from_arrays([pa.array(g), batch.column(0), *[pa.array(c) for c in cols]], names=["g", "node", *PRINTS])
+            yield pa.RecordBatch.from_arrays([pa.array(g), *batch.columns], names=["g", *batch.schema.names])
+
+
+def _bands(rows: DataFrame) -> DataFrame:
+    """``rows`` (node, fingerprint and other longs) once for each band."""
+    return rows.mapInArrow(_banded, "g bigint, " + ", ".join(f"{c} bigint" for c in rows.columns))
+
+
+def cross_pairs(cols: np.ndarray, similarity: float, low: int, high: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows (g, node, fingerprint, size, cluster) of two clusters whose sizes allow ``similarity``: a slice of all pairs."""
+    node, (size, own) = cols[1].view(np.uint64), cols[2 + PARTS :]
+    for a, b in near_pairs(_levels(np.ascontiguousarray(cols[2 : 2 + PARTS].T).view(np.uint64), cols[0]), DISTANCES[-1], own):
+        x = (np.minimum(node[a], node[b]) * np.uint64(0x9E3779B97F4A7C15)) ^ np.maximum(node[a], node[b])
+        x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(58)
+        keep = (x >= low) & (x < high) & (np.minimum(size[a], size[b]) >= similarity * np.maximum(size[a], size[b]))
+        if keep.any():
+            yield a[keep], b[keep]
+
+
+def exact_links(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Pairs at ``similarity`` that span the clusters of all such pairs, by a walk from set to set."""
+    sizes = np.array([len(x) for x in sets])
+    _, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    starts = np.cumsum(sizes) - sizes
+    has = np.zeros(flat.max() + 1, np.int64)
+    out: list[tuple[int, int]] = []
+    left = np.ones(len(sets), bool)
+    for first in range(len(sets)):
+        queue = [first] if left[first] else []
+        left[first] = False
+        while queue and left.any():
+            i = queue.pop()
+            mine = flat[starts[i] : starts[i] + sizes[i]]
+            has[mine] = 1
+            shared = np.add.reduceat(has[flat], starts)
+            has[mine] = 0
+            near = np.flatnonzero(left & (shared >= similarity * (sizes + sizes[i] - shared)))
+            left[near] = False
+            queue += near.tolist()
+            out += [(i, j) for j in near.tolist()]
+    return out
+
+
+def short_links(short: DataFrame, similarity: float, limit: int = SHORT_LIMIT) -> DataFrame:
+    """Links (a, b) whose components are those of all pairs at ``similarity``. ``short``: node and set, a repeatable plan of distinct sets."""
+    spark, mask = short.sparkSession, np.uint64((1 << COUNTERS) - 1)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(1 << COUNTERS, np.int64)
+        for batch in batches:
+            n += np.bincount(batch.column(0).flatten().to_numpy().view(np.uint64) & mask, minlength=len(n)) if batch.num_rows else 0
+        at = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], names=["at", "n"])
+
+    seen = np.zeros(1 << COUNTERS, np.int64)
+    for r in short.select("set").mapInArrow(count, "at bigint, n bigint").groupBy("at").agg(F.sum("n").alias("n")).collect():
+        seen[r["at"]] = r["n"]
+    often = spark.sparkContext.broadcast(seen)
+
+    def firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            g, node = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for at, x in zip(batch.column(0).to_numpy(), batch.column(1)):
+                h = np.asarray(x.values).view(np.uint64)
+                n = often.value[h & mask]
+                take = np.lexsort((h, n))[: len(h) - math.ceil(similarity * len(h) - 1e-9) + 1]
+                take = take[n[take] > 1]  # others stand in no second set
+                g.append(h[take].view(np.int64))
+                node.append(np.full(len(take), at))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(g)), pa.array(np.concatenate(node))], names=["g", "node"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, nodes, sets = None, [], []
+        for batch in batches:
+            a, b = [], []
+            for g, node, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                if g != last:
+                    flush(nodes, sets, a, b)
+                    last, nodes, sets = g, [], []
+                nodes.append(node)
+                sets.append(np.array(x.values))
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+        a, b = [], []
+        flush(nodes, sets, a, b)
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    def flush(nodes: list[int], sets: list[np.ndarray], a: list[int], b: list[int]) -> None:
+        for i, j in exact_links(sets, similarity) if len(sets) > 1 else ():
+            a.append(nodes[i])
+            b.append(nodes[j])
+
+    rows = Table(short.select("node", "set").mapInArrow(firsts, "g bigint, node bigint")).df
+    shared = rows.join(rows.groupBy("g").agg(F.count(F.lit(1)).alias("k")).filter("k > 1"), "g").select("g", "node")
+    groups = dealt(shared, [], limit).join(short, "node").select("g", "node", "set")
+    return groups.repartition("g").sortWithinPartitions("g").mapInArrow(run, "a bigint, b bigint")
 
 
 def copy_groups(numbered: DataFrame, similarity: float = SIMILARITY, group_limit: int = GROUP_LIMIT) -> DataFrame:
     """(key, first): for each row, the smallest key reachable over links. ``numbered``: key (a struct with the row number c) and text."""
     spark = numbered.sparkSession
     kind = numbered.schema["key"].dataType.simpleString()
-    longs = ", ".join(f"{c} bigint" for c in [*PRINTS, "s0", "s1"])
-    prints = Table(numbered.select("key", "text").mapInArrow(_prints, f"key {kind}, {longs}")).df
-    classes = Table(prints.groupBy(*PRINTS, "s0", "s1").agg(F.min("key").alias("low"))).df
-    rows = classes.select(F.col("low.c").alias("node"), *PRINTS)
-    banded = rows.mapInArrow(_banded, "g bigint, node bigint, " + ", ".join(f"{c} bigint" for c in PRINTS))
-    links = _linked(banded, PRINTS, DISTANCES, group_limit)
-    pairs = Table(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()).df
+    longs = ", ".join(f"{c} bigint" for c in CLASS)
+    made = Table(numbered.select("key", "text").mapInArrow(lambda x: _prints(x, similarity), f"key {kind}, {longs}, set array<bigint>")).df
+    prints = made.drop("set")
+    classes = Table(prints.groupBy(*CLASS).agg(F.min("key").alias("low"))).df
+    short = made.filter("set IS NOT NULL").select(F.col("key.c").alias("node"), "set")
+    short = Table(short.join(classes.select(F.col("low.c").alias("node")), "node", "left_semi")).df
+    rows = classes.select(F.col("low.c").alias("node"), *PRINTS, "size")
+    links = _linked(_bands(rows.drop("size")), PRINTS, DISTANCES, group_limit)
+    ordered = (F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    pairs = Table(links.select(*ordered).distinct()).df
 
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     picked = spark.sparkContext.broadcast(bloom_bits(nodes.select(F.xxhash64("node").alias("h")), "h", BITS))
@@ -124,8 +236,6 @@ def copy_groups(numbered: DataFrame, similarity: float = SIMILARITY, group_limit
                 yield pa.RecordBatch.from_arrays([some.column(0), pa.array(made, pa.list_(pa.int64()))], names=["node", "set"])
 
     known = Table(texts.mapInArrow(sets, "node bigint, set array<bigint>").join(nodes, "node", "left_semi")).df
-    left = pairs.join(known.select(F.col("node").alias("a"), F.col("set").alias("x")), "a")
-    both = left.join(known.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
 
     def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -134,12 +244,32 @@ def copy_groups(numbered: DataFrame, similarity: float = SIMILARITY, group_limit
                 x, y = np.asarray(x.values), np.asarray(y.values)
                 shared = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(shared >= similarity * (len(x) + len(y) - shared))
-            yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep)) for c in batch.columns[:2]], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(keep, pa.bool_())], names=["a", "b", "ok"])
+
+    def checked(pairs: DataFrame) -> DataFrame:
+        left = pairs.join(known.select(F.col("node").alias("a"), F.col("set").alias("x")), "a")
+        both = left.join(known.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
+        return Table(both.select("a", "b", "x", "y").mapInArrow(alike, "a bigint, b bigint, ok boolean")).df
+
+    tried = checked(pairs)
+    good = tried.filter("ok").select("a", "b").unionByName(Table(short_links(short, similarity).distinct()).df)
+    roots = components(good).df
+    if not tried.filter("NOT ok").isEmpty():
+        wide = components(pairs).df.withColumnRenamed("root", "wide")
+        for low, high in SLICES:
+            owned = Table(wide.join(roots, "node", "left").select("node", "wide", F.coalesce("root", "node").alias("own"))).df
+            split = owned.groupBy("wide").agg(F.min("own").alias("x"), F.max("own").alias("y")).filter("x <> y").select("wide")
+            again = Table(rows.join(owned.join(split, "wide", "left_semi").select("node", "own"), "node").select("node", *PRINTS, "size", "own")).df
+            if again.isEmpty():
+                break
+            search = lambda cols, low=low, high=high: cross_pairs(cols, similarity, low, high)
+            more = _linked(_bands(again), [*PRINTS, "size", "own"], DISTANCES, group_limit, search)
+            good = good.unionByName(checked(Table(more.select(*ordered).distinct()).df).filter("ok").select("a", "b"))
+            roots = components(good).df
 
-    roots = components(both.select("a", "b", "x", "y").mapInArrow(alike, "a bigint, b bigint")).df
-    rooted = classes.join(roots, F.col("low.c") == F.col("node"), "left").select(*PRINTS, "s0", "s1", "low", F.coalesce("root", "low.c").alias("root"))
+    rooted = classes.join(roots, F.col("low.c") == F.col("node"), "left").select(*CLASS, "low", F.coalesce("root", "low.c").alias("root"))
     first = rooted.groupBy("root").agg(F.min("low").alias("first"))
-    return prints.join(rooted.join(first, "root").select(*PRINTS, "s0", "s1", "first"), [*PRINTS, "s0", "s1"]).select("key", "first")
+    return prints.join(rooted.join(first, "root").select(*CLASS, "first"), CLASS).select("key", "first")
 
 
 def first_of_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
