@@ -1,7 +1,8 @@
 """Corpus pipeline: from raw documents to packed sequences, each stage written as Parquet and read again.
 
 1. ``language``: fits a classifier on the labelled documents and drops texts in which no language can be
-   told: those without a letter, and those of which no language holds ``LEAST_SHARE`` of the letters.
+   told: those without a letter, and those of which no language holds and explains ``LEAST_SHARE`` of
+   the letters (texts of unlearned scripts, gibberish). Texts too short to be judged stay.
    Where no document is labelled, nothing can be told apart and all stay.
 2. ``near_dedup``: SimHash finds documents whose five-word shingles are alike to 0.8 or more; of each
    group that such links connect, the one with the smallest id stays.
@@ -38,9 +39,10 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = fit(docs, F.lit(True))
     if not model.langs:
         return docs
-    lang, score = unused("lang_pred", docs), unused("lang_score", docs)
-    told = predict(docs, model, lang_name=lang, score_name=score)
-    return told.filter((F.col(lang) != UNKNOWN) & (F.col(score) >= LEAST_SHARE)).select(*docs.columns)
+    lang, score, support = unused("lang_pred", docs), unused("lang_score", docs), unused("lang_support", docs)
+    told = predict(docs, model, lang_name=lang, score_name=score, support_name=support)
+    clear = (F.col(score) >= LEAST_SHARE) & F.coalesce(F.col(support) >= LEAST_SHARE, F.lit(True))
+    return told.filter((F.col(lang) != UNKNOWN) & clear).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

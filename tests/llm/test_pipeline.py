@@ -1,5 +1,7 @@
 """The stages of the corpus pipeline: columns, decisions, and the whole run."""
 
+import random
+
 import corpus_pipeline
 from tests.llm.data import documents, empty
 from tidemark.llm.registry import QUERIES
@@ -40,3 +42,13 @@ def test_empty_input_and_whole_run(spark, tmp_path):
         assert out.count() == 0
     documents(spark).write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
+
+
+def test_unlearned_scripts_and_gibberish_go(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    r = random.Random(1)
+    junk = [" ".join("".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=r.randint(2, 9))) for _ in range(60)) for _ in range(5)]
+    junk += ["дом и сад старые но деревья там не были срублены", "日本語の文章はここにあります東京都千代田区永田町"]
+    added = spark.createDataFrame([(-1 - i, t, None) for i, t in enumerate(junk)], docs.schema)
+    kept = corpus_pipeline.language(spark, docs.unionByName(added), "").select("doc_id")
+    assert kept.filter("doc_id < 0").count() == 0 and kept.count() == docs.count()

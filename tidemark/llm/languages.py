@@ -7,6 +7,13 @@ of a text, Viterbi with a penalty for each change of language labels every word,
 words do not break a span and longer passages do. The text's language is the one with most labelled
 letters; the score is its share of them.
 
+The support, if asked for, is the share of all letters that stand in words of the winner which it can
+explain: a learned script, and letter groups that are on average likelier under it than if its letters
+were drawn evenly (groups it was not shown count as unseen). Texts of unlearned scripts and gibberish
+have next to none. A language learned from fewer than ``ENOUGH`` letter groups explains all words of its
+scripts, as most groups are unseen then. Texts of fewer than ``FEW`` letters cannot be judged; their
+support is null.
+
 Null texts and texts without a letter are ``und`` with score 0. Ties go to the language first in
 alphabetical order. Rows are independent when predicting, so repeated rows need no rule; an empty
 table gives an empty result, and where no row is labelled, nothing is learned and all texts are ``und``.
@@ -38,6 +45,10 @@ UNKNOWN = "und"
 PER_LANG, GRAMS = 1_500, 120_000
 #: What a change of language costs, the limit of one word's score, and the words that a task remembers.
 SWITCH, WORD_CAP, MEMO = 14.0, 6.0, 120_000
+#: Letters that a text needs for its support to be judged, and the share of a language's letter groups that a letter of its needs.
+FEW, RARE = 20, 1e-4
+#: Letter groups in a language's sample (about 18,000 words) from which unseen groups speak against a word.
+ENOUGH = 200_000
 
 #: First code points of script ranges (others are "other").
 _SCRIPTS = [
@@ -69,6 +80,25 @@ class Model:
     scripts: dict[str, np.ndarray]  # script: which languages use it
     places: dict[str, int]  # letter group: its row in scores
     scores: np.ndarray  # log-likelihoods by language
+    words: np.ndarray | None = None  # which rows of scores are whole words
+    unseen: np.ndarray | None = None  # log-likelihood of a group that was not seen, by language
+    even: np.ndarray | None = None  # least mean log-likelihood of a word's groups, by language
+
+
+def _even(names: list[str], groups: np.ndarray, unseen: np.ndarray) -> np.ndarray:
+    """By language, the mean log-likelihood of pairs and triples of letters drawn evenly, or half way from unseen to typical groups."""
+    total = groups.sum(axis=0) + 1
+    size = np.array([0 if g[0] == "=" else len(g) for g in names])
+    held: dict[str, np.ndarray] = {}
+    for g, row, n in zip(names, groups, size):
+        if n == 2:
+            held[g[0]] = held.get(g[0], 0) + row
+    letters = np.maximum(sum(((row >= RARE * total).astype(np.int64) for row in held.values()), np.zeros(len(total), np.int64)), 1)
+    shares = [np.maximum(groups[size == n].sum(axis=0), 1) / total for n in (2, 3)]
+    even = np.log(shares).sum(axis=0) / 2 - 2.5 * np.log(letters)
+    some = groups[size > 0]
+    typical = (some * np.log((some + 0.5) / total)).sum(axis=0) / np.maximum(some.sum(axis=0), 1)
+    return np.where(total < ENOUGH, -np.inf, np.maximum(even, (unseen + typical) / 2))
 
 
 def _gram_counts(labelled: DataFrame, text_col: str, lang_col: str) -> DataFrame:
@@ -118,14 +148,15 @@ def fit(docs: DataFrame, use: Column, id_col: str = "doc_id", text_col: str = "t
     groups = counts[~marks]
     scores = np.log((groups + 0.5) / (groups.sum(axis=0) + 1)).astype(np.float32)
     places = {g: i for i, g in enumerate(g for g, m in zip(names, marks) if not m)}
-    return Model(langs, {s: use for s, use in scripts.items() if use.any()}, places, scores)
+    unseen = np.log(0.5 / (groups.sum(axis=0) + 1))
+    return Model(langs, {s: use for s, use in scripts.items() if use.any()}, places, scores, np.array([g[0] == "=" for g in places], bool), unseen, _even(list(places), groups, unseen))
 
 
 class Labeller:
     """Per-word scores and Viterbi labels under one model; words are scored once per task."""
 
-    def __init__(self, model: Model):
-        self.model = model
+    def __init__(self, model: Model, support: bool = False):
+        self.model, self.support = model, support
         names = sorted(model.scripts)
         self.script_at = {s: i for i, s in enumerate(names)}
         self.uses = np.array([model.scripts[s] for s in names], bool).reshape(len(names), len(model.langs))
@@ -135,6 +166,7 @@ class Labeller:
         self.known: dict[str, int] = {}
         self.rows = np.zeros((1024, len(self.model.langs)), np.float32)
         self.letters = np.zeros(1024, np.int64)
+        self.explained = np.zeros(self.rows.shape, np.int32)
 
     def learn(self, pieces: list[str]) -> None:
         """Score new pieces of lower-case text and count their letters."""
@@ -144,11 +176,14 @@ class Labeller:
             self.rows, old = np.zeros((size, self.rows.shape[1]), np.float32), self.rows
             self.letters, old_letters = np.zeros(size, np.int64), self.letters
             self.rows[:base], self.letters[:base] = old[:base], old_letters[:base]
+            self.explained, old = np.zeros(self.rows.shape, np.int32), self.explained
+            self.explained[:base] = old[:base]
         places, script_at = self.model.places, self.script_at
         flat: list[int] = []
         sizes: list[int] = []
         owner: list[int] = []
         scripts: list[int] = []
+        lengths: list[int] = []
         for i, p in enumerate(pieces, base):
             words = [p] if p.isalpha() else _LETTERS.findall(p)
             for w in words:
@@ -162,6 +197,7 @@ class Labeller:
                     sizes.append(len(found))
                     owner.append(i)
                     scripts.append(at)
+                    lengths.append(len(w))
         self.known.update(zip(pieces, range(base, base + n)))
         if not owner:
             return
@@ -170,13 +206,20 @@ class Labeller:
         use = self.uses[scripts]
         mean = (sums * use).sum(axis=1, keepdims=True) / use.sum(axis=1, keepdims=True)
         np.add.at(self.rows, owner, np.where(use, np.clip(sums - mean, -WORD_CAP, WORD_CAP), -WORD_CAP))
-
-    def label(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
-        """For each text, the language number of each of its pieces with letters, and their letters."""
+        if not self.support:
+            return
+        model, n = self.model, np.array(lengths)[:, None]
+        whole = model.words[flat]
+        seen = np.array(sizes)[:, None] - np.add.reduceat(whole.astype(np.int64), starts)[:, None]
+        likely = np.add.reduceat(np.where(whole[:, None], 0, model.scores[flat]), starts, axis=0) + (2 * n + 1 - seen) * model.unseen
+        np.add.at(self.explained, owner, np.where(use & (likely >= model.even * (2 * n + 1)), n, 0))
+
+    def label(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """For each text, the language number of each of its pieces with letters, their letters, and how many of them that language explains."""
         if len(self.known) > MEMO:
             self._clear()
         if not self.model.langs:
-            return [(np.zeros(0, np.int8), np.zeros(0, np.int64))] * len(texts)
+            return [(np.zeros(0, np.int8), np.zeros(0, np.int64), np.zeros(0, np.int32))] * len(texts)
         split = [t.lower().split() if t else [] for t in texts]
         new: set[str] = set()
         new.update(*split)
@@ -188,7 +231,7 @@ class Labeller:
             at = np.fromiter(map(get, pieces), np.int64, len(pieces))
             docs.append(at[letters[at] > 0])
         labels = viterbi([self.rows[at] for at in docs])
-        return [(lab, letters[at]) for lab, at in zip(labels, docs)]
+        return [(lab, letters[at], self.explained[at, lab]) for lab, at in zip(labels, docs)]
 
 
 def viterbi(scores: list[np.ndarray], switch: float = SWITCH) -> list[np.ndarray]:
@@ -236,42 +279,49 @@ def viterbi(scores: list[np.ndarray], switch: float = SWITCH) -> list[np.ndarray
     return out
 
 
-def predict(docs: DataFrame, model: Model, text_col: str = "text", lang_name: str = "lang_pred", score_name: str = "score", spans_name: str | None = None) -> DataFrame:
-    """``docs`` with the predicted language, its score and, if named, the spans as (lang, pieces, letters)."""
+def predict(docs: DataFrame, model: Model, text_col: str = "text", lang_name: str = "lang_pred", score_name: str = "score", spans_name: str | None = None, support_name: str | None = None) -> DataFrame:
+    """``docs`` with the predicted language, its score and, if named, the spans as (lang, pieces, letters) and the support."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     spot = docs.columns.index(text_col)
     span_type = pa.list_(pa.struct([("lang", pa.string()), ("pieces", pa.int64()), ("letters", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        labeller = Labeller(shared.value)
+        labeller = Labeller(shared.value, support_name is not None)
         langs = labeller.model.langs
         for batch in batches:
             names: list[str] = []
             shares: list[float] = []
             spans: list[list[dict]] = []
+            supports: list[float | None] = []
             for _, texts in slices(batch.column(spot), 3_000_000):
-                for labels, letters in labeller.label(texts):
+                for labels, letters, explained in labeller.label(texts):
                     if not len(labels):
                         names.append(UNKNOWN)
                         shares.append(0.0)
                         spans.append([])
+                        supports.append(None)
                         continue
                     by = np.bincount(labels, weights=letters, minlength=len(langs))
                     k = int(by.argmax())
                     names.append(langs[k])
                     shares.append(float(by[k] / by.sum()))
+                    supports.append(float(explained[labels == k].sum() / by.sum()) if by.sum() >= FEW else None)
                     if spans_name:
                         cut = np.concatenate([[0], np.flatnonzero(np.diff(labels)) + 1, [len(labels)]])
                         spans.append([{"lang": langs[labels[a]], "pieces": int(b - a), "letters": int(letters[a:b].sum())} for a, b in zip(cut, cut[1:])])
             cols = [*batch.columns, pa.array(names, pa.string()), pa.array(shares, pa.float64())]
             if spans_name:
                 cols.append(pa.array(spans, span_type))
+            if support_name:
+                cols.append(pa.array(supports, pa.float64()))
             yield pa.RecordBatch.from_arrays(cols, names=schema_names)
 
     schema = T.StructType([*docs.schema.fields, T.StructField(lang_name, T.StringType()), T.StructField(score_name, T.DoubleType())])
     if spans_name:
         span = T.StructType().add("lang", T.StringType()).add("pieces", T.LongType()).add("letters", T.LongType())
         schema = schema.add(spans_name, T.ArrayType(span))
+    if support_name:
+        schema = schema.add(support_name, T.DoubleType())
     schema_names = schema.names
     return docs.mapInArrow(run, schema)
 
