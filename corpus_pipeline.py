@@ -8,7 +8,7 @@
    group that such links connect, the one with the smallest id stays.
 3. ``substring_dedup``: words inside windows of 35 words that stand elsewhere too are removed from every
    place; texts without any stay as they are, and a text may become empty.
-4. ``secrets``: secret values are masked; the documents stay.
+4. ``secrets``: secret values are masked, also those that are easily guessed; the documents stay.
 5. ``packing``: the texts are packed into sequences of 2048 tokens; one row per piece.
 
 All stages but the last return the columns of their input, ``n_chars`` (where there is one) holding

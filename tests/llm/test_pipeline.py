@@ -44,6 +44,11 @@ def test_empty_input_and_whole_run(spark, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
 
 
+def test_weak_secrets_are_masked_too(spark):
+    df = spark.createDataFrame([(1, "a password=Summer2024 b token: changeme, c")], "doc_id bigint, text string")
+    assert corpus_pipeline.secrets(spark, df, "").first().text == "a password=<secret> b token: <secret>, c"
+
+
 def test_unlearned_scripts_and_gibberish_go(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
     r = random.Random(1)

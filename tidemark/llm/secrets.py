@@ -155,11 +155,11 @@ def find_spans(text: str | None, least: float = LEAST) -> list[Span]:
     return sorted(found, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
 
-def masked(text: str | None, mark: str = "<secret>", least: float = LEAST) -> str | None:
-    """``text`` with each secret value replaced; an assigned value that is easily guessed stays."""
+def masked(text: str | None, mark: str = "<secret>", least: float = LEAST, weak: bool = False) -> str | None:
+    """``text`` with each secret value replaced; an assigned value that is easily guessed only if ``weak``."""
     parts, at = [], 0
     for kind, start, end, value in sorted(find_spans(text, least), key=lambda s: (s[3], s[2])):
-        if end <= at or (kind == "assign" and guess_cost(text[value:end]) < least):
+        if end <= at or (not weak and kind == "assign" and guess_cost(text[value:end]) < least):
             continue
         if value >= at:
             parts += [text[at:value], mark]
@@ -186,12 +186,12 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least:
 
 
 def mask(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with secret values masked in ``text_col``; nothing else changes."""
+    """``docs`` with the values of all spans masked in ``text_col``, weak ones too; nothing else changes."""
     spot = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [masked(t) for _, some in slices(batch.column(spot)) for t in some]
+            texts = [masked(t, weak=True) for _, some in slices(batch.column(spot)) for t in some]
             cols = [pa.array(texts, batch.schema[i].type) if i == spot else c for i, c in enumerate(batch.columns)]
             yield pa.RecordBatch.from_arrays(cols, schema=batch.schema)
 
