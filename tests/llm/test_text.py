@@ -129,3 +129,15 @@ def test_guess_cost_prefers_the_cheapest_segmentation():
     strong = ["b7db7aa4a5fcc78305", "xK9#mQ2$vL7p"]
     assert max(map(guess_cost, weak)) < 9 < min(map(guess_cost, strong))
     assert guess_cost("") == 0 and guess_cost("zq" + "password") <= guess_cost("zq") + guess_cost("password") + 1
+
+
+ARTICLE = "<body><header>%s</header><article><p>One, two, three. Long text, here.</p></article><footer><svg></svg></footer></body>"
+
+
+@pytest.mark.parametrize("head", ["<svg/>", "<svg width='1' />", "<math/>", "<svg><path>", "<video>", "<noscript><div>x</div>", "<svg><svg></svg>not text</svg>", "<svg width=10/>x</svg>"])
+def test_raw_elements_end_with_themselves_or_their_parent(head):
+    assert main_text(ARTICLE % head) == "One, two, three. Long text, here."
+
+
+def test_plain_raw_elements_still_end_the_page():
+    assert main_text("<body><p>One, two, three.</p><div><script>var a</div><p>no text, at all.</p></body>") == "One, two, three."

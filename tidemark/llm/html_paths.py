@@ -10,7 +10,8 @@ in it and was not ruled out, such as a heading or a one-word paragraph, belongs
 
 Character references are decoded, white space inside a block becomes one space, and blocks are joined
 by one space. Null and empty pages, and pages without content, give an empty text. Unclosed tags,
-comments and quotes end with the page. Rows are independent: repeated rows and very long pages need
+comments and quotes end with the page; dropped elements that are not closed end with their parent,
+scripts, styles, titles and text fields aside. Rows are independent: repeated rows and very long pages need
 no rule (a page is one task's work, linear in its length), and other columns do not matter.
 """
 
@@ -35,6 +36,8 @@ _WORDS = re.compile(r"[a-z]+")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template textarea title iframe svg math object canvas audio video select xmp".split())
+#: Those whose content is no markup, and those that can stand in one of their kind.
+PLAIN, NESTED = frozenset("script style textarea title".split()), frozenset("svg math object template".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q s samp small span strike strong sub sup time tt u var wbr".split()
 )
@@ -84,6 +87,47 @@ def _element(tag: str, attributes: str, parent: Element) -> Element:
     return Element(tag, f"{tag}.{'.'.join(sorted(words))}" if words else tag, parent, out, weight)
 
 
+def _closed(attributes: str) -> bool:
+    """Whether a start tag closes itself; a slash that ends a value without quotes belongs to the value."""
+    return attributes.rstrip().endswith("/") and not re.search(r"=\s*[^\s\"'=]+\Z", attributes)
+
+
+def _plain_end(page: str, tag: str, at: int) -> int:
+    close = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>?", re.I).search(page, at)
+    return close.end() if close else len(page)
+
+
+def _raw_end(page: str, tag: str, at: int, around: set[str]) -> int:
+    """Where the element ``tag``, whose start tag ends at ``at``, ends: with its closing tag, or before that of an element ``around`` it."""
+    if tag in PLAIN:
+        return _plain_end(page, tag, at)
+    inside: list[str] = []
+    held: dict[str, int] = {}
+    while m := _TOKEN.search(page, at):
+        at = m.end()
+        if m[2] is None:
+            continue
+        t = m[2].lower()
+        if not m[1]:
+            if t in PLAIN:
+                if not (tag in ("svg", "math") and _closed(m[3])):
+                    at = _plain_end(page, t, at)
+            elif t not in VOID and not _closed(m[3]) and (t != tag or tag in NESTED):
+                inside.append(t)
+                held[t] = held.get(t, 0) + 1
+        elif held.get(t):
+            while True:
+                last = inside.pop()
+                held[last] -= 1
+                if last == t:
+                    break
+        elif t == tag:
+            return at
+        elif t in around:
+            return m.start()
+    return len(page)
+
+
 def text_nodes(page: str) -> list[tuple[Element, str, int]]:
     """(element, raw text, block) of every text node outside raw elements; a block ends at any tag that is not inline."""
     root = Element("", "", None, False, 1.0)
@@ -108,8 +152,8 @@ def text_nodes(page: str) -> list[tuple[Element, str, int]]:
                     break
             continue
         if tag in RAW:
-            close = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>?", re.I).search(page, at)
-            at = close.end() if close else len(page)
+            if not (tag in ("svg", "math") and _closed(m[3])):
+                at = _raw_end(page, tag, at, {e.tag for e in stack[1:]})
             continue
         closes = CLOSES.get(tag) or (("p",) if tag in ENDS_P else ())
         for i in range(len(stack) - 1, 0, -1) if closes else ():
