@@ -141,3 +141,12 @@ def test_raw_elements_end_with_themselves_or_their_parent(head):
 
 def test_plain_raw_elements_still_end_the_page():
     assert main_text("<body><p>One, two, three.</p><div><script>var a</div><p>no text, at all.</p></body>") == "One, two, three."
+
+
+def test_passwords_and_users_of_any_length_in_addresses():
+    import random
+
+    token = "".join(random.Random(1).choices("abcdefghijkmnpqrstuvwxyzABCDEFGH23456789", k=700))
+    assert find_spans(f"git://me:{token}@host/x") == [("guess", 9, 709, 9)]
+    assert masked("git://" + "u" * 90 + ":Xk29fmQ2vL7p@h/x") == "git://" + "u" * 90 + ":<secret>@h/x"
+    assert find_spans("://a" * 50_000 + ":b" * 50_000) == []

@@ -37,7 +37,7 @@ _VALUE = r"""[^\s"'`<>(){}\[\],;]"""
 CONTEXTS = [
     re.compile(rf"""(?<![A-Za-z]){_KEY}["']?(?:\x20{{0,8}}(?:=>|:=|[:=])\x20{{0,8}}|\x20is\x20)["'`]?({_VALUE}{{6,}})""", re.I | re.A),
     re.compile(r"(?<![A-Za-z])(?:bearer|basic)\x20+([A-Za-z0-9+/_.=~-]{6,})", re.I | re.A),
-    re.compile(r"://[^\s:/@]{1,64}:([^\s:/@]{6,256})@"),
+    re.compile(r"://[^\s:/@]++:([^\s:/@]{6,}+)@"),
 ]
 _HINT = re.compile("pass|pwd|secret|token|key|auth|credential|bearer|basic")
 
