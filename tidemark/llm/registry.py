@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidemark.llm.block_max import ranked
 from tidemark.llm.bottom_k import edited_digests
 from tidemark.llm.bpe_trie import encode_digests
+from tidemark.llm.four_russians import hard_negatives
 from tidemark.llm.gray_simhash import near_digests
 from tidemark.llm.html_paths import extract
 from tidemark.llm.languages import predict_held_out
 from tidemark.llm.packing import Limits, pack_texts
+from tidemark.llm.piece_agenda import piece_digests
 from tidemark.llm.relative_lz import digests as repeat_digests
 from tidemark.llm.rp_forest import near_vectors
 from tidemark.llm.secrets import scan_digests
@@ -106,3 +109,44 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_bottom_k")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_digests(table(spark, sf_dir, "documents"))
+
+
+@query("op11_piece_agenda")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_digests(table(spark, sf_dir, "documents"))
+
+
+#: Every document's score for every item, by the definition.
+OP12_SQL = r"""
+WITH low AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ -/:-@[-`{-]+') AS ws FROM documents),
+sizes AS (SELECT r, doc_id, len(ws) AS n FROM low WHERE len(ws) > 0),
+all_docs AS (SELECT CAST(count(*) AS BIGINT) AS big_n, CAST(sum(n) AS BIGINT) AS big_l FROM sizes),
+tf AS (SELECT r, term, CAST(count(*) AS BIGINT) AS tf FROM (SELECT r, unnest(ws) AS term FROM low) GROUP BY r, term),
+items AS (SELECT item_id, term, count(*) AS qf FROM (SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ -/:-@[-`{-]+')) AS term FROM benchmark) GROUP BY item_id, term),
+weights AS (SELECT term, CAST(floor(1000 * ln((2 * any_value(big_n) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM tf, all_docs WHERE term IN (SELECT term FROM items) GROUP BY term),
+scores AS (SELECT item_id, r, CAST(sum(qf * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * big_n) // big_l)))) AS BIGINT) AS score
+  FROM items JOIN weights USING (term) JOIN tf USING (term) JOIN sizes USING (r), all_docs GROUP BY item_id, r)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+FROM scores JOIN sizes USING (r) WHERE score > 0 QUALIFY rank <= 10"""
+
+
+@query("op12_block_max_maxscore", OP12_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
+
+
+#: Whole-number scores of every anchor with every row.
+OP13_SQL = """
+WITH v AS (
+  SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.r AS a, a.vec_id AS anchor_id, a.label AS anchor_label, b.r AS b, b.vec_id, b.label, CAST(list_inner_product(a.e, b.e) AS BIGINT) AS score
+  FROM v a JOIN v b ON len(a.e) = len(b.e) WHERE a.vec_id % 100 = 0),
+p AS (SELECT * FROM s WHERE label = anchor_label AND a <> b QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, vec_id) <= 5)
+SELECT p.anchor_id, p.vec_id AS positive_id, CAST(row_number() OVER (PARTITION BY p.a, p.b ORDER BY s.score DESC, s.vec_id) AS INTEGER) AS rank, s.vec_id AS negative_id, p.score AS positive_score, s.score AS negative_score
+FROM p JOIN s ON s.a = p.a AND s.label <> p.anchor_label AND 80 * p.score <= 100 * s.score AND 100 * s.score <= 100 * p.score QUALIFY rank <= 5"""
+
+
+@query("op13_four_russians", OP13_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives(table(spark, sf_dir, "embeddings"))
