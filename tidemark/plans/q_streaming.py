@@ -13,7 +13,9 @@ from tidemark.streaming.source import event_stream, run_available
 # Channels are short in the test tables (about 67 readings), hence windows of 20.
 N, STEP, G_MEAN, G_STD = 20, 5, 50.0, 50.0
 
-CH_SQL = "ch AS (SELECT *, row_number() OVER (PARTITION BY channel ORDER BY idx) - 1 AS k, event_id AS id FROM ev)"
+# Readings that the watermark (the newest time, to the millisecond) has passed.
+PASSED = "event_id IN (SELECT event_id FROM events WHERE ts < (SELECT date_trunc('millisecond', max(ts)) FROM events))"
+CH_SQL = f"ch AS (SELECT *, row_number() OVER (PARTITION BY channel ORDER BY idx) - 1 AS k, event_id AS id FROM ev WHERE {PASSED})"
 WIN_SQL = [
     CH_SQL,
     f"wk AS (SELECT channel, (k - {N - 1}) // {STEP} AS window_id, k, id AS end_id FROM ch WHERE k >= {N - 1} AND (k - {N - 1}) % {STEP} = 0)",

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from tidemark.session import scratch_root
 from tidemark.sources.adapters import epoch_seconds
+from tidemark.streaming.stateful import STORE
 
 
 def event_stream(spark: SparkSession, folder: str, name: str = "events.parquet", batch_bytes: int = 1 << 30) -> DataFrame:
@@ -33,6 +34,8 @@ def event_stream(spark: SparkSession, folder: str, name: str = "events.parquet",
 def run_available(df: DataFrame, mode: str = "append") -> DataFrame:
     """Process what is there now, write it to a Parquet table with a checkpoint, return the table."""
     spark = df.sparkSession
+    for name, value in STORE.items():
+        spark.conf.set(name, value)
     base = f"{scratch_root(spark)}/stream-{uuid.uuid4().hex}"
     query = (
         df.writeStream.format("parquet")

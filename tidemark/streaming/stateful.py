@@ -1,10 +1,19 @@
 """Position-based operators on live streams.
 
-Row-based windows are not available on streaming frames, so each channel keeps a small state:
-readings that the watermark has not passed yet, and whatever the operator carries (the last
-``size - 1`` values, the last votes, an open event). Readings are released in event-time order
-once the watermark has passed them, so late and shuffled arrivals give the batch result. The work
-inside a task is NumPy over the readings of one channel in one micro-batch.
+Row-based windows are not available on streaming frames. A reading passes three steps, so that no
+task and no state value holds a busy channel's readings:
+
+1. *Buffer*, keyed by channel and slice of event time. New readings are appended to list state in
+   chunks of bounded size; a timer releases them, in event-time order, once the watermark's millisecond
+   is past theirs. Late and shuffled arrivals so give the batch result.
+2. *Carry*, keyed by channel. Per released part it adds what lies before: the number of readings seen
+   and the carry (the last ``size - 1`` values, the last votes, an open event). Its state is that one
+   value; it passes the readings on without working on them.
+3. *Step*, stateless and spread again: NumPy over the readings of one part at a time.
+
+Readings without a time are left out. A reading without a value keeps its position: windows that hold
+one are dropped, a vote counts it as no hit. Readings of the same microsecond are ordered by id. The
+session needs the RocksDB state store (:data:`STORE`).
 """
 
 from __future__ import annotations
@@ -15,45 +24,143 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+
+#: The state store that lists and timers need, as session settings.
+STORE = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
+#: Event time of one buffer key, and readings of one list entry.
+SLICE_SECONDS, CHUNK = 30 * 86_400, 4096
+
+#: (readings seen before, carry, ids, values) → output columns
+Step = Callable[[int, np.ndarray, np.ndarray, np.ndarray], dict[str, np.ndarray]]
+#: (carry, values) → carry
+Fold = Callable[[np.ndarray, np.ndarray], np.ndarray]
+
+_ENTRY = "us array<long>, id array<long>, value array<double>"
+_PART = f"channel long, {_ENTRY}"
+_CARRIED = f"channel long, seen long, carry array<double>, {_ENTRY}"
+
+
+class Buffer(StatefulProcessor):
+    """Holds the readings of a channel's slice until the watermark has passed them."""
+
+    def __init__(self, chunk: int):
+        self.chunk = chunk
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", _ENTRY)
+        self.first = handle.getValueState("first", "ms long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        least = None
+        for b in rows:
+            if not len(b):
+                continue
+            us, ids, vals = b["us"].to_numpy("int64"), b["id"].to_numpy("int64"), b["value"].to_numpy("float64")
+            for i in range(0, len(us), self.chunk):
+                s = slice(i, i + self.chunk)
+                self.waiting.appendValue((us[s].tolist(), ids[s].tolist(), vals[s].tolist()))
+            low = int(us.min() // 1000)
+            least = low if least is None else min(least, low)
+        if least is None:
+            return
+        known = self.first.get()[0] if self.first.exists() else None
+        mark = timerValues.getCurrentWatermarkInMs()
+        if least < mark:
+            yield from self._release(key, mark, known)
+        elif known is None or least < known:
+            self._wait(least, known)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.first.exists():
+            known = self.first.get()[0]
+            mark = timerValues.getCurrentWatermarkInMs()
+            if known < mark:
+                yield from self._release(key, mark, None)
+            else:
+                self._wait(known, None)
+
+    def _wait(self, least: int, known: int | None) -> None:
+        if known is not None:
+            self.handle.deleteTimer(known + 1)
+        self.first.update((least,))
+        self.handle.registerTimer(least + 1)
+
+    def _release(self, key, mark: int, known: int | None) -> Iterator[pd.DataFrame]:
+        entries = list(self.waiting.get())
+        us, ids, vals = (np.concatenate([np.asarray(e[k], t) for e in entries]) for k, t in enumerate(("int64", "int64", "float64")))
+        order = np.lexsort((ids, us))
+        us, ids, vals = us[order], ids[order], vals[order]
+        due = int(np.searchsorted(us // 1000, mark))
+        if known is not None:
+            self.handle.deleteTimer(known + 1)
+        if due < len(us):
+            rest = range(due, len(us), self.chunk)
+            self.waiting.put([(us[i : i + self.chunk].tolist(), ids[i : i + self.chunk].tolist(), vals[i : i + self.chunk].tolist()) for i in rest])
+            self._wait(int(us[due] // 1000), None)
+        else:
+            self.waiting.clear()
+            self.first.clear()
+        if due:
+            yield pd.DataFrame({"channel": [key[0]], "us": [us[:due]], "id": [ids[:due]], "value": [vals[:due]]})
 
-STATE = "seen long, carry array<double>, ms array<long>, ids array<long>, vals array<double>"
-Step = Callable[[int, np.ndarray, np.ndarray, np.ndarray], tuple[dict[str, np.ndarray], np.ndarray]]
 
+class Carry(StatefulProcessor):
+    """Adds to each released part what the channel's earlier readings leave behind."""
 
-def per_channel(stream: DataFrame, value, schema: str, step: Step, delay: str = "0 seconds") -> DataFrame:
-    """Run ``step(seen, carry, ids, values) -> (columns, carry)`` on each channel's ordered readings.
+    def __init__(self, fold: Fold):
+        self.fold = fold
 
-    ``value`` is the one number per reading the operator looks at. Output columns are ``channel``
-    followed by ``schema``.
-    """
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.last = handle.getValueState("last", "seen long, carry array<double>")
 
-    def advance(key, batches: Iterator[pd.DataFrame], state):
-        seen, carry, ms, ids, vals = state.get if state.exists else (0, [], [], [], [])
-        parts = [] if state.hasTimedOut else [b for b in batches if len(b)]
-        ms = np.concatenate([np.asarray(ms, "int64"), *[b["us"].to_numpy("int64") for b in parts]])
-        ids = np.concatenate([np.asarray(ids, "int64"), *[b["id"].to_numpy("int64") for b in parts]])
-        vals = np.concatenate([np.asarray(vals, "float64"), *[b["value"].to_numpy("float64") for b in parts]])
-        order = np.lexsort((ids, ms))
-        ms, ids, vals = ms[order], ids[order], vals[order]
-        mark = state.getCurrentWatermarkMs()
-        due = int(np.searchsorted(ms // 1000, mark, side="right"))
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        parts = [p for b in rows for p in zip(b["us"], b["id"], b["value"])]
+        if not parts:
+            return
+        # Parts of a batch never interleave: slices are apart, and a slice releases once per watermark.
+        parts.sort(key=lambda p: (p[0][0], p[1][0]))
+        seen, carry = self.last.get() if self.last.exists() else (0, [])
         carry = np.asarray(carry, "float64")
-        columns: dict[str, np.ndarray] = {}
-        if due:
-            columns, carry = step(int(seen), carry, ids[:due], vals[:due])
-        state.update((int(seen) + due, carry.tolist(), ms[due:].tolist(), ids[due:].tolist(), vals[due:].tolist()))
-        if due < len(ms):
-            state.setTimeoutTimestamp(int(max(ms[due] // 1000 - 1, mark, 1)))
-        if columns and len(next(iter(columns.values()))):
-            yield pd.DataFrame({"channel": key[0], **columns})
+        for us, ids, vals in parts:
+            yield pd.DataFrame({"channel": [key[0]], "seen": [seen], "carry": [carry], "us": [us], "id": [ids], "value": [vals]})
+            seen, carry = seen + len(vals), self.fold(carry, np.asarray(vals, "float64"))
+        self.last.update((int(seen), carry.tolist()))
+
+
+def tail_of(reach: int) -> Fold:
+    """Carry of the last ``reach`` values."""
+
+    def fold(carry: np.ndarray, vals: np.ndarray) -> np.ndarray:
+        both = np.concatenate([carry, vals]) if len(vals) < reach else vals
+        return both[max(0, len(both) - reach) :]
+
+    return fold
+
 
-    rows = stream.withWatermark("ts", delay).select(
-        "channel", "id", "ts", F.unix_micros("ts").alias("us"), value.cast("double").alias("value")
-    )
-    return rows.groupBy("channel").applyInPandasWithState(
-        advance, f"channel long, {schema}", STATE, "append", GroupStateTimeout.EventTimeTimeout
-    )
+def per_channel(stream: DataFrame, value, schema: str, step: Step, fold: Fold, delay: str = "0 seconds", slice_seconds: int = SLICE_SECONDS) -> DataFrame:
+    """Run ``step(seen, carry, ids, values)`` on each channel's ordered readings.
+
+    ``value`` is the one number per reading the operator looks at; ``fold`` gives the carry behind a
+    part. Output columns are ``channel`` followed by ``schema``. ``slice_seconds`` spreads a channel's
+    waiting readings over tasks and bounds what one of them holds.
+    """
+    us = F.unix_micros("ts")
+    rows = stream.withWatermark("ts", delay).filter(F.col("ts").isNotNull()).select(
+        "channel", F.floor(us / (slice_seconds * 1_000_000)).cast("long").alias("slice"), "id", "ts", us.alias("us"), value.cast("double").alias("value")
+    )
+    parts = rows.groupBy("channel", "slice").transformWithStateInPandas(Buffer(CHUNK), _PART, "Append", "EventTime")
+    carried = parts.groupBy("channel").transformWithStateInPandas(Carry(fold), _CARRIED, "Append", "None")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for channel, seen, carry, ids, vals in zip(b["channel"], b["seen"], b["carry"], b["id"], b["value"]):
+                out = step(int(seen), np.asarray(carry, "float64"), np.asarray(ids, "int64"), np.asarray(vals, "float64"))
+                if out and len(next(iter(out.values()))):
+                    yield pd.DataFrame({"channel": channel, **out})
+
+    return carried.repartition(F.xxhash64("channel", "seen")).mapInPandas(run, f"channel long, {schema}")
 
 
 def _features(w: np.ndarray, g_mean: float, g_std: float) -> dict[str, np.ndarray]:
@@ -93,7 +200,7 @@ def _features(w: np.ndarray, g_mean: float, g_std: float) -> dict[str, np.ndarra
 FEATURE_NAMES = list(_features(np.zeros((1, 4)), 0.0, 1.0))
 
 
-def sliding_features(stream: DataFrame, size: int, step: int, g_mean: float, g_std: float, delay: str = "0 seconds") -> DataFrame:
+def sliding_features(stream: DataFrame, size: int, step: int, g_mean: float, g_std: float, delay: str = "0 seconds", slice_seconds: int = SLICE_SECONDS) -> DataFrame:
     """Count-based sliding windows with features, per channel, as their last reading is released."""
 
     def cut(seen, carry, ids, vals):
@@ -102,19 +209,21 @@ def sliding_features(stream: DataFrame, size: int, step: int, g_mean: float, g_s
         # Ends among the new readings at positions size-1, size-1+step, …
         pos = np.arange(seen, seen + len(vals))
         ends = pos[(pos >= size - 1) & ((pos - (size - 1)) % step == 0)]
-        tail = series[max(0, len(series) - (size - 1)) :]
         if not len(ends):
-            return {}, tail
+            return {}
         views = np.lib.stride_tricks.sliding_window_view(series, size)[ends - (size - 1) - first]
-        out = {"window_id": (ends - (size - 1)) // step, "end_id": ids[ends - seen], **_features(views, g_mean, g_std)}
-        return out, tail
+        whole = ~np.isnan(views).any(axis=1)
+        ends, views = ends[whole], views[whole]
+        if not len(ends):
+            return {}
+        return {"window_id": (ends - (size - 1)) // step, "end_id": ids[ends - seen], **_features(views, g_mean, g_std)}
 
     schema = "window_id long, end_id long, " + ", ".join(f"`{f}` double" for f in FEATURE_NAMES)
-    return per_channel(stream, F.col("pressure"), schema, cut, delay)
+    return per_channel(stream, F.col("pressure"), schema, cut, tail_of(size - 1), delay, slice_seconds)
 
 
-def newest_readings(stream: DataFrame, size: int, delay: str = "0 seconds") -> DataFrame:
-    """After every reading: whether the newest ``size`` readings are there, and their mean and slope."""
+def newest_readings(stream: DataFrame, size: int, delay: str = "0 seconds", slice_seconds: int = SLICE_SECONDS) -> DataFrame:
+    """After every reading: whether the newest ``size`` readings are there, and their mean and slope (null where one has no value)."""
 
     def latest(seen, carry, ids, vals):
         series = np.concatenate([carry, vals])
@@ -126,39 +235,49 @@ def newest_readings(stream: DataFrame, size: int, delay: str = "0 seconds") -> D
             x = np.arange(size) - (size - 1) / 2
             mean[ready] = w.mean(axis=1)
             slope[ready] = (w - w.mean(axis=1, keepdims=True)) @ x / (x @ x)
-        return {"id": ids, "ready": ready, "mean": mean, "slope": slope}, series[max(0, len(series) - (size - 1)) :]
+        return {"id": ids, "ready": ready, "mean": mean, "slope": slope}
 
-    out = per_channel(stream, F.col("pressure"), "id long, ready boolean, mean double, slope double", latest, delay)
-    return out.withColumns({c: F.when(F.col("ready"), F.col(c)) for c in ("mean", "slope")})
+    out = per_channel(stream, F.col("pressure"), "id long, ready boolean, mean double, slope double", latest, tail_of(size - 1), delay, slice_seconds)
+    return out.withColumns({c: F.when(F.col("ready") & ~F.isnan(c), F.col(c)) for c in ("mean", "slope")})
 
 
-def vote(stream: DataFrame, score, threshold: float, n: int = 3, k: int = 2, delay: str = "0 seconds") -> DataFrame:
+def vote(stream: DataFrame, score, threshold: float, n: int = 3, k: int = 2, delay: str = "0 seconds", slice_seconds: int = SLICE_SECONDS) -> DataFrame:
     """Trailing k-of-n vote per channel."""
 
     def count(seen, carry, ids, vals):
-        hits = np.concatenate([carry, (vals >= threshold).astype("float64")])
+        hits = (np.concatenate([carry, vals]) >= threshold).astype("float64")
         total = np.convolve(hits, np.ones(n))[len(carry) : len(hits)]
-        return {"id": ids, "vote": (total >= k).astype("int32")}, hits[max(0, len(hits) - (n - 1)) :]
+        return {"id": ids, "vote": (total >= k).astype("int32")}
+
+    return per_channel(stream, score, "id long, vote int", count, tail_of(n - 1), delay, slice_seconds)
 
-    return per_channel(stream, score, "id long, vote int", count, delay)
 
+def _latched(carry: np.ndarray, vals: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Event, latched and predicted flags of readings behind a carry (event open, latched)."""
+    bits = vals.astype("int64")
+    event, trigger, pred = (bits & 3) > 0, (bits & 5) == 5, (bits & 4) > 0
+    # Number runs; the first one continues the carried event where there is one.
+    was_open, was_latched = (carry[0] > 0, carry[1] > 0) if len(carry) else (False, False)
+    breaks = np.cumsum(np.diff(event, prepend=was_open) != 0)
+    pulled = np.cumsum(trigger & event)
+    base = np.concatenate([[0], pulled[:-1]])
+    first_of_run = np.searchsorted(breaks, breaks, side="left")
+    latched = (pulled - base[first_of_run]) > 0
+    latched |= (breaks == 0) & was_open & was_latched
+    return event, latched, pred
 
-def latch(stream: DataFrame, precursor, core, hit, delay: str = "0 seconds") -> DataFrame:
-    """Point outcomes where a hit in the precursor latches until its event closes: TP, FN, FP, TN."""
+
+def latch(stream: DataFrame, precursor, core, hit, delay: str = "0 seconds", slice_seconds: int = SLICE_SECONDS) -> DataFrame:
+    """Point outcomes where a hit in the precursor latches until its event closes: TP, FN, FP, TN. A null flag counts as false."""
 
     def walk(seen, carry, ids, vals):
-        bits = vals.astype("int64")
-        event, trigger, pred = (bits & 3) > 0, (bits & 5) == 5, (bits & 4) > 0
-        # Number runs; the first one continues the carried event where there is one.
-        was_open, was_latched = (carry[0] > 0, carry[1] > 0) if len(carry) else (False, False)
-        breaks = np.cumsum(np.diff(event, prepend=was_open) != 0)
-        pulled = np.cumsum(trigger & event)
-        base = np.concatenate([[0], pulled[:-1]])
-        first_of_run = np.searchsorted(breaks, breaks, side="left")
-        latched = (pulled - base[first_of_run]) > 0
-        latched |= (breaks == 0) & was_open & was_latched
+        event, latched, pred = _latched(carry, vals)
         outcome = np.where(event, np.where(latched, "TP", "FN"), np.where(pred, "FP", "TN"))
-        return {"id": ids, "outcome": outcome.astype(object)}, np.array([float(event[-1]), float(event[-1] and latched[-1])])
+        return {"id": ids, "outcome": outcome.astype(object)}
+
+    def last(carry, vals):
+        event, latched, _ = _latched(carry, vals)
+        return np.array([float(event[-1]), float(event[-1] and latched[-1])])
 
-    code = precursor.cast("int") + core.cast("int") * 2 + hit.cast("int") * 4
-    return per_channel(stream, code, "id long, outcome string", walk, delay)
+    flag = lambda c: F.coalesce(c, F.lit(False)).cast("int")
+    return per_channel(stream, flag(precursor) + flag(core) * 2 + flag(hit) * 4, "id long, outcome string", walk, last, delay, slice_seconds)
