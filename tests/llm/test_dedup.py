@@ -15,7 +15,7 @@ from tidemark.llm.components import components
 from tidemark.llm.gray_simhash import fingerprint, gray_rank, links_in_groups, near_digests, near_groups
 from tidemark.llm.relative_lz import digests, remove_repeats
 from tidemark.llm.rp_forest import near_vectors
-from tidemark.llm.simhash_copies import band_places, first_of_copies, shingles, short_links, wide_print
+from tidemark.llm.simhash_copies import band_places, bands_for, copy_groups, first_of_copies, shingles, short_links, spanning_links, wide_print
 from pyspark.sql import functions as F
 
 
@@ -228,12 +228,62 @@ def test_families_around_the_limit_equal_checking_all_candidates(spark):
             rows.append((1000 * f + k, " ".join(near)))
     prints = [wide_print(shingles(t)) for _, t in rows]
     bits = np.unpackbits(np.array(prints).view(np.uint8), axis=1, bitorder="little")
-    bands = np.stack([bits[:, places] @ (1 << np.arange(len(places))) for places in band_places()], axis=1)
-    candidate = lambda i, j: (bits[i] != bits[j]).sum() <= 56 and (bands[i] == bands[j]).any()
-    got = first_of_copies(spark.createDataFrame(rows, "doc_id bigint, text string"))
-    kept, want = sorted(x.doc_id for x in got.collect()), kept_of_brute_force(rows, candidate)
+    candidate = lambda i, j: (bits[i] != bits[j]).sum() <= 56
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    kept, want = sorted(x.doc_id for x in first_of_copies(df).collect()), kept_of_brute_force(rows, candidate)
     assert kept == want and len(want) < 250
-    assert len(want) - len(kept_of_brute_force(rows)) <= 2  # what bands of 12 bits miss
+    assert len(want) - len(kept_of_brute_force(rows)) <= 2
+    # Components in many parts give the same groups, of every row.
+    key = F.struct(F.lit(False).alias("a"), F.col("doc_id").alias("b"), F.col("doc_id").alias("c"))
+    parts = copy_groups(df.select(key.alias("key"), "text"), part=6000).collect()
+    assert len(parts) == len(rows) and sorted({x["first"]["b"] for x in parts}) == want
+
+
+def test_parts_of_a_straddling_family_send_out_merging_links_only():
+    """Each row against all others, at once and in parts, gives the clusters of all pairs with fewer links than rows."""
+    r = np.random.default_rng(8)
+    base = r.integers(0, 2**62, 120)
+    sets = []
+    for _ in range(900):
+        x = base.copy()
+        at = r.choice(120, r.integers(8, 18), replace=False)
+        x[at] = r.integers(0, 2**62, len(at))
+        sets.append(np.unique(x))
+    prints = np.array([wide_print(x.view(np.uint64)) for x in sets])
+    has = np.zeros((len(sets), 1 + np.unique(np.concatenate(sets)).size), np.float32)
+    codes = np.split(np.unique(np.concatenate(sets), return_inverse=True)[1], np.cumsum([len(x) for x in sets])[:-1])
+    for i, c in enumerate(codes):
+        has[i, c] = 1
+    shared, size = has @ has.T, np.array([len(x) for x in sets])
+    far = np.bitwise_count(prints[:, None] ^ prints[None]).sum(axis=2)
+    near = (shared >= 0.8 * (size[:, None] + size - shared)) & (far <= 56)
+    want = roots(len(sets), list(zip(*np.nonzero(np.triu(near, 1)))))
+    own = np.arange(len(sets))
+    links = spanning_links(prints, sets, own, own, 0.8)
+    assert roots(len(sets), links) == want and len(links) < len(sets) and len(set(want)) > 20
+    first = spanning_links(prints[:450], sets[:450], own[:450], own[:450], 0.8)
+    label = np.array(roots(len(sets), first))
+    rest = spanning_links(prints, sets, label, np.arange(450, 900), 0.8)
+    assert roots(len(sets), [*first, *rest]) == want
+
+
+@pytest.mark.parametrize("size", [33, 36, 45, 90, 180, 900])
+def test_recall_of_bands_by_size(size):
+    """Pairs just over the limit, over table sizes that take more bands."""
+    r = np.random.default_rng(size)
+    prints = []
+    for _ in range(200):
+        a = r.integers(0, 2**63, size, dtype=np.uint64)
+        b = a.copy()
+        n = int(size * 0.2 / 1.8)  # changed in both: similarity (size - n) / (size + n) >= 0.8
+        b[:n] = r.integers(0, 2**63, n, dtype=np.uint64)
+        prints += [wide_print(a), wide_print(b)]
+    bits = np.unpackbits(np.array(prints).view(np.uint8), axis=1, bitorder="little")
+    far = (bits[::2] != bits[1::2]).sum(axis=1) <= 56
+    for rows in (1000, 10**7, 10**9):
+        places = band_places(*bands_for(rows))
+        met = np.any([(bits[::2, p] == bits[1::2, p]).all(axis=1) for p in places], axis=0)
+        assert (met & far).mean() >= 0.9, (rows, (met & far).mean())
 
 
 def test_short_copies_equal_comparing_all_pairs(spark):

@@ -148,7 +148,8 @@ def links_in_groups(prints: np.ndarray, group: np.ndarray, distances: tuple[int,
     label = np.arange(len(prints))
     found: list[tuple[np.ndarray, np.ndarray]] = []
     for distance in distances:
-        for a, b in near_pairs(levels, distance):
+        # Nodes of one cluster are passed over whole from the second distance on.
+        for a, b in near_pairs(levels, distance, label.copy() if found else None):
             _unite(label, a, b, found)
     if not found:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)

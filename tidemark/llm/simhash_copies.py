@@ -3,22 +3,25 @@
 Four bits in 64, as in ``gray_simhash``, admit only texts that are almost equal. Texts whose sets of
 five-word shingles share 0.8 of their union differ in about 0.15 of all fingerprint bits, so this form
 takes 256 bits per text and ``DISTANCES`` up to three standard deviations above that. Texts with equal
-sets are one class. A class goes to one group for each of ``BANDS`` samples of ``BAND_BITS`` bits; two
+sets are one class. A class goes to one group for each band, a sample of ``BAND_BITS`` bits or more; two
 classes at 0.8 meet in some group with probability 0.98 or so (more if they are closer). Groups are
 searched with the Gray-order index of ``gray_simhash``; each sends out the links that span its clusters,
-closest first, and a link stays if the exact similarity of its two sets is at least ``similarity``.
-Where a link was rejected, the clusters it held together are searched again for all pairs that lie in
-two verified clusters, in ``SLICES`` of the pairs, so that early slices merge what they can; every such
-pair is either checked or inside one verified cluster at the end. Sets are made again in a second pass
-over the texts, for linked classes only (a Bloom filter of fixed size picks them), so no text is
-shuffled to be compared.
+closest first, and a link stays if the exact similarity of its two sets is at least ``similarity``. With
+the table, bands get more bits and become more (``bands_for``), so that a group does not grow with it.
+Where a link was rejected, what it held together is searched again, with the sets at hand: rows of such a
+component are compared in parts of ``PART`` shingles, each row with those of other verified clusters
+within the last distance, closest first, and a pair at ``similarity`` merges its clusters at once. Only
+links that merge clusters leave a part, never its pairs. Of components with several parts, the rows
+outside the largest cluster then meet all parts. Sets are made again in a second pass over the texts,
+for linked classes only (a Bloom filter of fixed size picks them).
 
 Bits of small sets vary more, so sets of up to ``SHORT`` shingles are also linked exactly: in an order
 of all shingles, rare ones first, two sets at ``similarity`` share one of their first
 ``n - ceil(similarity * n) + 1``; sets that share one are a group, in which they are compared in full.
 
 Words and empty texts are as in ``gray_simhash``; texts without words are equal. Repeated rows are one
-class. ``docs`` must be a repeatable plan such as a table scan, as rows are numbered by their place.
+class. A very long text is one task's work, linear in its length; an empty table gives an empty result.
+``docs`` must be a repeatable plan such as a table scan, as rows are numbered by their place.
 """
 
 from __future__ import annotations
@@ -42,11 +45,12 @@ from tidemark.llm.tables import Table, unused
 WORDS, SIMILARITY = 5, 0.8
 PARTS = 4
 DISTANCES = (28, 42, 56)
-BANDS, BAND_BITS = 32, 12
+#: Bands and their bits for tables of up to ``CLASSES`` distinct sets; 16 times as many take four bits more and twice the bands.
+BANDS, BAND_BITS, CLASSES = 32, 12, 250_000
 #: log2 of the bits of the filter that picks linked classes (1 MB).
 BITS = 23
-#: Parts in 64 of all pairs that are searched again one after another.
-SLICES = ((0, 1), (1, 8), (8, 64))
+#: Shingles of a part of a component; candidates that are compared at a time.
+PART, STEP = 1 << 19, 128
 #: Shingles of a short set; log2 of the counters that order shingles; rows of a group of short sets.
 SHORT, COUNTERS, SHORT_LIMIT = 32, 18, 8_192
 PRINTS = [f"f{i}" for i in range(PARTS)]
@@ -84,6 +88,12 @@ def wide_print(hashes: np.ndarray) -> np.ndarray:
     return out
 
 
+def bands_for(classes: int) -> tuple[int, int]:
+    """Number of bands and bits of each for so many classes: groups stay small, and 0.8 is found as often."""
+    k = max(0, math.ceil(math.log(max(classes, 1) / CLASSES, 16)))
+    return BANDS << k, BAND_BITS + 4 * k
+
+
 def band_places(bands: int = BANDS, bits: int = BAND_BITS) -> np.ndarray:
     """The bit positions that each band takes, the same in every run."""
     rng = np.random.default_rng(11)
@@ -103,31 +113,109 @@ def _prints(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa
         yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c) for c in cols], pa.array(short, pa.list_(pa.int64()))], names=["key", *CLASS, "set"])
 
 
-def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    places = band_places()
-    for batch in batches:
-        prints = np.stack([batch.column(c).to_numpy() for c in range(1, PARTS + 1)]).view(np.uint64)
-        for i, band in enumerate(places):
-            g = np.full(batch.num_rows, i << BAND_BITS, np.int64)
-            for k, place in enumerate(band):
-                g |= ((prints[place // 64] >> np.uint64(place % 64)) & np.uint64(1)).astype(np.int64) << k
-            yield pa.RecordBatch.from_arrays([pa.array(g), *batch.columns], names=["g", *batch.schema.names])
+def _bands(rows: DataFrame, shape: tuple[int, int]) -> DataFrame:
+    """``rows`` (node, fingerprint and other longs) once for each band."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        places = band_places(*shape)
+        for batch in batches:
+            prints = np.stack([batch.column(c).to_numpy() for c in range(1, PARTS + 1)]).view(np.uint64)
+            for i, band in enumerate(places):
+                g = np.full(batch.num_rows, i << shape[1], np.int64)
+                for k, place in enumerate(band):
+                    g |= ((prints[place // 64] >> np.uint64(place % 64)) & np.uint64(1)).astype(np.int64) << k
+                yield pa.RecordBatch.from_arrays([pa.array(g), *batch.columns], names=["g", *batch.schema.names])
 
-def _bands(rows: DataFrame) -> DataFrame:
-    """``rows`` (node, fingerprint and other longs) once for each band."""
-    return rows.mapInArrow(_banded, "g bigint, " + ", ".join(f"{c} bigint" for c in rows.columns))
+    return rows.mapInArrow(run, "g bigint, " + ", ".join(f"{c} bigint" for c in rows.columns))
+
+
+def spanning_links(prints: np.ndarray, sets: list[np.ndarray], own: np.ndarray, asked: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """Pairs of clusters (numbers in ``own``) that merge when every row ``asked`` meets all rows of other clusters."""
+    sizes = np.array([len(x) for x in sets])
+    _, codes = np.unique(np.concatenate(sets), return_inverse=True)
+    codes = np.split(codes, np.cumsum(sizes)[:-1])
+    has = np.zeros(1 + max((int(c.max()) for c in codes if len(c)), default=0), bool)
+    label = own.copy()
+    out: list[tuple[int, int]] = []
+    for i in asked.tolist():
+        left = np.flatnonzero(label != label[i])
+        left = left[np.minimum(sizes[left], sizes[i]) >= similarity * np.maximum(sizes[left], sizes[i])]
+        far = np.bitwise_count(prints[left] ^ prints[i]).sum(axis=1)
+        near = far <= DISTANCES[-1]
+        left = left[near][np.argsort(far[near], kind="stable")]
+        has[codes[i]] = True
+        while len(left):
+            some, left = left[:STEP], left[STEP:]
+            size = sizes[some]
+            shared = np.add.reduceat(has[np.concatenate([codes[j] for j in some])].astype(np.int64), np.cumsum(size) - size)
+            for other in np.unique(label[some[shared >= similarity * (size + sizes[i] - shared)]]).tolist():
+                out.append((int(label[i]), other))
+                label[label == other] = label[i]
+            left = left[label[left] != label[i]]
+        has[codes[i]] = False
+    return out
 
 
-def cross_pairs(cols: np.ndarray, similarity: float, low: int, high: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of rows (g, node, fingerprint, size, cluster) of two clusters whose sizes allow ``similarity``: a slice of all pairs."""
-    node, (size, own) = cols[1].view(np.uint64), cols[2 + PARTS :]
-    for a, b in near_pairs(_levels(np.ascontiguousarray(cols[2 : 2 + PARTS].T).view(np.uint64), cols[0]), DISTANCES[-1], own):
-        x = (np.minimum(node[a], node[b]) * np.uint64(0x9E3779B97F4A7C15)) ^ np.maximum(node[a], node[b])
-        x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(58)
-        keep = (x >= low) & (x < high) & (np.minimum(size[a], size[b]) >= similarity * np.maximum(size[a], size[b]))
-        if keep.any():
-            yield a[keep], b[keep]
+def _merging(rows: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) of clusters, from rows (g, asked, own, fingerprint, set) of whole groups."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def joined() -> pa.RecordBatch:
+            t = pa.Table.from_batches(held).combine_chunks()
+            sets = t.column("set").combine_chunks()
+            flat, ends = sets.flatten().to_numpy(), np.cumsum(sets.value_lengths().to_numpy())
+            prints = np.stack([t.column(c).to_numpy() for c in PRINTS], axis=1).view(np.uint64)
+            asked = np.flatnonzero(t.column("asked").to_numpy(zero_copy_only=False))
+            pairs = spanning_links(prints, np.split(flat, ends[:-1]), t.column("own").to_numpy(), asked, similarity)
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in range(2)], names=["a", "b"])
+
+        for batch in batches:
+            g = batch.column(0).to_numpy()
+            cuts = [0, *(np.flatnonzero(g[1:] != g[:-1]) + 1).tolist(), batch.num_rows]
+            for lo, hi in zip(cuts, cuts[1:]):
+                if hi > lo:
+                    if held and held[0].column(0)[0].as_py() != g[lo]:
+                        yield joined()
+                    held.append(batch.slice(lo, hi - lo))
+        if held:
+            yield joined()
+
+    ordered = rows.select("g", "asked", "own", *PRINTS, "set").repartition("g").sortWithinPartitions("g")
+    return ordered.mapInArrow(run, "a bigint, b bigint")
+
+
+def _relabelled(owned: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, wide, own) after the clusters in ``links`` have merged."""
+    merged = components(links).df.select(F.col("node").alias("own"), "root")
+    return Table(owned.join(merged, "own", "left").select("node", "wide", F.coalesce("root", "own").alias("own"))).df
+
+
+def merged_clusters(owned: DataFrame, rows: DataFrame, sets: DataFrame, similarity: float, part: int = PART) -> DataFrame:
+    """(node, wide, own) once more, ``own`` being the clusters of all pairs at ``similarity`` within a component ``wide`` and the last distance.
+
+    ``rows``: node, fingerprint, size of every class; ``sets``: node and set of every node in ``owned``.
+    """
+    split = owned.groupBy("wide").agg(F.min("own").alias("x"), F.max("own").alias("y")).filter("x <> y").select("wide")
+    again = Table(owned.join(split, "wide", "left_semi").join(rows, "node").join(sets, "node")).df
+    parts = Table(again.groupBy("wide").agg(F.ceil(F.sum("size") / part).cast("int").alias("k")))
+    place = lambda k: F.pmod(F.xxhash64("node"), F.col(k)).cast("int")
+    inner = again.join(parts.df, "wide").withColumn("asked", F.lit(True)).withColumn("g", F.xxhash64("wide", place("k")))
+    owned = _relabelled(owned, Table(_merging(inner, similarity)).df)
+    large = parts.df.filter("k > 1")
+    if large.isEmpty():
+        return owned
+    # Rows outside the largest cluster meet all parts of their component.
+    now = again.drop("own").join(owned.select("node", "own"), "node").join(large, "wide")
+    shares = now.groupBy("wide", "own").agg(F.sum("size").alias("s"))
+    main = shares.groupBy("wide").agg(F.max_by("own", "s").alias("main"), F.ceil((F.sum("s") - F.max("s")) / part).cast("int").alias("r")).filter("r > 0")
+    keyed = now.join(main, "wide").select("node", "wide", "own", "k", "r", "main")
+    rest = keyed.filter("own <> main").select("node", "own", F.lit(True).alias("asked"), "wide", place("r").alias("i"), F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("j"))
+    every = keyed.select("node", "own", F.lit(False).alias("asked"), "wide", F.explode(F.sequence(F.lit(0), F.col("r") - 1)).alias("i"), place("k").alias("j"))
+    dealt_out = rest.unionByName(every).select("node", "own", "asked", F.xxhash64("wide", "i", "j").alias("g"))
+    return _relabelled(owned, Table(_merging(dealt_out.join(again.select("node", *PRINTS, "set"), "node"), similarity)).df)
 
 
 def exact_links(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
@@ -208,8 +296,11 @@ def short_links(short: DataFrame, similarity: float, limit: int = SHORT_LIMIT) -
     return groups.repartition("g").sortWithinPartitions("g").mapInArrow(run, "a bigint, b bigint")
 
 
-def copy_groups(numbered: DataFrame, similarity: float = SIMILARITY, group_limit: int = GROUP_LIMIT) -> DataFrame:
-    """(key, first): for each row, the smallest key reachable over links. ``numbered``: key (a struct with the row number c) and text."""
+def rooted_classes(numbered: DataFrame, similarity: float = SIMILARITY, group_limit: int = GROUP_LIMIT, part: int = PART) -> tuple[DataFrame, DataFrame]:
+    """Classes of equal sets (``CLASS``, low: smallest key, root: a number of their group), and the class of every key.
+
+    ``numbered``: key (a struct with the row number c) and text.
+    """
     spark = numbered.sparkSession
     kind = numbered.schema["key"].dataType.simpleString()
     longs = ", ".join(f"{c} bigint" for c in CLASS)
@@ -219,11 +310,10 @@ def copy_groups(numbered: DataFrame, similarity: float = SIMILARITY, group_limit
     short = made.filter("set IS NOT NULL").select(F.col("key.c").alias("node"), "set")
     short = Table(short.join(classes.select(F.col("low.c").alias("node")), "node", "left_semi")).df
     rows = classes.select(F.col("low.c").alias("node"), *PRINTS, "size")
-    links = _linked(_bands(rows.drop("size")), PRINTS, DISTANCES, group_limit)
-    ordered = (F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    pairs = Table(links.select(*ordered).distinct()).df
+    links = _linked(_bands(rows.drop("size"), bands_for(classes.count())), PRINTS, DISTANCES, group_limit)
+    pairs = Table(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()).df
 
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    nodes = Table(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()).df
     picked = spark.sparkContext.broadcast(bloom_bits(nodes.select(F.xxhash64("node").alias("h")), "h", BITS))
     texts = numbered.select(F.col("key.c").alias("node"), F.xxhash64("key.c").alias("h"), "text")
 
@@ -246,28 +336,26 @@ def copy_groups(numbered: DataFrame, similarity: float = SIMILARITY, group_limit
                 keep.append(shared >= similarity * (len(x) + len(y) - shared))
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(keep, pa.bool_())], names=["a", "b", "ok"])
 
-    def checked(pairs: DataFrame) -> DataFrame:
-        left = pairs.join(known.select(F.col("node").alias("a"), F.col("set").alias("x")), "a")
-        both = left.join(known.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
-        return Table(both.select("a", "b", "x", "y").mapInArrow(alike, "a bigint, b bigint, ok boolean")).df
-
-    tried = checked(pairs)
+    left = pairs.join(known.select(F.col("node").alias("a"), F.col("set").alias("x")), "a")
+    both = left.join(known.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
+    tried = Table(both.select("a", "b", "x", "y").mapInArrow(alike, "a bigint, b bigint, ok boolean")).df
     good = tried.filter("ok").select("a", "b").unionByName(Table(short_links(short, similarity).distinct()).df)
     roots = components(good).df
+    own = rows.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
     if not tried.filter("NOT ok").isEmpty():
         wide = components(pairs).df.withColumnRenamed("root", "wide")
-        for low, high in SLICES:
-            owned = Table(wide.join(roots, "node", "left").select("node", "wide", F.coalesce("root", "node").alias("own"))).df
-            split = owned.groupBy("wide").agg(F.min("own").alias("x"), F.max("own").alias("y")).filter("x <> y").select("wide")
-            again = Table(rows.join(owned.join(split, "wide", "left_semi").select("node", "own"), "node").select("node", *PRINTS, "size", "own")).df
-            if again.isEmpty():
-                break
-            search = lambda cols, low=low, high=high: cross_pairs(cols, similarity, low, high)
-            more = _linked(_bands(again), [*PRINTS, "size", "own"], DISTANCES, group_limit, search)
-            good = good.unionByName(checked(Table(more.select(*ordered).distinct()).df).filter("ok").select("a", "b"))
-            roots = components(good).df
-
-    rooted = classes.join(roots, F.col("low.c") == F.col("node"), "left").select(*CLASS, "low", F.coalesce("root", "low.c").alias("root"))
+        before = Table(wide.join(own, "node").select("node", "wide", F.col("root").alias("own"))).df
+        after = merged_clusters(before, rows, known, similarity, part).select("node", F.col("own").alias("now"))
+        # Clusters that merged may also hold classes without candidates of their own (short sets).
+        moved = before.join(after, "node").select("own", "now").filter("own <> now").distinct()
+        merged = components(Table(moved.select(F.col("own").alias("a"), F.col("now").alias("b"))).df).df
+        own = own.join(merged.select(F.col("node").alias("root"), F.col("root").alias("now")), "root", "left").select("node", F.coalesce("now", "root").alias("root"))
+    return Table(classes.join(own, F.col("low.c") == F.col("node")).select(*CLASS, "low", "root")).df, prints
+
+
+def copy_groups(numbered: DataFrame, similarity: float = SIMILARITY, group_limit: int = GROUP_LIMIT, part: int = PART) -> DataFrame:
+    """(key, first): for each row, the smallest key reachable over links."""
+    rooted, prints = rooted_classes(numbered, similarity, group_limit, part)
     first = rooted.groupBy("root").agg(F.min("low").alias("first"))
     return prints.join(rooted.join(first, "root").select(*CLASS, "first"), CLASS).select("key", "first")
 
@@ -277,6 +365,6 @@ def first_of_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     row = unused("_row", docs)
     numbered = docs.withColumn(row, F.monotonically_increasing_id())
     key = F.struct(F.col(id_col).isNull().alias("a"), F.col(id_col).alias("b"), F.col(row).alias("c"))
-    groups = copy_groups(numbered.select(key.alias("key"), F.col(text_col).alias("text")), similarity)
-    kept = groups.filter("key.c = first.c").select(F.col("key.c").alias(row))
+    rooted, _ = rooted_classes(numbered.select(key.alias("key"), F.col(text_col).alias("text")), similarity)
+    kept = rooted.groupBy("root").agg(F.min("low").alias("first")).select(F.col("first.c").alias(row))
     return numbered.join(kept, row, "left_semi").drop(row)
