@@ -114,3 +114,17 @@ def test_packing_counts_prompt_tokens_as_bearing_no_loss():
     for i, s, n, q in pieces:
         loss[q] += max(0, s + n - max(s, i.loss_from))
     assert max(loss.values()) <= 4
+
+
+@pytest.mark.parametrize("size", [1, 2, 5, 20, 24, 30, 33, 63, 100])
+def test_padding_is_little_for_documents_of_any_length(size):
+    packer = Packer(Limits(2048, 64, 2048))
+    pieces = [p for k in range(6000) for p in packer.add(Item(k, b"", 0, size))] + list(packer.fill_while(0))
+    fill, segments = defaultdict(int), defaultdict(int)
+    for _, _, n, sequence, offset in pieces:
+        assert offset == fill[sequence]
+        fill[sequence] += n
+        segments[sequence] += 1
+    assert sum(fill.values()) == 6000 * size and max(segments.values()) <= 64
+    padding = sum(0 if n & (n - 1) == 0 else 2048 - n for n in fill.values())
+    assert padding <= 0.02 * 6000 * size

@@ -5,8 +5,9 @@ open items (the rest of a document each) and fills one sequence after another: o
 whole, the one with the greatest dot product of its demands and what is left of the limits (both as
 shares of the limits) goes in; when none fits, or only one segment is left, the item that can fill
 the most is cut. Whole sequences of a long document leave at once, so the pool holds a bounded number
-of short rests and a sequence is left unfilled only if the segments run out. What remains at the end
-of a task goes into sequences of powers of two, which need no padding either.
+of short rests. Where the segments run out before the tokens, as with very short documents, a sequence is
+the largest power of two that they can fill; so is what remains at the end of a task. Such sequences
+need no padding. Only the limit of loss-bearing tokens can leave a sequence unfilled.
 
 Tasks work on their own rows: there is no shuffle, a lost task is simply run again and gives the same
 sequences, and no document, source or group of copies can make a task larger than its input split.
@@ -98,7 +99,10 @@ class Packer:
         need = np.array([[i.tokens, i.loss(i.tokens)] for i in self.items], dtype=np.int64).reshape(-1, 2)
         left_items = len(self.items)
         while left_items > keep:
-            room = lim.tokens if self.total >= lim.tokens else 1 << (self.total.bit_length() - 1)
+            # What the largest items can fill within the segments: a smaller power of two if they are short.
+            most = need[:, 0] if left_items <= lim.segments else np.partition(need[:, 0], len(need) - lim.segments)[-lim.segments :]
+            total = min(self.total, int(most.sum()))
+            room = lim.tokens if total >= lim.tokens else 1 << (total.bit_length() - 1)
             segments, loss, offset = lim.segments, lim.loss, 0
             size = room
             while offset < size and segments and left_items:
