@@ -20,20 +20,22 @@ table gives an empty result, and where no row is labelled, nothing is learned an
 Very long texts take time in proportion to their words. Other columns are not read.
 
 The classifier is fitted on a bounded sample: ``per_lang`` labelled rows of each language in
-expectation, chosen by a hash of the row's id; ``grams`` bounds the model that every task gets.
+expectation, chosen by a hash of the row's id, for the ``labels`` most frequent languages. The model that
+every task gets is bounded by ``GRAMS`` letter groups, fewer if there are so many languages that it would
+pass ``CELLS`` numbers. A letter is a character of a letter category (``²``, ``½`` and ``Ⅷ`` are none).
 """
 
 from __future__ import annotations
 
 import bisect
 import math
-import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -43,6 +45,8 @@ from tidemark.llm.bpe_trie import slices
 UNKNOWN = "und"
 #: Sampled rows per language and letter groups in the model.
 PER_LANG, GRAMS = 1_500, 120_000
+#: Languages that are learned at most, the most frequent ones, and numbers (groups times languages) of a model.
+LABELS, CELLS = 1_000, 24_000_000
 #: What a change of language costs, the limit of one word's score, and the words that a task remembers.
 SWITCH, WORD_CAP, MEMO = 14.0, 6.0, 120_000
 #: Letters that a text needs for its support to be judged, and the share of a language's letter groups that a letter of its needs.
@@ -60,7 +64,7 @@ _SCRIPTS = [
     (0x3400, "han"), (0xA000, "other"), (0xAC00, "hangul"), (0xD7B0, "other"), (0xF900, "han"), (0xFB00, "other"), (0x20000, "han"), (0x32000, "other"),
 ]
 _STARTS = [s for s, _ in _SCRIPTS]
-_LETTERS = re.compile(r"[^\W\d_]+")
+_LETTERS = regex.compile(r"\p{L}+")
 
 
 def script(word: str) -> str:
@@ -123,10 +127,11 @@ def _gram_counts(labelled: DataFrame, text_col: str, lang_col: str) -> DataFrame
     return counted.groupBy("gram", "lang").agg(F.sum("n").alias("n"))
 
 
-def fit(docs: DataFrame, use: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = PER_LANG, limit: int = GRAMS) -> Model:
+def fit(docs: DataFrame, use: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = PER_LANG, limit: int = GRAMS, labels: int = LABELS) -> Model:
     """Learn from the labelled rows for which ``use`` holds."""
     rows = docs.filter(use & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    sizes = {r[0]: r[1] for r in rows.groupBy(lang_col).count().collect()}
+    sizes = {r[0]: r[1] for r in rows.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(labels).collect()}
+    limit = min(limit, CELLS // max(1, len(sizes)))
     if not sizes:
         return Model([], {}, {}, np.zeros((0, 0), np.float32))
     share = F.create_map(*[x for lang, n in sizes.items() for x in (F.lit(lang), F.lit(min(1.0, per_lang / n)))])
@@ -219,7 +224,7 @@ class Labeller:
         if len(self.known) > MEMO:
             self._clear()
         if not self.model.langs:
-            return [(np.zeros(0, np.int8), np.zeros(0, np.int64), np.zeros(0, np.int32))] * len(texts)
+            return [(np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int32))] * len(texts)
         split = [t.lower().split() if t else [] for t in texts]
         new: set[str] = set()
         new.update(*split)
@@ -238,7 +243,7 @@ def viterbi(scores: list[np.ndarray], switch: float = SWITCH) -> list[np.ndarray
     """Best label of every row of each score matrix; one step handles all texts that are that long."""
     order = sorted(range(len(scores)), key=lambda i: -len(scores[i]))
     lengths = np.array([len(scores[i]) for i in order])
-    out: list[np.ndarray] = [np.zeros(0, np.int8)] * len(scores)
+    out: list[np.ndarray] = [np.zeros(0, np.int32)] * len(scores)
     if not len(lengths) or not lengths[0]:
         return out
     langs = scores[order[0]].shape[1]
@@ -249,9 +254,9 @@ def viterbi(scores: list[np.ndarray], switch: float = SWITCH) -> list[np.ndarray
     for k, i in enumerate(order):
         flat[first[: lengths[k]] + k] = scores[i]
     moved = np.zeros(flat.shape, bool)
-    source = np.zeros(len(flat), np.int8)
+    source = np.zeros(len(flat), np.int32)
     v = flat[: active[0]].astype(np.float64)
-    ends = np.zeros(len(order), np.int8)
+    ends = np.zeros(len(order), np.int32)
     for t in range(1, steps + 1):
         a = active[t] if t < steps else 0
         if a < len(v):
@@ -266,7 +271,7 @@ def viterbi(scores: list[np.ndarray], switch: float = SWITCH) -> list[np.ndarray
         source[first[t] : first[t] + a] = best
         v = np.where(jump, enter[:, None], v) + flat[first[t] : first[t] + a]
     label = ends
-    back = np.empty(len(flat), np.int8)
+    back = np.empty(len(flat), np.int32)
     for t in range(steps - 1, -1, -1):
         a = active[t]
         rows = slice(first[t], first[t] + a)
