@@ -7,9 +7,9 @@ import pytest
 
 from pyspark.sql import functions as F
 from tests.llm.data import documents, empty
-from tidemark.llm.html_paths import extract, main_text
+from tidemark.llm.html_paths import extract, main_text, path_scores, text_nodes
 from tidemark.llm.languages import SWITCH, Labeller, fit, predict, predict_held_out, viterbi
-from tidemark.llm.secrets import find_spans, guess_cost, mask, masked, scan_digests
+from tidemark.llm.secrets import _RANK, _SPAN, _class_cost, _spans, corpus_ranks, find_spans, guess_cost, mask, masked, repeats, scan_digests
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body class="has-sidebar">
 <nav><ul><li><a href=/a>Home</a></li><li>News, sport, weather.</li></ul></nav><!-- ad --><div class="ad">Buy this now, it is cheap.</div>
@@ -30,6 +30,72 @@ def test_main_text(body, want):
     assert main_text(PAGE % body) == want
 
 
+TEXT = "<p>A long paragraph, with commas, stands here and says a thing or two.</p>" * 4
+
+
+@pytest.mark.parametrize(
+    "body",
+    [
+        "<div class='overflow-hidden'><article>%s</article></div>", "<div class='has-sidebar'><article>%s</article></div>", "<article class='comments-open'>%s</article>",
+        "<article><div class='no-ads content'>%s</div></article>", "<div id='search-layout'><main>%s</main></div>", "<main><section class='post-share-wrapper'>%s</section></main>",
+        "<div class='has-sidebar'>%s</div>", "<div class='content-sidebar-wrap'><div>%s</div></div>", "<div class='sidebar'><article>%s</article></div>",
+    ],
+)
+def test_names_that_hold_a_word_do_not_empty_a_page(body):
+    want = main_text(TEXT)
+    assert len(want) > 250
+    assert main_text(f"<html><body><nav><a>Menu</a></nav>{body % TEXT}<div class='site-footer'>Foot, here.</div><div id='comments'><article>A remark, it is.</article></div></body></html>") == want
+
+
+def test_lists_and_tables_beside_paragraphs_of_a_body_stay():
+    body = "<body><ul><li><a>Home and more</a></li><li><a>News and others</a></li></ul><h2>Head</h2>" + TEXT + "<ul><li>One</li><li>Two</li></ul><table><tr><td>Cell</td></tr></table><div><p>x</p></div></body>"
+    assert main_text(body) == f"Head {main_text(TEXT)} One Two Cell"
+
+
+@pytest.mark.parametrize("tag", ["font", "span", "div", "b", "ul"])
+def test_deeply_nested_pages(tag):
+    assert main_text("<body>" + f"<{tag}>x " * 100_000) == " ".join("x" * 100_000)
+    assert main_text("<body>" + f"<{tag}>" * 50_000 + TEXT + "</i></u>" * 50_000) == main_text(TEXT)
+
+
+def test_path_scores_equal_a_plain_version():
+    """Ratios by path strings, smoothed and fused by the definition, on a page whose tags all close."""
+    import math
+    from html.parser import HTMLParser
+
+    page = "<html><body><div class='b a'><h1>Head, here</h1><p>One, two. <b>bold!</b> end</p><p>More; text.</p></div><article><p>In the article, so it weighs.</p></article><div><p>Last</p></div></body></html>"
+
+    class Plain(HTMLParser):
+        stack, nodes = [], []
+
+        def handle_starttag(self, tag, attrs):
+            words = sorted(re.findall("[a-z]+", dict(attrs).get("class", "")))
+            self.stack.append(".".join([tag, *words]))
+
+        def handle_endtag(self, tag):
+            self.stack.pop()
+
+        def handle_data(self, data):
+            self.nodes.append(("/".join(self.stack), data))
+
+    plain = Plain()
+    plain.feed(page)
+    paths = [p for p, _ in plain.nodes]
+    size = {p: sum(len(t) for q, t in plain.nodes if q == p) / paths.count(p) for p in paths}
+    marks = {p: sum(len(re.findall(r"[.,;:!?]", t)) for q, t in plain.nodes if q == p) / paths.count(p) for p in paths}
+
+    def smooth(values, i):
+        near = [(math.exp(-((j - i) ** 2) / 2), values[j]) for j in range(max(0, i - 2), min(len(values), i + 3))]
+        return sum(w * v for w, v in near) / sum(w for w, _ in near)
+
+    fused = [smooth([size[p] for p in paths], i) * (1 + smooth([marks[p] for p in paths], i)) * (4 if "article" in p else 1) for i, p in enumerate(paths)]
+    want = [sum(f for f, q in zip(fused, paths) if q == p) / paths.count(p) for p in paths]
+    nodes = [(e, t, b) for e, t, b in text_nodes(page)]
+    scores = path_scores([(e, len(t), len(re.findall(r"[.,;:!?]", t))) for e, t, _ in nodes])
+    assert [t for _, t, _ in nodes] == [t for _, t in plain.nodes]
+    assert [scores[e.path] for e, _, _ in nodes] == pytest.approx(want)
+
+
 def test_broken_pages_have_defined_texts(spark):
     pages = [(1, "u", None), (2, "u", ""), (3, "u", " \n"), (4, "u", "<p>open <b>never closed, ends"), (5, "u", "no tags, at all"), (6, "u", "<div><p>a &am b &lt;x&gt;"), (6, "u", "<div><p>a &am b &lt;x&gt;"), (7, "u", "<!-- open"), (8, "u", "<p x='\">ab"), (9, None, "<p>" + "long words, again. " * 5000)]
     df = spark.createDataFrame([(*p, 0) for p in pages], "page_id bigint, url string, html string, text int")
@@ -150,3 +216,66 @@ def test_passwords_and_users_of_any_length_in_addresses():
     assert find_spans(f"git://me:{token}@host/x") == [("guess", 9, 709, 9)]
     assert masked("git://" + "u" * 90 + ":Xk29fmQ2vL7p@h/x") == "git://" + "u" * 90 + ":<secret>@h/x"
     assert find_spans("://a" * 50_000 + ":b" * 50_000) == []
+
+
+def test_any_number_of_languages(spark):
+    """More labels than a byte holds, and a bound on what is learned."""
+    rows = [(i, f"word{chr(97 + i // 26 % 26)}{chr(97 + i % 26)} " * 20, f"l{i:03d}") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    got = {r.doc_id: r.lang_pred for r in predict(df, fit(df, F.lit(True))).collect()}
+    assert sum(got[i] == f"l{i:03d}" for i in range(300)) > 280
+    assert fit(df, F.lit(True), labels=40).langs == [f"l{i:03d}" for i in range(40)]
+
+
+def test_marks_that_are_no_letters_have_no_language(spark):
+    df = spark.createDataFrame([(1, "the old house", "en"), (2, "\u00b2 \u00bd \u2167 \u2460 12", None), (3, "a\u00b2", None)], "doc_id bigint, text string, lang string")
+    got = {r.doc_id: (r.lang_pred, r.score) for r in predict(df, fit(df, F.lit(True))).collect()}
+    assert got[2] == ("und", 0.0) and got[3][0] == "en"
+
+
+def test_values_behind_any_spaces_and_weak_values_in_signed_contexts():
+    for gap in (10, 1000):
+        text = "pwd" + " " * gap + ":" + " " * gap + "Zk39qpLx8vTTq"
+        assert find_spans(text) == [("guess", 2 * gap + 4, 2 * gap + 17, 2 * gap + 4)]
+    assert masked("pwd: Summer2024! and postgres://u:summer2024@h/db", weak=True) == "pwd: <secret> and postgres://u:<secret>@h/db"
+    assert masked("the passphrase is sunshine", weak=True) == "the passphrase is sunshine"
+
+
+def test_guess_cost_equals_the_least_over_all_segmentations():
+    import itertools
+    import random
+
+    r = random.Random(2)
+    some = ["password1", "abab2024", "qwerty7", "aaaB12", "1999dog", "x7f9x7f9", "Passw0rd"] + ["".join(r.choice("ab19!s") for _ in range(r.randint(1, 9))) for _ in range(150)]
+    for value in some:
+        known = {}
+        for end, spans in _spans(value, _RANK).items():
+            for start, cost in spans:
+                known[start, end] = min(cost, known.get((start, end), 99.0))
+        best, n = 99.0, len(value)
+        for cuts in itertools.product((0, 1), repeat=n - 1):
+            edges = [0, *(i + 1 for i, c in enumerate(cuts) if c), n]
+            total = sum(min(known.get((a, b), 99.0), sum(map(_class_cost, value[a:b]))) for a, b in zip(edges, edges[1:]))
+            best = min(best, total + _SPAN * (len(edges) - 2))
+        assert guess_cost(value) == pytest.approx(best), value
+
+
+def test_repeats_hold_every_maximal_run():
+    import random
+
+    r = random.Random(3)
+    for _ in range(400):
+        v = "".join(r.choice("ab1") for _ in range(r.randint(1, 14)))
+        n, got = len(v), repeats(v)
+        same = lambda i, j, u: all(v[k] == v[k + u] for k in range(i, j - u))
+        assert all(j - i >= 2 * u and same(i, j, u) for i, j, u in got)
+        whole = {(i, j, u) for u in range(2, n // 2 + 1) for i in range(n) for j in range(i + 2 * u, n + 1) if same(i, j, u) and (i == 0 or v[i - 1] != v[i - 1 + u]) and (j == n or v[j] != v[j - u])}
+        assert whole <= got
+    assert guess_cost("verylongunit#93" * 40) < guess_cost("verylongunit#93") + 3
+
+
+def test_frequent_words_of_the_corpus_are_cheap(spark):
+    df = spark.createDataFrame([(i, "correct horse battery staple " * 3) for i in range(5)] + [(9, None), (10, "")], "doc_id bigint, text string")
+    ranks = corpus_ranks(df, limit=3)
+    assert {w for w in ranks if w not in _RANK} == {"battery", "correct", "horse"} and len(corpus_ranks(df, limit=0)) == len(_RANK)
+    assert guess_cost("correcthorsebattery", ranks) < 9 < guess_cost("correcthorsebattery")

@@ -6,7 +6,9 @@ words, dates, repeats, keyboard walks and brute-force spans so that the guesses
 there. A brute-force span may have any length and costs its characters' class sizes, so it is carried
 along as a second state and the whole takes time linear in the value. Values that take at least
 ``10 ** least`` guesses become spans of kind ``guess`` unless a fixed pattern has them already;
-weak ones ("password123", "qwertyuiop") do not.
+weak ones ("password123", "qwertyuiop") do not. Words are a short fixed list of what passwords are made
+of, then the ``CORPUS_WORDS`` most frequent words of all texts (a broadcast of a stated size). Repeats have
+units of any length.
 
 Positions are code points, ends exclusive. Null and empty texts have no spans. Rows are independent:
 repeated rows, empty tables and other columns need no rule, and a very long text or value costs time
@@ -17,6 +19,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -35,9 +38,9 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 _KEY = r"(?:pass(?:word|wd|phrase|code)|pwd|secret|token|(?:api|access|private|secret)[_-]?key|auth|authorization|credentials?)"
 _VALUE = r"""[^\s"'`<>(){}\[\],;]"""
 CONTEXTS = [
-    re.compile(rf"""(?<![A-Za-z]){_KEY}["']?(?:\x20{{0,8}}(?:=>|:=|[:=])\x20{{0,8}}|\x20is\x20)["'`]?({_VALUE}{{6,}})""", re.I | re.A),
-    re.compile(r"(?<![A-Za-z])(?:bearer|basic)\x20+([A-Za-z0-9+/_.=~-]{6,})", re.I | re.A),
-    re.compile(r"://[^\s:/@]++:([^\s:/@]{6,}+)@"),
+    re.compile(rf"""(?<![A-Za-z]){_KEY}["']?(?:\x20*+(?:=>|:=|[:=])\x20*+|(\x20is\x20))["'`]?(?P<value>{_VALUE}{{6,}}+)""", re.I | re.A),
+    re.compile(r"(?<![A-Za-z])(?:bearer|basic)\x20+(?P<value>[A-Za-z0-9+/_.=~-]{6,}+)", re.I | re.A),
+    re.compile(r"://[^\s:/@]++:(?P<value>[^\s:/@]{6,}+)@"),
 ]
 _HINT = re.compile("pass|pwd|secret|token|key|auth|credential|bearer|basic")
 
@@ -46,8 +49,9 @@ WORDS = """password admin welcome login master secret dragon monkey letmein suns
 hello freedom whatever test user guest root changeme default example sample dummy placeholder your token key pass word none null true false
 undefined insert here enter value my the this that some any for and not are api auth access private public service system server database
 super demo temp local dev prod staging summer winter spring autumn love baby angel star money""".split()
+#: Words of the corpus that count besides, the most frequent ones, of so many letters.
+CORPUS_WORDS, SHORTEST, LONGEST = 20_000, 3, 20
 _RANK = {w: i + 1 for i, w in enumerate(WORDS)}
-_LONGEST = max(map(len, WORDS))
 #: Characters written for letters.
 _LEET = str.maketrans("4@8310!$57", "aabeoiisst")
 #: Rows of keys, and their columns.
@@ -64,7 +68,53 @@ def _class_cost(c: str) -> float:
     return 1.0 if "0" <= c <= "9" else math.log10(26) if "a" <= c <= "z" or "A" <= c <= "Z" else math.log10(33)
 
 
-def _spans(value: str) -> dict[int, list[tuple[int, float]]]:
+def _z(s: str) -> list[int]:
+    """For each place, how far ``s`` goes on there as at its start."""
+    n = len(s)
+    z, lo, hi = [0] * n, 0, 0
+    for i in range(1, n):
+        k = min(hi - i, z[i - lo]) if i < hi else 0
+        while i + k < n and s[k] == s[i + k]:
+            k += 1
+        z[i] = k
+        if i + k > hi:
+            lo, hi = i, i + k
+    return z
+
+
+def repeats(value: str) -> set[tuple[int, int, int]]:
+    """(start, end, unit) of runs in which a unit of two or more characters is written at least twice, by halving (n log n).
+
+    Every maximal run is among them; a run that crosses the middle of a part is found from there.
+    """
+    out: set[tuple[int, int, int]] = set()
+    stack = [(0, len(value))]
+    while stack:
+        lo, hi = stack.pop()
+        if hi - lo < 4:
+            continue
+        mid = (lo + hi) // 2
+        stack += [(lo, mid), (mid, hi)]
+        u, v = value[lo:mid], value[mid:hi]
+        back, on = _z(u[::-1]), _z(v)
+        over_v = _z(v + "\0" + value[lo:hi])  # how far v goes on at each place
+        over_u = _z(u[::-1] + "\0" + value[lo:hi][::-1])  # how far u goes back from each end
+        for unit in range(2, hi - lo):
+            # The unit before the middle, or the one behind it, is written again.
+            if unit <= len(u):
+                left = min(back[unit] if unit < len(u) else 0, len(u) - unit)
+                right = over_v[len(v) + 1 + len(u) - unit]
+                if left + right >= unit:
+                    out.add((mid - unit - left, min(mid + right, hi), unit))
+            if unit <= len(v):
+                left = over_u[len(u) + 1 + len(v) - unit]
+                right = min(on[unit] if unit < len(v) else 0, len(v) - unit)
+                if left + right >= unit:
+                    out.add((max(mid - left, lo), mid + unit + right, unit))
+    return out
+
+
+def _spans(value: str, ranks: dict[str, int]) -> dict[int, list[tuple[int, float]]]:
     """For each end, the (start, log10 guesses) of words, dates, repeats and walks that end there."""
     out: dict[int, list[tuple[int, float]]] = {}
     low = value.lower()
@@ -73,9 +123,9 @@ def _spans(value: str) -> dict[int, list[tuple[int, float]]]:
     plain = low.translate(_LEET)
     n = len(value)
     for i in range(n):
-        for text, extra in ((low, 0.0), (plain, math.log10(2))):
-            for j in range(i + 2, min(n, i + _LONGEST) + 1):
-                rank = _RANK.get(text[i:j])
+        for text, extra in ((low, 0.0), (plain, math.log10(2))) if plain != low else ((low, 0.0),):
+            for j in range(i + 2, min(n, i + LONGEST) + 1):
+                rank = ranks.get(text[i:j])
                 if rank:
                     upper = 0.0 if value[i:j] == low[i:j] else math.log10(2 + j - i)
                     out.setdefault(j, []).append((i, math.log10(rank + 1) + extra + upper))
@@ -99,25 +149,23 @@ def _spans(value: str) -> dict[int, list[tuple[int, float]]]:
                     cost = _class_cost(value[start]) + math.log10(i - start) + base
                     out.setdefault(i, []).append((start, cost))
                 start = i if kind != "step" or b == "" or abs(ord(a) - ord(b)) != 1 else i - 1
-    # A block of two to eight characters that is written again and again.
-    i = 0
-    while i < n:
-        for size in range(2, 9):
-            unit, j = value[i : i + size], i + size
-            while unit and value[j : j + size] == unit:
-                j += size
-            if j - i >= 2 * size and len(unit) == size:
-                cost = sum(map(_class_cost, unit)) + math.log10((j - i) // size)
-                out.setdefault(j, []).append((i, cost))
-                i = j - 1
-                break
-        i += 1
+    # Units of any length that are written again and again.
+    sums = [0.0]
+    for c in value:
+        sums.append(sums[-1] + _class_cost(c))
+    least: dict[tuple[int, int], int] = {}  # a run counts with its smallest unit
+    for i, j, size in repeats(value):
+        least[i, j] = min(size, least.get((i, j), size))
+    for (i, j), size in least.items():
+        for start in range(i, min(i + size, j - 2 * size + 1)):
+            times = (j - start) // size
+            out.setdefault(start + times * size, []).append((start, sums[start + size] - sums[start] + math.log10(times)))
     return out
 
 
-def guess_cost(value: str) -> float:
-    """Least log10 of the guesses for ``value`` over all its segmentations."""
-    known = _spans(value)
+def guess_cost(value: str, ranks: dict[str, int] = _RANK) -> float:
+    """Least log10 of the guesses for ``value`` over all its segmentations; ``ranks``: places of words by frequency."""
+    known = _spans(value, ranks)
     best, brute = 0.0, math.inf
     costs = [0.0]
     for i, c in enumerate(value, 1):
@@ -129,37 +177,56 @@ def guess_cost(value: str) -> float:
     return best
 
 
+def corpus_ranks(docs: DataFrame, text_col: str = "text", limit: int = CORPUS_WORDS) -> dict[str, int]:
+    """Places of the fixed words and, behind them, of the ``limit`` most frequent words of all texts (ASCII letters; ties by the word)."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found: Counter = Counter()
+            for _, texts in slices(batch.column(0)):
+                for t in texts:
+                    if t:
+                        found.update(re.findall(r"[a-z]+", t.lower()))
+            kept = [(w, n) for w, n in found.items() if SHORTEST <= len(w) <= LONGEST]
+            yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in kept], pa.string()), pa.array([n for _, n in kept], pa.int64())], names=["word", "n"])
+
+    counted = docs.select(text_col).mapInArrow(count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    top = counted.orderBy(F.desc("n"), "word").limit(limit).collect() if limit else []
+    ranks = dict(_RANK)
+    for r in top:
+        ranks.setdefault(r["word"], len(ranks) + 1)
+    return ranks
+
+
 Span = tuple[str, int, int, int]  # kind, start, end, start of the value
 
 
-def find_spans(text: str | None, least: float = LEAST) -> list[Span]:
-    """All spans by start, then kind."""
+def find_spans(text: str | None, least: float = LEAST, ranks: dict[str, int] = _RANK, weak: bool = False) -> list[Span]:
+    """All spans by start, then kind. ``weak``: also values behind a sign or in an address that are easily guessed."""
     if not text:
         return []
     found: list[Span] = [("hex", m.start(), m.end(), m.start()) for m in HEX.finditer(text)]
     if "AKIA" in text:
         found += [("access", m.start(), m.end(), m.start()) for m in ACCESS.finditer(text) if m.end() - m.start() >= 20]
-    if (low := text.lower()) and _HINT.search(low):
+    hinted = bool(_HINT.search(text.lower()))
+    if hinted:
         found += [("assign", m.start(), m.end(), m.start(2)) for m in ASSIGN.finditer(text) if m.end() - m.start(2) >= 6]
-        base, seen = sorted((s[3], s[2]) for s in found), set()
-        for context in CONTEXTS:
-            for m in context.finditer(text):
-                span = m.span(1)
-                if span not in seen and not any(a <= span[0] and span[1] <= b for a, b in base) and guess_cost(m[1]) >= least:
-                    seen.add(span)
-                    found.append(("guess", *span, span[0]))
-    elif "://" in text:
-        for m in CONTEXTS[2].finditer(text):
-            if guess_cost(m[1]) >= least:
-                found.append(("guess", *m.span(1), m.start(1)))
+    base, seen = sorted((s[3], s[2]) for s in found), set()
+    for context in CONTEXTS if hinted else CONTEXTS[2:] if "://" in text else ():
+        for m in context.finditer(text):
+            span = m.span("value")
+            signed = weak and (context is CONTEXTS[2] or (context is CONTEXTS[0] and m[1] is None))
+            if span not in seen and not any(a <= span[0] and span[1] <= b for a, b in base) and (signed or guess_cost(m["value"], ranks) >= least):
+                seen.add(span)
+                found.append(("guess", *span, span[0]))
     return sorted(found, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
 
-def masked(text: str | None, mark: str = "<secret>", least: float = LEAST, weak: bool = False) -> str | None:
-    """``text`` with each secret value replaced; an assigned value that is easily guessed only if ``weak``."""
+def masked(text: str | None, mark: str = "<secret>", least: float = LEAST, weak: bool = False, ranks: dict[str, int] = _RANK) -> str | None:
+    """``text`` with each secret value replaced; values that are easily guessed only if ``weak``."""
     parts, at = [], 0
-    for kind, start, end, value in sorted(find_spans(text, least), key=lambda s: (s[3], s[2])):
-        if end <= at or (not weak and kind == "assign" and guess_cost(text[value:end]) < least):
+    for kind, start, end, value in sorted(find_spans(text, least, ranks, weak), key=lambda s: (s[3], s[2])):
+        if end <= at or (not weak and kind == "assign" and guess_cost(text[value:end], ranks) < least):
             continue
         if value >= at:
             parts += [text[at:value], mark]
@@ -167,15 +234,16 @@ def masked(text: str | None, mark: str = "<secret>", least: float = LEAST, weak:
     return text if not parts else "".join([*parts, text[at:]])
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST) -> DataFrame:
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST, corpus_words: int = CORPUS_WORDS) -> DataFrame:
     """``id_col`` and ``spans``: an array of (kind, start, end, log10 guesses of the value)."""
     src = docs.select(id_col, text_col)
+    ranks = docs.sparkSession.sparkContext.broadcast(corpus_ranks(docs, text_col, corpus_words))
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("log10_guesses", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [
-                [{"kind": k, "start": a, "end": b, "log10_guesses": guess_cost(t[v:b])} for k, a, b, v in find_spans(t, least)]
+                [{"kind": k, "start": a, "end": b, "log10_guesses": guess_cost(t[v:b], ranks.value)} for k, a, b, v in find_spans(t, least, ranks.value)]
                 for _, texts in slices(batch.column(1))
                 for t in texts
             ]
@@ -185,20 +253,24 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least:
     return src.mapInArrow(run, f"`{id_col}` {id_type}, spans array<struct<kind:string,start:bigint,end:bigint,log10_guesses:double>>")
 
 
-def mask(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with the values of all spans masked in ``text_col``, weak ones too; nothing else changes."""
+def mask(docs: DataFrame, text_col: str = "text", corpus_words: int = CORPUS_WORDS) -> DataFrame:
+    """``docs`` with the values of all spans masked in ``text_col``; nothing else changes.
+
+    Values behind a sign (``pwd: x``) and passwords in addresses go however weak they are; those that only
+    prose introduces (``the token is x``) and in authorisation headers go if they are hard to guess.
+    """
     spot = docs.columns.index(text_col)
+    ranks = docs.sparkSession.sparkContext.broadcast(corpus_ranks(docs, text_col, corpus_words))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [masked(t, weak=True) for _, some in slices(batch.column(spot)) for t in some]
+            texts = [masked(t, weak=True, ranks=ranks.value) for _, some in slices(batch.column(spot)) for t in some]
             cols = [pa.array(texts, batch.schema[i].type) if i == spot else c for i, c in enumerate(batch.columns)]
             yield pa.RecordBatch.from_arrays(cols, schema=batch.schema)
 
     return docs.mapInArrow(run, docs.schema)
 
 
-
 def scan_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col``, counts of the fixed patterns, digest of their spans, and all spans as text."""
     found = scan(docs, id_col, text_col)
