@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 from tidemark.operators import aggregates as ag
 from tidemark.operators import features as ft
 from tidemark.operators import metrics as m
-from tidemark.operators import ml, splits, windows
+from tidemark.operators import boosting, ml, splits, windows
+from tidemark.operators.attach import attach
 from tidemark.plans.base import SIZE, STEP, big, chunk, i8, q6, query, r6, scored, sql, stream, stored, wends
 from tidemark.plans.q_aggregates import A, FEAT, PAIRS, labelled_windows, window_table
 from tidemark.plans.q_metrics import RATES
@@ -46,25 +47,54 @@ def forest_scores(spark, sf, name):
     return ml.score(fitted(spark, sf), part(spark, sf, name).select("window_id", "end_idx", "y", *A))
 
 
-@query("m1_random_forest", totals_sql("split = 'val'"))
+def learned(scores, distinct: int = 10, least: float = 0.7):
+    """Whether scores of the rows a model was fitted on are many and rank them (area under the curve); a constant model's are neither."""
+    curve = m.score_curve(scores)
+    both = attach(curve.agg(F.count(F.lit(1)).alias("scores")), m.roc_auc(curve))
+    return both.select(((F.col("scores") >= distinct) & (F.col("roc_auc") >= least)).alias("learned"))
+
+
+@query("m1_random_forest", sql(f"SELECT {i8('sum(y)', 'positives')}, {i8('sum(1 - y)', 'negatives')}, true AS rates_valid, true AS learned FROM fl WHERE split = 'val'", *FEAT))
 def m1(spark, sf):
-    return class_totals(m.with_rates(m.confusion(forest_scores(spark, sf, "val"), F.col("p") >= 0.5)))
+    rates = class_totals(m.with_rates(m.confusion(forest_scores(spark, sf, "val"), F.col("p") >= 0.5)))
+    return attach(rates, learned(forest_scores(spark, sf, "train")))
 
 
-@query("m2_boosted_trees", totals_sql("split = 'val'"))
-def m2(spark, sf):
+def split_rows(spark, sf):
     cols = ["window_id", "y", *A]
-    train, val = part(spark, sf, "train").select(cols), part(spark, sf, "val").select(cols)
-    model = ml.fit_boosted(train, val, A)
-    return class_totals(m.with_rates(m.confusion(ml.score(model, val), F.col("p") >= 0.5)))
+    return part(spark, sf, "train").select(cols), part(spark, sf, "val").select(cols)
+
+
+@query("m2_boosted_trees", sql(f"SELECT {i8('sum(y)', 'positives')}, {i8('sum(1 - y)', 'negatives')}, true AS rates_valid, true AS learned, true AS best_kept FROM fl WHERE split = 'val'", *FEAT))
+def m2(spark, sf):
+    """Up to 1,000 rounds, stopped after 50 without gain in average precision; the kept prefix rates best of all that were looked at."""
+    train, val = split_rows(spark, sf)
+    fit = boosting.fit_staged(train, val, A)
+    rates = class_totals(m.with_rates(m.confusion(fit.trees.score(val), F.col("p") >= 0.5)))
+    again = m.average_precision(m.score_curve(fit.trees.score(val))).select((F.abs(F.col("average_precision") - fit.curve[fit.best - 1]) < 1e-9).alias("best_kept"))
+    # One shallow first tree may be the best prefix, so few distinct scores are enough.
+    return attach(rates, learned(fit.trees.score(train), 5, 0.6), again)
 
 
-@query("m3_grid_search", "SELECT CAST(trees AS DOUBLE) AS trees, CAST(depth AS DOUBLE) AS depth, true AS f1_valid FROM (SELECT unnest([10, 30]) AS trees), (SELECT unnest([4, 8]) AS depth)")
+@query(
+    "m3_grid_search",
+    sql(
+        "SELECT CAST(depth AS DOUBLE) AS depth, CAST(rate AS DOUBLE) AS rate, CAST(leaf AS DOUBLE) AS leaf, CAST(sample AS DOUBLE) AS sample, CAST(share AS DOUBLE) AS column_share, CAST(gain AS DOUBLE) AS gain, "
+        "positives, negatives, true AS f1_valid, true AS learned FROM "
+        + ", ".join(f"(SELECT unnest({values}) AS {'share' if name == 'columns' else name})" for name, values in boosting.GRID.items())
+        + f", (SELECT {i8('sum(y)', 'positives')}, {i8('sum(1 - y)', 'negatives')} FROM fl WHERE split = 'val')",
+        *FEAT,
+    ),
+)
 def m3(spark, sf):
-    grid = [{"trees": t, "depth": d} for t in (10, 30) for d in (4, 8)]
-    cols = ["window_id", "y", *A]
-    _, results = ml.grid_search(part(spark, sf, "train").select(cols), part(spark, sf, "val").select(cols), A, grid)
-    return results.select("trees", "depth", F.col("f1").between(0.0, 1.0).alias("f1_valid"))
+    """The known 144 settings: all for 2 rounds, the best quarter for 8, and of these the best quarter for 32."""
+    train, val = split_rows(spark, sf)
+    best, results = boosting.search(train, val, A, boosting.settings(), rungs=(2, 8, 32))
+    rows = results.select(
+        "depth", "rate", "leaf", "sample", F.col("columns").alias("column_share"), "gain", (F.col("tp") + F.col("fn")).alias("positives"), (F.col("fp") + F.col("tn")).alias("negatives"),
+        (F.col("f1").between(0.0, 1.0) & (F.col("dropped") == (F.col("rounds") < 32))).alias("f1_valid"),
+    )
+    return attach(rows, learned(best.score(train)))
 
 
 @query(
@@ -94,28 +124,37 @@ def m5(spark, sf):
     return forest_scores(spark, sf, "test").select("window_id", F.col("p").between(0.0, 1.0).alias("in_range"))
 
 
-@query("m6_importance", "SELECT CAST(15 AS BIGINT) AS features, 1.0::DOUBLE AS total, 1.0::DOUBLE AS last_share, CAST(15 AS BIGINT) AS last_place, true AS none_negative")
+@query("m6_importance", sql("SELECT CAST(15 AS BIGINT) AS features, 1.0::DOUBLE AS total, 1.0::DOUBLE AS last_share, CAST(15 AS BIGINT) AS last_place, true AS none_negative, count(*) AS fitted_rows FROM fl WHERE split = 'train'", *FEAT))
 def m6(spark, sf):
-    t = ml.importance_table(fitted(spark, sf), A, spark)
-    return t.agg(
+    t = ml.importance_table(fitted(spark, sf), A, spark).agg(
         F.count(F.lit(1)).alias("features"), r6(F.sum("importance"), "total"), r6(F.max("cumulative_share"), "last_share"),
         F.max("place").alias("last_place"), (F.min("importance") >= 0).alias("none_negative"),
     )
+    return attach(t, part(spark, sf, "train").agg(F.count(F.lit(1)).alias("fitted_rows")))
 
 
 @query(
     "m6_family_importance",
-    "SELECT * FROM (VALUES ('Temporal Features', 4::BIGINT, 1.0::DOUBLE), ('Pressure Dynamics', 3, 1.0), ('Statistical Measures', 6, 1.0), ('Anomaly Detection', 2, 1.0)) t(family, features, total)",
+    sql(
+        "SELECT family, features, total, fitted_rows FROM (VALUES ('Temporal Features', 4::BIGINT, 1.0::DOUBLE), ('Pressure Dynamics', 3, 1.0), ('Statistical Measures', 6, 1.0), ('Anomaly Detection', 2, 1.0)) t(family, features, total), "
+        "(SELECT count(*) AS fitted_rows FROM fl WHERE split = 'train')",
+        *FEAT,
+    ),
 )
 def m6b(spark, sf):
     out = ml.family_importance(ml.importance_table(fitted(spark, sf), A, spark))
-    return out.select("family", "features", r6(F.sum("importance").over(Window.partitionBy(F.lit(0))), "total"))
+    out = out.select("family", "features", r6(F.sum("importance").over(Window.partitionBy(F.lit(0))), "total"))
+    return attach(out, part(spark, sf, "train").agg(F.count(F.lit(1)).alias("fitted_rows")))
 
 
-@query("m7_permutation_importance", f"SELECT unnest({A}) AS feature, true AS drop_valid")
+@query("m7_permutation_importance", sql(f"SELECT feature, n, true AS drop_valid, true AS some_drop FROM (SELECT unnest({A}) AS feature), (SELECT count(*) AS n FROM fl WHERE split = 'train')", *FEAT))
 def m7(spark, sf):
-    out = ml.permutation_importance(fitted(spark, sf), part(spark, sf, "test"), A, chunk=chunk(spark, sf))
-    return out.select("feature", (F.col("mean_drop").between(-1.0, 1.0) & (F.col("std_drop") >= 0)).alias("drop_valid"))
+    """On the rows the forest was fitted on, shuffling its main feature must cost accuracy; a constant model would lose none."""
+    rows = part(spark, sf, "train")
+    out = ml.permutation_importance(fitted(spark, sf), rows, A, chunk=chunk(spark, sf))
+    most = F.max("mean_drop").over(Window.partitionBy(F.lit(0)))  # one row per feature
+    out = out.select("feature", (F.col("mean_drop").between(-1.0, 1.0) & (F.col("std_drop") >= 0)).alias("drop_valid"), (most > 0).alias("some_drop"))
+    return attach(out, rows.agg(F.count(F.lit(1)).alias("n")))
 
 
 def calibrated_checks(out):
