@@ -166,3 +166,30 @@ def test_precursor_too_close_to_the_start(spark, make_stream):
     s = make_stream(range(300), det=range(30, 40))
     cat = spark.createDataFrame([(0, 1045, 45)], "vortex long, sclk long, centre long")
     assert sampling.positive_starts(s, cat, 60).count() == 0
+
+
+def test_lost_windows_are_counted_by_reason_in_the_same_pass(spark, make_stream):
+    import warnings
+
+    from pyspark.sql import Observation
+
+    from tidemark.operators import sampling
+
+    s = make_stream(range(400), det=[*range(20, 24), *range(150, 155), *range(300, 303)])
+    events = spark.createDataFrame([(1, 10), (2, 30), (3, 160), (4, 310), (5, None)], "vortex long, centre long")
+    got = {r["vortex"]: (r["start_idx"], r["outcome"]) for r in sampling.positive_outcomes(s, events, 60, chunk=50).collect()}
+    assert got == {1: (None, "no_precursor"), 2: (None, "too_short"), 3: (90, "extracted"), 4: (240, "extracted"), 5: (None, "clock_not_found")}
+    seen = Observation("outcomes")
+    starts = sampling.positive_starts(s, events, 60, chunk=50, outcomes=seen)
+    assert sorted(r["start_idx"] for r in starts.collect()) == [90, 240]
+    assert seen.get == {"extracted": 2, "clock_not_found": 1, "no_precursor": 1, "too_short": 1}
+    first = {r["vortex"]: r["outcome"] for r in sampling.positive_outcomes(s, events, 10, "first_in_split", chunk=50).collect()}
+    assert first == {1: "no_precursor", 2: "extracted", 3: "extracted", 4: "extracted", 5: "clock_not_found"}
+
+    free = spark.range(7).withColumnRenamed("id", "start_idx")
+    drawn = Observation("drawn")
+    assert sampling.negative_starts(free, starts, 5.0, drawn).count() == 7
+    with warnings.catch_warnings(record=True) as said:
+        warnings.simplefilter("always")
+        assert sampling.shortfall(drawn) == 3 and len(said) == 1
+    assert sampling.negative_report(free, starts, 3.0).first().asDict() == {"wanted": 6, "available": 7, "drawn": 6, "shortfall": 0}

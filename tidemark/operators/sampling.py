@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import warnings
+
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.attach import attach
@@ -17,7 +19,11 @@ def precursor_runs(stream: DataFrame, chunk: int = CHUNK) -> DataFrame:
     return runs(stream, F.col("gt_detection_win"), chunk)
 
 
-def positive_starts(
+#: What becomes of an event when its window is looked for.
+OUTCOMES = ("extracted", "clock_not_found", "no_precursor", "too_short")
+
+
+def positive_outcomes(
     stream: DataFrame,
     catalogue: DataFrame,
     size: int = 60,
@@ -25,27 +31,52 @@ def positive_starts(
     chunk: int = CHUNK,
     precursors: DataFrame | None = None,
 ) -> DataFrame:
-    """Start of the window just before each event's precursor run: ``vortex, centre, start_idx``.
+    """Every event with ``start_idx`` and ``outcome``: the window just before its precursor run, or why there is none.
 
     ``own_run`` takes the newest precursor run that starts at or before the event;
     ``first_in_split`` takes the first precursor row of the whole stream for every event.
-    Events without a precursor, or with too little room before it, are left out. ``precursors``
+    ``centre`` is the event's place in the stream, null where its clock is not there. ``precursors``
     may hold the precursor runs if they are known already.
     """
     det = precursor_runs(stream, chunk) if precursors is None else precursors
     det = det.select("start_idx")
+    known = catalogue.filter(F.col("centre").isNotNull())
     if mode == "first_in_split":
         first = det.agg(F.min("start_idx").alias("_run"))
-        found = attach(catalogue, first).filter(F.col("_run") <= F.col("centre"))
+        found = attach(known, first).withColumn("_run", F.when(F.col("_run") <= F.col("centre"), F.col("_run")))
     else:
-        found = newest_at_or_before(catalogue, det, "centre", "start_idx", chunk).withColumnRenamed("start_idx", "_run")
-        found = found.filter(F.col("_run").isNotNull())
+        found = newest_at_or_before(known, det, "centre", "start_idx", chunk).withColumnRenamed("start_idx", "_run")
+    lost = catalogue.filter(F.col("centre").isNull()).withColumn("_run", F.lit(None).cast("long"))
     origin = stream.agg(F.min("idx").alias("_origin"))
-    return (
-        attach(found.withColumn("start_idx", F.col("_run") - size), origin)
-        .filter(F.col("start_idx") >= F.col("_origin"))
-        .drop("_run", "_origin")
+    start = F.col("_run") - size
+    outcome = (
+        F.when(F.col("centre").isNull(), "clock_not_found")
+        .when(F.col("_run").isNull(), "no_precursor")
+        .when(start < F.col("_origin"), "too_short")
+        .otherwise("extracted")
     )
+    out = attach(found.unionByName(lost), origin).withColumn("outcome", outcome)
+    return out.withColumn("start_idx", F.when(F.col("outcome") == "extracted", start)).drop("_run", "_origin")
+
+
+def positive_starts(
+    stream: DataFrame,
+    catalogue: DataFrame,
+    size: int = 60,
+    mode: str = "own_run",
+    chunk: int = CHUNK,
+    precursors: DataFrame | None = None,
+    outcomes: Observation | None = None,
+) -> DataFrame:
+    """Start of the window just before each event's precursor run: ``vortex, centre, start_idx``.
+
+    Events without a precursor, or with too little room before it, are left out (see
+    :func:`positive_outcomes`); ``outcomes`` counts them by reason in the pass that makes the windows.
+    """
+    found = positive_outcomes(stream, catalogue, size, mode, chunk, precursors)
+    if outcomes is not None:
+        found = found.observe(outcomes, *[F.count(F.when(F.col("outcome") == o, 1)).alias(o) for o in OUTCOMES])
+    return found.filter(F.col("outcome") == "extracted").drop("outcome")
 
 
 def newest_at_or_before(left: DataFrame, right: DataFrame, at: str, value: str, chunk: int = CHUNK) -> DataFrame:
@@ -123,10 +154,33 @@ def sample_by_hash(df: DataFrame, key: str, count: int | Column) -> DataFrame:
     )
 
 
-def negative_starts(starts: DataFrame, positives: DataFrame, ratio: float = 1.0) -> DataFrame:
-    """``int(positives × ratio)`` window starts without replacement (fewer if there are fewer)."""
+def negative_starts(starts: DataFrame, positives: DataFrame, ratio: float = 1.0, drawn: Observation | None = None) -> DataFrame:
+    """``int(positives × ratio)`` window starts without replacement (fewer if there are fewer).
+
+    ``drawn`` notes ``wanted`` and ``drawn`` in the pass that takes them; :func:`shortfall` reads it.
+    """
     want = positives.agg(F.floor(F.count(F.lit(1)) * ratio).alias("_k"))
-    return sample_by_hash(attach(starts, want), "start_idx", F.col("_k")).drop("_k")
+    out = sample_by_hash(attach(starts, want), "start_idx", F.col("_k"))
+    if drawn is not None:
+        out = out.observe(drawn, F.max("_k").alias("wanted"), F.count(F.lit(1)).alias("drawn"))
+    return out.drop("_k")
+
+
+def shortfall(drawn: Observation) -> int:
+    """How many negative windows fewer than wanted were drawn; warns if there are any."""
+    got = drawn.get
+    lost = (got["wanted"] or 0) - got["drawn"]
+    if lost:
+        warnings.warn(f"only {got['drawn']} of {got['wanted']} negative windows have room", stacklevel=2)
+    return lost
+
+
+def negative_report(starts: DataFrame, positives: DataFrame, ratio: float = 1.0) -> DataFrame:
+    """One row: negative windows wanted, starts available, windows drawn and how many are missing."""
+    want = positives.agg(F.floor(F.count(F.lit(1)) * ratio).cast("long").alias("wanted"))
+    both = attach(starts.agg(F.count(F.lit(1)).alias("available")), want)
+    drawn = F.least("wanted", "available")
+    return both.select("wanted", "available", drawn.alias("drawn"), (F.col("wanted") - drawn).alias("shortfall"))
 
 
 def training_sample(

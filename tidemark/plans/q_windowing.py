@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.operators import features as ft
-from tidemark.operators import sampling, windows
+from tidemark.operators import sampling, splits, windows
+from tidemark.operators.attach import attach
 from tidemark.operators.event_metrics import in_event
 from tidemark.operators.index import renumber, rolling, trailing
 from tidemark.operators.intervals import flag_inside, merged_by_bin
@@ -129,6 +130,36 @@ def w7(spark, sf):
     return rows.groupBy("vortex", "start_idx").agg(F.count(F.lit(1)).alias("n"), r6(F.sum("pressure"), "total"))
 
 
+#: Precursor runs within each split, and the splits' first rows.
+SPLIT_RUNS = [
+    SPLIT_SQL,
+    "dsp AS (SELECT split, min(idx) AS s FROM (SELECT st.idx, split, st.idx - row_number() OVER (ORDER BY st.idx) AS g FROM st JOIN sp ON sp.idx = st.idx WHERE st.gt_detection_win AND split IS NOT NULL) GROUP BY split, g)",
+    "org AS (SELECT split, min(idx) AS origin, max(idx) AS last FROM sp WHERE split IS NOT NULL GROUP BY 1)",
+]
+
+
+@query(
+    "w7_window_outcomes",
+    sql(
+        "SELECT split, outcome, count(*) AS n FROM (SELECT org.split, CASE WHEN centre NOT BETWEEN origin AND last THEN 'clock_not_found' WHEN run IS NULL THEN 'no_precursor' "
+        "WHEN run - 60 < origin THEN 'too_short' ELSE 'extracted' END AS outcome FROM (SELECT org.*, cat.centre, (SELECT max(s) FROM dsp WHERE dsp.split = org.split AND s <= cat.centre) AS run FROM org, cat) org) GROUP BY 1, 2",
+        *SPLIT_RUNS,
+    ),
+)
+def w7c(spark, sf):
+    """What became of every catalogue event in each split, and why windows were lost."""
+    whole = splits.position_split(stream(spark, sf))
+    out = None
+    for name in ("train", "val", "test"):
+        own = whole.filter(F.col("split") == name)
+        span = own.agg(F.min("idx").alias("_lo"), F.max("idx").alias("_hi"))
+        events = attach(catalogue(spark, sf), span).withColumn("centre", F.when(F.col("centre").between(F.col("_lo"), F.col("_hi")), F.col("centre"))).drop("_lo", "_hi")
+        counted = sampling.positive_outcomes(own, events, SIZE, chunk=chunk(spark, sf)).groupBy("outcome").agg(F.count(F.lit(1)).alias("n"))
+        counted = counted.select(F.lit(name).alias("split"), "outcome", "n")
+        out = counted if out is None else out.unionByName(counted)
+    return out
+
+
 @query("w7_positive_windows_first_in_split", sql("SELECT vortex, start_idx FROM posw", DET_RUNS, FIRST_SQL))
 def w7b(spark, sf):
     return positives(spark, sf, "first_in_split").select("vortex", "start_idx")
@@ -206,6 +237,19 @@ def j13(spark, sf):
     return sampling.free_starts(stream(spark, sf), zones(spark, sf), SIZE)
 
 
+@query(
+    "n1_negative_shortfall",
+    sql(
+        f"SELECT wanted, available, least(wanted, available) AS drawn, wanted - least(wanted, available) AS shortfall FROM (SELECT {i8('count(*) * 1000', 'wanted')} FROM posw), (SELECT count(*) AS available FROM free)",
+        DET_RUNS, POS_SQL, ZONE_SQL, FREE_SQL,
+    ),
+)
+def n1b(spark, sf):
+    """A thousand negatives for each positive are more than there is room for."""
+    pos = materialise(positives(spark, sf))
+    return sampling.negative_report(sampling.free_starts(stream(spark, sf), zones(spark, sf), SIZE), pos, 1000.0)
+
+
 @query("n1_negative_windows", sql("SELECT start_idx FROM neg", DET_RUNS, POS_SQL, ZONE_SQL, FREE_SQL, NEG_SQL))
 def n1(spark, sf):
     _, negatives = sampling.training_sample(stream(spark, sf), catalogue(spark, sf), SIZE, chunk=chunk(spark, sf))
