@@ -8,11 +8,17 @@
    group that such links connect, the one with the smallest id stays.
 3. ``substring_dedup``: words inside windows of 35 words that stand elsewhere too are removed from every
    place; texts without any stay as they are, and a text may become empty.
-4. ``secrets``: secret values are masked, also those that are easily guessed; the documents stay.
+4. ``secrets``: values behind a credential word and a sign (``pwd: x``), passwords in addresses, access keys
+   and long hex strings are masked, also those that are easily guessed; values that only prose introduces
+   (``the token is x``) and those in authorisation headers are masked if they are hard to guess. The
+   documents stay.
 5. ``packing``: the texts are packed into sequences of 2048 tokens; one row per piece.
 
 All stages but the last return the columns of their input, ``n_chars`` (where there is one) holding
-the length of the text as the stage leaves it. Null texts have no letter and go in stage 1.
+the length of the text as the stage leaves it. Null texts have no letter and go in stage 1, and so do
+empty ones; texts that stage 3 empties stay, and stage 5 gives them one piece. A null id stays a null id;
+a group of copies is named by its smallest one. Very long texts are whole in every stage, one task's work.
+Repeated rows are copies. Empty tables give empty results. Other columns pass through, whatever their names.
 """
 
 from __future__ import annotations
