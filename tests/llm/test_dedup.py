@@ -13,7 +13,7 @@ from tests.llm.data import documents, empty, texts, words
 from tidemark.llm.bottom_k import containment, distinct_shingles, edited_digests, merged, resemblance, sketch
 from tidemark.llm.components import components
 from tidemark.llm.gray_simhash import fingerprint, gray_rank, links_in_groups, near_digests, near_groups
-from tidemark.llm.relative_lz import digests, remove_repeats
+from tidemark.llm.relative_lz import digests, factors, remove_repeats
 from tidemark.llm.rp_forest import near_vectors
 from tidemark.llm.simhash_copies import band_places, bands_for, copy_groups, first_of_copies, shingles, short_links, spanning_links, wide_print
 from pyspark.sql import functions as F
@@ -132,6 +132,24 @@ def test_substring_dedup_equals_comparing_all_windows(spark, window):
     assert digests(empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize("window", [35, 12])
+def test_factors_stand_at_their_places(spark, window):
+    """Every factor's words are those at its reference, elsewhere; factors cover repeated words only, and long copies in few pieces."""
+    rows = {r.doc_id: re.findall(r"[^\x20\x09-\x0D]+", r.text or "") for r in documents(spark).dropDuplicates(["doc_id"]).collect()}
+    docs = spark.createDataFrame([(d, " ".join(w)) for d, w in rows.items()], "doc_id bigint, text string")
+    got = factors(docs, window=window).collect()
+    ids = list(rows)
+    gone = dict(zip(ids, plain_repeats([rows[d] for d in ids], window)))
+    for f in got:
+        assert f.words >= window and (f.doc_id, f["first"]) != (f.ref_id, f.ref_first)
+        assert rows[f.doc_id][f["first"] : f["first"] + f.words] == rows[f.ref_id][f.ref_first : f.ref_first + f.words]
+        assert all(gone[f.doc_id][f["first"] : f["first"] + f.words])
+    assert len({(f.doc_id, f["first"]) for f in got}) == len(got)
+    copies = [f for f in got if {f.doc_id, f.ref_id} == {35, 42}]
+    assert copies and max(f.words for f in copies) > 60
+    assert factors(empty(spark)).count() == 0
+
+
 def test_removed_text_keeps_the_columns(spark):
     docs = documents(spark).withColumn("_spans", F.lit(1))
     out = remove_repeats(docs)

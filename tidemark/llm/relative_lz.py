@@ -3,15 +3,18 @@
 The reference is the corpus itself, cut by content into blocks. Every window of ``window`` words picks
 its smallest word group as anchor; the consecutive windows with the same anchor are a block, and the
 words they cover its content. Equal windows pick equal anchors, so a repeat can only lie in blocks
-whose anchor stands elsewhere too. The index holds, for each anchor, how often it occurs and whether
-all its blocks are equal.
-
-A document is factored greedily against that index: a run of blocks whose anchors repeat with one and
-the same content is a factor, and all of its words are duplicates. At factor boundaries, where an
-anchor repeats with differing content, the block's windows are checked one by one: distinct blocks are
-brought together by anchor, and a window counts if its words stand in two of them or in a block that
-itself occurs twice. The decisions are those of comparing all windows of all documents with each other,
-but one row per block (about every fifteenth word) moves instead of one per word.
+whose anchor stands elsewhere too. The index holds, for each anchor that does, whether all its blocks are
+equal, and the first and the last place (text and word) where it stands.
+
+A document is parsed greedily against that index. A block whose anchor repeats with one and the same
+content starts a factor at the block's indexed place (the last one, if it is the first itself); the factor
+goes on as long as the next block stands right behind it in the document and, at the same distance, in
+the same indexed text. Such factors (``factors``) have ``window`` words or more, and all their words are
+duplicates. At factor ends, where an anchor repeats with differing content, the block's windows
+are checked one by one: distinct blocks are brought together by anchor, and a window counts if its words
+stand in two of them or in a block that itself occurs twice. The decisions are those of comparing all
+windows of all documents with each other, but one row per block (about every fifteenth word) moves
+instead of one per word.
 
 Shuffles: the anchors, pre-aggregated; the repeating blocks; the texts once, to meet their spans. Bloom
 filters of fixed size (``bits``) keep blocks that cannot repeat from moving; a full filter only lets
@@ -32,7 +35,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -146,32 +149,30 @@ def in_bloom(bloom: np.ndarray, hashes: np.ndarray, bits: int) -> np.ndarray:
 
 
 def _index(texts: DataFrame, window: int, group: int) -> DataFrame:
-    """Anchors that occur twice or more, and whether their blocks differ."""
+    """Anchors that occur twice or more, whether their blocks differ, and the first and last place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, some in slices(batch.column(0)):
-                found = [Blocks(w, window, group) for w in map(_words, some) if len(w) >= window]
+            numbers = batch.column(1).to_numpy()
+            for start, some in slices(batch.column(0)):
+                found = [(numbers[k], Blocks(w, window, group)) for k, w in enumerate(map(_words, some), start) if len(w) >= window]
                 if found:
-                    yield pa.RecordBatch.from_arrays(
-                        [_signed(np.concatenate([b.anchor for b in found])), _signed(np.concatenate([b.content for b in found]))], names=["anchor", "content"]
-                    )
+                    cols = [np.concatenate(c) for c in zip(*((b.anchor.view(np.int64), b.content.view(np.int64), np.full(len(b.first), n), b.first) for n, b in found))]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["anchor", "content", "row", "first"])
 
-    rows = texts.mapInArrow(run, "anchor bigint, content bigint")
-    seen = rows.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("content").alias("lo"), F.max("content").alias("hi"))
-    return seen.filter("n > 1").select("anchor", (F.col("lo") != F.col("hi")).alias("differ"))
+    rows = texts.mapInArrow(run, "anchor bigint, content bigint, row bigint, first bigint")
+    seen = rows.groupBy("anchor").agg(
+        F.count(F.lit(1)).alias("n"), F.min("content").alias("lo"), F.max("content").alias("hi"), F.min(F.struct("row", "first")).alias("one"), F.max(F.struct("row", "first")).alias("other")
+    )
+    return seen.filter("n > 1").select("anchor", (F.col("lo") != F.col("hi")).alias("differ"), "one", "other")
 
 
-def repeated_windows(texts: DataFrame, window: int = WINDOW, group: int = GROUP, bits: int = BITS) -> DataFrame:
-    """(row, first, mask): of the windows from ``first`` on, those whose bit is set stand elsewhere too.
-
-    ``texts`` has the columns text and row. A block has at most ``window - group + 1`` windows, which
-    must fit into a long.
-    """
+def _parsed(texts: DataFrame, window: int, group: int, bits: int) -> DataFrame:
+    """Blocks (row, first, count, anchor, content, differ, one, other, and windows if they differ) whose anchor repeats, written."""
     if not 0 < group < window or window - group + 1 > 63:
         raise ValueError("a window must be longer than a word group, by 62 at most")
     spark = texts.sparkSession
-    index = Table(_index(texts.select("text"), window, group)).df
+    index = Table(_index(texts.select("text", "row"), window, group)).df
     same, differ = (spark.sparkContext.broadcast(bloom_bits(index.filter(c), "anchor", bits)) for c in ("NOT differ", "differ"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,8 +201,49 @@ def repeated_windows(texts: DataFrame, window: int = WINDOW, group: int = GROUP,
                     )
 
     blocks = texts.select("text", "row").mapInArrow(run, "row bigint, first bigint, count bigint, anchor bigint, content bigint, windows array<bigint>")
-    found = Table(blocks.join(index, "anchor").withColumn("windows", F.when(F.col("differ"), F.col("windows")))).df
-    whole = found.filter("NOT differ").select("row", "first", (_bit(F.col("count")) - 1).alias("mask"))
+    return Table(blocks.join(index, "anchor").withColumn("windows", F.when(F.col("differ"), F.col("windows")))).df
+
+
+def _factors(parsed: DataFrame, window: int) -> DataFrame:
+    """(row, first, words, ref_row, ref_first): runs of repeated blocks that stand in one indexed text at one distance."""
+    same = parsed.filter("NOT differ")
+    place = F.when((F.col("one.row") == F.col("row")) & (F.col("one.first") == F.col("first")), F.col("other")).otherwise(F.col("one"))
+    blocks = same.select("row", "first", "count", place.alias("at")).select("row", "first", "count", F.col("at.row").alias("ref_row"), F.col("at.first").alias("ref_first"))
+    order = Window.partitionBy("row").orderBy("first")
+    shift = F.col("ref_first") - F.col("first")
+    goes_on = (
+        (F.lag(F.col("first") + F.col("count")).over(order) == F.col("first"))
+        & (F.lag("ref_row").over(order) == F.col("ref_row"))
+        & (F.lag(shift).over(order) == shift)
+    )
+    numbered = blocks.withColumn("new", F.when(goes_on, 0).otherwise(1)).withColumn("factor", F.sum("new").over(order))
+    whole = numbered.groupBy("row", "factor").agg(
+        F.min("first").alias("first"), (F.max(F.col("first") + F.col("count")) - F.min("first") + (window - 1)).alias("words"), F.first("ref_row").alias("ref_row"), F.min("ref_first").alias("ref_first")
+    )
+    return whole.drop("factor")
+
+
+def factors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, group: int = GROUP, bits: int = BITS) -> DataFrame:
+    """Factors of every document: ``id_col``, first (its word), words, and where they stand too: ref_id, ref_first.
+
+    A text's factors may share words at their ends, as blocks do. Rows of one id are told apart by the
+    reference, not in the result.
+    """
+    numbered = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("row"))
+    found = _factors(_parsed(numbered.select("text", "row"), window, group, bits), window)
+    own, other = numbered.select("row", F.col("id").alias(id_col)), numbered.select(F.col("row").alias("ref_row"), F.col("id").alias("ref_id"))
+    return found.join(own, "row").join(other, "ref_row").select(id_col, "first", "words", "ref_id", "ref_first")
+
+
+def repeated_windows(texts: DataFrame, window: int = WINDOW, group: int = GROUP, bits: int = BITS) -> DataFrame:
+    """(row, first, mask, count): windows that stand elsewhere too: of those from ``first`` on, those whose bit is set, or the first ``count``.
+
+    ``texts`` has the columns text and row. A block has at most ``window - group + 1`` windows, which
+    must fit into a long; a factor has any number and no mask.
+    """
+    found = _parsed(texts, window, group, bits)
+    none = F.lit(None).cast("long")
+    whole = _factors(found, window).select("row", "first", none.alias("mask"), (F.col("words") - (window - 1)).alias("count"))
 
     edges = found.filter("differ")
     distinct = edges.groupBy("anchor", "content").agg(F.count(F.lit(1)).alias("n"), F.first("windows").alias("windows"))
@@ -210,7 +252,7 @@ def repeated_windows(texts: DataFrame, window: int = WINDOW, group: int = GROUP,
     masks = single.join(twice, ["anchor", "w"], "left_semi").groupBy("anchor", "content").agg(F.bit_or(_bit(F.col("i"))).alias("mask"))
     # Written, so that both sides of the next join are exchanges and a block that stands everywhere can be split.
     masks = Table(masks).df
-    parts = edges.select("row", "first", "anchor", "content").join(masks, ["anchor", "content"]).select("row", "first", "mask")
+    parts = edges.select("row", "first", "anchor", "content").join(masks, ["anchor", "content"]).select("row", "first", "mask", none.alias("count"))
     return whole.unionByName(parts)
 
 
@@ -219,6 +261,10 @@ def _covered(n: int, spans: list[dict], window: int) -> np.ndarray:
     edges = np.zeros(n + 1, np.int64)
     for s in spans:
         mask, at = s["mask"], s["first"]
+        if mask is None:
+            edges[at] += 1
+            edges[at + s["count"] - 1 + window] -= 1
+            continue
         while mask:
             skip = (mask & -mask).bit_length() - 1
             mask >>= skip
@@ -232,11 +278,11 @@ def _covered(n: int, spans: list[dict], window: int) -> np.ndarray:
 
 
 def mark_repeats(docs: DataFrame, text_col: str = "text", window: int = WINDOW, group: int = GROUP, bits: int = BITS) -> DataFrame:
-    """``docs`` and a last column (null or a list of first, mask): its windows that stand elsewhere too."""
+    """``docs`` and a last column (null or a list of first, mask, count): its windows that stand elsewhere too."""
     row = unused("_row", docs)
     numbered = docs.withColumn(row, F.monotonically_increasing_id())
     marks = repeated_windows(numbered.select(F.col(text_col).alias("text"), F.col(row).alias("row")), window, group, bits)
-    spans = marks.groupBy(F.col("row").alias(row)).agg(F.collect_list(F.struct("first", "mask")).alias(unused("_spans", docs)))
+    spans = marks.groupBy(F.col("row").alias(row)).agg(F.collect_list(F.struct("first", "mask", "count")).alias(unused("_spans", docs)))
     return numbered.join(spans, row, "left").drop(row)
 
 
