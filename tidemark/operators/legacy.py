@@ -155,41 +155,51 @@ def post_filter_keeps(sharp_drop: float = -0.35, after_initial: float = 0.1, slo
 def savgol(stream: DataFrame, lengths=(5, 11, 21), chunk: int = CHUNK, value: str = "pressure") -> DataFrame:
     """Quadratic smoothing: each row is the least-squares parabola of its ``n`` neighbours, read at the row.
 
-    The first and last ``n // 2`` rows of the stream read the parabola of the nearest whole frame at
+    The first and last ``n // 2`` rows of the stream read the parabola of the first or last ``n`` rows at
     their own place. Null where a frame holds a null, or the stream is shorter than ``n``.
+
+    Inner rows are one weighted sum of their neighbours. The two ends are a few rows, fitted once as
+    constants of the plan.
     """
-    reach, w = max(lengths) // 2, in_chunk()
-    near = halo(stream, 2 * reach, 2 * reach, chunk)
-    fits = {}
-    for n in lengths:
+    reach, longest, w = max(lengths) // 2, max(lengths), in_chunk()
+    bounds = stream.agg(F.min("idx").alias("_lo"), F.max("idx").alias("_hi"))
+    ends = attach(stream.select("idx", value), bounds).filter((F.col("idx") - F.col("_lo") < longest) | (F.col("_hi") - F.col("idx") < longest))
+    # At most two times the longest frame.
+    ends = ends.agg(F.array_sort(F.collect_list(F.struct("idx", F.col(value).cast("double").alias("v")))).alias("_e"), F.min("_lo").alias("_lo"), F.max("_hi").alias("_hi"))
+
+    def parabola(n: int, at) -> Column:
+        """Coefficients of the frame whose readings are ``at(k)``, k from -h to h."""
         h = n // 2
         s0, s2, s4 = (float(sum(k**e for k in range(-h, h + 1))) for e in (0, 2, 4))
-        at = {k: (F.lag(value, -k) if k < 0 else F.lead(value, k)).over(w) for k in range(-h, h + 1)}
-        weighted = lambda f: reduce(add, [F.lit(f(k)) * at[k] for k in at])  # noqa: B023, E731
-        parts = {
-            "a0": weighted(dict(zip(at, savgol_weights(n))).get),
-            "a1": weighted(lambda k: k / s2),
-            "a2": weighted(lambda k: (s0 * k * k - s2) / (s0 * s4 - s2 * s2)),
-        }
-        fits[n] = F.when(parts["a0"].isNotNull(), F.struct(F.col("idx").alias("c"), *[e.alias(a) for a, e in parts.items()]))
-    near = near.select("*", *[e.alias(f"_fit_{n}") for n, e in fits.items()])
-    # Only rows at the stream's ends have neighbours missing, so only they look for another frame.
-    first, last = F.min("idx").over(w.rowsBetween(-reach, reach)), F.max("idx").over(w.rowsBetween(-reach, reach))
-    near = near.select("*", first.alias("_first"), last.alias("_last"))
-    out = {}
+        weighted = lambda f: reduce(add, [F.lit(f[k + h]) * at(k) for k in range(-h, h + 1)])
+        slope, bend = [k / s2 for k in range(-h, h + 1)], [(s0 * k * k - s2) / (s0 * s4 - s2 * s2) for k in range(-h, h + 1)]
+        return F.struct(weighted(savgol_weights(n)).alias("a0"), weighted(slope).alias("a1"), weighted(bend).alias("a2"))
+
+    fits = []
+    for n in lengths:
+        h, size = n // 2, F.size("_e")
+        long_enough = F.col("_hi") - F.col("_lo") >= n - 1
+        head = parabola(n, lambda k, h=h: F.get("_e", F.lit(h + k))["v"])
+        tail = parabola(n, lambda k, h=h, size=size: F.get("_e", size - 1 - h + k)["v"])
+        fits += [F.when(long_enough, head).alias(f"_head_{n}"), F.when(long_enough, tail).alias(f"_tail_{n}")]
+    near = halo(stream, reach, reach, chunk)
+    inner = []
+    for n in lengths:
+        at = {k: (F.lag(value, -k) if k < 0 else F.lead(value, k)).over(w) for k in range(-(n // 2), n // 2 + 1)}
+        inner.append(reduce(add, [F.lit(c) * at[k] for c, k in zip(savgol_weights(n), at)]).alias(f"smooth_{n}"))
+    out = attach(drop_halo(near.select("*", *inner)), ends.select("_lo", "_hi", *fits))
+
+    def read(name: str, x: Column) -> Column:
+        x = x.cast("double")
+        return F.col(name)["a0"] + F.col(name)["a1"] * x + F.col(name)["a2"] * x * x
+
+    smooth = []
     for n in lengths:
-        h, own = n // 2, F.col(f"_fit_{n}")
-        head = F.first(own, ignorenulls=True).over(w.rowsBetween(0, h))
-        tail = F.last(own, ignorenulls=True).over(w.rowsBetween(-h, 0))
-        cut_head, cut_tail = F.col("idx") - F.col("_first") < h, F.col("_last") - F.col("idx") < h
-        fit = F.when(cut_head, head).when(cut_tail, tail).otherwise(own)
-        x = (F.col("idx") - F.col("_use.c")).cast("double")
-        out[n] = (fit, F.col("_use.a0") + F.col("_use.a1") * x + F.col("_use.a2") * x * x)
-    keep = [c for c in near.columns if not c.startswith("_fit_") and c not in ("_first", "_last")]
-    for n, (fit, smooth) in out.items():
-        near = near.withColumn("_use", fit).withColumn(f"smooth_{n}", smooth)
-        keep.append(f"smooth_{n}")
-    return drop_halo(near.select(*keep))
+        h, i = n // 2, F.col("idx")
+        first, last = i - F.col("_lo"), F.col("_hi") - i
+        edge = F.when(first < h, read(f"_head_{n}", first - h)).when(last < h, read(f"_tail_{n}", F.lit(h) - last))
+        smooth.append(edge.otherwise(F.col(f"smooth_{n}")).alias(f"smooth_{n}"))
+    return out.select(*stream.columns, *smooth)
 
 
 def corrected_skew(skew: Column, n: Column) -> Column:
