@@ -193,3 +193,36 @@ def test_lost_windows_are_counted_by_reason_in_the_same_pass(spark, make_stream)
         warnings.simplefilter("always")
         assert sampling.shortfall(drawn) == 3 and len(said) == 1
     assert sampling.negative_report(free, starts, 3.0).first().asDict() == {"wanted": 6, "available": 7, "drawn": 6, "shortfall": 0}
+
+
+def test_pane_aggregates_equal_those_of_copied_samples(spark):
+    """Any size and step, nulls included, against windows that copy their samples; no copies in the plan."""
+    import random
+
+    from tidemark.operators import panes, windows
+
+    r = random.Random(7)
+    rows = [(i, None if r.random() < 0.2 else round(r.gauss(700, 2), 3), None if 40 <= i < 90 else r.random() < 0.05) for i in range(257)]
+    s = spark.createDataFrame(rows, "idx long, v double, flag boolean").repartition(3)
+    v, i = F.col("v"), F.col("idx")
+    wanted = {
+        "rows": panes.count(), "n": panes.count(v), "total": panes.total(v), "low": panes.low(v), "high": panes.high(v), "any": panes.high(F.col("flag")),
+        "first": panes.first(v), "last": panes.last(v), "at": panes.place_of_low(v), "mean": panes.mean(v), "std": panes.sample_std(v),
+    }
+    for size, step in ((60, 10), (21, 3), (10, 10), (7, 2), (8, 12), (300, 10)):
+        out = panes.window_summary(s, size, step, wanted, chunk=32)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        # Only rows at the chunks' borders are copied, and these are panes: the one Generate stands above the aggregate.
+        assert plan.count("Generate") == 1 and plan.index("Generate") < plan.index("Aggregate") and "Join" not in plan
+        got = {x["window_id"]: x for x in out.collect()}
+        long = windows.explode_windows(s, size, step)
+        want = long.groupBy("window_id").agg(
+            F.count(F.lit(1)).alias("rows"), F.count(v).alias("n"), F.sum(v).alias("total"), F.min(v).alias("low"), F.max(v).alias("high"), F.bool_or("flag").alias("any"),
+            F.min_by(v, i).alias("first"), F.max_by(v, i).alias("last"), F.min(F.when(v.isNotNull(), F.struct(v, i)))["idx"].alias("at"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"),
+        ).collect()
+        assert len(got) == len(want) == max(0, (257 - size) // step + 1)
+        for x in want:
+            g = got[x["window_id"]]
+            assert (g["start_idx"], g["end_idx"]) == (x["window_id"] * step, x["window_id"] * step + size - 1)
+            for k in wanted:
+                assert g[k] == (x[k] if x[k] is None or not isinstance(x[k], float) else pytest.approx(x[k], rel=1e-9)), (size, step, k)

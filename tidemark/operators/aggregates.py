@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators import panes
 from tidemark.operators.attach import attach
 from tidemark.functions.scalars import ratio, safe_corr
 from tidemark.operators.index import CHUNK, in_chunk, rolling
@@ -225,11 +226,10 @@ def scores_by_region(stream: DataFrame, score: str, regions: list[str], levels=(
     )
 
 
-def window_rollup(rows: DataFrame, labels: DataFrame) -> DataFrame:
+def window_rollup(stream: DataFrame, labels: DataFrame, size: int = 60, step: int = 10, chunk: int = CHUNK) -> DataFrame:
     """Per window: whether any sample is flagged, with the window's label and score."""
-    flags = rows.groupBy("window_id").agg(
-        F.bool_or("gt_detection_win").alias("has_detection"), F.bool_or("gt_fwhm").alias("has_fwhm")
-    )
+    wanted = {"has_detection": panes.high(F.col("gt_detection_win")), "has_fwhm": panes.high(F.col("gt_fwhm"))}
+    flags = panes.window_summary(stream, size, step, wanted, chunk).drop("start_idx", "end_idx")
     return labels.join(flags, "window_id", "left")
 
 

@@ -16,6 +16,7 @@ from math import gcd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators import panes
 from tidemark.operators.attach import attach
 from tidemark.operators.index import CHUNK, chunk_of, halo, in_chunk, rolling
 
@@ -157,7 +158,7 @@ def sliding_base(
         ]
     d = v - F.col("g_mean")
     off = F.col("idx") % width
-    panes = (
+    summed = (
         with_stats(rows, stats)
         .groupBy(chunk_of("idx", width).alias("pane"))
         .agg(
@@ -175,7 +176,7 @@ def sliding_base(
         )
     )
     pane_chunk = max(panes_in, min(chunk // width, 1 << 16))
-    spread = halo(panes, 0, panes_in - 1, pane_chunk, by="pane")
+    spread = halo(summed, 0, panes_in - 1, pane_chunk, by="pane")
     # Position of the pane inside its chunk keeps Σpos·d free of large cancelling terms.
     local = F.col("pane") - F.col("_chunk") * pane_chunk
     spread = spread.withColumn("_at", local * width).withColumn("_sx", F.col("_sx") + F.col("_at") * F.col("_s1"))
@@ -315,3 +316,16 @@ def hit_features(rows: DataFrame, keys: list[str], size: int = 60) -> DataFrame:
         F.max((positive > 0).cast("double")).alias("autoencoder_positive_hit_binary"),
         (F.sum(hits) / size).alias("autoencoder_hit_ratio"),
     )
+
+
+def sliding_hit_features(stream: DataFrame, size: int = 60, step: int = 10, chunk: int = CHUNK) -> DataFrame:
+    """:func:`hit_features` of every full sliding window, from pane summaries."""
+    hits, positive = F.col("autoencoder_window_hits"), F.col("autoencoder_positive_hit")
+    wanted = {"_total": panes.total(hits), "_n": panes.count(hits), "_any": panes.high((positive > 0).cast("double"))}
+    out = panes.window_summary(stream, size, step, wanted, chunk)
+    return out.select(
+        "window_id",
+        F.try_divide("_total", "_n").alias("autoencoder_window_hits_mean"),
+        F.col("_any").alias("autoencoder_positive_hit_binary"),
+        (F.col("_total") / size).alias("autoencoder_hit_ratio"),
+    )

@@ -305,8 +305,8 @@ def a14(spark, sf):
     ),
 )
 def a15(spark, sf):
-    rows = windows.explode_windows(stream(spark, sf).select("idx", "gt_detection_win", "gt_fwhm"), SIZE, STEP)
-    w = ag.window_rollup(rows, scored(spark, sf).select("window_id", "p", "y"))
+    rows = stream(spark, sf).select("idx", "gt_detection_win", "gt_fwhm")
+    w = ag.window_rollup(rows, scored(spark, sf).select("window_id", "p", "y"), SIZE, STEP, chunk(spark, sf))
     right = ((F.col("y") == 1) & (F.col("p") > 0.5)) | ((F.col("y") == 0) & (F.col("p") <= 0.5))
     d, f = F.col("has_detection"), F.col("has_fwhm")
     return w.groupBy(big("y", "y")).agg(

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import arrays
 from tidemark.operators import features as ft
-from tidemark.operators import legacy, splits, windows
+from tidemark.operators import legacy, panes, splits, windows
 from tidemark.operators.index import rolling, rolling_mean
 from tidemark.operators.sampling import anchored_subwindows
 from tidemark.plans.base import (
@@ -172,10 +172,8 @@ def f16(spark, sf):
     ),
 )
 def f17(spark, sf):
-    rows = windows.explode_windows(
-        stream(spark, sf).select("idx", "autoencoder_window_hits", "autoencoder_positive_hit"), SIZE, STEP
-    )
-    return ft.hit_features(rows, ["window_id"]).select(
+    rows = stream(spark, sf).select("idx", "autoencoder_window_hits", "autoencoder_positive_hit")
+    return ft.sliding_hit_features(rows, SIZE, STEP, chunk(spark, sf)).select(
         "window_id",
         r6("autoencoder_window_hits_mean", "hits_mean"),
         r6("autoencoder_positive_hit_binary", "hit_binary"),
@@ -411,18 +409,12 @@ def f30(spark, sf):
     ),
 )
 def f31(spark, sf):
-    rows = windows.explode_windows(stream(spark, sf).select("idx", "pressure"), SIZE, STEP)
-    summary = rows.groupBy("window_id").agg(
-        F.round(F.avg("pressure"), 4).alias("p_mean"),
-        F.round(F.stddev_samp("pressure"), 4).alias("p_std"),
-        F.round(F.min("pressure"), 4).alias("p_min"),
-        F.round(F.max("pressure"), 4).alias("p_max"),
-        F.count(F.lit(1)).alias("n"),
-        F.min("idx").alias("first_idx"),
-        F.max("idx").alias("last_idx"),
-    )
-    label = windows.right_edge_label(F.col("gt_detection_win"), F.col("gt_fwhm"))
-    return summary.join(wends(spark, sf).select("window_id", label.alias("label")), "window_id")
+    i, v = F.col("idx"), F.col("pressure")
+    wanted = {"p_mean": panes.mean(v), "p_std": panes.sample_std(v), "p_min": panes.low(v), "p_max": panes.high(v)}
+    wanted |= {"n": panes.count(), "first_idx": panes.low(i), "last_idx": panes.high(i), "d": panes.last(F.col("gt_detection_win")), "f": panes.last(F.col("gt_fwhm"))}
+    out = panes.window_summary(stream(spark, sf).select("idx", "pressure", "gt_detection_win", "gt_fwhm"), SIZE, STEP, wanted, chunk(spark, sf))
+    rounded = [F.round(c, 4).alias(c) for c in ("p_mean", "p_std", "p_min", "p_max")]
+    return out.select("window_id", windows.right_edge_label(F.col("d"), F.col("f")).alias("label"), *rounded, "n", "first_idx", "last_idx")
 
 
 @query(

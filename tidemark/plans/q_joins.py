@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import asof, intervals, runs
+from tidemark.operators import asof, intervals, panes, runs
 from tidemark.operators.event_metrics import in_event
 from tidemark.operators.index import in_chunk, rolling
-from tidemark.operators.windows import explode_windows, right_edge_label, tumbling
+from tidemark.operators.windows import right_edge_label, tumbling
 from tidemark.plans.base import (
     FLAGS, SIZE, STEP, big, catalogue, chunk, i8, q6, query, r6, raw_stream, scored, sql, stream, wends,
 )
@@ -48,12 +48,12 @@ def j1(spark, sf):
     sql(f"SELECT label, count(*) AS n, {q6('sum(pressure)', 'total')} FROM wl GROUP BY 1", LONG_SQL),
 )
 def j2(spark, sf):
-    rows = explode_windows(stream(spark, sf).select("idx", "pressure"), SIZE, STEP)
+    """Rows of all windows under their window's label: sums of windows stand for their rows."""
     label = right_edge_label(F.col("gt_detection_win"), F.col("gt_fwhm"))
     labels = wends(spark, sf).select("window_id", label.alias("label"))
-    return rows.join(labels, "window_id", "left").groupBy("label").agg(
-        F.count(F.lit(1)).alias("n"), r6(F.sum("pressure"), "total")
-    )
+    wanted = {"rows": panes.count(), "sum": panes.total(F.col("pressure"))}
+    sums = panes.window_summary(stream(spark, sf).select("idx", "pressure"), SIZE, STEP, wanted, chunk(spark, sf))
+    return sums.join(labels, "window_id", "left").groupBy("label").agg(big(F.sum("rows"), "n"), r6(F.sum("sum"), "total"))
 
 
 @query(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.operators import features as ft
-from tidemark.operators import sampling, splits, windows
+from tidemark.operators import panes, sampling, splits, windows
 from tidemark.operators.attach import attach
 from tidemark.operators.event_metrics import in_event
 from tidemark.operators.index import renumber, rolling, trailing
@@ -31,11 +31,10 @@ def _label():
     ),
 )
 def w1(spark, sf):
-    rows = windows.explode_windows(stream(spark, sf).select("idx", "pressure"), SIZE, STEP)
-    return rows.groupBy("window_id").agg(
-        F.count(F.lit(1)).alias("n"), F.min("idx").alias("first_idx"), F.max("idx").alias("last_idx"),
-        r6(F.sum("pressure"), "total"),
-    )
+    i, v = F.col("idx"), F.col("pressure")
+    wanted = {"n": panes.count(), "first_idx": panes.low(i), "last_idx": panes.high(i), "total": panes.total(v)}
+    out = panes.window_summary(stream(spark, sf).select("idx", "pressure"), SIZE, STEP, wanted, chunk(spark, sf))
+    return out.select("window_id", "n", "first_idx", "last_idx", r6("total", "total"))
 
 
 @query("w1b_renumbered_survivors", sql("SELECT row_number() OVER (ORDER BY end_idx) - 1 AS sliding_window_id, end_idx, label FROM sc"))
