@@ -37,7 +37,8 @@ def explode_windows(stream: DataFrame, size: int, step: int, first: int = 0) ->
     """
     i = F.col("idx") - first
     lowest = F.greatest(F.ceil((i - (size - 1)) / step), F.lit(0)).cast("long")
-    ids = F.sequence(lowest, F.floor(i / step).cast("long"))
+    highest = F.floor(i / step).cast("long")
+    ids = F.when(lowest <= highest, F.sequence(lowest, highest))  # none between windows that are apart
     last = stream.agg((F.floor((F.max("idx") - first + 1 - size) / step)).cast("long").alias("_last"))
     return (
         attach(stream.filter(i >= 0).select("*", F.explode(ids).alias("window_id")), last)
