@@ -226,3 +226,24 @@ def test_pane_aggregates_equal_those_of_copied_samples(spark):
             assert (g["start_idx"], g["end_idx"]) == (x["window_id"] * step, x["window_id"] * step + size - 1)
             for k in wanted:
                 assert g[k] == (x[k] if x[k] is None or not isinstance(x[k], float) else pytest.approx(x[k], rel=1e-9)), (size, step, k)
+
+
+@pytest.mark.parametrize("every", [1, 7])
+def test_mean_patterns_equal_copied_neighbourhoods(spark, every):
+    """Anchors on every row, or some; nulls and the stream's ends; chunks shorter than the frame."""
+    from tidemark.operators import aggregates
+
+    rows = [(i, None if i % 11 == 3 else 700 + (i * 37 % 23) / 3) for i in range(130)]
+    s = spark.createDataFrame(rows, "idx long, pressure double").repartition(3)
+    kind = F.when(F.col("idx") % every == 0, F.when(F.col("idx") % 2 == 0, "a").otherwise("b"))
+    got = {(r["kind"], r["rel_pos"]): r for r in aggregates.mean_patterns(s, kind, 6, chunk=20).collect()}
+    v = dict(rows)
+    for k in ("a", "b"):
+        anchors = [i for i in range(0, 130, every) if (i % 2 == 0) == (k == "a")]
+        for r in range(-6, 7):
+            there = [i + r for i in anchors if 0 <= i + r < 130]
+            x = [v[i] for i in there if v[i] is not None]
+            d = [v[i] - v[i - 1] for i in there if i and v[i] is not None and v[i - 1] is not None]
+            g = got.pop((k, r))
+            assert g["n"] == len(there) and g["mean_p"] == pytest.approx(np.mean(x)) and g["std_p"] == pytest.approx(np.std(x)) and g["mean_step"] == pytest.approx(np.mean(d))
+    assert not got

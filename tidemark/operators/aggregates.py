@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from itertools import combinations
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators import panes
 from tidemark.operators.attach import attach
 from tidemark.functions.scalars import ratio, safe_corr
-from tidemark.operators.index import CHUNK, in_chunk, rolling
+from tidemark.operators.index import CHUNK, halo, in_chunk, rolling
 from tidemark.operators.intervals import interval_join
 from tidemark.operators.runs import run_rows
 
@@ -248,14 +250,52 @@ def event_profiles(stream: DataFrame, chunk: int = CHUNK, score: str = "p") -> D
     )
 
 
-def mean_patterns(context: DataFrame, kind: str = "kind") -> DataFrame:
-    """Mean and deviation of the value, and of its step, at each relative position, per kind."""
-    return context.groupBy(kind, "rel_pos").agg(
-        F.avg("pressure").alias("mean_p"), F.stddev_pop("pressure").alias("std_p"), F.avg("step").alias("mean_step"),
-        F.count(F.lit(1)).alias("n"),
+def mean_patterns(stream: DataFrame, kind: Column, reach: int = 60, value: str = "pressure", chunk: int = CHUNK) -> DataFrame:
+    """Mean and deviation of the value, and of its step, at each relative position around anchors, per kind.
+
+    ``kind`` names the anchors and is null on all other rows. The sums at each position are the
+    cross-correlation of the anchors' indicator with the series: in a chunk with its halo one product per
+    position, so that no row is copied to an anchor, however many there are.
+    """
+    steps = rolling(stream.select("idx", kind.cast("string").alias("kind"), F.col(value).cast("double").alias("v")), {"step": F.col("v") - F.lag("v").over(in_chunk())}, 1, chunk=chunk)
+    level = stream.agg(F.coalesce(F.avg(value), F.lit(0.0)).alias("_level"))
+    near = halo(attach(steps, level).withColumn("v", F.col("v") - F.col("_level")).drop("_level"), reach, reach, max(chunk, 2 * reach))
+
+    def correlate(rows: pa.Table) -> pa.Table:
+        order = np.argsort(rows["idx"].to_numpy(), kind="stable")
+        idx, own = rows["idx"].to_numpy()[order], rows["_own"].to_numpy()[order]
+        # Places in the chunk's span; what is not there counts nothing.
+        at, n = idx - idx[0] + reach, int(idx[-1] - idx[0]) + 1 + 2 * reach
+        series = [np.zeros(n) for _ in range(6)]  # rows, values, their sum and squares, steps and their sum
+        v, step = (rows[c].to_numpy()[order] for c in ("v", "step"))
+        series[0][at] = 1
+        for k, x in ((1, v), (4, step)):
+            has = ~np.isnan(x)
+            series[k][at[has]], series[k + 1][at[has]] = 1, x[has]
+        series[3][at[~np.isnan(v)]] = v[~np.isnan(v)] ** 2
+        names = np.array(rows["kind"].to_pylist(), object)[order]
+        out: dict[str, list] = {c: [] for c in ("kind", "rel_pos", *_SUMS)}
+        for name in sorted({x for x, o in zip(names, own) if o and x is not None}):
+            marks = at[(names == name) & own]
+            for r in range(-reach, reach + 1):
+                out["kind"].append(name)
+                out["rel_pos"].append(r)
+                for c, s in zip(_SUMS, series):
+                    out[c].append(float(s[marks + r].sum()))
+        return pa.table({c: pa.array(x, pa.string() if c == "kind" else pa.int64() if c == "rel_pos" else pa.float64()) for c, x in out.items()})
+
+    sums = near.groupBy("_chunk").applyInArrow(correlate, "kind string, rel_pos bigint, " + ", ".join(f"{c} double" for c in _SUMS))
+    t = attach(sums.groupBy("kind", "rel_pos").agg(*[F.sum(c).alias(c) for c in _SUMS]).filter("_rows > 0"), level)
+    mean = F.try_divide("_v", "_n")
+    spread = F.sqrt(F.greatest(F.try_divide("_v2", "_n") - mean * mean, F.lit(0.0)))
+    return t.select(
+        "kind", "rel_pos", (F.col("_level") + mean).alias("mean_p"), spread.alias("std_p"), F.try_divide("_step", "_steps").alias("mean_step"), F.col("_rows").cast("long").alias("n")
     )
 
 
+_SUMS = ("_rows", "_n", "_v", "_v2", "_steps", "_step")
+
+
 def clock_gaps(stream: DataFrame, top: int = 5, chunk: int = CHUNK) -> DataFrame:
     """The commonest clock steps between neighbours."""
     steps = rolling(stream.select("idx", "sclk"), {"gap": F.col("sclk") - F.lag("sclk").over(in_chunk())}, 1, chunk=chunk)

@@ -10,7 +10,6 @@ from tidemark.operators import aggregates as ag
 from tidemark.operators import audit, features as ft, metrics, runs, setops, splits, windows
 from tidemark.operators.event_metrics import in_event
 from tidemark.operators.index import exact_percentiles, in_chunk, rolling
-from tidemark.operators.intervals import neighbourhood
 from tidemark.plans.base import (
     SIZE, STEP, big, chunk, i8, q6, query, r6, raw_stream, scored, sql, stored, stream, wends,
 )
@@ -341,12 +340,8 @@ def a16(spark, sf):
 def a17(spark, sf):
     """Mean pattern ±60 samples around each positive point, hit against false alarm."""
     s = stream(spark, sf)
-    kind = F.when(in_event(), "hit").otherwise("false_alarm")
-    anchors = s.filter(F.col("p") >= 0.8).select(F.col("idx").alias("anchor"), kind.alias("kind"))
-    steps = rolling(
-        s.select("idx", "pressure"), {"step": F.col("pressure") - F.lag("pressure").over(in_chunk())}, 1, chunk=chunk(spark, sf)
-    )
-    out = ag.mean_patterns(neighbourhood(steps, anchors, "anchor", 60, 60))
+    kind = F.when(F.col("p") >= 0.8, F.when(in_event(), "hit").otherwise("false_alarm"))
+    out = ag.mean_patterns(s, kind, 60, chunk=chunk(spark, sf))
     return out.select("kind", "rel_pos", r6("mean_p", "mean_p"), r6("std_p", "std_p"), r6("mean_step", "mean_step"), "n")
 
 
