@@ -247,3 +247,13 @@ def test_mean_patterns_equal_copied_neighbourhoods(spark, every):
             g = got.pop((k, r))
             assert g["n"] == len(there) and g["mean_p"] == pytest.approx(np.mean(x)) and g["std_p"] == pytest.approx(np.std(x)) and g["mean_step"] == pytest.approx(np.mean(d))
     assert not got
+
+
+@pytest.mark.parametrize("wanted", [3, 40, 10_000])
+def test_drawing_under_a_bound_equals_drawing_from_all_free_starts(spark, make_stream, wanted):
+    """Few, many and more than there are; most starts are blocked, so that the bound must rise."""
+    s = make_stream([0.0] * 30_000)
+    zones = spark.createDataFrame([(0, 29_500)], "lo long, hi long")
+    got = sorted(r["start_idx"] for r in sampling.drawn_starts(s, zones, wanted, 60).collect())
+    whole = sampling.sample_by_hash(sampling.free_starts(s, zones, 60), "start_idx", wanted)
+    assert got == sorted(r["start_idx"] for r in whole.collect()) and len(got) == min(wanted, 440)

@@ -19,6 +19,8 @@ def precursor_runs(stream: DataFrame, chunk: int = CHUNK) -> DataFrame:
     return runs(stream, F.col("gt_detection_win"), chunk)
 
 
+#: Values of the portable hash.
+HASHES = 1 << 31
 #: What becomes of an event when its window is looked for.
 OUTCOMES = ("extracted", "clock_not_found", "no_precursor", "too_short")
 
@@ -123,12 +125,16 @@ def forbidden_intervals(
     return zones
 
 
-def free_starts(stream: DataFrame, zones: DataFrame, size: int = 60) -> DataFrame:
-    """Window starts that touch no zone: a start is blocked from ``lo - (size-1)`` to ``hi``."""
+def free_starts(stream: DataFrame, zones: DataFrame, size: int = 60, tried: Column | None = None) -> DataFrame:
+    """Window starts that touch no zone: a start is blocked from ``lo - (size-1)`` to ``hi``.
+
+    ``tried`` is a condition on ``start_idx`` that is put below the join with the zones.
+    """
     last = stream.agg((F.max("idx") + 1 - size).alias("_last"))
     low = F.greatest(F.col("lo") - (size - 1), F.lit(0).cast("long"))
     blocked = merged_by_bin(zones.select(low.alias("lo"), "hi"), "lo", "hi")
     starts = attach(stream.select(F.col("idx").alias("start_idx")), last).filter("start_idx <= _last").drop("_last")
+    starts = starts if tried is None else starts.filter(tried)
     return flag_inside(starts, blocked, "start_idx", "_blocked").filter("not _blocked").drop("_blocked")
 
 
@@ -166,6 +172,23 @@ def negative_starts(starts: DataFrame, positives: DataFrame, ratio: float = 1.0,
     return out.drop("_k")
 
 
+def drawn_starts(stream: DataFrame, zones: DataFrame, wanted: int, size: int = 60) -> DataFrame:
+    """The first ``wanted`` free starts in portable-hash order, without looking at all of them.
+
+    Only starts under a bound of the hash are held against the zones, so many that the wanted ones are
+    likely among them; if they are not, the bound is raised eightfold, up to all. What is free under
+    the bound is written, and the sample is exact, since it is the beginning of the hash's order.
+    """
+    n = stream.agg(F.max("idx")).first()[0]
+    share = min(1.0, (4 * wanted + 1000) / max(1, n or 1))
+    while True:
+        below = portable_hash(F.col("start_idx")) < int(share * HASHES)
+        free = materialise(free_starts(stream, zones, size, below if share < 1 else None))
+        if share >= 1 or free.count() >= wanted:
+            return sample_by_hash(free, "start_idx", wanted)
+        share = min(1.0, 8 * share)
+
+
 def shortfall(drawn: Observation) -> int:
     """How many negative windows fewer than wanted were drawn; warns if there are any."""
     got = drawn.get
@@ -189,12 +212,13 @@ def training_sample(
     """Positive windows and the negatives drawn for them.
 
     Precursor runs, positives and zones have a row or two per event and feed several later joins,
-    so each is written once; the free starts, of which there are nearly as many as samples, are not.
+    so each is written once; of the free starts, of which there are nearly as many as samples, only
+    those at the beginning of the draw are made.
     """
     precursors = materialise(precursor_runs(stream, chunk))
     positives = materialise(positive_starts(stream, catalogue, size, chunk=chunk, precursors=precursors))
     zones = materialise(forbidden_intervals(stream, positives, size, buffer, chunk=chunk, precursors=precursors))
-    return positives, negative_starts(free_starts(stream, zones, size), positives, ratio)
+    return positives, drawn_starts(stream, zones, int(positives.count() * ratio), size)
 
 
 def training_windows(
