@@ -100,3 +100,27 @@ def test_constant_feature_has_no_correlation(spark):
     df = spark.createDataFrame([(float(i), 1.0, float(-i)) for i in range(20)], "a double, b double, c double")
     got = {(r["f1"], r["f2"]): r["r"] for r in ag.correlation_matrix(df, ["a", "b", "c"]).collect()}
     assert got[("a", "c")] == pytest.approx(-1.0) and got[("a", "b")] is None
+
+
+def test_a_hundred_thousand_thresholds_by_rank_merge(spark):
+    """Counts at every threshold, equals on both sides, nulls and NaN; other columns of the table stay."""
+    import numpy as np
+
+    from tidemark.operators import metrics
+
+    r = np.random.default_rng(5)
+    p = np.round(r.random(5000), 3)
+    y = (r.random(5000) < p).astype(int)
+    rows = [(float(a), int(b)) for a, b in zip(p, y)] + [(None, 1), (None, 0), (float("nan"), 1)]
+    df = spark.createDataFrame(rows, "p double, y int")
+    ts = spark.range(100_000).select(F.col("id"), (F.col("id") / 50_000 - 0.5).alias("threshold"))
+    for strict in (False, True):
+        got = metrics.sweep_table(df, ts, strict=strict).orderBy("id").toPandas()
+        assert list(got.columns) == ["id", "threshold", "tp", "fp", "tn", "fn"] and len(got) == 100_000
+        t = got["threshold"].to_numpy()
+        for name, hits, extra in (("tp", np.sort(p[y == 1]), 1), ("fp", np.sort(p[y == 0]), 0)):
+            reached = len(hits) - np.searchsorted(hits, t, side="right" if strict else "left")
+            assert (got[name] == reached + extra).all()  # NaN reaches all
+        assert ((got["tp"] + got["fn"]) == (y == 1).sum() + 2).all() and ((got["fp"] + got["tn"]) == (y == 0).sum() + 1).all()
+    none = metrics.sweep_table(df.limit(0), ts.limit(2)).collect()
+    assert [(r["tp"], r["fp"], r["tn"], r["fn"]) for r in none] == [(0, 0, 0, 0)] * 2

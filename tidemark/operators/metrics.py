@@ -167,22 +167,23 @@ def sweep(df: DataFrame, grid: list[float], score: str = "p", label: str = "y",
     )
 
 
-def sweep_table(df: DataFrame, thresholds: DataFrame, score: str = "p", label: str = "y") -> DataFrame:
-    """Sweep over thresholds that come from the data (a table of at most a few hundred rows)."""
-    grid = thresholds.agg(F.array_sort(F.collect_set("threshold")).alias("_grid"))
-    pos = (F.col(label) == 1).cast("long")
-    reached = F.size(F.filter("_grid", lambda t: t <= F.col(score)))
-    cells = attach(df, grid).groupBy(reached.alias("_cell")).agg(F.sum(pos).alias("_pos"), F.sum(1 - pos).alias("_neg"))
-    counts = cells.agg(
-        F.collect_list(F.struct("_cell", "_pos", "_neg")).alias("_cells"), F.sum("_pos").alias("_np"), F.sum("_neg").alias("_nn")
-    )
-    out = attach(grid.select(F.posexplode("_grid").alias("i", "threshold")), counts)
-
-    def above(field: str) -> Column:
-        return F.aggregate("_cells", F.lit(0).cast("long"), lambda s, x: s + F.when(x["_cell"] > F.col("i"), x[field]).otherwise(0))
+def sweep_table(df: DataFrame, thresholds: DataFrame, score: str = "p", label: str = "y", strict: bool = False) -> DataFrame:
+    """Counts at every row of ``thresholds`` (all its columns are kept), however many: ``score >= threshold``, or ``>`` if ``strict``.
 
-    out = out.select("threshold", above("_pos").alias("tp"), above("_neg").alias("fp"), "_np", "_nn")
-    return out.select("threshold", "tp", "fp", (F.col("_nn") - F.col("fp")).alias("tn"), (F.col("_np") - F.col("tp")).alias("fn"))
+    Distinct scores and thresholds stand on one line, highest first, and a threshold's hits are the running
+    sums up to it, carried across range partitions. A null score is under every threshold, NaN over.
+    """
+    pos = (F.col(label) == 1).cast("long")
+    low = lambda c: F.when(F.isnan(c), F.lit(float("-inf"))).otherwise(-F.col(c).cast("double"))
+    counts = df.groupBy(low(score).alias("_neg")).agg(F.sum(pos).alias("_pos"), F.sum(1 - pos).alias("_not"))
+    totals = counts.agg(F.coalesce(F.sum("_pos"), F.lit(0)).alias("_np"), F.coalesce(F.sum("_not"), F.lit(0)).alias("_nn"))
+    marks = thresholds.select(F.struct("*").alias("_given"), low("threshold").alias("_neg"), F.lit(0).cast("long").alias("_pos"), F.lit(0).cast("long").alias("_not"))
+    scores = counts.filter("_neg IS NOT NULL").select(F.lit(None).cast(marks.schema["_given"].dataType).alias("_given"), "_neg", "_pos", "_not")
+    # Of equals, scores come before the thresholds that they reach.
+    line = scores.withColumn("_at", F.lit(int(strict))).unionByName(marks.withColumn("_at", F.lit(int(not strict))))
+    cum = running_sums_by(line, ["_neg", "_at"], {"tp": F.col("_pos"), "fp": F.col("_not")}).filter("_given IS NOT NULL")
+    out = attach(cum.select("_given.*", "tp", "fp"), totals)
+    return out.withColumns({"tn": F.col("_nn") - F.col("fp"), "fn": F.col("_np") - F.col("tp")}).drop("_np", "_nn")
 
 
 def best(df: DataFrame, metric: Column, tie: Column, n: int = 1) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.attach import attach, fan_out
+from tidemark.operators.attach import attach
 from tidemark.functions.scalars import prior_corrected
 from tidemark.operators import event_metrics as em
 from tidemark.operators import metrics as m
@@ -176,7 +176,7 @@ def t6b(spark, sf):
     grid = span.select("lo", "hi", i.alias("i")).select(
         F.when(F.col("i") == 100, F.col("hi")).otherwise(F.col("lo") + F.col("i") * ((F.col("hi") - F.col("lo")) / 100)).alias("threshold")
     )
-    return m.sweep_table(s, grid).select(r6("threshold", "threshold"), *[big(c, c) for c in COUNTS])
+    return m.sweep_table(s, grid.distinct()).select(r6("threshold", "threshold"), *[big(c, c) for c in COUNTS])
 
 
 #: 50 to 95 by 5, and 97 and 99.
@@ -194,10 +194,8 @@ PCTS = [0.5, 0.55, 0.6, 0.65, 0.7, 0.75, 0.8, 0.85, 0.9, 0.95, 0.97, 0.99]
 def t6c(spark, sf):
     """Scores strictly above their own percentiles."""
     s = scored(spark, sf)
-    ts = exact_percentiles(s, "p", PCTS).select("q", F.col("p").alias("t"))
-    joined = fan_out(s, ts)  # one row per percentile
-    out = m.confusion(joined, F.col("p") > F.col("t"), by=["q", "t"])
-    return out.select("q", r6("t", "threshold"), *[big(c, c) for c in COUNTS])
+    ts = exact_percentiles(s, "p", PCTS).select("q", F.col("p").alias("threshold"))
+    return m.sweep_table(s, ts, strict=True).select("q", r6("threshold", "threshold"), *[big(c, c) for c in COUNTS])
 
 
 @query(
@@ -343,8 +341,7 @@ def named_thresholds(spark, sf):
         th.cost_optimal(m.sweep(s, th.COST_GRID)).select(F.lit(2).alias("rank"), F.lit("cost_optimal").alias("name"), "threshold"),
     ]
     named = pick[0].unionByName(pick[1]).unionByName(pick[2])
-    joined = fan_out(s, named)  # three rows
-    out = m.with_rates(m.confusion(joined, F.col("p") >= F.col("threshold"), by=["rank", "name", "threshold"]))
+    out = m.with_rates(m.sweep_table(s, named))
     n = F.col("tp") + F.col("fp") + F.col("tn") + F.col("fn")
     return out.withColumn("fp_per_hour", th.fp_per_hour(F.col("fp"), n))
 
