@@ -9,6 +9,9 @@ from tidemark.functions.scalars import as_flag, strict_label
 from tidemark.operators import splits
 from tidemark.operators.intervals import neighbourhood
 from tidemark.plans.base import big, catalogue, i8, q6, query, r6, raw_stream, scored, sql, stream, table, wends
+from tidemark.session import new_table
+from tidemark.sources.adapters import epoch_seconds
+from tidemark.sources.growing import GrowingIndex
 
 
 @query("x2_dense_index", sql("SELECT event_id, idx, sclk FROM ev"))
@@ -17,6 +20,20 @@ def x2(spark, sf):
     return raw_stream(spark, sf).select("event_id", "idx", "sclk")
 
 
+@query("x2_growing_index", sql("SELECT event_id, idx, sclk FROM ev"))
+def x2b(spark, sf):
+    """The same positions from three appends; the last overlaps the end of the second."""
+    e = table(spark, sf, "events").select("event_id", "ts")
+    cut = e.agg(F.percentile_approx("ts", F.array(F.lit(0.5), F.lit(0.9))).alias("c"))
+    first, second = cut.first()["c"]
+    index = GrowingIndex(spark, new_table(spark), "ts", "event_id")
+    recent = (F.col("ts") > first) & (F.col("event_id") % 10 != 3)
+    for rows in (e.filter(F.col("ts") <= first), e.filter(recent & (F.col("ts") <= second)), e.filter((F.col("ts") > first) & ~(recent & (F.col("ts") <= second)))):
+        index.append(rows)
+    out = index.read()
+    return out.select("event_id", "idx", epoch_seconds(out, "ts").cast("long").alias("sclk"))
+
+
 SPLIT_SQL = """
 cnt AS (SELECT count(*) AS n FROM ev),
 sp AS (
