@@ -275,7 +275,12 @@ def test_repeats_hold_every_maximal_run():
 
 
 def test_frequent_words_of_the_corpus_are_cheap(spark):
-    df = spark.createDataFrame([(i, "correct horse battery staple " * 3) for i in range(5)] + [(9, None), (10, "")], "doc_id bigint, text string")
-    ranks = corpus_ranks(df, limit=3)
-    assert {w for w in ranks if w not in _RANK} == {"battery", "correct", "horse"} and len(corpus_ranks(df, limit=0)) == len(_RANK)
+    text = "correct horse battery staple " * 3 + "correct horse correct"
+    df = spark.createDataFrame([(i, text) for i in range(5)] + [(9, None), (10, "")], "doc_id bigint, text string")
+    new = lambda limit: sorted((r, w) for w, r in corpus_ranks(df, limit=limit).items() if w not in _RANK)
+    assert [w for _, w in new(2)] == ["correct", "horse"] and new(0) == []
+    assert [w for _, w in new(3)] == ["correct", "horse"]  # the next two are equally frequent, and one too many
+    assert [w for _, w in new(4)] == [w for _, w in new(99)] == ["correct", "horse", "battery", "staple"]
+    ranks = corpus_ranks(df, limit=4)
     assert guess_cost("correcthorsebattery", ranks) < 9 < guess_cost("correcthorsebattery")
+    assert corpus_ranks(df.limit(0)) == _RANK

@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.bpe_trie import slices
+from tidemark.llm.tables import Table
 
 KINDS = ("assign", "access", "hex", "guess")
 LEAST = 9.0
@@ -178,7 +179,11 @@ def guess_cost(value: str, ranks: dict[str, int] = _RANK) -> float:
 
 
 def corpus_ranks(docs: DataFrame, text_col: str = "text", limit: int = CORPUS_WORDS) -> dict[str, int]:
-    """Places of the fixed words and, behind them, of the ``limit`` most frequent words of all texts (ASCII letters; ties by the word)."""
+    """Places of the fixed words and, behind them, of the most frequent words of all texts (runs of ASCII letters).
+
+    At most ``limit`` words come to the driver: those at or above the least count that so few reach, ordered by
+    count, then by word. Words that tie at a count too low for all of them are left out together.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -190,11 +195,24 @@ def corpus_ranks(docs: DataFrame, text_col: str = "text", limit: int = CORPUS_WO
             kept = [(w, n) for w, n in found.items() if SHORTEST <= len(w) <= LONGEST]
             yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in kept], pa.string()), pa.array([n for _, n in kept], pa.int64())], names=["word", "n"])
 
-    counted = docs.select(text_col).mapInArrow(count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
-    top = counted.orderBy(F.desc("n"), "word").limit(limit).collect() if limit else []
     ranks = dict(_RANK)
-    for r in top:
+    if not limit:
+        return ranks
+    counted = Table(docs.select(text_col).mapInArrow(count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")))
+    size, least = F.floor(8 * F.log2("n")).cast("int"), 1
+    for key in (size, F.col("n")):  # a few hundred sizes at most, then the counts down to the size that is too large
+        groups = counted.df.filter(F.col("n") >= least).groupBy(key.alias("k")).agg(F.count(F.lit(1)).alias("c"), F.min("n").alias("lo"), F.max("n").alias("hi")).collect()
+        room = limit
+        for r in sorted(groups, reverse=True):
+            room -= r["c"]
+            if room < 0:
+                least = r["lo"] if key is size else r["hi"] + 1
+                break
+        else:
+            break
+    for r in sorted(counted.df.filter(F.col("n") >= least).collect(), key=lambda r: (-r["n"], r["word"])):
         ranks.setdefault(r["word"], len(ranks) + 1)
+    counted.drop()
     return ranks
 
 
