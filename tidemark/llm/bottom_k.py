@@ -8,7 +8,8 @@ shingles all three are exact.
 Words are runs of other than ASCII white space, unchanged. A text with fewer words than a shingle is
 one shingle of all its words; null, empty and white-space texts have the empty sketch, which resembles
 another empty one fully and any other not at all. A very long text is one row's work, linear in its
-length but for the sort. Other columns do not matter.
+length but for the sort. Equal texts have equal sketches, so repeated rows need no rule and equal hashes
+count once; an empty table gives an empty result. Other columns do not matter.
 """
 
 from __future__ import annotations

@@ -2,19 +2,17 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.session import scratch_root
+from tidemark.session import new_table
 
 
 class Table:
-    """A frame written once as Parquet; ``df`` scans it. A lost executor costs no part of it."""
+    """A frame written once as Parquet in the running scratch scope; ``df`` scans it. A lost executor costs no part of it."""
 
     def __init__(self, df: DataFrame):
         spark = df.sparkSession
-        self.path = f"{scratch_root(spark)}/{uuid.uuid4().hex}"
+        self.path = new_table(spark)
         df.write.parquet(self.path)
         self.df = spark.read.schema(df.schema).parquet(self.path)
 
