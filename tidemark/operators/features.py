@@ -20,6 +20,7 @@ from tidemark.operators import panes
 from tidemark.operators.attach import attach
 from tidemark.operators.index import CHUNK, chunk_of, halo, in_chunk, rolling
 
+#: The names of the fifteen features, in their order.
 FEATURES = [
     "overall_slope", "first_half_slope", "second_half_slope", "trend_consistency", "pressure_drop",
     "drop_rate", "min_position", "mean", "std", "range", "first_half_mean", "second_half_mean",
