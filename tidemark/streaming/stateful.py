@@ -65,7 +65,8 @@ class Buffer(StatefulProcessor):
             least = low if least is None else min(least, low)
         if least is None:
             return
-        known = self.first.get()[0] if self.first.exists() else None
+        waits = self.first.get()
+        known = waits[0] if waits else None
         mark = timerValues.getCurrentWatermarkInMs()
         if least < mark:
             yield from self._release(key, mark, known)
@@ -73,8 +74,8 @@ class Buffer(StatefulProcessor):
             self._wait(least, known)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.first.exists():
-            known = self.first.get()[0]
+        if waits := self.first.get():
+            known = waits[0]
             mark = timerValues.getCurrentWatermarkInMs()
             if known < mark:
                 yield from self._release(key, mark, None)
@@ -121,7 +122,7 @@ class Carry(StatefulProcessor):
             return
         # Parts of a batch never interleave: slices are apart, and a slice releases once per watermark.
         parts.sort(key=lambda p: (p[0][0], p[1][0]))
-        seen, carry = self.last.get() if self.last.exists() else (0, [])
+        seen, carry = self.last.get() or (0, [])
         carry = np.asarray(carry, "float64")
         for us, ids, vals in parts:
             yield pd.DataFrame({"channel": [key[0]], "seen": [seen], "carry": [carry], "us": [us], "id": [ids], "value": [vals]})
