@@ -164,3 +164,9 @@ def test_grid_search_over_either_kind(labelled):
         model, results = ml.grid_search(train, val, ["a", "b"], grid, kind=kind)
         assert results.count() == 2 and results.first().f1 == max(r.f1 for r in results.collect())
         assert ml.score(model, val).count() == 100
+
+
+def test_forest_rows_are_stored_in_even_parts(spark):
+    """Rows that come in one partition are spread over all cores before a fit passes over them."""
+    got = [r["count"] for r in ml.spread(spark.range(0, 8000, 1, 1)).groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(got) == 8000 and len(got) == spark.sparkContext.defaultParallelism and max(got) < 1.2 * min(got)
