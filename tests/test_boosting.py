@@ -75,3 +75,48 @@ def test_search_reports_what_it_dropped(parts):
     assert f1 == max(r["f1"] for r in rows if not r["dropped"])
     _, every = search(*parts, FEATURES, grid, rungs=(2,), parallel=1)
     assert not every.filter("dropped").count() and every.count() == 4
+
+
+def test_a_fit_goes_on_from_its_trees(parts, monkeypatch):
+    rows = boosting.Binned.of(weighted(parts[0], FEATURES), FEATURES)
+    whole, begun = (fit_trees(rows, FEATURES, n, **SETTING) for n in (5, 3))
+    grown, grow = [], boosting._grow
+    monkeypatch.setattr(boosting, "_grow", lambda states, binned, number, *a: grown.append(number) or grow(states, binned, number, *a))
+    monkeypatch.setattr(boosting, "CHAIN", 1)
+    further = fit_trees(rows, FEATURES, 5, **SETTING, begun=begun)
+    assert grown == [3, 4] and len(begun.nodes) == 3 and further.weights == whole.weights
+    for a, b in zip(further.nodes, whole.nodes):
+        assert all(x == pytest.approx(y) for x, y in zip(a, b))
+
+
+def test_trees_are_those_of_the_library(parts):
+    """All rows, all features and few distinct values leave nothing to draw: the same trees, hence the same scores."""
+    from pyspark.ml.classification import GBTClassifier
+
+    few = [df.select("id", *[F.round(F.least(F.greatest(F.col(f), F.lit(-1.5)), F.lit(1.5)) * 4).alias(f) for f in FEATURES], "y") for df in parts]
+    rows = assembler(FEATURES).transform(weighted(few[0], FEATURES))
+    model = GBTClassifier(labelCol="y", featuresCol="features", weightCol="weight", maxIter=5, maxDepth=3, stepSize=0.2, minInstancesPerNode=2, seed=1).fit(rows)
+    theirs = boosting.Trees.of(model.toDebugString, FEATURES, 3)
+    mine = fit_trees(rows, FEATURES, 5, **{**SETTING, "sample": 1.0, "columns": 1.0})
+    assert mine.weights == theirs.weights
+    a, b = (np.array([r["p"] for r in t.score(few[1].orderBy("id")).collect()]) for t in (mine, theirs))
+    assert a == pytest.approx(b, abs=1e-6)
+
+
+def test_curves_are_exact_over_many_ranges(spark, monkeypatch):
+    """Ties across batches and ranges, and missing values, rated as one sorted list would be."""
+    r = np.random.default_rng(5)
+    x = np.round(r.normal(size=300), 1)
+    x[::50] = np.nan
+    y = (r.random(300) < 0.2).astype(int)
+    df = spark.createDataFrame([(float(a), int(b)) for a, b in zip(x, y)], "a double, y int").repartition(3)
+    node = lambda t, low, high: (np.zeros(3, int), np.array([t, 0.0, 0.0]), np.array([1, 1, 2]), np.array([2, 1, 2]), np.array([0.0, low, high]))
+    trees = boosting.Trees(["a"], [node(t, -1.0, 0.5) for t in (-0.8, -0.3, 0.1, 0.6, 1.1)], [1.0, 0.3, 0.3, 0.3, 0.3], 1)
+    monkeypatch.setattr(boosting, "ROWS", 40)
+    margins = trees.margins(x[:, None])
+    for after in (0, 2):
+        want = []
+        for k in range(after, 5):
+            m_ = margins[:, k]
+            want.append(sum(((m_ >= v) & (y == 1)).sum() / (m_ >= v).sum() for v in m_[y == 1]) / y.sum())
+        assert prefix_precision(trees, df, after) == pytest.approx(want)
