@@ -13,7 +13,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark.ml import Model
 from pyspark.ml.classification import RandomForestClassificationModel
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.linalg import DenseVector, Vectors
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,6 +24,8 @@ from tidemark.session import new_table
 
 #: Cells of the table of replaced rows that a task works on at a time; small enough for a core's own cache.
 CELLS = 1 << 20
+#: Rows that a task asks about at a time.
+BLOCK = 1 << 14
 
 
 @dataclass
@@ -91,8 +96,10 @@ class Forest:
     trees: list[Tree]
 
     @staticmethod
-    def of(model: RandomForestClassificationModel, features: list[str], spark: SparkSession) -> Forest:
-        """From the model's stored form. Its size is that of the model, which the driver holds anyway."""
+    def of(model: RandomForestClassificationModel | ForestModel, features: list[str], spark: SparkSession) -> Forest:
+        """From the model's stored form, unless it holds the arrays. Its size is that of the model, which the driver holds anyway."""
+        if isinstance(model, ForestModel):
+            return model.forest
         path = new_table(spark)
         model.write().save(path)
         node = lambda c: F.col(f"nodeData.{c}").alias(c.split(".")[-1])
@@ -124,6 +131,14 @@ class Forest:
         kind = np.uint8 if max(map(len, self.thresholds)) < 255 else np.uint16
         return np.stack([np.searchsorted(v, x[..., j]) for j, v in enumerate(self.thresholds)], axis=-1).astype(kind)
 
+    def votes(self, x: np.ndarray) -> np.ndarray:
+        """Sum of the trees' class shares for each row."""
+        width, rows = len(self.features), np.arange(len(x))
+        places, out = self.places(x).ravel(), np.zeros((len(x), self.trees[0].share.shape[1]))
+        for tree in self.trees:
+            out += tree.share[tree.leaves(places, width, rows)]
+        return out
+
     def replaced(self, own: np.ndarray, donors: np.ndarray, ranges: list | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Predicted class of each row of ``own`` (rows by features), and, by donor, row and feature, with that feature's value from the donor."""
         width = len(self.features)
@@ -174,3 +189,31 @@ class Forest:
 
         counted = df.select(own, *donors, label).mapInArrow(run, "repeat long, _j long, n long, hits long")
         return counted.groupBy("repeat", "_j").agg(F.sum("n").alias("n"), F.sum("hits").alias("hits"))
+
+
+class ForestModel(Model):
+    """A forest as the last stage of a pipeline: adds ``rawPrediction``, ``probability`` and ``prediction`` to rows with a vector ``features``."""
+
+    def __init__(self, forest: Forest, importances: np.ndarray) -> None:
+        super().__init__()
+        self.forest = forest
+        #: Each feature's part in the fall of impurity, averaged over trees; they add up to 1.
+        self.featureImportances: DenseVector = Vectors.dense(importances)
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        forest, width = self.forest, len(self.forest.features)
+
+        @F.arrow_udf("array<double>")
+        def votes(x: pa.Array) -> pa.Array:
+            rows = x.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+            blocks = [forest.votes(rows[a : a + BLOCK]) for a in range(0, len(rows), BLOCK)] or [np.zeros((0, 2))]
+            out = np.concatenate(blocks)
+            return pa.ListArray.from_arrays(np.arange(0, out.size + 1, out.shape[1], dtype=np.int32), out.ravel())
+
+        raw = F.col("_raw")
+        whole = F.aggregate(raw, F.lit(0.0), lambda s, v: s + v)
+        first = F.array_position(raw, F.array_max(raw)) - 1
+        out = dataset.withColumn("_raw", votes(vector_to_array("features")))
+        return out.withColumns(
+            {"rawPrediction": array_to_vector(raw), "probability": array_to_vector(F.transform(raw, lambda v: v / whole)), "prediction": first.cast("double")}
+        ).drop("_raw")
